@@ -25,12 +25,24 @@ def ref(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def per_column(df: DataFrame, columns: Iterable[str], measures: Callable[[str], Mapping[str, Column]]) -> DataFrame:
-    """Aggregate every column in one scan and turn the single wide row into one row per column."""
+def per_column(
+    df: DataFrame,
+    columns: Iterable[str],
+    measures: Callable[[str], Mapping[str, Column]],
+    derive: Callable[[], Mapping[str, Column]] | None = None,
+) -> DataFrame:
+    """Aggregate every column in one scan and turn the single wide row into one row per column.
+
+    derive adds expressions over the measures; they run on the few result rows, which keeps the
+    generated code of the wide aggregate small.
+    """
     rows = [
         F.struct(F.lit(c).alias("column"), *[e.alias(n) for n, e in measures(c).items()]) for c in columns
     ]
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    out = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    if derive is not None:
+        out = out.select("*", *[e.alias(n) for n, e in derive().items()])
+    return out
 
 
 def unpivot_text(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -1,10 +1,12 @@
 """Exact order statistics of whole columns without a sort and without one big buffer.
 
 `percentile` keeps every distinct value of a column in one aggregation buffer, which does not
-hold for a continuous measure at scale. Here each pass histograms the bracket that holds a
-wanted rank (map-side combined, so only bin counts are shuffled) and the next pass looks inside
-one bin. A bracket ends when it holds one value, or few enough rows to list. What reaches the
-driver is bin counts: bounded by brackets x bins, whatever the row count.
+hold for a continuous measure at scale. Here a first pass takes a mergeable quantile sketch whose
+only use is to guess a narrow bracket around each wanted rank. A second pass counts the rows below
+and inside each bracket, which proves the guess or sends that rank back to the full value range.
+Brackets with few rows are then listed; larger ones are narrowed by histogram, one bin per pass.
+Every pass is combined map-side; the driver sees bin counts and at most a few thousand values,
+whatever the row count, and the result never depends on the sketch.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,17 +22,20 @@ from pyspark.sql.types import DoubleType, FloatType, StringType
 
 BINS = 1024
 LISTED = 10_000
+SKETCH_K = 4096
+MARGIN = 0.003  # rank share on each side of a guess; about twice the sketch error at this size
 LONG_SPAN = 2**62
 
 
 @dataclass
 class Ranked:
     """Row count of a column (nulls and NaN left out), the values found at 0-based ranks, and how
-    many rows are smaller than each of them."""
+    many rows are smaller than or equal to each of them."""
 
     n: int
     at: dict[int, object]
     below: dict[int, int]
+    equal: dict[int, int]
     low: object = None
     high: object = None
 
@@ -60,30 +66,38 @@ def order_statistics(
     df: DataFrame,
     values: Mapping[str, Column],
     ranks: Mapping[str, Callable[[int], Iterable[int]]],
+    hints: Mapping[str, Iterable[float]],
     bins: int = BINS,
     listed: int = LISTED,
 ) -> dict[str, Ranked]:
-    """Values at the given ranks of each expression; ranks are asked for once n is known."""
+    """Values at the given ranks of each expression.
+
+    ranks are asked for once the row count is known; hints say at which shares they lie.
+    """
     names = list(values)
     wide = df.select(*[values[name].alias(f"v{i}") for i, name in enumerate(names)])
-    head = wide.agg(
-        *[
-            F.struct(F.count(f"v{i}").alias("n"), F.min(f"v{i}").alias("lo"), F.max(f"v{i}").alias("hi")).alias(f"v{i}")
-            for i in range(len(names))
-        ]
-    ).first()
+    edges = {name: [(p - MARGIN, p + MARGIN) for p in sorted(set(hints[name]))] for name in names}
+    head = _head(wide, names, edges)
     found: dict[str, Ranked] = {}
     todo: list[_Bracket] = []
+    guesses: list[_Bracket] = []
     for i, name in enumerate(names):
         n, low, high = head[i]["n"], head[i]["lo"], head[i]["hi"]
-        found[name] = Ranked(n, {}, {}, low, high)
-        wanted = sorted({r for r in ranks[name](n) if 0 <= r < n}) if n else []
-        if wanted:
-            todo.append(_Bracket(name, low, high, 0, n, wanted))
+        found[name] = Ranked(n, {}, {}, {}, low, high)
+        for rank in sorted({r for r in ranks[name](n) if 0 <= r < n}) if n else []:
+            share = rank / max(1, n - 1)
+            near = [j for j, (a, b) in enumerate(edges[name]) if a <= share <= b]
+            if n <= listed or not near:
+                _add(todo, _Bracket(name, low, high, 0, n, [rank]))
+                continue
+            a, b = edges[name][near[0]]
+            guess = head[i]["at"][2 * near[0]], head[i]["at"][2 * near[0] + 1]
+            lo = low if a <= 0 else max(low, type(low)(math.floor(guess[0]) if isinstance(low, int) else guess[0]))
+            hi = high if b >= 1 else min(high, type(high)(math.ceil(guess[1]) if isinstance(high, int) else guess[1]))
+            _add(guesses, _Bracket(name, lo, hi, 0, n, [rank]))
+    todo += _prove(wide, names, guesses, found)
     while todo:
-        todo = _settle(todo, found, listed)
-        if not todo:
-            break
+        todo = _settle(todo, found)
         if all(b.count <= listed for b in todo):
             _list(wide, names, todo, found)
             break
@@ -91,14 +105,75 @@ def order_statistics(
     return found
 
 
-def _settle(todo, found, listed):
+def _add(brackets: list[_Bracket], new: _Bracket) -> None:
+    for b in brackets:
+        if (b.name, b.low, b.high) == (new.name, new.low, new.high):
+            b.ranks += new.ranks
+            return
+    brackets.append(new)
+
+
+def _head(wide, names, edges):
+    sketched = wide.agg(
+        *[
+            e
+            for i in range(len(names))
+            for e in (
+                F.count(f"v{i}").alias(f"n{i}"),
+                F.min(f"v{i}").alias(f"lo{i}"),
+                F.max(f"v{i}").alias(f"hi{i}"),
+                F.kll_sketch_agg_double(F.col(f"v{i}").cast("double"), F.lit(SKETCH_K)).alias(f"s{i}"),
+            )
+        ]
+    )
+    cells = []
+    for i, name in enumerate(names):
+        shares = [min(1.0, max(0.0, p)) for pair in edges[name] for p in pair]
+        at = F.when(
+            F.col(f"n{i}") > 0,
+            F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(p) for p in shares])),
+        )
+        cells.append(
+            F.struct(
+                F.col(f"n{i}").alias("n"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), at.alias("at")
+            ).alias(f"v{i}")
+        )
+    return sketched.select(*cells).first()
+
+
+def _prove(wide, names, guesses, found):
+    """Count rows below and inside each guessed bracket; a rank outside gets the full range back."""
+    if not guesses:
+        return []
+    counts = []
+    for i, b in enumerate(guesses):
+        value, inside = _inside(names, b)
+        counts += [F.count_if(value < F.lit(b.low)).alias(f"b{i}"), F.count_if(inside).alias(f"i{i}")]
+    row = wide.agg(*counts).first()
+    proven: list[_Bracket] = []
+    for i, b in enumerate(guesses):
+        below, inside = row[f"b{i}"], row[f"i{i}"]
+        for rank in b.ranks:
+            if below <= rank < below + inside:
+                _add(proven, _Bracket(b.name, b.low, b.high, below, inside, [rank]))
+            else:
+                r = found[b.name]
+                _add(proven, _Bracket(b.name, r.low, r.high, 0, r.n, [rank]))
+    return proven
+
+
+def _note(found, name, rank, value, below, equal):
+    r = found[name]
+    r.at[rank], r.below[rank], r.equal[rank] = value, below, equal
+
+
+def _settle(todo, found):
     """Drop brackets that hold a single value."""
     rest = []
     for b in todo:
         if b.low == b.high:
             for rank in b.ranks:
-                found[b.name].at[rank] = b.low
-                found[b.name].below[rank] = b.below
+                _note(found, b.name, rank, b.low, b.below, b.count)
         else:
             rest.append(b)
     return rest
@@ -109,13 +184,20 @@ def _inside(names, b: _Bracket) -> tuple[Column, Column]:
     return value, (value >= F.lit(b.low)) & (value <= F.lit(b.high))
 
 
+def _kind(b: _Bracket) -> str:
+    return "double" if isinstance(b.low, float) else "long"
+
+
 def _rows(wide, pieces):
-    return wide.select(F.explode(F.array_compact(F.array(*pieces))).alias("p")).select("p.*")
+    """One output row per (row, bracket) hit; rows outside every bracket are dropped first."""
+    hits = [inside for inside, _ in pieces]
+    cells = [F.when(inside, cell) for inside, cell in pieces]
+    kept = wide.filter(reduce(lambda a, b: a | b, hits))
+    return kept.select(F.explode(F.array_compact(F.array(*cells))).alias("p")).select("p.*")
 
 
 def _narrow(wide, names, todo, bins, listed):
-    kinds = {}
-    pieces = []
+    kinds: dict[str, list] = {}
     for i, b in enumerate(todo):
         if b.count <= listed:
             continue
@@ -125,9 +207,8 @@ def _narrow(wide, names, todo, bins, listed):
         else:
             offset, span = (value - F.lit(b.low)).cast("double"), float(b.high - b.low)
         slot = F.least(F.floor(offset / F.lit(span) * F.lit(float(bins))).cast("int"), F.lit(bins - 1))
-        kinds.setdefault("double" if isinstance(b.low, float) else "long", []).append(
-            F.when(inside, F.struct(F.lit(i).alias("b"), slot.alias("slot"), value.alias("x")))
-        )
+        cell = F.struct(F.lit(i).alias("b"), slot.alias("slot"), value.alias("x"))
+        kinds.setdefault(_kind(b), []).append((inside, cell))
     slots: dict[int, list] = {}
     for pieces in kinds.values():
         counted = (
@@ -152,12 +233,11 @@ def _narrow(wide, names, todo, bins, listed):
 
 
 def _list(wide, names, todo, found):
-    kinds = {}
+    kinds: dict[str, list] = {}
     for i, b in enumerate(todo):
         value, inside = _inside(names, b)
-        kinds.setdefault("double" if isinstance(b.low, float) else "long", []).append(
-            F.when(inside, F.struct(F.lit(i).alias("b"), value.alias("x")))
-        )
+        cell = F.struct(F.lit(i).alias("b"), value.alias("x"))
+        kinds.setdefault(_kind(b), []).append((inside, cell))
     values: dict[int, list] = {}
     for pieces in kinds.values():
         for row in _rows(wide, pieces).groupBy("b", "x").count().collect():
@@ -167,8 +247,7 @@ def _list(wide, names, todo, found):
         for value, count in sorted(values[i]):
             for rank in b.ranks:
                 if seen <= rank < seen + count:
-                    found[b.name].at[rank] = value
-                    found[b.name].below[rank] = seen
+                    _note(found, b.name, rank, value, seen, count)
             seen += count
 
 
@@ -186,7 +265,9 @@ def quantile_exprs(
     def ranks(n):
         return [r for p in probs for r in _positions(p, n)[:2]]
 
-    ranked = order_statistics(df, values, {name: ranks for name in values}, **limits)
+    ranked = order_statistics(
+        df, values, {name: ranks for name in values}, {name: probs for name in values}, **limits
+    )
     result: dict[str, list[float | None]] = {}
     for name, r in ranked.items():
         if r.n == 0:

@@ -8,6 +8,7 @@ itself with three constants.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +32,16 @@ def _cut_ranks(n: int) -> list[int]:
 def rank_quartiles(df: DataFrame, metrics: list[str], key: str, **limits) -> dict[str, Column]:
     """Quartile 1..4 of the (metric, key) order for each metric; key must be unique."""
     values = {m: numeric(df, m) for m in metrics}
-    cuts = order_statistics(df, values, {m: _cut_ranks for m in metrics}, **limits)
+    cuts = order_statistics(
+        df, values, {m: _cut_ranks for m in metrics}, {m: CUTS for m in metrics}, **limits
+    )
     tied = sorted({(m, v) for m in metrics for v in cuts[m].at.values()})
     if not tied:
         return {m: F.lit(None).cast("int") for m in metrics}
     wanted = {
         (m, v): sorted({r - cuts[m].below[r] for r, at in cuts[m].at.items() if at == v}) for m, v in tied
     }
+    ties = {(m, v): cuts[m].equal[r] for m in metrics for r, v in cuts[m].at.items()}
     keys = {}
     if is_string(df, key):
         for m, v in tied:
@@ -48,7 +52,11 @@ def rank_quartiles(df: DataFrame, metrics: list[str], key: str, **limits) -> dic
         key_value = numeric(df, key)
         exprs = {f"t{i}": F.when(values[m] == F.lit(v), key_value) for i, (m, v) in enumerate(tied)}
         ranked = order_statistics(
-            df, exprs, {f"t{i}": (lambda n, w=wanted[t]: w) for i, t in enumerate(tied)}, **limits
+            df.filter(reduce(lambda a, b: a | b, [values[m] == F.lit(v) for m, v in tied])),
+            exprs,
+            {f"t{i}": (lambda n, w=wanted[t]: w) for i, t in enumerate(tied)},
+            {f"t{i}": [r / max(1, ties[t] - 1) for r in wanted[t]] for i, t in enumerate(tied)},
+            **limits,
         )
         for i, (m, v) in enumerate(tied):
             for r in wanted[(m, v)]:
