@@ -9,17 +9,18 @@ from tabulon.plans.longform import ref
 from tabulon.plans.quartiles import edge_quartiles, rank_quartiles
 from tabulon.plans.stage import stage
 
-DAY_SECONDS = 86400
+DAY_MICROS = 86_400_000_000
 
 
 def whole_days(later, earlier):
     """Whole 24-hour days between two timestamps, floored."""
-    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(DAY_SECONDS * 1_000_000)).cast("long")
+    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(DAY_MICROS)).cast("long")
 
 
 def _customer_metrics(df: DataFrame, customer: str, date: str, amount: str, plus_days: int, reference=None):
     """One row per customer, staged; the snapshot date comes from these rows, not a second scan."""
-    rows = df.select(ref(customer), ref(date).cast("timestamp").alias("_at"), ref(amount).alias("_amount"))
+    at = F.unix_micros(ref(date).cast("timestamp"))
+    rows = df.select(ref(customer), at.alias("_at"), ref(amount).alias("_amount"))
     totals = stage(
         rows.groupBy(ref(customer)).agg(
             F.max("_at").alias("_last"),
@@ -28,11 +29,11 @@ def _customer_metrics(df: DataFrame, customer: str, date: str, amount: str, plus
         )
     )
     if reference is None:
-        reference = totals.agg(F.max("_last").alias("m")).first()["m"]
-    snapshot = F.lit(reference).cast("timestamp") + F.expr(f"INTERVAL {plus_days} DAYS")
-    return totals.select(
-        ref(customer), whole_days(snapshot, F.col("_last")).alias("recency"), "frequency", "monetary"
-    )
+        snapshot = F.lit(totals.agg(F.max("_last").alias("m")).first()["m"])
+    else:
+        snapshot = F.unix_micros(F.lit(reference).cast("timestamp"))
+    recency = F.floor((snapshot + F.lit(plus_days * DAY_MICROS) - F.col("_last")) / F.lit(DAY_MICROS))
+    return totals.select(ref(customer), recency.cast("long").alias("recency"), "frequency", "monetary")
 
 
 def rfm_rank(df: DataFrame, customer: str, date: str, amount: str) -> DataFrame:

@@ -12,7 +12,8 @@ def event_counts(
     events: DataFrame, ts: str, kind: str, value: str, width: str = "1 hour", late: str = "1 day"
 ) -> DataFrame:
     """Events and value per tumbling window and kind; a stream drops rows later than the watermark."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = events.withColumn(ts, ref(ts).cast("timestamp"))
+    rows = rows.withWatermark(ts, late) if events.isStreaming else rows
     total = F.sum(ref(value))
     grouped = rows.groupBy(F.window(ref(ts), width).alias("w"), ref(kind)).agg(
         F.count(F.lit(1)).alias("events"), F.round(total, 2).alias("total")
