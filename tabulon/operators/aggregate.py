@@ -16,7 +16,8 @@ from tabulon.functions.stats import (
     skew_corrected,
 )
 from tabulon.plans.longform import numeric_columns, per_column, ref, unpivot_text
-from tabulon.plans.quantiles import exact_quantiles, numeric
+from tabulon.plans.quantiles import Ranked, column_summaries, exact_quantiles, numeric
+from tabulon.plans.slots import joint_counts, position
 
 FUNCS = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
 
@@ -122,20 +123,20 @@ def value_counts(df: DataFrame, columns: Iterable[str], top: int | None = None)
 def describe(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Count, mean, sample std, min, max, median and quartiles per numeric column."""
     columns = list(columns or numeric_columns(df))
-    q = exact_quantiles(df, columns, (0.5, 0.25, 0.75))
-    return per_column(
-        df,
-        columns,
-        lambda c: {
-            "count": F.count(numeric(df, c)),
-            "mean": round4(F.avg(numeric(df, c))),
-            "std": F.when(F.count(numeric(df, c)) > 1, round4(F.stddev(numeric(df, c)))).otherwise(0.0),
-            "min": F.min(numeric(df, c)).cast("double"),
-            "max": F.max(numeric(df, c)).cast("double"),
-            "median": round4(F.lit(q[c][0])),
-            "q25": round4(F.lit(q[c][1])),
-            "q75": round4(F.lit(q[c][2])),
-        },
+    found = column_summaries(df, columns, (0.25, 0.5, 0.75), {"mean": F.avg, "std": F.stddev})
+    rows = []
+    for c in columns:
+        r = found[c]
+        low, high = (None, None) if r.n == 0 else (float(r.low), float(r.high))
+        std = r.extra["std"] if r.n > 1 else 0.0
+        rows.append((c, r.n, r.extra["mean"], std, low, high, r.quantile(0.5), r.quantile(0.25), r.quantile(0.75)))
+    schema = (
+        "column string, count long, mean double, std double, min double, max double, "
+        "median double, q25 double, q75 double"
+    )
+    out = df.sparkSession.createDataFrame(rows, schema)
+    return out.select(
+        "column", "count", "min", "max", *[round4(F.col(c)).alias(c) for c in ("mean", "std", "median", "q25", "q75")]
     )
 
 
@@ -174,48 +175,54 @@ def fences(df: DataFrame, columns: Iterable[str], k: float = 1.5) -> dict[str, t
 def numeric_profile(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Full numeric statistics per column: moments, quartiles, mode, outliers, shape, normality."""
     columns = list(columns or numeric_columns(df))
-    q = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
-
-    def measures(c):
-        x = numeric(df, c)
-        q1, q2, q3 = q[c]
-        if q1 is not None and q3 != q1:
-            low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-            outliers = F.count_if((x < F.lit(low)) | (x > F.lit(high)))
-        else:
-            outliers = F.lit(0).cast("long")
-        return {
-            "count": F.count(x),
-            "min": F.min(x).cast("double"),
-            "max": F.max(x).cast("double"),
-            "_mean": F.avg(x),
-            "_std": F.stddev_pop(x),
-            "_g1": F.skewness(x),
-            "_g2": F.kurtosis(x),
-            "median": F.round(F.lit(q2).cast("double"), 4),
-            "q1": F.round(F.lit(q1).cast("double"), 4),
-            "q3": F.round(F.lit(q3).cast("double"), 4),
-            "outlier_count": outliers,
-        }
-
+    extras = {"mean": F.avg, "std": F.stddev_pop, "g1": F.skewness, "g2": F.kurtosis}
+    found = column_summaries(df, columns, (0.25, 0.5, 0.75), extras)
+    far = outlier_counts(df, {c: _fence(r) for c, r in found.items()})
+    rows = [
+        (
+            c, r.n, *((float(r.low), float(r.high)) if r.n else (None, None)),
+            *[r.quantile(p) for p in (0.25, 0.5, 0.75)], *[r.extra[e] for e in extras], far[c],
+        )
+        for c, r in found.items()
+    ]
+    base = df.sparkSession.createDataFrame(
+        rows,
+        "column string, count long, min double, max double, q1 double, median double, q3 double, _mean double, "
+        "_std double, _g1 double, _g2 double, outlier_count long",
+    )
     mean, std, g1, g2 = F.col("_mean"), F.col("_std"), F.col("_g1"), F.col("_g2")
     n = F.col("count")
     skew = F.coalesce(skew_corrected(g1, n), F.lit(0.0))
+    stats = base.select(
+        "column", "count", "min", "max",
+        *[round4(F.col(c)).alias(c) for c in ("q1", "median", "q3")],
+        "outlier_count",
+        round4(mean).alias("mean"),
+        round4(std).alias("std_dev"),
+        round4(std * std).alias("variance"),
+        distribution_label(skew).alias("distribution"),
+        round4(skew).alias("skewness"),
+        round4(F.coalesce(kurtosis_corrected(g2, n), F.lit(0.0))).alias("kurtosis"),
+        F.when(n >= 8, round4(normality_p(normality_k2(g1, g2, n)))).alias("normality_p_value"),
+        F.when((n > 1) & (mean != 0), round4(std / mean)).otherwise(0.0).alias("coefficient_of_variation"),
+    )
+    return stats.join(F.broadcast(modes(df, columns)), "column", "left")
 
-    def derived():
-        return {
-            "mean": round4(mean),
-            "std_dev": round4(std),
-            "variance": round4(std * std),
-            "distribution": distribution_label(skew),
-            "skewness": round4(skew),
-            "kurtosis": round4(F.coalesce(kurtosis_corrected(g2, n), F.lit(0.0))),
-            "normality_p_value": F.when(n >= 8, round4(normality_p(normality_k2(g1, g2, n)))),
-            "coefficient_of_variation": F.when((n > 1) & (mean != 0), round4(std / mean)).otherwise(0.0),
-        }
 
-    stats = per_column(df, columns, measures, derived).drop("_mean", "_std", "_g1", "_g2")
-    return stats.join(F.broadcast(modes(df, columns)), "column", "left")
+def _fence(r: Ranked, k: float = 1.5) -> tuple[float, float] | None:
+    q1, q3 = r.quantile(0.25), r.quantile(0.75)
+    return None if q1 is None or q1 == q3 else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+
+
+def outlier_counts(df: DataFrame, bounds: dict[str, tuple[float, float] | None]) -> dict[str, int]:
+    """Rows outside each column's bounds; a column without bounds has none."""
+    slots = {}
+    for c, pair in bounds.items():
+        if pair:
+            x = numeric(df, c)
+            slots[c] = F.when((x < F.lit(pair[0])) | (x > F.lit(pair[1])), 1).otherwise(0)
+    counts = joint_counts(df, slots) if slots else {}
+    return {c: counts.get(c, {}).get(1, 0) for c in bounds}
 
 
 def histogram(df: DataFrame, columns: Iterable[str], max_bins: int = 8, min_bins: int = 3) -> DataFrame:
@@ -243,23 +250,17 @@ def histogram(df: DataFrame, columns: Iterable[str], max_bins: int = 8, min_bins
         bins = min(max_bins, max(min_bins, exact.get(c, max_bins)))
         edges[c] = [low + j * ((high - low) / bins) for j in range(bins)] + [high]
 
-    def counted(c):
+    slots = {}
+    for c in edges:
         x = numeric(df, c)
-        cells = []
-        last = len(edges[c]) - 2
-        for j in range(last + 1):
-            low, high = F.lit(edges[c][j]), F.lit(edges[c][j + 1])
-            inside = (x >= low) & ((x <= high) if j == last else (x < high))
-            cells.append(
-                F.struct(F.lit(j).alias("bin"), low.alias("low"), high.alias("high"), F.count_if(inside).alias("n"))
-            )
-        return {"cells": F.array(*cells)}
-
-    return (
-        per_column(df, list(edges), counted)
-        .select("column", F.inline("cells"))
-        .select("column", "bin", round4(F.col("low")).alias("low"), round4(F.col("high")).alias("high"), "n")
-    )
+        slots[c] = F.when(x.isNotNull(), position(x, edges[c][1:-1]))
+    counts = joint_counts(df, slots) if slots else {}
+    rows = [
+        (c, j, round(edges[c][j], 4), round(edges[c][j + 1], 4), counts[c].get(j, 0))
+        for c in edges
+        for j in range(len(edges[c]) - 1)
+    ]
+    return df.sparkSession.createDataFrame(rows, "column string, bin int, low double, high double, n long")
 
 
 def entropy(df: DataFrame, columns: Iterable[str]) -> DataFrame:

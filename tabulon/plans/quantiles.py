@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType
 
+from tabulon.plans.slots import joint_counts, position
+
 BINS = 1024
 LISTED = 10_000
 SKETCH_K = 4096
@@ -29,8 +31,8 @@ LONG_SPAN = 2**62
 
 @dataclass
 class Ranked:
-    """Row count of a column (nulls and NaN left out), the values found at 0-based ranks, and how
-    many rows are smaller than or equal to each of them."""
+    """Row count of a column (nulls and NaN left out), the values found at 0-based ranks, how many
+    rows are smaller than or equal to each of them, and further aggregates of the first pass."""
 
     n: int
     at: dict[int, object]
@@ -38,6 +40,14 @@ class Ranked:
     equal: dict[int, int]
     low: object = None
     high: object = None
+    extra: dict[str, object] = field(default_factory=dict)
+
+    def quantile(self, prob: float) -> float | None:
+        if self.n == 0:
+            return None
+        low, high, place = _positions(prob, self.n)
+        a, b = float(self.at[low]), float(self.at[high])
+        return a if low == high else (high - place) * a + (place - low) * b
 
 
 @dataclass
@@ -69,21 +79,24 @@ def order_statistics(
     hints: Mapping[str, Iterable[float]],
     bins: int = BINS,
     listed: int = LISTED,
+    extras: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> dict[str, Ranked]:
     """Values at the given ranks of each expression.
 
-    ranks are asked for once the row count is known; hints say at which shares they lie.
+    ranks are asked for once the row count is known; hints say at which shares they lie. extras are
+    aggregates that the first pass takes along.
     """
     names = list(values)
     wide = df.select(*[values[name].alias(f"v{i}") for i, name in enumerate(names)])
     edges = {name: [(p - MARGIN, p + MARGIN) for p in sorted(set(hints[name]))] for name in names}
-    head = _head(wide, names, edges)
+    extras = dict(extras or {})
+    head = _head(wide, names, edges, extras)
     found: dict[str, Ranked] = {}
     todo: list[_Bracket] = []
     guesses: list[_Bracket] = []
     for i, name in enumerate(names):
         n, low, high = head[i]["n"], head[i]["lo"], head[i]["hi"]
-        found[name] = Ranked(n, {}, {}, {}, low, high)
+        found[name] = Ranked(n, {}, {}, {}, low, high, {e: head[i][e] for e in extras})
         for rank in sorted({r for r in ranks[name](n) if 0 <= r < n}) if n else []:
             share = rank / max(1, n - 1)
             near = [j for j, (a, b) in enumerate(edges[name]) if a <= share <= b]
@@ -98,6 +111,8 @@ def order_statistics(
     todo += _prove(wide, names, guesses, found)
     while todo:
         todo = _settle(todo, found)
+        if not todo:
+            break
         if all(b.count <= listed for b in todo):
             _list(wide, names, todo, found)
             break
@@ -113,7 +128,7 @@ def _add(brackets: list[_Bracket], new: _Bracket) -> None:
     brackets.append(new)
 
 
-def _head(wide, names, edges):
+def _head(wide, names, edges, extras):
     sketched = wide.agg(
         *[
             e
@@ -123,6 +138,7 @@ def _head(wide, names, edges):
                 F.min(f"v{i}").alias(f"lo{i}"),
                 F.max(f"v{i}").alias(f"hi{i}"),
                 F.kll_sketch_agg_double(F.col(f"v{i}").cast("double"), F.lit(SKETCH_K)).alias(f"s{i}"),
+                *[make(F.col(f"v{i}")).alias(f"{label}{i}") for label, make in extras.items()],
             )
         ]
     )
@@ -135,27 +151,46 @@ def _head(wide, names, edges):
         )
         cells.append(
             F.struct(
-                F.col(f"n{i}").alias("n"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"), at.alias("at")
+                F.col(f"n{i}").alias("n"),
+                F.col(f"lo{i}").alias("lo"),
+                F.col(f"hi{i}").alias("hi"),
+                at.alias("at"),
+                *[F.col(f"{label}{i}").alias(label) for label in extras],
             ).alias(f"v{i}")
         )
     return sketched.select(*cells).first()
 
 
 def _prove(wide, names, guesses, found):
-    """Count rows below and inside each guessed bracket; a rank outside gets the full range back."""
+    """Count rows around the bracket edges; ranks on an edge value are done, strays get the full range."""
     if not guesses:
         return []
-    counts = []
-    for i, b in enumerate(guesses):
-        value, inside = _inside(names, b)
-        counts += [F.count_if(value < F.lit(b.low)).alias(f"b{i}"), F.count_if(inside).alias(f"i{i}")]
-    row = wide.agg(*counts).first()
+    edges = {n: sorted({e for b in guesses if b.name == n for e in (b.low, b.high)}) for n in names}
+    slots = {}
+    for i, name in enumerate(names):
+        if edges[name]:
+            # Odd slots are the edge values themselves, even ones the open ranges between them.
+            value = F.col(f"v{i}")
+            above = reduce(lambda a, b: a + b, [(value > F.lit(e)).cast("int") for e in edges[name]])
+            slots[name] = F.when(value.isNotNull(), position(value, edges[name]) + above)
+    counts = joint_counts(wide, slots)
     proven: list[_Bracket] = []
-    for i, b in enumerate(guesses):
-        below, inside = row[f"b{i}"], row[f"i{i}"]
+    for b in guesses:
+        seen = 0
+        spans = []
+        for slot in range(2 * len(edges[b.name]) + 1):
+            n = counts[b.name].get(slot, 0)
+            spans.append((seen, n))
+            seen += n
+        first = 2 * edges[b.name].index(b.low) + 1
+        last = 2 * edges[b.name].index(b.high) + 1
+        start, end = spans[first][0], sum(spans[last])
         for rank in b.ranks:
-            if below <= rank < below + inside:
-                _add(proven, _Bracket(b.name, b.low, b.high, below, inside, [rank]))
+            edge = next((k for k in range(1, len(spans), 2) if spans[k][0] <= rank < sum(spans[k])), None)
+            if edge is not None:
+                _note(found, b.name, rank, edges[b.name][edge // 2], *spans[edge])
+            elif start <= rank < end:
+                _add(proven, _Bracket(b.name, b.low, b.high, start, end - start, [rank]))
             else:
                 r = found[b.name]
                 _add(proven, _Bracket(b.name, r.low, r.high, 0, r.n, [rank]))
@@ -268,18 +303,25 @@ def quantile_exprs(
     ranked = order_statistics(
         df, values, {name: ranks for name in values}, {name: probs for name in values}, **limits
     )
-    result: dict[str, list[float | None]] = {}
-    for name, r in ranked.items():
-        if r.n == 0:
-            result[name] = [None] * len(probs)
-            continue
-        out = []
-        for p in probs:
-            low, high, position = _positions(p, r.n)
-            a, b = float(r.at[low]), float(r.at[high])
-            out.append(a if low == high else (high - position) * a + (position - low) * b)
-        result[name] = out
-    return result
+    return {name: [r.quantile(p) for p in probs] for name, r in ranked.items()}
+
+
+def column_summaries(df: DataFrame, columns: Iterable[str], probs: Iterable[float], extras, **limits):
+    """{column: Ranked} with quantile ranks and further aggregates from the same first pass."""
+    probs = list(probs)
+
+    def ranks(n):
+        return [r for p in probs for r in _positions(p, n)[:2]]
+
+    columns = list(columns)
+    return order_statistics(
+        df,
+        {c: numeric(df, c) for c in columns},
+        {c: ranks for c in columns},
+        {c: probs for c in columns},
+        extras=extras,
+        **limits,
+    )
 
 
 def exact_quantiles(df: DataFrame, columns: Iterable[str], probs: Iterable[float], **limits):
