@@ -165,8 +165,9 @@ def modes(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 def fences(df: DataFrame, columns: Iterable[str], k: float = 1.5) -> dict[str, tuple[float, float, float, float]]:
     """{column: (q1, q3, lower, upper)} of the interquartile fences."""
+    columns = list(columns)
     out = {}
-    for c, (q1, q3) in exact_quantiles(df, columns, (0.25, 0.75)).items():
+    for c, (q1, q3) in (exact_quantiles(df, columns, (0.25, 0.75)) if columns else {}).items():
         if q1 is not None:
             out[c] = (q1, q3, q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     return out
@@ -177,7 +178,7 @@ def numeric_profile(df: DataFrame, columns: Iterable[str] | None = None) -> Data
     columns = list(columns or numeric_columns(df))
     extras = {"mean": F.avg, "std": F.stddev_pop, "g1": F.skewness, "g2": F.kurtosis}
     found = column_summaries(df, columns, (0.25, 0.5, 0.75), extras)
-    far = outlier_counts(df, {c: _fence(r) for c, r in found.items()})
+    far = outlier_counts(df, {c: fence(r) for c, r in found.items()})
     rows = [
         (
             c, r.n, *((float(r.low), float(r.high)) if r.n else (None, None)),
@@ -209,7 +210,8 @@ def numeric_profile(df: DataFrame, columns: Iterable[str] | None = None) -> Data
     return stats.join(F.broadcast(modes(df, columns)), "column", "left")
 
 
-def _fence(r: Ranked, k: float = 1.5) -> tuple[float, float] | None:
+def fence(r: Ranked, k: float = 1.5) -> tuple[float, float] | None:
+    """Interquartile fences of a summary; none for an empty column or one without spread."""
     q1, q3 = r.quantile(0.25), r.quantile(0.75)
     return None if q1 is None or q1 == q3 else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
 

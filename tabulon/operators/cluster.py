@@ -16,6 +16,7 @@ from tabulon.functions.stats import round4
 from tabulon.operators.clean import impute
 from tabulon.operators.models import Preparation, prepare
 from tabulon.plans.longform import numeric_columns, ref
+from tabulon.plans.spread import spread
 
 RESTARTS = 10
 MAX_CLUSTERS = 10
@@ -41,7 +42,8 @@ class Clusters:
 
 def _vectors(df: DataFrame, features: list[str]):
     prep = prepare(df, features)
-    return prep, df.select(prep.vector().alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    inputs = spread(df.select(*[ref(c) for c in features]))
+    return prep, inputs.select(prep.vector().alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _best(vectors: DataFrame, k: int, restarts: int, seed: int):

@@ -230,19 +230,22 @@ def correlation_significance(df: DataFrame, columns=None) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, min_size: int = 10) -> DataFrame:
-    """Rank correlation with average ranks; equal pairs are combined before ranks are joined."""
-    pairs = (
+    """Rank correlation with average ranks.
+
+    Equal pairs are combined first; that table is scanned once from the source, staged, and gives
+    both rank tables.
+    """
+    pairs = stage(
         df.select(numeric(df, x).alias("x"), numeric(df, y).alias("y"))
         .na.drop()
         .groupBy("x", "y")
         .agg(F.count(F.lit(1)).alias("w"))
     )
-    rows = df.select(numeric(df, x).alias("x"), numeric(df, y).alias("y")).na.drop()
     ranked = (
-        pairs.join(average_ranks(rows.select("x"), "x").withColumnRenamed("rank", "rx"), "x")
-        .join(average_ranks(rows.select("y"), "y").withColumnRenamed("rank", "ry"), "y")
+        pairs.join(average_ranks(pairs, "x", "w").withColumnRenamed("rank", "rx"), "x")
+        .join(average_ranks(pairs, "y", "w").withColumnRenamed("rank", "ry"), "y")
     )
-    n = rows.count()
+    n = pairs.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     middle = F.lit((n + 1) / 2)
     a, b, w = F.col("rx") - middle, F.col("ry") - middle, F.col("w")
     sums = ranked.agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))

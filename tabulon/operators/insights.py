@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.operators.aggregate import distinct_counts, fences, group_aggregate, value_counts
+from tabulon.operators.aggregate import distinct_counts, fences, group_aggregate, outlier_counts, value_counts
 from tabulon.operators.correlation import pair_correlations
 from tabulon.plans.longform import numeric_columns, per_column, ref, text_columns
 from tabulon.plans.quantiles import numeric
@@ -56,16 +56,10 @@ def _outlier_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
     bounds = {c: b for c, b in fences(df, columns).items() if b[0] != b[1]} if columns else {}
     if not bounds:
         return None
-    return per_column(
-        df,
-        list(bounds),
-        lambda c: {
-            "n": F.count(numeric(df, c)),
-            "outliers": F.count_if(
-                (numeric(df, c) < F.lit(bounds[c][2])) | (numeric(df, c) > F.lit(bounds[c][3]))
-            ),
-        },
-    )
+    n = df.agg(*[F.count(numeric(df, c)).alias(f"n{i}") for i, c in enumerate(bounds)]).first()
+    far = outlier_counts(df, {c: b[2:] for c, b in bounds.items()})
+    rows = [(c, n[i], far[c]) for i, c in enumerate(bounds)]
+    return df.sparkSession.createDataFrame(rows, "column string, n long, outliers long")
 
 
 def table_insights(df: DataFrame, numbers: int = 5, words: int = 3) -> DataFrame:

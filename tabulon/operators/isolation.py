@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabulon.errors import InsufficientDataError
 from tabulon.plans.longform import ref
 from tabulon.plans.quantiles import quantile_exprs
+from tabulon.plans.spread import spread
 from tabulon.plans.stage import stage
 
 EULER = 0.5772156649015329
@@ -107,7 +108,7 @@ def isolation_scores(df: DataFrame, features: list[str], key: list[str], trees:
         depth = sum(path_lengths(x, tree) for tree in forest.value) / len(forest.value)
         return pd.Series(2.0 ** (-depth / scale))
 
-    return complete.withColumn("score", score(*[ref(c).cast("double") for c in features]))
+    return spread(complete).withColumn("score", score(*[ref(c).cast("double") for c in features]))
 
 
 def isolation_forest(df: DataFrame, features: list[str], key: list[str], contamination: float = 0.1, **options) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabulon.errors import InsufficientDataError
 from tabulon.plans.longform import ref
-from tabulon.plans.quantiles import exact_quantiles
+from tabulon.plans.quantiles import column_summaries
 
 
 @dataclass
@@ -33,15 +33,22 @@ class Preparation:
 
 
 def prepare(train: DataFrame, features: list[str]) -> Preparation:
-    q = exact_quantiles(train, features, (0.5,))
-    medians = [q[c][0] if q[c][0] is not None else 0.0 for c in features]
-    filled = [F.coalesce(ref(c).cast("double"), F.lit(m)) for c, m in zip(features, medians)]
-    row = train.agg(
-        *[F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias(f"c{i}") for i, x in enumerate(filled)]
-    ).first()
-    if row[0]["m"] is None:
+    found = column_summaries(train, features, (0.5,), {"m": F.avg, "s": F.stddev_pop, "nulls": _nulls})
+    medians = [found[c].quantile(0.5) or 0.0 for c in features]
+    if all(found[c].n == 0 for c in features):
         raise InsufficientDataError("training rows", 1, 0)
-    return Preparation(features, medians, [r["m"] for r in row], [r["s"] or 1.0 for r in row])
+    moments = [(found[c].extra["m"], found[c].extra["s"]) for c in features]
+    if any(found[c].extra["nulls"] for c in features):
+        filled = [F.coalesce(ref(c).cast("double"), F.lit(m)) for c, m in zip(features, medians)]
+        row = train.agg(
+            *[F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias(f"c{i}") for i, x in enumerate(filled)]
+        ).first()
+        moments = [(r["m"], r["s"]) for r in row]
+    return Preparation(features, medians, [m for m, _ in moments], [s or 1.0 for _, s in moments])
+
+
+def _nulls(c: Column) -> Column:
+    return F.count_if(c.isNull())
 
 
 def hash_flag(key: list[str], train_pct: int = 80, seed: int = 42) -> Column:

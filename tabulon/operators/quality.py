@@ -15,85 +15,87 @@ from tabulon.errors import (
     NoVarianceError,
 )
 from tabulon.functions.stats import round4
+from tabulon.functions.text import parse_number
 from tabulon.operators.aggregate import (
     distinct_counts,
     duplicate_rows,
-    duplicate_values,
+    fence,
     fences,
     missing_counts,
+    outlier_counts,
 )
-from tabulon.operators.clean import numeric_mix, whitespace_counts
-from tabulon.operators.outliers import _moments
-from tabulon.plans.longform import numeric_columns, per_column, ref, text_columns
-from tabulon.plans.quantiles import numeric
-
-
-def _metric(df: DataFrame, category: str, scope: str, column, count, ratio) -> DataFrame:
-    return df.select(
-        F.lit(category).alias("category"),
-        F.lit(scope).alias("scope"),
-        column.cast("string").alias("column"),
-        count.cast("long").alias("issue_count"),
-        ratio.cast("double").alias("ratio"),
-    )
+from tabulon.plans.longform import numeric_columns, per_column, ref, text_columns, unpivot_text
+from tabulon.plans.quantiles import column_summaries, numeric
+from tabulon.plans.slots import joint_counts
+from tabulon.plans.stage import stage
 
 
 def quality_metrics(df: DataFrame) -> DataFrame:
-    """One row per measured concern of the table and of each column."""
-    rows = F.count(F.lit(1))
-    missing = per_column(df, df.columns, lambda c: {"missing": F.count_if(ref(c).isNull()), "rows": rows})
-    share = F.try_divide(F.col("missing"), F.col("rows"))
-    table = F.lit(None)
-    parts = [
-        _metric(
-            missing.agg(F.sum("missing").alias("missing"), F.sum("rows").alias("rows")),
-            "completeness", "table", table, F.col("missing"), share,
-        ),
-        _metric(missing, "completeness", "column", F.col("column"), F.col("missing"), share),
-        _metric(
-            missing.agg(F.count_if((F.col("rows") > 0) & (F.col("missing") == F.col("rows"))).alias("n")),
-            "consistency", "table", table, F.col("n"), F.lit(None),
-        ),
-        _metric(
-            duplicate_rows(df), "duplicates", "table", table, F.col("duplicate_rows"),
-            F.try_divide(F.col("duplicate_rows"), F.col("total_rows")),
-        ),
-    ]
-    words = text_columns(df)
+    """One row per measured concern of the table and of each column.
+
+    Passes over the table: one wide count, one value count of the text columns (staged, it answers
+    duplicates and mixed types), one digest count, and the quantile passes of the numeric columns.
+    """
+    words, numbers = text_columns(df), numeric_columns(df)
+    head = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(ref(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)],
+        *[F.count_if(F.trim(ref(c)) != ref(c)).alias(f"w{i}") for i, c in enumerate(words)],
+    ).first()
+    rows = head["rows"]
+    missing = {c: head[f"m{i}"] for i, c in enumerate(df.columns)}
+
+    def share(count, base):
+        return count / base if base else None
+
+    out = [("completeness", "table", None, sum(missing.values()), share(sum(missing.values()), rows * len(missing)))]
+    out += [("completeness", "column", c, n, share(n, rows)) for c, n in missing.items()]
+    out.append(("consistency", "table", None, sum(rows > 0 and n == rows for n in missing.values()), None))
+    out += [("consistency", "column", c, head[f"w{i}"], None) for i, c in enumerate(words)]
+    copies = duplicate_rows(df).first()["duplicate_rows"]
+    out.append(("duplicates", "table", None, copies, share(copies, rows)))
     if words:
-        parts += [
-            _metric(duplicate_values(df, words), "duplicates", "column", F.col("column"), F.col("duplicate_count"), F.lit(None)),
-            _metric(numeric_mix(df, words), "data_types", "column", F.col("column"), F.lit(None), F.col("numeric_ratio")),
-            _metric(whitespace_counts(df, words), "consistency", "column", F.col("column"), F.col("issue_count"), F.lit(None)),
-        ]
-    numbers = numeric_columns(df)
-    bounds = {c: b for c, b in fences(df, numbers).items() if b[0] != b[1]} if numbers else {}
-    if bounds:
-        moments = _moments(df, list(bounds), population=True)
-
-        def measures(c):
-            x = numeric(df, c)
-            mean, std = moments[c]
-            return {
-                "n": F.count(x),
-                "iqr": F.count_if((x < F.lit(bounds[c][2])) | (x > F.lit(bounds[c][3]))),
-                "z": F.count_if(F.abs((x - F.lit(mean)) / F.lit(std)) > 3),
-            }
-
-        far = per_column(df, list(bounds), measures)
-        n = F.col("n")
-        parts += [
-            _metric(far.filter(n >= 10), "outliers_iqr", "column", F.col("column"), F.col("iqr"), F.col("iqr") / n),
-            _metric(far.filter(n >= 30), "outliers_zscore", "column", F.col("column"), F.col("z"), F.col("z") / n),
-        ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        values = stage(unpivot_text(df, words).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+        number = F.avg(F.when(F.col("value").isNotNull(), parse_number(F.col("value")).isNotNull().cast("double")))
+        per = values.groupBy("column").agg(F.sum(F.col("n") - 1).alias("extra"), F.round(number, 4).alias("mix"))
+        for row in per.collect():
+            out.append(("duplicates", "column", row["column"], row["extra"], None))
+            out.append(("data_types", "column", row["column"], None, row["mix"]))
+    for c, (n, iqr, z) in _far_counts(df, numbers).items():
+        if n >= 10:
+            out.append(("outliers_iqr", "column", c, iqr, share(iqr, n)))
+        if n >= 30:
+            out.append(("outliers_zscore", "column", c, z, share(z, n)))
+    return df.sparkSession.createDataFrame(
+        out, "category string, scope string, column string, issue_count long, ratio double"
+    )
+
+
+def _far_counts(df: DataFrame, numbers: list[str]) -> dict[str, tuple[int, int, int]]:
+    """{column: (values, outside the fences, beyond three deviations)} of columns with a spread."""
+    if not numbers:
+        return {}
+    found = column_summaries(df, numbers, (0.25, 0.75), {"mean": F.avg, "std": F.stddev_pop})
+    slots = {}
+    for c, r in found.items():
+        pair = fence(r)
+        if pair is None:
+            continue
+        x = numeric(df, c)
+        z = F.abs((x - F.lit(r.extra["mean"])) / F.lit(r.extra["std"])) > 3
+        slots[c] = ((x < F.lit(pair[0])) | (x > F.lit(pair[1]))).cast("int") + F.lit(2) * z.cast("int")
+    counts = joint_counts(df, slots) if slots else {}
+    return {
+        c: (found[c].n, sum(k.get(s, 0) for s in (1, 3)), sum(k.get(s, 0) for s in (2, 3))) for c, k in counts.items()
+    }
 
 
 def quality_issues(df: DataFrame) -> DataFrame:
     """Metrics that cross a threshold, with their severity."""
+    return issues_of(quality_metrics(df))
+
+
+def issues_of(metrics: DataFrame) -> DataFrame:
     ratio, count = F.col("ratio"), F.col("issue_count")
     category, on_table = F.col("category"), F.col("scope") == "table"
     severity = (
@@ -113,8 +115,7 @@ def quality_issues(df: DataFrame) -> DataFrame:
         .when(category == "consistency", F.when(count > 0, "info"))
     )
     return (
-        quality_metrics(df)
-        .withColumn("severity", severity)
+        metrics.withColumn("severity", severity)
         .filter(F.col("severity").isNotNull())
         .select("severity", "category", "scope", "column", "issue_count", round4(ratio).alias("ratio"))
     )
@@ -122,18 +123,20 @@ def quality_issues(df: DataFrame) -> DataFrame:
 
 def quality_score(df: DataFrame) -> DataFrame:
     """0..100 from issue severities, the missing share and the duplicate share."""
-    issues = quality_issues(df).agg(
+    metrics = quality_metrics(df)
+    on_table = F.col("scope") == "table"
+    shares = metrics.agg(
+        F.coalesce(F.max(F.when(on_table & (F.col("category") == "completeness"), F.col("ratio"))), F.lit(0.0)).alias("nulls"),
+        F.coalesce(F.max(F.when(on_table & (F.col("category") == "duplicates"), F.col("ratio"))), F.lit(0.0)).alias("copies"),
+    ).first()
+    issues = issues_of(metrics).agg(
         F.count_if(F.col("severity") == "critical").alias("critical"),
         F.count_if(F.col("severity") == "error").alias("errors"),
         F.count_if(F.col("severity") == "warning").alias("warnings"),
     )
-    nulls = per_column(df, df.columns, lambda c: {"share": F.avg(ref(c).isNull().cast("double"))})
-    null_share = nulls.agg(F.coalesce(F.avg("share"), F.lit(0.0))).scalar()
-    copies = duplicate_rows(df).select(
-        F.coalesce(F.try_divide(F.col("duplicate_rows"), F.col("total_rows")), F.lit(0.0))
-    ).scalar()
     raw = (
-        100 - 20 * F.col("critical") - 10 * F.col("errors") - 3 * F.col("warnings") - 30 * null_share - 20 * copies
+        100 - 20 * F.col("critical") - 10 * F.col("errors") - 3 * F.col("warnings")
+        - 30 * F.lit(shares["nulls"]) - 20 * F.lit(shares["copies"])
     )
     return issues.select(
         "critical", "errors", "warnings",
@@ -146,13 +149,7 @@ def quality_report(df: DataFrame) -> DataFrame:
     missing = missing_counts(df)
     numbers = numeric_columns(df)
     bounds = {c: b for c, b in fences(df, numbers).items() if b[0] != b[1]} if numbers else {}
-    with_outliers = F.lit(0)
-    if bounds:
-        far = per_column(
-            df, list(bounds),
-            lambda c: {"n": F.count_if((numeric(df, c) < F.lit(bounds[c][2])) | (numeric(df, c) > F.lit(bounds[c][3])))},
-        )
-        with_outliers = far.agg(F.count_if(F.col("n") > 0)).scalar()
+    far = outlier_counts(df, {c: b[2:] for c, b in bounds.items()})
     means = missing.agg(
         F.round(F.avg("missing_pct"), 2).alias("average_missing_pct"),
         F.array_sort(F.collect_list(F.when(F.col("missing_pct") >= 20, F.col("column")))).alias("sparse"),
@@ -163,7 +160,7 @@ def quality_report(df: DataFrame) -> DataFrame:
         copies["duplicate_pct"].alias("duplicate_pct"),
         "average_missing_pct",
         F.array_join("sparse", ",").alias("high_missing_columns"),
-        with_outliers.cast("long").alias("columns_with_outliers"),
+        F.lit(sum(n > 0 for n in far.values())).cast("long").alias("columns_with_outliers"),
         F.round(100 - F.col("average_missing_pct"), 2).alias("completeness_score"),
     )
 

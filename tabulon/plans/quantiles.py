@@ -138,7 +138,7 @@ def _head(wide, names, edges, extras):
                 F.min(f"v{i}").alias(f"lo{i}"),
                 F.max(f"v{i}").alias(f"hi{i}"),
                 F.kll_sketch_agg_double(F.col(f"v{i}").cast("double"), F.lit(SKETCH_K)).alias(f"s{i}"),
-                *[make(F.col(f"v{i}")).alias(f"{label}{i}") for label, make in extras.items()],
+                *[make(F.col(f"v{i}")).alias(f"x_{label}_{i}") for label, make in extras.items()],
             )
         ]
     )
@@ -155,7 +155,7 @@ def _head(wide, names, edges, extras):
                 F.col(f"lo{i}").alias("lo"),
                 F.col(f"hi{i}").alias("hi"),
                 at.alias("at"),
-                *[F.col(f"{label}{i}").alias(label) for label in extras],
+                *[F.col(f"x_{label}_{i}").alias(label) for label in extras],
             ).alias(f"v{i}")
         )
     return sketched.select(*cells).first()
