@@ -89,25 +89,26 @@ def order_statistics(
     names = list(values)
     wide = df.select(*[values[name].alias(f"v{i}") for i, name in enumerate(names)])
     edges = {name: [(p - MARGIN, p + MARGIN) for p in sorted(set(hints[name]))] for name in names}
-    extras = dict(extras or {})
-    head = _head(wide, names, edges, extras)
-    found: dict[str, Ranked] = {}
+    found = _head(wide, names, dict(extras or {}))
+    wanted = {name: sorted({r for r in ranks[name](found[name].n) if 0 <= r < found[name].n}) for name in names}
+    sketched = _sketch(wide, names, edges, [n for n in names if wanted[n] and found[n].n > listed])
     todo: list[_Bracket] = []
     guesses: list[_Bracket] = []
-    for i, name in enumerate(names):
-        n, low, high = head[i]["n"], head[i]["lo"], head[i]["hi"]
-        found[name] = Ranked(n, {}, {}, {}, low, high, {e: head[i][e] for e in extras})
-        for rank in sorted({r for r in ranks[name](n) if 0 <= r < n}) if n else []:
-            share = rank / max(1, n - 1)
+    for name in names:
+        r = found[name]
+        for rank in wanted[name]:
+            share = rank / max(1, r.n - 1)
             near = [j for j, (a, b) in enumerate(edges[name]) if a <= share <= b]
-            if n <= listed or not near:
-                _add(todo, _Bracket(name, low, high, 0, n, [rank]))
+            if name not in sketched or not near:
+                _add(todo, _Bracket(name, r.low, r.high, 0, r.n, [rank]))
                 continue
             a, b = edges[name][near[0]]
-            guess = head[i]["at"][2 * near[0]], head[i]["at"][2 * near[0] + 1]
-            lo = low if a <= 0 else max(low, type(low)(math.floor(guess[0]) if isinstance(low, int) else guess[0]))
-            hi = high if b >= 1 else min(high, type(high)(math.ceil(guess[1]) if isinstance(high, int) else guess[1]))
-            _add(guesses, _Bracket(name, lo, hi, 0, n, [rank]))
+            lo, hi = sketched[name][2 * near[0] : 2 * near[0] + 2]
+            if isinstance(r.low, int):
+                lo, hi = math.floor(lo), math.ceil(hi)
+            lo = r.low if a <= 0 else max(r.low, lo)
+            hi = r.high if b >= 1 else min(r.high, hi)
+            _add(guesses, _Bracket(name, lo, hi, 0, r.n, [rank]))
     todo += _prove(wide, names, guesses, found)
     while todo:
         todo = _settle(todo, found)
@@ -128,37 +129,41 @@ def _add(brackets: list[_Bracket], new: _Bracket) -> None:
     brackets.append(new)
 
 
-def _head(wide, names, edges, extras):
-    sketched = wide.agg(
+def _head(wide, names, extras) -> dict[str, Ranked]:
+    """Counts, extremes and further aggregates in one code-generated pass."""
+    row = wide.agg(
         *[
-            e
+            F.struct(
+                F.count(f"v{i}").alias("n"),
+                F.min(f"v{i}").alias("lo"),
+                F.max(f"v{i}").alias("hi"),
+                *[make(F.col(f"v{i}")).alias(f"x_{label}") for label, make in extras.items()],
+            ).alias(f"v{i}")
             for i in range(len(names))
-            for e in (
-                F.count(f"v{i}").alias(f"n{i}"),
-                F.min(f"v{i}").alias(f"lo{i}"),
-                F.max(f"v{i}").alias(f"hi{i}"),
-                F.kll_sketch_agg_double(F.col(f"v{i}").cast("double"), F.lit(SKETCH_K)).alias(f"s{i}"),
-                *[make(F.col(f"v{i}")).alias(f"x_{label}_{i}") for label, make in extras.items()],
-            )
         ]
+    ).first()
+    return {
+        name: Ranked(c["n"], {}, {}, {}, c["lo"], c["hi"], {label: c[f"x_{label}"] for label in extras})
+        for name, c in zip(names, row)
+    }
+
+
+def _sketch(wide, names, edges, large) -> dict[str, list[float]]:
+    """Guessed values at the bracket shares of the large columns.
+
+    Sketches are object aggregates, which run uncompiled, so they have a pass of their own.
+    """
+    if not large:
+        return {}
+    index = {name: names.index(name) for name in large}
+    sketched = wide.agg(
+        *[F.kll_sketch_agg_double(F.col(f"v{i}").cast("double"), F.lit(SKETCH_K)).alias(f"s{i}") for i in index.values()]
     )
     cells = []
-    for i, name in enumerate(names):
-        shares = [min(1.0, max(0.0, p)) for pair in edges[name] for p in pair]
-        at = F.when(
-            F.col(f"n{i}") > 0,
-            F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(p) for p in shares])),
-        )
-        cells.append(
-            F.struct(
-                F.col(f"n{i}").alias("n"),
-                F.col(f"lo{i}").alias("lo"),
-                F.col(f"hi{i}").alias("hi"),
-                at.alias("at"),
-                *[F.col(f"x_{label}_{i}").alias(label) for label in extras],
-            ).alias(f"v{i}")
-        )
-    return sketched.select(*cells).first()
+    for name, i in index.items():
+        shares = F.array(*[F.lit(min(1.0, max(0.0, p))) for pair in edges[name] for p in pair])
+        cells.append(F.kll_sketch_get_quantile_double(f"s{i}", shares).alias(f"q{i}"))
+    return {name: list(q) for name, q in zip(large, sketched.select(*cells).first())}
 
 
 def _prove(wide, names, guesses, found):
