@@ -69,17 +69,25 @@ def read_json(spark: SparkSession, path: str, flat: bool = True, lines: bool = F
     if rows.columns == [BAD]:
         text = spark.read.text(path, wholetext=True)
         rows = text.select(F.explode(F.from_json("value", "array<string>")).alias("value"))
-    rows = unwrap(rows)
+    elif not lines and _opens_with_object(spark, path):
+        rows = unwrap(rows)
     return flatten(rows) if flat else rows
 
 
+def _opens_with_object(spark: SparkSession, path: str) -> bool:
+    """Whether the document is one object, which may wrap a list, and not a list itself."""
+    head = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    first = head.select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    return first is not None and first["c"] == "{"
+
+
 def unwrap(rows: DataFrame) -> DataFrame:
     """Explode the list under the first wrapper key that holds one."""
     for key in WRAPPERS:
         if key in rows.columns and isinstance(rows.schema[key].dataType, ArrayType):
             inner = rows.schema[key].dataType.elementType
             items = rows.select(F.explode(F.col(f"`{key}`")).alias("value"))
-            return unwrap(items.select("value.*")) if isinstance(inner, StructType) else items
+            return items.select("value.*") if isinstance(inner, StructType) else items
     return rows
 
 
