@@ -15,7 +15,7 @@ from tabulon.functions.stats import (
     round4,
     skew_corrected,
 )
-from tabulon.plans.longform import numeric_columns, per_column, ref, unpivot_text
+from tabulon.plans.longform import identity, numeric_columns, per_column, ref, unpivot_text
 from tabulon.plans.quantiles import Ranked, column_summaries, exact_quantiles, numeric
 from tabulon.plans.slots import joint_counts, position
 
@@ -56,7 +56,7 @@ def distinct_counts(df: DataFrame, columns: Iterable[str], approximate: bool = F
         return per_column(df, columns, lambda c: {"distinct": F.approx_count_distinct(ref(c))})
     return (
         unpivot_text(df, columns)
-        .groupBy("column", "value")
+        .groupBy("column", identity(F.col("value")).alias("value"))
         .agg(F.lit(1).alias("one"))
         .groupBy("column")
         .agg(F.count("value").alias("distinct"))
@@ -382,7 +382,7 @@ def duplicate_values(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Values beyond the first of each equal set per column; nulls count as equal."""
     return (
         unpivot_text(df, columns)
-        .groupBy("column", "value")
+        .groupBy("column", identity(F.col("value")).alias("value"))
         .agg((F.count(F.lit(1)) - 1).alias("extra"))
         .groupBy("column")
         .agg(F.sum("extra").alias("duplicate_count"))

@@ -67,12 +67,13 @@ def pivot_cells(cells: DataFrame, value: str, periods: int) -> DataFrame:
 def dimension_cells(df: DataFrame, cohort: str, period, metric: str) -> DataFrame:
     """Sum of the metric (its row count if not numeric) and rows by cohort value and period."""
     amount = F.sum(ref(metric)) if metric in numeric_columns(df) else F.count(F.lit(1)).cast("double")
-    grouped = df.groupBy(ref(cohort).cast("string").alias("cohort_name"), period.alias("period")).agg(
+    kept = df.filter(ref(cohort).isNotNull())
+    grouped = kept.groupBy(ref(cohort).cast("string").alias("cohort_name"), period.alias("period")).agg(
         amount.alias("value"), F.count(F.lit(1)).alias("count")
     )
-    size = F.sum("count").over(Window.partitionBy("cohort_name"))
-    return grouped.select(
-        "cohort_name", size.alias("cohort_size"), "period", F.round("value", 2).alias("value"), "count"
+    sizes = grouped.groupBy("cohort_name").agg(F.sum("count").alias("cohort_size"))
+    return grouped.join(sizes, "cohort_name").select(
+        "cohort_name", "cohort_size", "period", F.round("value", 2).alias("value"), "count"
     )
 
 

@@ -17,6 +17,7 @@ from tabulon.operators.correlation import pair_correlations
 from tabulon.plans.longform import numeric_columns, per_column, ref
 from tabulon.plans.quantiles import numeric
 from tabulon.plans.ranks import average_ranks
+from tabulon.plans.sample import smallest_hashes
 from tabulon.plans.stage import stage
 
 ALPHA = 0.05
@@ -302,12 +303,9 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
 
 def shapiro_test(df: DataFrame, column: str, key: list[str], limit: int = SAMPLE_LIMIT) -> DataFrame:
     """Shapiro-Wilk on a repeatable sample of at most 5000 values, which is the test's own limit."""
-    sample = (
-        df.select(numeric(df, column).cast("double").alias("x"), F.xxhash64(*[ref(k) for k in key], F.lit(42)).alias("h"))
-        .filter(F.col("x").isNotNull())
-        .orderBy("h", "x")
-        .limit(limit)
-        .select(F.lit(column).alias("column"), "x")
+    kept = df.filter(numeric(df, column).isNotNull())
+    sample = smallest_hashes(kept, key, limit).select(
+        F.lit(column).alias("column"), numeric(df, column).cast("double").alias("x")
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

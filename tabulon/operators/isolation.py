@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabulon.errors import InsufficientDataError
 from tabulon.plans.longform import ref
 from tabulon.plans.quantiles import quantile_exprs
+from tabulon.plans.sample import smallest_hashes
 from tabulon.plans.spread import spread
 from tabulon.plans.stage import stage
 
@@ -70,13 +71,7 @@ def isolation_scores(df: DataFrame, features: list[str], key: list[str], trees:
     spark = df.sparkSession
     values = F.array(*[ref(c).cast("double") for c in features])
     complete = df.na.drop(subset=features)
-    pool = (
-        complete.select(values.alias("x"), F.xxhash64(*[ref(k) for k in key], F.lit(seed)).alias("h"))
-        .orderBy("h", "x")
-        .limit(trees * sample)
-        .select("x")
-        .toPandas()
-    )
+    pool = smallest_hashes(complete, key, trees * sample, seed).select(values.alias("x")).toPandas()
     if len(pool) < 10:
         raise InsufficientDataError("rows for isolation forest", 10, len(pool))
     matrix = spark.sparkContext.broadcast(np.vstack(pool["x"].to_numpy()))

@@ -24,7 +24,7 @@ from tabulon.operators.aggregate import (
     missing_counts,
     outlier_counts,
 )
-from tabulon.plans.longform import numeric_columns, per_column, ref, text_columns, unpivot_text
+from tabulon.plans.longform import identity, numeric_columns, per_column, ref, text_columns, unpivot_text
 from tabulon.plans.quantiles import column_summaries, numeric
 from tabulon.plans.slots import joint_counts
 from tabulon.plans.stage import stage
@@ -55,8 +55,12 @@ def quality_metrics(df: DataFrame) -> DataFrame:
     copies = duplicate_rows(df).first()["duplicate_rows"]
     out.append(("duplicates", "table", None, copies, share(copies, rows)))
     if words:
-        values = stage(unpivot_text(df, words).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-        number = F.avg(F.when(F.col("value").isNotNull(), parse_number(F.col("value")).isNotNull().cast("double")))
+        value = F.col("value")
+        reads = F.when(value.isNotNull(), parse_number(value).isNotNull().cast("double")).alias("number")
+        values = stage(
+            unpivot_text(df, words).groupBy("column", identity(value).alias("value"), reads).agg(F.count(F.lit(1)).alias("n"))
+        )
+        number = F.avg("number")
         per = values.groupBy("column").agg(F.sum(F.col("n") - 1).alias("extra"), F.round(number, 4).alias("mix"))
         for row in per.collect():
             out.append(("duplicates", "column", row["column"], row["extra"], None))

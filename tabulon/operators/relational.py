@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.plans.longform import ref, unpivot_text
+from tabulon.plans.sample import smallest_hashes
+from tabulon.plans.stage import stage
 
 
 def equi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
@@ -86,9 +88,39 @@ def filter_options(df: DataFrame, columns: Iterable[str], most: int = 20) -> Dat
 
 
 def forward_fill(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Carry the last non-null value forward within a source (a sheet or an order)."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(*[F.last(ref(c), ignorenulls=True).over(w).alias(c) if c in columns else ref(c) for c in df.columns])
+    """Carry the last non-null value forward within a source (a sheet or an order).
+
+    Rows are range-partitioned by group and order and staged, so a large source spreads over many
+    tasks. Each range fills itself; what enters it comes from a table with one row per range and
+    group.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group, *order]
+    ranged = stage(df.repartitionByRange(parts, *[ref(k) for k in keys]).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    row = F.struct(*[ref(k) for k in order])
+    ends = ranged.groupBy("_part", *group).agg(
+        *[F.max_by(ref(c), F.when(ref(c).isNotNull(), row)).alias(f"_end_{c}") for c in columns]
+    )
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        F.col("_part"),
+        *[ref(g) for g in group],
+        *[F.last(F.col(f"_end_{c}"), ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in columns],
+    )
+    met = F.col("r._part") == F.col("c._part")
+    for g in group:
+        met = met & F.col(f"r.`{g}`").eqNullSafe(F.col(f"c.`{g}`"))
+    filled = ranged.select(
+        "*", *[F.last(ref(c), ignorenulls=True).over(inside).alias(f"_own_{c}") for c in columns]
+    )
+    return filled.alias("r").join(carried.alias("c"), met).select(
+        *[
+            F.coalesce(f"r._own_{c}", f"c._in_{c}").alias(c) if c in columns else F.col(f"r.`{c}`")
+            for c in df.columns
+        ]
+    )
 
 
 def share_of_total(df: DataFrame, key: str) -> DataFrame:
@@ -101,7 +133,7 @@ def share_of_total(df: DataFrame, key: str) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """n rows with the smallest key hash: repeatable under any partitioning."""
-    return df.orderBy(F.xxhash64(*[ref(k) for k in key], F.lit(seed)), *key).limit(n)
+    return smallest_hashes(df, list(key), n, seed)
 
 
 def hash_split(df: DataFrame, key: Sequence[str], train_pct: int = 80, seed: int = 42):

@@ -334,7 +334,7 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], probs: Iterable[float
     return quantile_exprs(df, {c: numeric(df, c) for c in columns}, probs, **limits)
 
 
-def string_at_rank(df: DataFrame, column: str, rank: int, step: int = 2) -> str:
+def string_at_rank(df: DataFrame, column: str, rank: int, step: int = 1) -> str:
     """The string at a 0-based rank, found by extending a prefix a few characters per pass."""
     prefix, below = "", 0
     text = F.col(f"`{column}`")

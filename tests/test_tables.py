@@ -185,3 +185,24 @@ def test_samples_repeat_under_repartitioning(spark):
     assert a == b and len(a) == 100
     train, test = relational.hash_split(df, ["id"])
     assert train.count() + test.count() == 5000 and 3800 < train.count() < 4200
+
+
+def test_sample_cut_keeps_the_smallest_hashes(spark):
+    df = spark.range(20000)
+    cut = {r[0] for r in relational.hash_sample(df, ["id"], 50).collect()}
+    hashed = df.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(50)
+    assert cut == {r[0] for r in hashed.collect()}
+
+
+def test_forward_fill_across_ranges(spark):
+    rows = [("big", i, f"v{i}" if i % 97 == 0 else None) for i in range(1000)] + [("late", 0, None), ("late", 1, "x"), ("late", 2, None)]
+    df = spark.createDataFrame(rows, "src string, row int, cell string").repartition(5)
+    got = {(r["src"], r["row"]): r["cell"] for r in relational.forward_fill(df, ["src"], ["row"], ["cell"]).collect()}
+    assert all(got[("big", i)] == f"v{i - i % 97}" for i in range(1000))
+    assert [got[("late", i)] for i in range(3)] == [None, "x", "x"]
+
+
+def test_long_texts_count_by_identity(spark):
+    df = spark.createDataFrame([("a" * 500,), ("a" * 500,), ("a" * 499 + "b",), ("s",), (None,), (None,)], "t string")
+    assert A.distinct_counts(df, ["t"]).first()["distinct"] == 3
+    assert A.duplicate_values(df, ["t"]).first()["duplicate_count"] == 2
