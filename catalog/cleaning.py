@@ -9,6 +9,7 @@ from catalog.statistics import each
 from tabulon.functions import text as T
 from tabulon.operators import clean as C
 from tabulon.operators import outliers as O
+from tabulon.operators import profile as P
 from tabulon.operators import quality as Q
 from tabulon.operators import relational as R
 
@@ -480,3 +481,56 @@ def _(t):
     return train.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("train")).unionByName(
         test.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("test"))
     )
+
+
+# -- types and profiles ------------------------------------------------------------------------
+
+TYPES = """SELECT * FROM (VALUES {rows}) v("column", inferred_type, subtype)"""
+
+
+@query("infer_types_upload", TYPES.format(rows="""
+('c_custkey', 'numerical', 'integer'), ('name', 'categorical', 'category'), ('balance', 'categorical', 'category'),
+('active', 'categorical', 'category'), ('mixed', 'categorical', 'category'), ('amount', 'numerical', 'currency'), ('joined', 'temporal', 'date')"""))
+def _(t):
+    return P.infer_types(given(t))
+
+
+@query("infer_types_profiler", TYPES.format(rows="""
+('c_custkey', 'numerical', 'integer'), ('name', 'categorical', 'category'), ('balance', 'categorical', 'category'),
+('active', 'categorical', 'category'), ('mixed', 'categorical', 'category'), ('amount', 'numerical', 'float'), ('joined', 'categorical', 'category')"""))
+def _(t):
+    return P.infer_types(given(t), "profiler")
+
+
+ORDER_TEXT = """SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS price, CASE WHEN o_orderstatus = 'F' THEN 'Yes' ELSE 'no' END AS paid,
+  CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS priority, strftime(o_orderdate, '%Y-%m-%d') AS placed FROM orders"""
+
+
+def order_text(t):
+    return t.orders.selectExpr(
+        "o_orderkey", "CAST(o_totalprice AS STRING) AS price", "CASE WHEN o_orderstatus = 'F' THEN 'Yes' ELSE 'no' END AS paid",
+        "CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS priority", "date_format(o_orderdate, 'yyyy-MM-dd') AS placed",
+    )
+
+
+@query("profile_columns", f"""
+WITH x AS ({ORDER_TEXT}), n AS (SELECT count(*) AS n FROM x),
+u AS ({each(["o_orderkey", "price", "paid", "priority", "placed"], """SELECT '{c}' AS "column", count(*) - count({c}) AS null_count,
+  round(100.0 * (count(*) - count({c})) / count(*), 2) AS missing_pct, count(DISTINCT {c}) AS unique_count,
+  CASE WHEN count(DISTINCT {c}) <= 10 OR count(DISTINCT {c}) / count(*) <= .1 THEN 'low'
+       WHEN count(DISTINCT {c}) <= 50 OR count(DISTINCT {c}) / count(*) <= .5 THEN 'medium' ELSE 'high' END AS cardinality FROM x""")}),
+k AS (SELECT * FROM (VALUES ('o_orderkey', 'numerical', 'integer'), ('price', 'numerical', 'currency'), ('paid', 'boolean', 'binary'),
+  ('priority', 'categorical', 'category'), ('placed', 'temporal', 'date')) v("column", inferred_type, subtype)),
+m AS (SELECT 'o_orderkey' AS "column", round(avg(o_orderkey), 4) AS mean, round(median(o_orderkey), 4) AS median, round(stddev_pop(o_orderkey), 4) AS std_dev FROM x UNION ALL
+  SELECT 'price', round(avg(price::DOUBLE), 4), round(median(price::DOUBLE), 4), round(stddev_pop(price::DOUBLE), 4) FROM x)
+SELECT k.*, null_count, missing_pct, unique_count, cardinality, mean, median, std_dev,
+  CASE WHEN "column" = 'priority' THEN (SELECT round(avg(length(priority)), 2) FROM x) END AS average_length,
+  CASE WHEN "column" = 'priority' THEN (SELECT round(-sum(p * log2(p + 1e-10)), 4) FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM x WHERE priority IS NOT NULL GROUP BY priority)) END AS entropy,
+  CASE WHEN "column" = 'paid' THEN (SELECT count(*) FROM x WHERE paid = 'Yes') END AS true_count,
+  CASE WHEN "column" = 'placed' THEN (SELECT date_diff('day', min(o_orderdate), max(o_orderdate)) FROM orders) END AS range_days
+FROM k JOIN u USING ("column") LEFT JOIN m USING ("column")""")
+def _(t):
+    return P.profile_columns(order_text(t)).select(
+        "column", "inferred_type", "subtype", "null_count", "missing_pct", "unique_count", "cardinality", "mean", "median",
+        "std_dev", "average_length", "entropy", "true_count", "range_days",
+    )

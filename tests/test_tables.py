@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabulon import errors
 from tabulon.operators import aggregate as A
 from tabulon.operators import clean as C
-from tabulon.operators import cohort, correlation, insights, kpi, outliers, quality, relational, rfm, spec
+from tabulon.operators import cohort, correlation, insights, kpi, outliers, profile, quality, relational, rfm, spec
 
 SALES = [
     (dt.date(2025, 1, 1), "C001", "North", 1200, 3),
@@ -206,3 +206,22 @@ def test_long_texts_count_by_identity(spark):
     df = spark.createDataFrame([("a" * 500,), ("a" * 500,), ("a" * 499 + "b",), ("s",), (None,), (None,)], "t string")
     assert A.distinct_counts(df, ["t"]).first()["distinct"] == 3
     assert A.duplicate_values(df, ["t"]).first()["duplicate_count"] == 2
+
+
+def test_type_rules_differ_on_zero_one(spark):
+    df = spark.createDataFrame([(i % 2, f"{i}.5", f"2024-01-{i + 1:02d}", None, "x") for i in range(10)], "flag int, rate string, day string, empty string, city string")
+    upload = {r["column"]: (r["inferred_type"], r["subtype"]) for r in profile.infer_types(df).collect()}
+    assert upload == {
+        "flag": ("boolean", "binary"), "rate": ("numerical", "percentage"), "day": ("temporal", "date"),
+        "empty": ("categorical", "unknown"), "city": ("geolocation", "region"),
+    }
+    other = {r["column"]: r["inferred_type"] for r in profile.infer_types(df, "profiler").collect()}
+    assert other["flag"] == "numerical" and other["day"] == "categorical"
+    assert dict(profile.typed(df).dtypes)["day"] == "timestamp"
+    assert profile.profile_columns(df).count() == 5
+
+
+def test_profile_of_sales(sales):
+    rows = {r["column"]: r for r in profile.profile_columns(sales).collect()}
+    assert rows["revenue"]["mean"] == 1733.3333 and rows["revenue"]["subtype"] == "currency"
+    assert rows["order_date"]["range_days"] == 59 and rows["customer_id"]["unique_count"] == 2
