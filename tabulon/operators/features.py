@@ -42,10 +42,8 @@ def date_features(df: DataFrame, columns=None, keep: bool = False) -> DataFrame:
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): position of each distinct value in sorted order, without one big sort."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     values = df.select(ref(column).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
-    ranged = stage(values.repartitionByRange(parts, "value").withColumn("_part", F.spark_partition_id()))
+    ranged = stage(values.repartitionByRange("value").withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

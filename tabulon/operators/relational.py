@@ -94,10 +94,8 @@ def forward_fill(df: DataFrame, group: Sequence[str], order: Sequence[str], colu
     tasks. Each range fills itself; what enters it comes from a table with one row per range and
     group.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
-    ranged = stage(df.repartitionByRange(parts, *[ref(k) for k in keys]).withColumn("_part", F.spark_partition_id()))
+    ranged = stage(df.repartitionByRange(*[ref(k) for k in keys]).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     row = F.struct(*[ref(k) for k in order])
     ends = ranged.groupBy("_part", *group).agg(

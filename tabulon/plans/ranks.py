@@ -15,10 +15,8 @@ from tabulon.plans.stage import stage
 
 def average_ranks(values: DataFrame, column: str, weight: str) -> DataFrame:
     """(column, rank) for each distinct value, tied rows sharing their mean rank; weight counts rows."""
-    spark = values.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = values.groupBy(column).agg(F.sum(weight).alias("n"))
-    ranged = stage(counts.repartitionByRange(parts, column).withColumn("_part", F.spark_partition_id()))
+    ranged = stage(counts.repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.sum("n").alias("rows"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before"))
