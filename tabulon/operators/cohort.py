@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.errors import InsufficientDataError
-from tabulon.plans.longform import numeric_columns, ref
+from tabulon.plans.longform import freeze, numeric_columns, ref
 
 MONTHS = "month"
 
@@ -80,13 +80,16 @@ def dimension_cells(df: DataFrame, cohort: str, period, metric: str) -> DataFram
 def dimension_extremes(cells: DataFrame, min_cohorts: int = 3) -> DataFrame:
     """Best and worst cohort by total value; ties by name."""
     totals = cells.groupBy("cohort_name").agg(F.round(F.sum("value"), 2).alias("total"))
-    row = totals.agg(F.count(F.lit(1))).first()[0]
-    if row < min_cohorts:
-        raise InsufficientDataError("cohorts", min_cohorts, row)
-    return totals.agg(
-        F.count(F.lit(1)).alias("total_cohorts"),
-        F.max_by("cohort_name", "total").alias("best_cohort"),
-        F.max("total").alias("best_total"),
-        F.min_by("cohort_name", "total").alias("worst_cohort"),
-        F.min("total").alias("worst_total"),
+    out = freeze(
+        totals.agg(
+            F.count(F.lit(1)).alias("total_cohorts"),
+            F.max_by("cohort_name", "total").alias("best_cohort"),
+            F.max("total").alias("best_total"),
+            F.min_by("cohort_name", "total").alias("worst_cohort"),
+            F.min("total").alias("worst_total"),
+        )
     )
+    got = out.first()["total_cohorts"]
+    if got < min_cohorts:
+        raise InsufficientDataError("cohorts", min_cohorts, got)
+    return out

@@ -9,13 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.stats import correlation_band, round4
-from tabulon.plans.longform import numeric_columns, ref
+from tabulon.plans.longform import numeric_columns
 from tabulon.plans.quantiles import numeric
 
 
-def pair_correlations(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """(left, right, n, correlation) of each column pair over the rows where both are present."""
-    columns = list(columns or numeric_columns(df))
+def _pair_cells(df: DataFrame, columns: list[str]) -> list:
     cells = []
     for a, b in combinations(columns, 2):
         x, y = numeric(df, a).cast("double"), numeric(df, b).cast("double")
@@ -28,25 +26,34 @@ def pair_correlations(df: DataFrame, columns: Iterable[str] | None = None) -> Da
                 F.corr(x, y).alias("correlation"),
             )
         )
+    return cells
+
+
+def pair_correlations(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """(left, right, n, correlation) of each column pair over the rows where both are present."""
+    cells = _pair_cells(df, list(columns or numeric_columns(df)))
     return df.agg(F.array(*cells).alias("rows")).select(F.inline("rows"))
 
 
 def correlation_matrix(df: DataFrame, columns: Iterable[str] | None = None, digits: int = 4) -> DataFrame:
     """Full symmetric matrix as (row, column, value) cells; undefined cells are left out."""
     columns = list(columns or numeric_columns(df))
-    pairs = pair_correlations(df, columns).select("left", "right", "correlation")
-    cells = [
-        F.struct(F.col("left").alias("row"), F.col("right").alias("column"), F.col("correlation").alias("value")),
-        F.struct(F.col("right").alias("row"), F.col("left").alias("column"), F.col("correlation").alias("value")),
-    ]
-    both = pairs.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    spread = df.agg(
-        F.array(
-            *[F.struct(F.lit(c).alias("row"), F.lit(c).alias("column"), F.var_pop(ref(c)).alias("v")) for c in columns]
-        ).alias("rows")
+    own = []
+    for c in columns:
+        x = numeric(df, c).cast("double")
+        one = F.when(F.var_pop(x) > 0, 1.0)
+        own.append(F.struct(F.lit(c).alias("left"), F.lit(c).alias("right"), F.count(x).alias("n"), one.alias("correlation")))
+    cells = df.agg(F.array(*own, *_pair_cells(df, columns)).alias("rows")).select(F.inline("rows"))
+    a, b = F.col("left"), F.col("right")
+    there = F.struct(a.alias("row"), b.alias("column"), F.col("correlation").alias("value"))
+    back = F.struct(b.alias("row"), a.alias("column"), F.col("correlation").alias("value"))
+    both = F.when(a == b, F.array(there)).otherwise(F.array(there, back))
+    return (
+        cells.select(F.explode(both).alias("c"))
+        .select("c.*")
+        .filter(F.col("value").isNotNull())
+        .withColumn("value", F.round("value", digits))
     )
-    diagonal = spread.select(F.inline("rows")).select("row", "column", F.when(F.col("v") > 0, 1.0).alias("value"))
-    return both.unionByName(diagonal).filter(F.col("value").isNotNull()).withColumn("value", F.round("value", digits))
 
 
 def strong_pairs(df: DataFrame, columns=None, threshold: float = 0.5, top: int = 20) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.errors import AnalysisError, NoVarianceError
@@ -19,7 +19,7 @@ from tabulon.functions.stats import round4
 from tabulon.operators.features import date_features
 from tabulon.operators.hypothesis import breusch_pagan, shapiro_test
 from tabulon.operators.models import Preparation, prepare
-from tabulon.plans.longform import numeric_columns, ref, text_columns, time_columns
+from tabulon.plans.longform import freeze, numeric_columns, ref, text_columns, time_columns
 
 # name: (kind, alpha, l1 share)
 LINEAR_MODELS = {
@@ -99,11 +99,10 @@ def _scores(df: DataFrame, y: Column, train: Column, predictions: dict[str, Colu
     flat = wide.select("train_rows", "test_rows", "var_train", "var_test", F.inline("rows"))
     train_r2 = 1 - F.col("mse_train") / F.col("var_train")
     r2 = 1 - F.col("mse") / F.col("var_test")
-    best = F.max_by("model", "r2")
     scored = flat.select(
         "model", "train_rows", "test_rows", train_r2.alias("train_r2"), r2.alias("r2"), F.sqrt("mse").alias("rmse"), "mae"
     )
-    winner = scored.agg(best).scalar()
+    winner = F.max_by("model", "r2").over(Window.partitionBy(F.lit(1)))  # one row per model
     return scored.select(
         "model", "train_rows", "test_rows",
         round4(F.col("train_r2")).alias("train_r2"), round4(F.col("r2")).alias("r2"),
@@ -207,7 +206,7 @@ def mixed_regression(df: DataFrame, target: str, train: Column, models=None):
     scored = ready
     for model in trained.values():
         scored = model.transform(scored)
-    metrics = _scores(scored, F.col("label"), F.col("_train"), {m: F.col(f"p_{m}") for m in trained})
+    metrics = freeze(_scores(scored, F.col("label"), F.col("_train"), {m: F.col(f"p_{m}") for m in trained}))
     best = metrics.filter("best").first()["model"]
     names = [a["name"] for kind in ready.schema["features"].metadata["ml_attr"]["attrs"].values() for a in sorted(kind, key=lambda a: a["idx"])]
     order = [a["idx"] for kind in ready.schema["features"].metadata["ml_attr"]["attrs"].values() for a in sorted(kind, key=lambda a: a["idx"])]

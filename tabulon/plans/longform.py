@@ -60,3 +60,8 @@ def identity(value: Column) -> Column:
     Counting distinct or repeated documents then shuffles 64 characters each, not whole texts.
     """
     return F.when(F.length(value) <= LONG_TEXT, value).otherwise(F.sha2(value.cast("binary"), 256))
+
+
+def freeze(result: DataFrame) -> DataFrame:
+    """A small result (a row per model, cohort or column) computed now, so that later uses cost no rescan."""
+    return result.sparkSession.createDataFrame(result.collect(), result.schema)
