@@ -17,7 +17,7 @@ from tabulon.functions.stats import (
 )
 from tabulon.plans.longform import identity, numeric_columns, per_column, ref, unpivot_text
 from tabulon.plans.quantiles import Ranked, column_summaries, exact_quantiles, numeric
-from tabulon.plans.slots import joint_counts, position
+from tabulon.plans.slots import edge_counts, joint_counts
 
 FUNCS = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
 
@@ -252,11 +252,8 @@ def histogram(df: DataFrame, columns: Iterable[str], max_bins: int = 8, min_bins
         bins = min(max_bins, max(min_bins, exact.get(c, max_bins)))
         edges[c] = [low + j * ((high - low) / bins) for j in range(bins)] + [high]
 
-    slots = {}
-    for c in edges:
-        x = numeric(df, c)
-        slots[c] = F.when(x.isNotNull(), position(x, edges[c][1:-1]))
-    counts = joint_counts(df, slots) if slots else {}
+    values = df.select(*[numeric(df, c).cast("double").alias(c) for c in edges])
+    counts = edge_counts(values, {c: edges[c][1:-1] for c in edges})
     rows = [
         (c, j, round(edges[c][j], 4), round(edges[c][j + 1], 4), counts[c].get(j, 0))
         for c in edges

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType
 
-from tabulon.plans.slots import joint_counts, position
+from tabulon.plans.slots import edge_counts
 
 BINS = 1024
 LISTED = 10_000
@@ -171,14 +171,8 @@ def _prove(wide, names, guesses, found):
     if not guesses:
         return []
     edges = {n: sorted({e for b in guesses if b.name == n for e in (b.low, b.high)}) for n in names}
-    slots = {}
-    for i, name in enumerate(names):
-        if edges[name]:
-            # Odd slots are the edge values themselves, even ones the open ranges between them.
-            value = F.col(f"v{i}")
-            above = reduce(lambda a, b: a + b, [(value > F.lit(e)).cast("int") for e in edges[name]])
-            slots[name] = F.when(value.isNotNull(), position(value, edges[name]) + above)
-    counts = joint_counts(wide, slots)
+    found_slots = edge_counts(wide, {f"v{i}": edges[n] for i, n in enumerate(names) if edges[n]}, points=True)
+    counts = {n: found_slots.get(f"v{i}", {}) for i, n in enumerate(names)}
     proven: list[_Bracket] = []
     for b in guesses:
         seen = 0

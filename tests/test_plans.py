@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tabulon.plans.quantiles import exact_quantiles, string_at_rank
 from tabulon.plans.quartiles import edge_quartiles, rank_quartiles
 from tabulon.plans.ranks import average_ranks
-from tabulon.plans.slots import joint_counts
+from tabulon.plans.slots import edge_counts, joint_counts
 
 PROBS = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
 
@@ -84,3 +84,11 @@ def test_joint_counts_over_many_columns(spark):
     for i in range(6):
         values = [k % (i + 2) for k in range(100)]
         assert got[f"c{i}"] == {v: values.count(v) for v in set(values) - {0}}
+
+
+def test_edge_counts_on_both_paths(spark):
+    rows = [(1.0, 1), (2.0, 2), (2.0, 2**60), (3.5, 2**60 + 1), (None, None), (float("inf"), 2**61)]
+    df = spark.createDataFrame(rows, "x double, k long")
+    assert edge_counts(df, {"x": [2.0, 3.0]}, points=True)["x"] == {0: 1, 1: 2, 4: 2}
+    assert edge_counts(df, {"x": [2.0, 3.0]})["x"] == {0: 1, 1: 2, 2: 2}
+    assert edge_counts(df, {"k": [2, 2**60]}, points=True)["k"] == {0: 1, 1: 1, 3: 1, 4: 2}
