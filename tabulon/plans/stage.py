@@ -12,17 +12,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_roots: dict[str, str] = {}
+
 
 def stage_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the session's setting, else a local one for tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    root = tempfile.mkdtemp(prefix="tabulon-stage-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="tabulon-stage-")
+    return _local_roots[app]
 
 
 def stage(df: DataFrame) -> DataFrame:
