@@ -34,3 +34,34 @@ def op2_decontaminate(spark, folder):
     return found.selectExpr(
         "doc_id", "n_words", "n_hit", "n_items", "sha2(array_join(items, ','), 256) as items_sha256", "n_hit > 0 as contaminated"
     )
+
+
+@query
+def op4_byte_bpe(spark, folder):
+    import public_tokenizers
+
+    from tabulon.llm.bpe import encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
+
+
+@query
+def op5_token_counts(spark, folder):
+    import public_tokenizers
+
+    from tabulon.llm.token_counts import token_counts
+
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@query
+def op6_quality_rules(spark, folder):
+    from tabulon.llm.quality import assess
+
+    return assess(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "quality.base_failed",
+        "quality.kept",
+    )
