@@ -65,3 +65,27 @@ def op6_quality_rules(spark, folder):
         "quality.base_failed",
         "quality.kept",
     )
+
+
+@query
+def op7_language_id(spark, folder):
+    from tabulon.llm import langid
+    from tabulon.llm.text import held_out
+
+    docs = table(spark, folder, "documents")
+    out = held_out("doc_id", 4, 2)
+    model = langid.train(docs.where(~out))
+    found = langid.predict(docs.select("doc_id", out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "lang_set")
+
+
+@query
+def op8_toxicity(spark, folder):
+    from tabulon.llm import toxicity
+    from tabulon.llm.text import held_out
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    out = held_out("doc_id", 5, 0)
+    model = toxicity.train(docs, labels.where(~out))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", out.alias("held_out"), "score", (found["score"] >= 0.5).cast("int").alias("predicted"))

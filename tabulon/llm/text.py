@@ -28,6 +28,10 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
+#: Words of letters: a-z and anything beyond ASCII (of lower-cased text).
+LETTERS = ALNUM.copy()
+LETTERS[0x30:0x3A] = False
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -102,12 +106,16 @@ class Words:
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(part.rows), self.counts)
 
-    def hashes(self) -> np.ndarray:
+        self._sums: np.ndarray | None = None
+
+    def hashes(self, ends: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hashes of the words, or of their bytes up to `ends`."""
         n = len(self.data)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[self.data] * _power("up", _ODD, n), out=sums[1:])
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(_BYTES[self.data] * _power("up", _ODD, n), out=self._sums[1:])
         inverse = _power("down", _INVERSE, n + 1)
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        return mix((self._sums[self.ends if ends is None else ends] - self._sums[self.starts]) * inverse[self.starts])
 
 
 def list_array(flat: pa.Array, counts: np.ndarray) -> pa.Array:
@@ -116,6 +124,13 @@ def list_array(flat: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
+def held_out(id_column: str, modulus: int, remainder: int):
+    """Condition: crc32 of the id as text leaves the remainder."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col(f"`{id_column}`").cast("string")) % modulus == remainder, F.lit(False))
+
+
 def aliased(df, taken: dict):
     """df with the columns {name here: name in df} only, so that further or clashing columns don't matter."""
     from pyspark.sql import functions as F
