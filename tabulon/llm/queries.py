@@ -89,3 +89,52 @@ def op8_toxicity(spark, folder):
     model = toxicity.train(docs, labels.where(~out))
     found = toxicity.score(docs, model)
     return found.select("doc_id", out.alias("held_out"), "score", (found["score"] >= 0.5).cast("int").alias("predicted"))
+
+
+#: The rules of op9: host, path, verdict.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query
+def op9_url_filter(spark, folder):
+    from tabulon.llm.urls import judge
+
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    judged = judge(table(spark, folder, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", *[f"judged.{c}" for c in ("host", "path", "rule", "verdict")])
+
+
+SQL["op9_url_filter"] = """
+with parts as (
+    select page_id,
+        case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest
+    from pages
+),
+split as (
+    select page_id,
+        coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+    from parts
+),
+rules(rule_host, rule_path, verdict) as (
+    values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+),
+fits as (
+    select s.page_id, r.rule_host || r.rule_path as rule, r.verdict,
+        row_number() over (
+            partition by s.page_id order by length(r.rule_host || r.rule_path) desc, length(r.rule_host) desc
+        ) as place
+    from split s join rules r
+        on (s.host = r.rule_host or s.host like '%.' || r.rule_host) and starts_with(s.path, r.rule_path)
+)
+select s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') as verdict
+from split s left join fits f on f.page_id = s.page_id and f.place = 1
+"""
+
+
+@query
+def op10_html_text(spark, folder):
+    from tabulon.llm.html import extract, train
+
+    pages = table(spark, folder, "pages")
+    return extract(pages.select("page_id", "url", "html"), train(pages))
