@@ -17,6 +17,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from tabulon.llm.text import aliased
 
@@ -320,5 +321,5 @@ def decode(encoded: DataFrame, vocabulary_path: str, pattern: str, ids_column: s
             ]
             yield batch.append_column("decoded", pa.array(out, pa.binary()))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{kinds}, decoded binary")
+    encoded = encoded.drop("decoded")
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, *StructType.fromDDL("decoded binary").fields]))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tabulon.llm.text import ALNUM, Words, aliased, list_array, slices
 
@@ -239,14 +240,15 @@ def _parts(items: DataFrame, window: int) -> Iterator[dict]:
         yield build(rows, window)
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int, id_column: str, text_column: str, item_column: str):
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, text_column: str, item_column: str) -> DataFrame:
+    """docs (with a column `text`) and n_words, runs and items; text_column, item_column: the benchmark's."""
     if window < 2:
         raise ValueError("a window has at least two words")
     items = aliased(benchmark, {"id": item_column, "text": text_column})
     found, first = docs, True
     context = docs.sparkSession.sparkContext
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema = f"{kinds}, n_words long, runs array<struct<a: long, b: long>>, items array<string>"
+    added = "n_words long, runs array<struct<a: long, b: long>>, items array<string>"
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(added).fields])
     empty = {
         "automaton": SuffixAutomaton(window), "known": np.zeros(0, np.uint64), "keys": [],
         "pairs": np.zeros(0, np.uint64), "least": window, "single": np.zeros(0, np.int64),
@@ -274,7 +276,7 @@ def contamination(
     come, repeated ones too. Other columns are ignored.
     """
     found = _hits(
-        aliased(docs, {"id": id_column, "text": text_column}), benchmark, window, "id", text_column, item_column
+        aliased(docs, {"id": id_column, "text": text_column}), benchmark, window, text_column, item_column
     )
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["b"] - r["a"])
     return found.select(
@@ -291,7 +293,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (text, runs) in enumerate(
                 zip(rows.column("text").to_pylist(), rows.column("runs").to_pylist(), strict=True)
             ):
-                if runs:
+                if runs and text:
                     raw, begin, first = text.encode(), int(piece.bounds[i]), int(words.first[i])
                     left, at = [], 0
                     for r in runs:
@@ -314,12 +316,22 @@ def decontaminate(
     text_column: str = "text",
     item_column: str = "item_id",
 ) -> DataFrame:
-    """docs (id and text only) without the hit stretches; documents with more than max_coverage hit words go."""
-    plain = aliased(docs, {"id": id_column, "text": text_column})
-    found = _hits(plain, benchmark, window, "id", text_column, item_column)
+    """docs without the hit stretches; documents with more than max_coverage hit words go.
+
+    Other columns, of whatever name, stay as they are. Null texts stay null; blanks around a cut stay.
+    """
+    if not 0 <= max_coverage <= 1:
+        raise ValueError("max_coverage is a share")
+    others = [c for c in docs.columns if c != text_column]
+    plain = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"),
+        F.col(f"`{id_column}`").alias("id"),
+        F.col(f"`{text_column}`").alias("text"),
+    )
+    found = _hits(plain, benchmark, window, text_column, item_column)
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["b"] - r["a"])
-    kept = found.where(hit <= max_coverage * F.col("n_words"))
-    kept = kept.select("id", "text", "runs").mapInArrow(
-        _remove, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select("id", "text", "runs").schema)
+    kept = found.where(hit <= max_coverage * F.col("n_words")).select("row", "text", "runs")
+    kept = kept.mapInArrow(_remove, kept.schema)
+    return kept.select(
+        *[F.col("text").alias(c) if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns]
     )
-    return kept.select(F.col("id").alias(id_column), F.col("text").alias(text_column), (F.size("runs") > 0).alias("cut"))

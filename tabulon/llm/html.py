@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tabulon.llm.text import aliased
 
@@ -398,5 +399,5 @@ def extract(pages: DataFrame, model: dict, id_column: str = "page_id", html_colu
                     names=[*others, "text", "n_chars"],
                 )
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != "__html")
-    return df.mapInArrow(run, f"{kinds}text string, n_chars long")
+    fields = [f for f in df.schema.fields if f.name != "__html"]
+    return df.mapInArrow(run, StructType([*fields, *StructType.fromDDL("text string, n_chars long").fields]))

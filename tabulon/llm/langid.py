@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tabulon.llm.text import LETTERS, Slice, Words, aliased, slices
 
@@ -149,7 +150,7 @@ def predict(docs: DataFrame, model: dict, text_column: str = "text") -> DataFram
     """docs with lang_pred, score (0 to 1) and lang_set (by falling share).
 
     A null text, or one without a letter, is `und` with score 0 and no set, and so is every text if nothing was
-    learned. Rows are kept as they come; columns of any other name pass through.
+    learned. Rows are kept as they come; columns of any other name pass through, those three are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -163,6 +164,7 @@ def predict(docs: DataFrame, model: dict, text_column: str = "text") -> DataFram
                     names=[*rows.schema.names, "lang_pred", "score", "lang_set"],
                 )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, lang_set array<string>")
+    added = StructType.fromDDL("lang_pred string, score double, lang_set array<string>")
+    docs = docs.drop(*added.names)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
 

@@ -138,3 +138,11 @@ def op10_html_text(spark, folder):
 
     pages = table(spark, folder, "pages")
     return extract(pages.select("page_id", "url", "html"), train(pages))
+
+
+@query
+def op3_lm_score(spark, folder):
+    from tabulon.llm.lm import score
+    from tabulon.llm.text import held_out
+
+    return score(table(spark, folder, "documents"), held_out("doc_id", 7, 2))
