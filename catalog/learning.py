@@ -224,18 +224,18 @@ LINE = ["l_quantity", "l_extendedprice", "l_discount"]
 
 @query("segmentation")
 def _(t):
-    return cluster.segment(t.lineitem, LINE, k=3, restarts=2)
+    return cluster.segment(t.lineitem, LINE, k=3)
 
 
 @query("silhouette_by_k")
 def _(t):
-    return cluster.silhouette_table(t.customer.select("c_acctbal", "c_nationkey"), max_k=4, restarts=1)
+    return cluster.silhouette_table(t.customer.select("c_acctbal", "c_nationkey"))
 
 
 @query("cluster_quality")
 def _(t):
     rows = t.customer.select("c_acctbal", "c_nationkey")
-    found = cluster.kmeans(rows, k=3, restarts=2)
+    found = cluster.kmeans(rows, k=3)
     return cluster.cluster_quality(found.assign(rows), 2)
 
 

@@ -78,11 +78,13 @@ def _(t):
     return points(t, "day").groupBy("series").applyInPandas(run, "series string, statistic double")
 
 
-@query("segment_properties", "SELECT 3::BIGINT AS clusters, count(*) AS rows, 1.0::DOUBLE AS share FROM lineitem")
+@query("segment_planted", """
+SELECT count(*) AS size, round(count(*) / (SELECT count(*) FROM customer), 4) AS share,
+  round(avg(c_custkey % 3 * 1000 + c_acctbal / 1000), 4) AS mean_big, round(avg(c_custkey % 2), 4) AS mean_flag
+FROM customer GROUP BY c_custkey % 3""")
 def _(t):
-    return cluster.segment(t.lineitem, LINE, k=3, restarts=1).agg(
-        F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("rows"), F.round(F.sum("share"), 3).alias("share")
-    )
+    rows = t.customer.selectExpr("c_custkey % 3 * 1000 + c_acctbal / 1000 AS big", "CAST(c_custkey % 2 AS double) AS flag")
+    return cluster.segment(rows, ["big", "flag"], k=3).select("size", "share", "mean_big", "mean_flag")
 
 
 @query("anomaly_share", """

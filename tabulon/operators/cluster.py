@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabulon.errors import InsufficientDataError
 from tabulon.functions.stats import round4
 from tabulon.operators.clean import impute
-from tabulon.operators.models import Preparation, prepare
+from tabulon.operators.models import Preparation, prepare, unscaled
 from tabulon.plans.longform import numeric_columns, ref
 from tabulon.plans.spread import spread
 
@@ -40,8 +40,8 @@ class Clusters:
         return out.withColumn("_d2", d2).drop("features", "prediction")
 
 
-def _vectors(df: DataFrame, features: list[str]):
-    prep = prepare(df, features)
+def _vectors(df: DataFrame, features: list[str], scale: bool = True):
+    prep = prepare(df, features) if scale else unscaled(features)
     inputs = spread(df.select(*[ref(c) for c in features]))
     return prep, inputs.select(prep.vector().alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -62,10 +62,13 @@ def _wrap(model, prep: Preparation) -> Clusters:
     )
 
 
-def kmeans(df: DataFrame, features=None, k: int = 3, restarts: int = RESTARTS, seed: int = 42) -> Clusters:
-    """Best of several starts on standardised features; missing cells take the median."""
+def kmeans(
+    df: DataFrame, features=None, k: int = 3, restarts: int = RESTARTS, seed: int = 42, scale: bool = True
+) -> Clusters:
+    """Best of several starts on standardised features, where missing cells take the median; without `scale`
+    on the columns as they are, which must be complete."""
     features = list(features or numeric_columns(df))
-    prep, vectors = _vectors(df, features)
+    prep, vectors = _vectors(df, features, scale)
     try:
         n = vectors.count()
         if n < k:
@@ -128,7 +131,7 @@ def segment(df: DataFrame, features=None, k: int = 3, restarts: int = RESTARTS)
     """Unscaled segmentation as sizes and centroids, missing cells filled with means."""
     features = list(features or numeric_columns(df))
     filled = impute(df.select(*[ref(c) for c in features]), "mean", features)
-    clusters = kmeans(filled, features, k, restarts)
+    clusters = kmeans(filled, features, k, restarts, scale=False)
     return cluster_summary(clusters.assign(filled), features)
 
 

@@ -58,10 +58,15 @@ def average_retention(cells: DataFrame) -> DataFrame:
     )
 
 
-def pivot_cells(cells: DataFrame, value: str, periods: int) -> DataFrame:
-    """Wide matrix of the first periods indexes; absent cells are 0."""
-    wide = cells.groupBy("cohort").pivot("cohort_index", list(range(periods))).agg(F.first(value))
-    return wide.na.fill(0).toDF("cohort", *[f"p{i}" for i in range(periods)])
+def pivot_cells(cells: DataFrame, value: str, periods: int | None = None) -> DataFrame:
+    """Wide matrix of the indexes present, or of the first `periods` ones; absent cells are 0. Columns follow the
+    calendar: one for each period that a cohort can be away."""
+    if periods is None:
+        found = [r[0] for r in cells.select("cohort_index").distinct().orderBy("cohort_index").collect()]
+    else:
+        found = list(range(periods))
+    wide = cells.groupBy("cohort").pivot("cohort_index", found).agg(F.first(value))
+    return wide.na.fill(0).toDF("cohort", *[f"p{i}" for i in found])
 
 
 def dimension_cells(df: DataFrame, cohort: str, period, metric: str) -> DataFrame:
@@ -78,14 +83,14 @@ def dimension_cells(df: DataFrame, cohort: str, period, metric: str) -> DataFram
 
 
 def dimension_extremes(cells: DataFrame, min_cohorts: int = 3) -> DataFrame:
-    """Best and worst cohort by total value; ties by name."""
+    """Best and worst cohort by total value; ties by the smaller name."""
     totals = cells.groupBy("cohort_name").agg(F.round(F.sum("value"), 2).alias("total"))
     out = freeze(
         totals.agg(
             F.count(F.lit(1)).alias("total_cohorts"),
-            F.max_by("cohort_name", "total").alias("best_cohort"),
+            F.min(F.struct(-F.col("total"), "cohort_name"))["cohort_name"].alias("best_cohort"),
             F.max("total").alias("best_total"),
-            F.min_by("cohort_name", "total").alias("worst_cohort"),
+            F.min(F.struct("total", "cohort_name"))["cohort_name"].alias("worst_cohort"),
             F.min("total").alias("worst_total"),
         )
     )

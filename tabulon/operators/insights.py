@@ -62,8 +62,8 @@ def _outlier_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, "column string, n long, outliers long")
 
 
-def table_insights(df: DataFrame, numbers: int = 5, words: int = 3) -> DataFrame:
-    """Outlier warnings, unique and constant text columns, missing share; (type, column, severity, value)."""
+def table_insights(df: DataFrame, numbers: int | None = None, words: int | None = None) -> DataFrame:
+    """Outlier warnings, unique and constant text columns, missing share; (type, column, severity, value). Over all numeric and text columns, or the first ones."""
     parts = []
     far = _outlier_counts(df, numeric_columns(df)[:numbers])
     if far is not None:
@@ -136,7 +136,7 @@ def auto_insights(
                 "b": F.max_by(ref(c).cast("double"), kept),
             }
 
-        trend = per_column(df, numbers[:3], ends).withColumn(
+        trend = per_column(df, numbers, ends).withColumn(
             "pct", F.when(F.col("a") != 0, (F.col("b") - F.col("a")) / F.col("a") * 100).otherwise(0.0)
         )
         trend = trend.filter((F.col("n") >= 10) & (F.abs("pct") > 20))
@@ -144,7 +144,7 @@ def auto_insights(
             trend, "trend", F.when(F.abs("pct") > 50, "high").otherwise("medium"), F.col("column"),
             F.round("pct", 1), F.when(F.col("pct") > 0, "increased").otherwise("decreased"),
         )
-    far = _outlier_counts(df, numbers[:3])
+    far = _outlier_counts(df, numbers)
     if far is not None:
         share = F.col("outliers") / F.col("n") * 100
         rows(
@@ -161,26 +161,26 @@ def auto_insights(
     if texts:
         total = df.agg(F.count(F.lit(1))).scalar()
         tops = (
-            value_counts(df, texts[:3])
+            value_counts(df, texts)
             .groupBy("column")
             .agg(
                 F.count(F.lit(1)).alias("values"),
-                F.max_by("value", F.struct("count", "value")).alias("top"),
+                F.min(F.struct(-F.col("count"), "value"))["value"].alias("top"),
                 F.max("count").alias("n"),
             )
             .withColumn("pct", F.col("n") * 100 / total)
             .filter((F.col("values") <= 10) & (F.col("pct") > 50))
         )
         rows(tops, "distribution", F.lit("low"), F.col("column"), F.round("pct", 1), F.col("top"))
-    for c in texts[:2]:
-        for x in numbers[:2]:
+    for c in texts:
+        for x in numbers:
             means = group_aggregate(df.filter(ref(c).isNotNull()), c, x, ["AVG"])
             m = F.col(f"avg_{x}")
             best = means.agg(
                 F.count(m).alias("groups"),
                 F.max(m).alias("hi"),
                 F.min(m).alias("lo"),
-                F.max_by(ref(c), m).alias("top"),
+                F.min(F.when(m.isNotNull(), F.struct((-m).alias("m"), ref(c).alias("top"))))["top"].alias("top"),
             ).withColumn("pct", F.when(F.col("lo") != 0, (F.col("hi") - F.col("lo")) / F.col("lo") * 100).otherwise(0.0))
             rows(
                 best.filter((F.col("groups") >= 2) & (F.abs("pct") > 50)), "comparison", F.lit("medium"),

@@ -125,8 +125,8 @@ def inventory_kpis(df: DataFrame, stock: str) -> DataFrame:
     return kpi_rows(df, {"total_inventory": F.sum(ref(stock)), "inventory_volatility": volatility(ref(stock))})
 
 
-def generic_kpis(df: DataFrame, columns: int = 5, rows: int = 8) -> DataFrame:
-    """Row count, then sum and mean of the first numeric columns, at most `rows` of them."""
+def generic_kpis(df: DataFrame, columns: int | None = None, rows: int | None = None) -> DataFrame:
+    """Row count, then sum and mean of the numeric columns; columns and rows cut the lists if given."""
     cells = [("total_records", F.count(F.lit(1)).cast("double"))]
     for c in numeric_columns(df)[:columns]:
         cells += [(f"sum_{c}", F.sum(ref(c)).cast("double")), (f"avg_{c}", F.avg(ref(c)))]
@@ -174,28 +174,26 @@ def segment_leaders(df: DataFrame, key: str, value: str, n: int = 5) -> DataFram
     return top_groups(df, key, value, n)
 
 
-def bar_rows(df: DataFrame, category: str, value: str, order: list[str], n: int = 20) -> DataFrame:
-    """First n rows as (name, value) with the name cut at 30 characters and nulls as 0."""
-    return (
-        df.orderBy(*order)
-        .limit(n)
-        .select(
-            *order,
-            F.substring(ref(category).cast("string"), 1, 30).alias("name"),
-            F.coalesce(ref(value).cast("double"), F.lit(0.0)).alias("value"),
-        )
+def bar_rows(df: DataFrame, category: str, value: str, order: list[str], n: int | None = None) -> DataFrame:
+    """Rows, or the first n of them, as (name, value) with nulls as 0."""
+    return _first(df, order, n).select(
+        *order,
+        ref(category).cast("string").alias("name"),
+        F.coalesce(ref(value).cast("double"), F.lit(0.0)).alias("value"),
     )
 
 
-def line_rows(df: DataFrame, order: list[str], columns: list[str], n: int = 50) -> DataFrame:
-    return df.orderBy(*order).limit(n).select(*order, *[ref(c).cast("double").alias(c) for c in columns[:5]])
+def _first(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
+    return df if n is None else df.orderBy(*order).limit(n)
 
 
-def pie_slices(df: DataFrame, category: str, value: str, n: int = 10) -> DataFrame:
-    """Sums of the first n categories in label order, label cut at 20 characters."""
-    return (
-        group_sum(df, category, value)
-        .orderBy(ref(category))
-        .limit(n)
-        .select(F.substring(ref(category).cast("string"), 1, 20).alias("name"), F.round("total", 2).alias("value"))
+def line_rows(df: DataFrame, order: list[str], columns: list[str], n: int | None = None) -> DataFrame:
+    """Rows, or the first n of them, with the columns as numbers."""
+    return _first(df, order, n).select(*order, *[ref(c).cast("double").alias(c) for c in columns])
+
+
+def pie_slices(df: DataFrame, category: str, value: str) -> DataFrame:
+    """Sums of all categories, which make up the whole."""
+    return group_sum(df, category, value).select(
+        ref(category).cast("string").alias("name"), F.round("total", 2).alias("value")
     )

@@ -33,6 +33,18 @@ class Preparation:
 
 
 def prepare(train: DataFrame, features: list[str]) -> Preparation:
+    values = [ref(c).cast("double") for c in features]
+    row = train.agg(
+        *[
+            F.struct(
+                F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.count_if(x.isNull() | F.isnan(x)).alias("gaps")
+            ).alias(f"c{i}")
+            for i, x in enumerate(values)
+        ],
+        F.count(F.lit(1)).alias("rows"),
+    ).first()
+    if row["rows"] and not any(r["gaps"] for r in row[:-1]):  # no cell needs a median
+        return Preparation(features, [0.0] * len(features), [r["m"] for r in row[:-1]], [r["s"] or 1.0 for r in row[:-1]])
     found = column_summaries(train, features, (0.5,), {"m": F.avg, "s": F.stddev_pop, "nulls": _nulls})
     medians = [found[c].quantile(0.5) or 0.0 for c in features]
     if all(found[c].n == 0 for c in features):
@@ -47,6 +59,12 @@ def prepare(train: DataFrame, features: list[str]) -> Preparation:
     return Preparation(features, medians, [m for m, _ in moments], [s or 1.0 for _, s in moments])
 
 
+def unscaled(features: list[str]) -> Preparation:
+    """The columns as they are; for complete columns."""
+    n = len(features)
+    return Preparation(features, [0.0] * n, [0.0] * n, [1.0] * n)
+
+
 def _nulls(c: Column) -> Column:
     return F.count_if(c.isNull())
 

@@ -102,13 +102,13 @@ def _scores(df: DataFrame, y: Column, train: Column, predictions: dict[str, Colu
     scored = flat.select(
         "model", "train_rows", "test_rows", train_r2.alias("train_r2"), r2.alias("r2"), F.sqrt("mse").alias("rmse"), "mae"
     )
-    winner = F.max_by("model", "r2").over(Window.partitionBy(F.lit(1)))  # one row per model
+    winner = F.min(F.struct(-F.col("r2"), F.col("model"))).over(Window.partitionBy(F.lit(1)))  # one row per model
     return scored.select(
         "model", "train_rows", "test_rows",
         round4(F.col("train_r2")).alias("train_r2"), round4(F.col("r2")).alias("r2"),
         round4(F.col("rmse")).alias("rmse"), round4(F.col("mae")).alias("mae"),
         (F.col("train_r2") - F.col("r2") > OVERFIT_GAP).alias("overfit"),
-        (F.col("model") == winner).alias("best"),
+        (F.col("model") == winner["model"]).alias("best"),
     )
 
 
