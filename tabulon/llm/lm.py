@@ -162,7 +162,7 @@ def _level(context: np.ndarray, n_context: np.ndarray, n: np.ndarray, below: np.
     had = np.bincount(context, weights=below, minlength=size)
     rest, rest_below = np.maximum(1 - given, 1e-12), np.maximum(1 - had, 1e-12)
     gain = np.bincount(context, weights=chance * np.log(chance / below), minlength=size)
-    gain += rest * np.log(rest / rest_below)
+    gain = gain + rest * np.log(rest / rest_below)
     followers = np.bincount(context, minlength=size)
     kept = (followers > 0) & (n_context * gain >= (followers + 1) / 2 * np.log(np.maximum(n_context, 2)))
     return chance, np.log10(rest / rest_below), kept

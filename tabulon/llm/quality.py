@@ -115,12 +115,13 @@ def assess(docs: DataFrame, text_column: str = "text", max_lost: float = 0.5) ->
     """docs with quality columns in a struct column `quality`: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_lines_removed, clean_text, kept.
 
-    A null text has no words and fails; rows are kept as they come. Columns of any name may be there beside.
+    A null text has no words and fails; rows are kept as they come. Columns of any name may be there
+    beside; one named quality is replaced.
     """
     if not 0 <= max_lost <= 1:
         raise ValueError("max_lost is a share")
     df = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "quality"]).alias("row"),
         F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("t"),
     )
     inner = F.btrim("t", F.lit(BLANKS))

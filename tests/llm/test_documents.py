@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import bpe, decontaminate, langid, lm, minhash, quality, token_counts, toxicity
 from tabulon.llm.queries import QUERIES
@@ -234,7 +235,7 @@ def test_token_counts(docs, odd, nothing):
     tokenizers = pytest.importorskip("tokenizers")
     path = P.path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
-    special = odd.withColumn("text", __import__("pyspark").sql.functions.concat("text", __import__("pyspark").sql.functions.lit("a<|endoftext|> é \u0301x")))
+    special = odd.withColumn("text", F.concat("text", F.lit("a<|endoftext|> é \u0301x")))
     for df in (docs, odd, special):
         texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
         found = as_dict(token_counts.token_counts(df, path), "n_bytes", "n_tokens", "over_limit")
@@ -267,7 +268,7 @@ def test_quality(docs, odd, nothing):
 
 
 def test_quality_lines(spark):
-    good = " ".join(f"Some word{i} is here." for i in range(20))
+    good = " ".join(f"Word{i} follows{i}." for i in range(40))
     lines = [good, "a | b | c | d", "THIS!! IS!! LOUD!!", "x### y$$$ z%%%", "===== ----", "All rights reserved.", "", "Fine line."]
     text = "\n".join(lines)
     q = quality.assess(spark.createDataFrame([(text,), ("\n".join(["a | b | c | d e" + str(i) for i in range(40)]),)], "text string")).collect()
