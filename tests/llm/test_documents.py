@@ -271,7 +271,7 @@ def test_quality_lines(spark):
     good = " ".join(f"Word{i} follows{i}." for i in range(40))
     lines = [good, "a | b | c | d", "THIS!! IS!! LOUD!!", "x### y$$$ z%%%", "===== ----", "All rights reserved.", "", "Fine line."]
     text = "\n".join(lines)
-    q = quality.assess(spark.createDataFrame([(text,), ("\n".join(["a | b | c | d e" + str(i) for i in range(40)]),)], "text string")).collect()
+    q = quality.assess(spark.createDataFrame([(text,), ("\n".join([f"a{i} | b{i} | c{i}" for i in range(40)]),)], "text string")).collect()
     assert q[0]["quality"]["clean_text"] == "\n".join([good, "", "Fine line."]) and q[0]["quality"]["kept"]
     assert q[0]["quality"]["n_lines_removed"] == 5
     assert not q[1]["quality"]["kept"] and not q[1]["quality"]["base_failed"]
