@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.text import SPACED, Slice, Words, aliased, list_array, slices
+from tabulon.llm.text import SPACED, Slice, Words, list_array, mix, slices
 from tabulon.plans.stage import stage
 
 WORD_SHARE = 1e-6
@@ -83,8 +83,45 @@ def _pairs(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _name_frequent(shared, share: float):
-    """Pairs and triples that are frequent in a chunk: (word, word, word or -1)."""
+PACKED = "part int, pair array<long>, third array<long>, n array<long>"
+
+
+def _packed(pair: np.ndarray, third: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row for each part of the keys (word and word, word or -1) and their counts: few rows, long lists."""
+    part = (mix(pair.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    names, size = np.unique(part, return_counts=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names.astype(np.int32)), *[list_array(pa.array(x[order]), size) for x in (pair, third, n)]],
+        names=["part", "pair", "third", "n"],
+    )
+
+
+def _unpacked(table: pa.Table) -> list[np.ndarray]:
+    return [table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("pair", "third", "n")]
+
+
+def _merge(least: float):
+    """Sum the counts of a part's keys and leave out those below the least."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pair, third, n = _unpacked(table)
+        order = np.lexsort((third, pair))
+        pair, third, n = pair[order], third[order], n[order]
+        fresh = np.ones(len(pair), dtype=bool)
+        fresh[1:] = (pair[1:] != pair[:-1]) | (third[1:] != third[:-1])
+        sums = np.add.reduceat(n, np.flatnonzero(fresh))
+        enough = sums >= least
+        kept = [x[fresh][enough] for x in (pair, third)] + [sums[enough]]
+        one = [list_array(pa.array(x), np.array([len(x)])) for x in kept]
+        part = pa.array(table.column("part").to_numpy()[:1].astype(np.int32))
+        return pa.Table.from_arrays([part, *one], names=["part", "pair", "third", "n"])
+
+    return run
+
+
+def _name_frequent(shared, share: float, parts: int):
+    """Pairs and triples that are frequent in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -103,7 +140,7 @@ def _name_frequent(shared, share: float):
             triple = triple[n >= share * total]
             pairs = np.concatenate([often, often[triple >> _BITS]])
             thirds = np.concatenate([np.full(len(often), -1, dtype=np.int64), triple & ((1 << _BITS) - 1)])
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(thirds)], names=["pair", "third"])
+            return _packed(pairs, thirds, np.ones(len(pairs), dtype=np.int64), parts)
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -122,7 +159,7 @@ def _name_frequent(shared, share: float):
     return run
 
 
-def _count_named(shared):
+def _count_named(shared, parts: int):
     """Counts of the named pairs and triples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +178,11 @@ def _count_named(shared):
                 three = find(before[good] << _BITS | ids[good], triples)
                 triple_n += np.bincount(three[three >= 0], minlength=len(triples))
         used, more = np.flatnonzero(pair_n), np.flatnonzero(triple_n)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([pairs[used], pairs[triples[more] >> _BITS]])),
-                pa.array(np.concatenate([np.full(len(used), -1, np.int64), triples[more] & ((1 << _BITS) - 1)])),
-                pa.array(np.concatenate([pair_n[used], triple_n[more]])),
-            ],
-            names=["pair", "third", "n"],
+        yield _packed(
+            np.concatenate([pairs[used], pairs[triples[more] >> _BITS]]),
+            np.concatenate([np.full(len(used), -1, np.int64), triples[more] & ((1 << _BITS) - 1)]),
+            np.concatenate([pair_n[used], triple_n[more]]),
+            parts,
         )
 
     return run
@@ -180,20 +215,22 @@ def train(texts: DataFrame) -> dict:
     table, counts = h[order], often.column("n").to_numpy()[order].astype(np.float64)
     context = texts.sparkSession.sparkContext
     shared = context.broadcast(table)
-    named = stage(texts.mapInArrow(_name_frequent(shared, SHARE), "pair long, third long").distinct())
-    parts = max(1, math.ceil(named.count() / CANDIDATES))
+    # keys travel packed by part of their hash; the parts grow with the session's shuffle partitions
+    parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = texts.mapInArrow(_name_frequent(shared, SHARE, parts), PACKED)
+    named = stage(named.groupBy("part").applyInArrow(_merge(0), PACKED))
+    held = named.agg(F.coalesce(F.sum(F.size("pair")), F.lit(0))).first()[0]
+    passes = max(1, math.ceil(held / CANDIDATES))
     found: list = []
-    for part in range(parts):
-        some = named.where(F.pmod(F.xxhash64("pair"), F.lit(parts)) == part).toArrow()
-        pair, third = some.column("pair").to_numpy(), some.column("third").to_numpy()
+    for i in range(passes):
+        pair, third, _ = _unpacked(named.where(F.col("part") % passes == i).toArrow())
         pairs = np.unique(pair)
         triples = np.sort(np.searchsorted(pairs, pair[third >= 0]) << _BITS | third[third >= 0])
         sent = context.broadcast((table, pairs, triples))
-        counted = texts.mapInArrow(_count_named(sent), "pair long, third long, n long").groupBy("pair", "third")
-        found.append(counted.agg(F.sum("n").alias("n")).where(F.col("n") >= SHARE * total).toArrow())
-    pair = np.concatenate([t.column("pair").to_numpy() for t in found])
-    third = np.concatenate([t.column("third").to_numpy() for t in found])
-    n = np.concatenate([t.column("n").to_numpy() for t in found]).astype(np.float64)
+        counted = texts.mapInArrow(_count_named(sent, parts), PACKED).groupBy("part")
+        found.append(_unpacked(counted.applyInArrow(_merge(SHARE * total), PACKED).toArrow()))
+    pair, third, n = (np.concatenate([f[j] for f in found]) for j in range(3))
+    n = n.astype(np.float64)
     root = (counts + 1) / (total + kinds + 1)
     two = third < 0
     order = np.argsort(pair[two])
