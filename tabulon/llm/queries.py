@@ -99,7 +99,8 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 def op9_url_filter(spark, folder):
     from tabulon.llm.urls import judge
 
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rows = ", ".join(str(rule) for rule in RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {rows} AS rules(host, path, verdict)")
     judged = judge(table(spark, folder, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", *[f"judged.{c}" for c in ("host", "path", "rule", "verdict")])
 
