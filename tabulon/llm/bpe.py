@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 from tabulon.llm.text import aliased
 
 #: Entries that a task's memory of pieces and of pairs of tokens may hold; it starts anew beyond.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -254,35 +254,41 @@ def decode_ids(ids: list[int], raw: bytes, pattern: str) -> bytes:
 
 def _encode(shared, pattern: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = shared.value
-        _, _, tokens, names, _ = _tools(raw, pattern)
-        for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            first, held, column = 0, 0, batch.column("text")
-            for i in range(len(column)):
-                ids = encode_text(column[i].as_py() or "", raw, pattern)
-                rows[0].append(len(ids))
-                rows[1].append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                rows[2].append(hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest())
-                if keep_ids:
-                    rows[3].append(pa.array(ids, pa.int32()))
-                held += len(ids)
-                if held >= 2_000_000 or i + 1 == len(column):
-                    arrays = [batch.column("id").slice(first, i + 1 - first), pa.array(rows[0], pa.int64())]
-                    arrays += [pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
-                    fields = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                    if keep_ids:
-                        ends = [0]
-                        for one in rows[3]:
-                            ends.append(ends[-1] + len(one))
-                        arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(rows[3])))
-                        fields.append("ids")
-                    yield pa.RecordBatch.from_arrays(arrays, names=fields)
-                    first, held, rows = i + 1, 0, [[], [], [], []]
+        try:
+            yield from _encoded(batches, shared.value, pattern, keep_ids)
+        finally:
+            _loaded.clear()  # workers outlive their task: what it remembered would stand beside later stages
 
     return run
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], raw: bytes, pattern: str, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    _, _, tokens, names, _ = _tools(raw, pattern)
+    for batch in batches:
+        rows: list[list] = [[], [], [], []]
+        first, held, column = 0, 0, batch.column("text")
+        for i in range(len(column)):
+            ids = encode_text(column[i].as_py() or "", raw, pattern)
+            rows[0].append(len(ids))
+            rows[1].append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+            rows[2].append(hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest())
+            if keep_ids:
+                rows[3].append(pa.array(ids, pa.int32()))
+            held += len(ids)
+            if held >= 2_000_000 or i + 1 == len(column):
+                arrays = [batch.column("id").slice(first, i + 1 - first), pa.array(rows[0], pa.int64())]
+                arrays += [pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
+                fields = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if keep_ids:
+                    ends = [0]
+                    for one in rows[3]:
+                        ends.append(ends[-1] + len(one))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(rows[3])))
+                    fields.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names=fields)
+                first, held, rows = i + 1, 0, [[], [], [], []]
+
+
 def encode(
     docs: DataFrame,
     vocabulary_path: str,
