@@ -124,6 +124,10 @@ def t_p_column(t: Column, df: Column) -> Column:
     return _column(t_p, t, df)
 
 
+def normal_quantile_column(p: Column) -> Column:
+    return _column(normal_quantile, p)
+
+
 def f_p_column(f: Column, d1: Column, d2: Column) -> Column:
     return _column(f_p, f, d1, d2)
 

@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +15,11 @@ from tabulon.functions.stats import normality_k2, normality_p, round4
 from tabulon.operators.correlation import pair_correlations
 from tabulon.plans.longform import numeric_columns, per_column, ref
 from tabulon.plans.quantiles import numeric
-from tabulon.plans.ranks import average_ranks
-from tabulon.plans.sample import smallest_hashes
+from tabulon.plans.ranks import average_ranks, row_ranks
 from tabulon.plans.stage import stage
 
 ALPHA = 0.05
-SAMPLE_LIMIT = 5000  # the Shapiro-Wilk weights are defined up to this many values
+P_LIMIT = 5000  # the published p-value of Shapiro-Wilk holds up to this many values
 
 
 def _p6(c):
@@ -267,29 +265,24 @@ MEAN_LARGE = (0.0038915, -0.083751, -0.31082, -1.5861)
 SPREAD_LARGE = (0.0030302, -0.082676, -0.4803)
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """(W, p) of 4 to 5000 values."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if n < 4 or x[0] == x[-1]:
-        return float("nan"), float("nan")
-    m = np.array([dist.normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    total = float(m @ m)
-    c = m / math.sqrt(total)
+def _shapiro(n: int, total: float, mx: float, last: list[float], ends: list[float], squares: float) -> tuple[float, float]:
+    """(W, p) from sums over the sorted values x and the normal scores m of their ranks.
+
+    total: of m^2; mx: of m * x; last: m of the second-last and the last rank; ends: the first, second, second-last
+    and last x; squares: of x about its mean. The p-value is nan beyond P_LIMIT values."""
+    second, top = last
     u = 1.0 / math.sqrt(n)
-    a = np.zeros(n)
-    a[-1] = c[-1] + np.polyval(LAST_WEIGHT, u)
+    a_top = top / math.sqrt(total) + float(np.polyval(LAST_WEIGHT, u))
+    fixed, used, taken = a_top * (ends[3] - ends[0]), a_top**2, top**2
+    middle = mx - top * (ends[3] - ends[0])
     if n > 5:
-        a[-2] = c[-2] + np.polyval(SECOND_WEIGHT, u)
-        phi = (total - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a[-1] ** 2 - 2 * a[-2] ** 2)
-        a[2:-2] = m[2:-2] / math.sqrt(phi)
-        a[1] = -a[-2]
-    else:
-        phi = (total - 2 * m[-1] ** 2) / (1 - 2 * a[-1] ** 2)
-        a[1:-1] = m[1:-1] / math.sqrt(phi)
-    a[0] = -a[-1]
-    centred = x - x.mean()
-    w = min(1.0, float((a @ x) ** 2 / (centred @ centred)))
+        a_second = second / math.sqrt(total) + float(np.polyval(SECOND_WEIGHT, u))
+        fixed, used, taken = fixed + a_second * (ends[2] - ends[1]), used + a_second**2, taken + second**2
+        middle -= second * (ends[2] - ends[1])
+    phi = (total - 2 * taken) / (1 - 2 * used)
+    w = min(1.0, (fixed + middle / math.sqrt(phi)) ** 2 / squares)
+    if n > P_LIMIT:
+        return w, float("nan")
     gap = math.log(max(1e-300, 1.0 - w))
     if n <= 11:
         edge = 0.459 * n - 2.273
@@ -301,27 +294,48 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, dist.normal_p(float(z))
 
 
-def shapiro_test(df: DataFrame, column: str, key: list[str], limit: int = SAMPLE_LIMIT) -> DataFrame:
-    """Shapiro-Wilk on a repeatable sample of at most 5000 values, which is the test's own limit."""
-    kept = df.filter(numeric(df, column).isNotNull())
-    sample = smallest_hashes(kept, key, limit).select(
-        F.lit(column).alias("column"), numeric(df, column).cast("double").alias("x")
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf["x"].to_numpy())
-        return pd.DataFrame(
-            {
-                "column": [pdf["column"].iloc[0]],
-                "n_samples": [len(pdf)],
-                "statistic": [round(w, 4)],
-                "p_value": [round(p, 6)],
-                "is_normal": [bool(p > ALPHA)],
-            }
-        )
-
-    return sample.groupBy("column").applyInPandas(
-        run, "column string, n_samples long, statistic double, p_value double, is_normal boolean"
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """(W, p) of values in memory; nan below four values or if all are equal."""
+    x = np.sort(np.asarray(values, dtype=float))
+    n = len(x)
+    if n < 4 or x[0] == x[-1]:
+        return float("nan"), float("nan")
+    m = np.array([dist.normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    centred = x - x.mean()
+    return _shapiro(n, float(m @ m), float(m @ centred), [m[-2], m[-1]], [*x[:2], *x[-2:]], float(centred @ centred))
+
+
+def shapiro_test(df: DataFrame, column: str, key: list[str]) -> DataFrame:
+    """Shapiro-Wilk over all rows with a value: one row of column, n_samples, statistic, p_value, is_normal.
+
+    Only a value's rank enters its weight, so the rows are ranked over ranges of (value, key) and summed once. The
+    p-value and the verdict are null beyond P_LIMIT values, where the published approximation ends; with fewer than
+    four values or equal ones the statistic is null too."""
+    x = numeric(df, column).cast("double")
+    keys = [f"_k{i}" for i in range(len(key))]
+    rows = df.filter(x.isNotNull()).select(x.alias("x"), *[ref(k).alias(name) for k, name in zip(key, keys)])
+    ranked = row_ranks(rows, "x", keys)
+    n, mean, low, high = ranked.agg(F.count("x"), F.avg("x"), F.min("x"), F.max("x")).first()
+    w = p = None
+    if n >= 4 and low < high:
+        scored = ranked.withColumn("m", dist.normal_quantile_column((F.col("rank") - 0.375) / F.lit(n + 0.25)))
+        centred = F.col("x") - F.lit(mean)
+
+        def at(value: str, rank: int):
+            return F.max(F.when(F.col("rank") == rank, F.col(value)))
+
+        total, mx, squares, *rest = scored.agg(
+            F.sum(F.col("m") * F.col("m")),
+            F.sum(F.col("m") * centred),
+            F.sum(centred * centred),
+            *[at("m", r) for r in (n - 1, n)],
+            *[at("x", r) for r in (1, 2, n - 1, n)],
+        ).first()
+        w, p = _shapiro(n, total, mx, rest[:2], rest[2:], squares)
+        w, p = round(w, 4), None if math.isnan(p) else round(p, 6)
+    return df.sparkSession.createDataFrame(
+        [(column, n, w, p, None if p is None else p > ALPHA)],
+        "column string, n_samples long, statistic double, p_value double, is_normal boolean",
     )
 
 

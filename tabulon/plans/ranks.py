@@ -26,3 +26,17 @@ def average_ranks(values: DataFrame, column: str, weight: str) -> DataFrame:
         .join(F.broadcast(offsets), "_part")
         .select(column, (F.col("_before") + F.col("_less") + (F.col("n") + 1) / 2).alias("rank"))
     )
+
+
+def row_ranks(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """rows with `rank`, 1 to the number of rows, by column and then keys; the keys spread ties over ranges."""
+    ranged = stage(rows.repartitionByRange(column, *keys).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(column, *keys)
+    return (
+        ranged.withColumn("_at", F.row_number().over(inside))
+        .join(F.broadcast(offsets), "_part")
+        .select(*rows.columns, (F.col("_before") + F.col("_at")).alias("rank"))
+    )

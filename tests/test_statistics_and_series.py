@@ -20,6 +20,19 @@ def test_tails_match_tables():
     assert dist.t_p(0.0, 5) == 1.0 and dist.t_p(math.inf, 5) == 0.0
 
 
+def test_shapiro_over_all_rows(spark):
+    rng = np.random.default_rng(5)
+    for n, ties in ((5, 0), (9, 3), (600, 200), (6000, 2000)):
+        values = np.concatenate([np.full(ties, 0.25), rng.normal(size=n - ties)])
+        rows = [(i, float(v)) for i, v in enumerate(values)] + [(n, None)]
+        found = H.shapiro_test(spark.createDataFrame(rows, "k long, v double").repartition(7), "v", ["k"]).first()
+        w, p = H.shapiro_wilk(values)
+        assert found["n_samples"] == n and abs(found["statistic"] - w) < 1e-4
+        assert found["p_value"] is None if n > H.P_LIMIT else abs(found["p_value"] - p) < 1e-5
+    few = H.shapiro_test(spark.createDataFrame([], "k long, v double"), "v", ["k"]).first()
+    assert (few["n_samples"], few["statistic"], few["is_normal"]) == (0, None, None)
+
+
 def test_shapiro_wilk_known_values():
     w, p = H.shapiro_wilk(np.arange(1.0, 11.0))
     assert (round(w, 4), round(p, 3)) == (0.9702, 0.892)
