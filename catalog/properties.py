@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import query
 from catalog.learning import FEATURES, LINE, charged, labelled
 from catalog.series import DAILY, MONTHLY, points
-from tabulon.operators import classify, cluster, features, isolation, regression, relational
+from tabulon.operators import classify, cluster, cluster_job, features, isolation, regression, relational
 from tabulon.operators import smoothing as M
 from tabulon.operators.models import hash_flag
 
@@ -122,3 +122,60 @@ SELECT round(arg_min(l, v), 1) AS power FROM (
 def _(t):
     power = features.box_cox_lambda(t.documents, F.col("n_chars").cast("double") + 1)
     return t.documents.agg(F.round(F.lit(power), 1).alias("power"))
+
+
+# Every 50th customer lies far off, the others in two groups.
+PLANTED = """SELECT c_custkey, c_custkey % 50 = 0 AS far, CASE WHEN c_custkey % 50 = 0 THEN 10000 + c_custkey * 10 ELSE c_custkey % 2 * 100 END
+  + CAST(c_acctbal AS DOUBLE) / 10000 AS a, CASE WHEN c_custkey % 50 = 0 THEN -10000 - c_custkey * 10 ELSE c_custkey % 2 * 100 END
+  - CAST(c_acctbal AS DOUBLE) / 10000 AS b FROM customer"""
+
+
+def planted(t):
+    t.customer.createOrReplaceTempView("customer")
+    return t.spark.sql(PLANTED)
+
+
+@query("anomaly_planted", "SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0")
+def _(t):
+    found = isolation.isolation_forest(planted(t), ["a", "b"], ["c_custkey"], contamination=0.02)
+    return found.filter("anomaly").select("c_custkey")
+
+
+@query("cluster_outliers_planted", f"""
+SELECT CASE WHEN far THEN 'outlier' ELSE 'segment' END AS type, count(*) AS size, round(count(*) / (SELECT count(*) FROM customer), 4) AS share,
+  round(avg(a), 4) AS mean_a, round(avg(b), 4) AS mean_b FROM ({PLANTED}) GROUP BY far, CASE WHEN far THEN 0 ELSE c_custkey % 2 END""")
+def _(t):
+    rows = cluster_job.cluster_rows(planted(t), "c_custkey", ["a", "b"], contamination=0.02)
+    return cluster.cluster_summary(rows, ["a", "b"]).select("type", "size", "share", "mean_a", "mean_b")
+
+
+@query("cluster_count_planted", """
+SELECT count(*) AS size, round(avg(c_custkey % 3 * 100), 4) AS mean_a, round(avg(CASE WHEN c_custkey % 3 = 1 THEN 100 ELSE 0 END), 4) AS mean_b
+FROM customer GROUP BY c_custkey % 3""")
+def _(t):
+    rows = t.customer.selectExpr(
+        "c_custkey", "CAST(c_custkey % 3 * 100 AS double) AS a", "CAST(IF(c_custkey % 3 = 1, 100, 0) AS double) AS b"
+    )
+    found = cluster_job.cluster_rows(rows, "c_custkey", ["a", "b"])
+    return cluster.cluster_summary(found, ["a", "b"]).select("size", "mean_a", "mean_b")
+
+
+def separable(t):
+    return t.customer.selectExpr(
+        "c_custkey", "CAST(c_custkey % 2 AS int) AS side", "c_custkey % 2 * 100 AS flag", "CAST(c_acctbal AS double) AS noise"
+    )
+
+
+@query("predict_planted", "SELECT c_custkey, (c_custkey % 2)::INTEGER AS predicted FROM customer")
+def _(t):
+    rows = separable(t)
+    model = classify.train(rows, "side", ["flag", "noise"], hash_flag(["c_custkey"]), "random_forest")
+    return model.transform(rows).select("c_custkey", "predicted")
+
+
+@query("accuracy_planted", """
+SELECT model, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1
+FROM (SELECT unnest(['logistic', 'random_forest', 'gradient_boosting']) AS model)""")
+def _(t):
+    out = classify.classification_metrics(separable(t), "side", ["flag", "noise"], hash_flag(["c_custkey"]))
+    return out.drop("test_rows")

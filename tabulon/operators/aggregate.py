@@ -268,9 +268,14 @@ def entropy(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     totals = df.agg(*[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     n = F.create_map(*[F.lit(v) for i, c in enumerate(columns) for v in (c, float(totals[i]))])
     share = F.col("count") / n[F.col("column")]
+    counts = (
+        unpivot_text(df, columns)
+        .filter(F.col("value").isNotNull())
+        .groupBy("column", identity(F.col("value")).alias("value"))
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
     return (
-        value_counts(df, columns)
-        .groupBy("column")
+        counts.groupBy("column")
         .agg(
             round4(-F.sum(share * F.log2(share + 1e-10))).alias("entropy"),
             F.count(F.lit(1)).alias("distinct"),

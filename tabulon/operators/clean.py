@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from tabulon.errors import AnalysisError
 from tabulon.functions import text as T
 from tabulon.operators.aggregate import value_counts
-from tabulon.plans.longform import numeric_columns, per_column, ref, text_columns, time_columns
+from tabulon.plans.longform import identity, numeric_columns, per_column, ref, text_columns, time_columns, unpivot_text
 from tabulon.plans.quantiles import exact_quantiles
 
 
@@ -148,8 +148,13 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 
 def complete_cases(df: DataFrame) -> DataFrame:
     """Rows without missing cells, or the input itself when no row is complete."""
+    return complete_cases_or_all(df)[0]
+
+
+def complete_cases_or_all(df: DataFrame) -> tuple[DataFrame, bool]:
+    """`complete_cases` and whether it fell back to the input because no row is complete."""
     kept = df.na.drop()
-    return df if kept.isEmpty() else kept
+    return (df, True) if kept.isEmpty() else (kept, False)
 
 
 def impute(df: DataFrame, strategy: str = "mean", columns=None) -> DataFrame:
@@ -185,8 +190,12 @@ def whitespace_counts(df: DataFrame, columns=None) -> DataFrame:
 def numeric_mix(df: DataFrame, columns=None) -> DataFrame:
     """Share of distinct values that read as numbers, and whether that share signals mixed content."""
     columns = columns or text_columns(df)
-    distinct = value_counts(df, columns)
-    share = F.avg(T.parse_number(F.col("value")).isNotNull().cast("double"))
+    value = F.col("value")
+    reads = T.parse_number(value).isNotNull().cast("double").alias("reads")
+    distinct = (
+        unpivot_text(df, columns).filter(value.isNotNull()).select("column", identity(value).alias("value"), reads).distinct()
+    )
+    share = F.avg("reads")
     return distinct.groupBy("column").agg(F.round(share, 4).alias("numeric_ratio")).withColumn(
         "mixed", (F.col("numeric_ratio") > 0.2) & (F.col("numeric_ratio") < 0.8)
     )

@@ -85,10 +85,10 @@ def encode_categorical(df: DataFrame, columns=None, limit: int = ONE_HOT_LIMIT)
 def box_cox_lambda(df: DataFrame, value, rounds: int = 4) -> float:
     """Likelihood maximum of the Box-Cox power: each round is one scan over a finer grid."""
     centre, reach, points = 0.0, 4.0, 17
+    shift = df.agg(F.avg(F.log(value))).first()[0]
+    scaled = value / F.lit(math.exp(shift))  # the likelihood's maximum does not depend on scale
     for _ in range(rounds):
         grid = [centre - reach + 2 * reach * i / (points - 1) for i in range(points)]
-        shift = df.agg(F.avg(F.log(value))).first()[0]
-        scaled = value / F.lit(math.exp(shift))  # the likelihood's maximum does not depend on scale
 
         def power(lam, x=scaled):
             return F.log(x) if abs(lam) < 1e-9 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
@@ -152,7 +152,7 @@ def standard_scale(df: DataFrame, columns=None) -> DataFrame:
 
 def engineered_features(df: DataFrame, target: str | None = None) -> DataFrame:
     """Encode, expand dates, repair skew, drop flat columns, scale; the target stays as it is."""
-    out = date_features(encode_categorical(df))
+    out = stage(date_features(encode_categorical(df)))  # later steps scan it several times
     out = repair_skew(out, target=target)
     numbers = [c for c in numeric_columns(out) if c != target]
     out = drop_low_variance(out, numbers)

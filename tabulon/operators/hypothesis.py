@@ -13,7 +13,7 @@ from tabulon.errors import AnalysisError
 from tabulon.functions import dist
 from tabulon.functions.stats import normality_k2, normality_p, round4
 from tabulon.operators.correlation import pair_correlations
-from tabulon.plans.longform import numeric_columns, per_column, ref
+from tabulon.plans.longform import identity, numeric_columns, per_column, ref
 from tabulon.plans.quantiles import numeric
 from tabulon.plans.ranks import average_ranks, row_ranks
 from tabulon.plans.stage import stage
@@ -148,35 +148,25 @@ def chi_square_fit(df: DataFrame, column: str, expected: str | None = None) -> D
             (F.col("k") - 1).alias("df"),
         )
     else:
-        seen, hoped = _count_runs(counts), _count_runs(
-            df.filter(ref(expected).isNotNull()).groupBy(ref(expected)).agg(F.count(F.lit(1)).alias("o"))
-        )
-        k, k2 = sum(m for _, m in seen), sum(m for _, m in hoped)
+        hoped = df.filter(ref(expected).isNotNull()).groupBy(ref(expected).alias("v")).agg(F.count(F.lit(1)).alias("o"))
+        seen = _counts_in_order(counts)
+        hoped = _counts_in_order(hoped).withColumnRenamed("o", "e")
+        k, k2 = seen.count(), hoped.count()
         if k != k2:
             raise AnalysisError(f"categories differ: {k} and {k2}")
-        x, i, j = 0.0, 0, 0
-        left, right = [list(r) for r in seen], [list(r) for r in hoped]
-        while i < len(left):
-            (o, a), (e, b) = left[i], right[j]
-            run = min(a, b)
-            x += run * (o - e) ** 2 / e
-            left[i][1] -= run
-            right[j][1] -= run
-            i, j = i + (left[i][1] == 0), j + (right[j][1] == 0)
-        out = df.sparkSession.createDataFrame(
-            [(k, x, k - 1)], "n_categories long, x double, df long"
+        o, e = F.col("o"), F.col("e")
+        out = seen.join(hoped, "rank").agg(
+            F.count(F.lit(1)).alias("n_categories"), F.sum((o - e) * (o - e) / e).alias("x")
         )
+        out = out.withColumn("df", F.col("n_categories") - 1)
     out = out.filter(F.col("n_categories") >= 2).withColumn("p", dist.chi2_p_column(F.col("x"), F.col("df")))
     return _with_verdict(out.withColumn("chi_square", round4(F.col("x"))), "n_categories", "df", "chi_square")
 
 
-def _count_runs(counts: DataFrame) -> list[tuple[int, int]]:
-    """(count, categories with that count), largest first.
-
-    Distinct counts add up to at most the row count, so there are at most sqrt(2 rows) of them.
-    """
-    runs = counts.groupBy("o").agg(F.count(F.lit(1)).alias("m")).collect()
-    return sorted(((r["o"], r["m"]) for r in runs), reverse=True)
+def _counts_in_order(counts: DataFrame) -> DataFrame:
+    """(rank, o): the category counts by size, ranked over ranges without a global sort."""
+    short = counts.select("o", identity(F.col("v").cast("string")).alias("v"))
+    return stage(row_ranks(short, "o", ["v"]).select("rank", "o"))
 
 
 def chi_square_independence(df: DataFrame, a: str, b: str) -> DataFrame:

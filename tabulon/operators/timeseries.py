@@ -14,6 +14,7 @@ from tabulon.functions.stats import frequency_label, round4
 from tabulon.operators.kpi import volatility
 from tabulon.plans.longform import ref
 from tabulon.plans.quantiles import quantile_exprs
+from tabulon.plans.stage import stage
 
 GRAINS = ("year", "quarter", "month", "week", "day", "hour")
 
@@ -111,7 +112,7 @@ def distinct_gaps(df: DataFrame, ts: str, series: str | None = None) -> DataFram
 
 def median_gap(df: DataFrame, ts: str) -> DataFrame:
     """Exact median gap of the whole table in days and its frequency label."""
-    gaps = distinct_gaps(df, ts)
+    gaps = stage(distinct_gaps(df, ts).select("gap_days"))  # every quantile pass reads it
     value = quantile_exprs(gaps, {"gap": F.col("gap_days")}, (0.5,))["gap"][0]
     n = gaps.agg(F.count(F.lit(1)).alias("timestamps"))
     median = F.lit(value).cast("double")

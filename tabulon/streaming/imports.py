@@ -45,7 +45,7 @@ def import_new_files(rows: DataFrame, target: str, log: str, checkpoint: str) ->
             kept = batch.filter(F.col(BAD).isNull()).drop(BAD) if BAD in batch.columns else batch
             kept.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
         except Exception as problem:
-            error = f"{type(problem).__name__}: {problem}"[:500]
+            error = f"{type(problem).__name__}: {problem}"
             raise
         finally:
             batch.unpersist()

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon import errors
-from tabulon.operators import classify, cluster, density, features, isolation, regression
+from tabulon.operators import classify, cluster, cluster_job, density, features, isolation, regression
 from tabulon.operators.models import hash_flag
 
 
@@ -150,3 +150,28 @@ def test_encoding_and_engineering(spark):
     ready = features.engineered_features(df, target="x")
     assert "flat" not in ready.columns
     assert ready.agg(F.round(F.stddev_pop("many"), 6)).first()[0] == 1.0
+
+
+def test_cluster_rows_falls_back_to_density_clusters(spark):
+    df = spark.createDataFrame([(i, 1.0, 2.0) for i in range(40)], "id int, a double, b double")
+    rows = cluster_job.cluster_rows(df, "id", ["a", "b"], restarts=1).toPandas()
+    assert len(rows) == 40 and set(rows["algorithm"]) == {"dbscan"} and set(rows["cluster_id"]) == {0}
+
+
+def test_density_labels_number_clusters_and_mark_noise(spark):
+    points = [(i, float(i % 2) * 50) for i in range(40)] + [(99, 1000.0)]
+    df = spark.createDataFrame(points, "id int, a double")
+    prep = cluster_job.Preparation(["a"], [0.0], [0.0], [1.0])
+    got = {r["id"]: r["cluster_id"] for r in cluster_job.density_labels(df, "id", ["a"], prep, 1.2, 5).collect()}
+    assert got == {**{i: i % 2 for i in range(40)}, 99: -1}
+
+
+def test_check_clustering(spark):
+    from tabulon.operators import quality
+
+    df = spark.createDataFrame([(i, float(i)) for i in range(30)], "a int, b double")
+    quality.check_clustering(df)
+    with pytest.raises(errors.InsufficientDataError):
+        quality.check_clustering(df.filter("a < 29"))
+    with pytest.raises(errors.InsufficientFeaturesError):
+        quality.check_clustering(df.select("a"))

@@ -88,7 +88,7 @@ def test_names_collide(spark):
 
 def test_complete_cases_fall_back(spark):
     df = spark.createDataFrame([(1, None), (None, 2)], "a int, b int")
-    assert C.complete_cases(df).count() == 2
+    assert C.complete_cases(df).count() == 2 and C.complete_cases_or_all(df)[1]
     assert C.complete_cases(df.union(spark.createDataFrame([(1, 1)], "a int, b int"))).count() == 1
 
 
