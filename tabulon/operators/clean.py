@@ -16,11 +16,15 @@ from tabulon.plans.longform import identity, numeric_columns, per_column, ref, t
 from tabulon.plans.quantiles import exact_quantiles
 
 
+SQL_NAME_LENGTH = 64
+
+
 def sql_name(name: str, position: int) -> str:
-    clean = re.sub(r"[^a-zA-Z0-9_]", "_", name.strip()) or f"column_{position}"
-    if not (clean[0].isalpha() or clean[0] == "_"):
-        clean = f"col_{clean}"
-    return clean[:64]
+    """ASCII letters, digits and underscores, not led by a digit, at most SQL_NAME_LENGTH long."""
+    word = re.sub(r"\W", "_", name.strip(), flags=re.ASCII)
+    if not word:
+        return f"column_{position}"
+    return (f"col_{word}" if word[0].isdigit() else word)[:SQL_NAME_LENGTH]
 
 
 def snake_name(name: str, position: int) -> str:
@@ -46,7 +50,8 @@ def sanitize_names(df: DataFrame, rule: str = "snake") -> DataFrame:
         name, k = base, 1
         while name.lower() in taken:
             k += 1
-            name = f"{base}_{k}"
+            number = f"_{k}"
+            name = (base[: SQL_NAME_LENGTH - len(number)] if rule == "sql" else base) + number
         taken.add(name.lower())
         names.append(name)
     return df.toDF(*names)

@@ -84,6 +84,8 @@ def test_names_collide(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], ["A b", "a-b", "1st", "%%"])
     assert C.sanitize_names(df).columns == ["a_b", "a_b_2", "_1st", "column_3"]
     assert C.sanitize_names(df, "sql").columns == ["A_b", "a_b_2", "col_1st", "__"]
+    long = spark.createDataFrame([(1, 2, 3)], ["x" * 70, "X" * 64, ""])
+    assert C.sanitize_names(long, "sql").columns == ["x" * 64, "X" * 62 + "_2", "column_2"]
 
 
 def test_complete_cases_fall_back(spark):
