@@ -1,17 +1,20 @@
 """Log-probabilities of texts under a probabilistic suffix tree of words.
 
 The root's distribution has every word of the training texts, (c + 1) / (N + V + 1), and as much for a word
-never seen. A context of one or two words is a candidate if some word follows it often (a SHARE of all tokens),
-and is kept if its next-word distribution diverges enough from that of its suffix: n * KL >= (k + 1) / 2 * ln n,
-with n its occurrences and k the words that follow it often; suffixes of kept contexts are kept. Its followers
-get (n(s, w) - DISCOUNT) / n(s), all other words share what is left in proportion to the suffix's distribution. A
-word is scored in the longest context kept, so the probabilities of all words and the unseen one add up to 1.
-
-What counts as often is a share of the tokens, so at most 1 / SHARE pairs per length are kept, whatever the
-corpus: the tree is broadcast. It is found exactly in two passes: what has the share in all of the tokens has it
-in some chunk of them, so each task names the frequent ones of its chunks, and a second pass counts those
-over all texts. Root counts are not bounded: words below WORD_SHARE are joined with the vocabulary, not
-broadcast, and being rare they make no hot key.
+never seen. A context of one or two words is a candidate if some word follows it LEAST times or more, whatever
+the corpus, and is kept if its next-word distribution diverges enough from that of its suffix:
+n * KL >= (k + 1) / 2 * ln n, with n its occurrences and k the words that follow it LEAST times or more; suffixes of
+kept contexts are kept. Its followers get (n(s, w) - DISCOUNT) / n(s), all other words share what is left in proportion
+to the suffix's distribution. A word is scored in the longest context kept, so the probabilities of all words and
+the unseen one add up to 1.
+
+The tree is a table. A text's score is the root's plus a sum over its words, pairs and triples: the log of what a
+context leaves to other words counts for each of its occurrences, and what a follower has beyond that for each
+occurrence of the pair or triple. So every gram has one weight, and texts are scored by joining their grams with
+the weights, both dealt by ranges of the grams' hashes. Only grams with at least a SHARE of all tokens (words: a
+WORD_SHARE) are broadcast, at most 1 / SHARE of each length; being the frequent ones, they make no hot key in the
+join. A bit table of at most 2 ** FILTER_BITS slots leaves out grams that surely have no weight; a full one only
+leaves out less.
 """
 
 from __future__ import annotations
@@ -27,14 +30,18 @@ from pyspark.sql import functions as F
 from tabulon.llm.text import SPACED, Slice, Words, list_array, mix, slices
 from tabulon.plans.stage import stage
 
+#: Shares of all tokens from which words, and pairs and triples, are broadcast. The scores don't depend on them.
 WORD_SHARE = 1e-6
 SHARE = 2e-6
+#: Occurrences from which a follower is explicit.
+LEAST = 2
 DISCOUNT = 0.5
-CHUNK_TOKENS = 4_000_000
-#: Candidates that a counting pass broadcasts; more are counted in several passes.
-CANDIDATES = 2_000_000
+CHUNK_TOKENS = 2_000_000
+#: Training tokens for each part that grams are dealt to.
+PART_TOKENS = 2_000_000
+FILTER_BITS = 29
 _END = np.uint64(0x5851F42D4C957F2D)
-_BITS = 21  # 1 / WORD_SHARE and 1 / SHARE fit
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -75,249 +82,368 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(held)
 
 
-def _pairs(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Keys of (word before, word); -1 at a row's begin or with a word that isn't frequent."""
-    out = np.full(len(ids), -1, dtype=np.int64)
-    out[1:] = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] << _BITS | ids[1:], -1)
-    out[first[:-1]] = -1
-    return out
+def joined(a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Hash of a gram of `length` words: a pair's words, or the two pairs of a triple."""
+    return mix(a * _GOLDEN + mix(b + np.uint64(length)))
+
 
+def grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the pair and the triple that end at each token, and where a row has them."""
+    two = np.ones(len(h), dtype=bool)
+    two[first[:-1]] = False
+    three = two.copy()
+    three[1:] &= two[:-1]
+    pair, triple = np.zeros(len(h), dtype=np.uint64), np.zeros(len(h), dtype=np.uint64)
+    pair[1:] = joined(h[:-1], h[1:], 2)
+    triple[1:] = joined(pair[:-1], pair[1:], 3)
+    return pair, two, triple, three
 
-PACKED = "part int, pair array<long>, third array<long>, n array<long>"
 
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
-def _packed(pair: np.ndarray, third: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
-    """One row for each part of the keys (word and word, word or -1) and their counts: few rows, long lists."""
-    part = (mix(pair.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+def _dealt(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each part, with lists of what it has of the columns: few rows, long lists."""
     order = np.argsort(part, kind="stable")
     names, size = np.unique(part, return_counts=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names.astype(np.int32)), *[list_array(pa.array(x[order]), size) for x in (pair, third, n)]],
-        names=["part", "pair", "third", "n"],
-    )
+    lists = [list_array(_long(x[order]), size) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *lists], names=["part", *columns])
 
 
-def _unpacked(table: pa.Table) -> list[np.ndarray]:
-    return [table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("pair", "third", "n")]
+def _parts(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _merge(least: float):
-    """Sum the counts of a part's keys and leave out those below the least."""
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-    def run(table: pa.Table) -> pa.Table:
-        pair, third, n = _unpacked(table)
-        order = np.lexsort((third, pair))
-        pair, third, n = pair[order], third[order], n[order]
-        fresh = np.ones(len(pair), dtype=bool)
-        fresh[1:] = (pair[1:] != pair[:-1]) | (third[1:] != third[:-1])
-        sums = np.add.reduceat(n, np.flatnonzero(fresh))
-        enough = sums >= least
-        kept = [x[fresh][enough] for x in (pair, third)] + [sums[enough]]
-        one = [list_array(pa.array(x), np.array([len(x)])) for x in kept]
-        part = pa.array(table.column("part").to_numpy()[:1].astype(np.int32))
-        return pa.Table.from_arrays([part, *one], names=["part", "pair", "third", "n"])
 
-    return run
+def _keys(table: pa.Table, name: str) -> np.ndarray:
+    return _flat(table, name).astype(np.int64).view(np.uint64)
 
 
-def _name_frequent(shared, share: float, parts: int):
-    """Pairs and triples that are frequent in a chunk."""
+def _passes(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """False only for keys that aren't in the bit table."""
+    size = 8 * len(bits)
+    slot = key >> np.uint64(64 - (size.bit_length() - 1))
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
 
+def _bit_table(keys: DataFrame, parts: int) -> np.ndarray:
+    """Bits of the column `key`, 16 slots a key up to the bound."""
+    size = min(FILTER_BITS, max(parts + 3, math.ceil(math.log2(16 * max(1, keys.count())))))
+    size = max(size, parts + 3)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield _dealt(_parts(key, parts), {"key": key})
+
+    def mark(table: pa.Table) -> pa.Table:
+        here = (_keys(table, "key") >> np.uint64(64 - size)).astype(np.int64) & ((1 << (size - parts)) - 1)
+        bits = np.zeros(1 << (size - parts), dtype=np.uint8)
+        bits[here] = 1
+        packed = pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())
+        return pa.Table.from_arrays([pa.array(table.column("part").to_numpy()[:1]), packed], names=["part", "bits"])
+
+    marked = keys.select("key").mapInArrow(deal, "part int, key array<long>").groupBy("part")
+    out = np.zeros(1 << (size - 3), dtype=np.uint8)
+    width = 1 << (size - 3 - parts)
+    for row in marked.applyInArrow(mark, "part int, bits binary").toLocalIterator():
+        out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
+def _count_grams(length: int, parts: int, shared=None):
+    """Counts of the pairs, or of the triples whose pairs the bit table has, by chunks of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            total = sum(len(pair) for pair, _ in held)
-            pair = np.concatenate([p for p, _ in held])
-            third = np.concatenate([t for _, t in held])
-            known, n = np.unique(pair[pair >= 0], return_counts=True)
-            often = known[n >= share * total]
-            # the triple's first two words are the pair one before, which is as frequent
-            before = np.full(len(pair), -1, dtype=np.int64)
-            before[1:] = find(pair[:-1], often)
-            at = (third >= 0) & (before >= 0)
-            triple, n = np.unique(before[at] << _BITS | third[at], return_counts=True)
-            triple = triple[n >= share * total]
-            pairs = np.concatenate([often, often[triple >> _BITS]])
-            thirds = np.concatenate([np.full(len(often), -1, dtype=np.int64), triple & ((1 << _BITS) - 1)])
-            return _packed(pairs, thirds, np.ones(len(pairs), dtype=np.int64), parts)
+            a, b = (np.concatenate([x[j] for x in held]) for j in range(2))
+            key, at, n = np.unique(joined(a, b, length), return_index=True, return_counts=True)
+            return _dealt(_parts(key, parts), {"a": a[at], "b": b[at], "n": n.astype(np.int64)})
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen = 0
         for batch in batches:
             for piece in slices(batch.column("text")):
                 h, first = tokens(piece)
-                ids = find(h, table)
-                pair = _pairs(ids, first)
-                third = np.where(pair >= 0, ids, -1)
-                held.append((pair, third))
-                if sum(len(p) for p, _ in held) >= CHUNK_TOKENS:
+                pair, two, _, three = grams(h, first)
+                seen += len(h)
+                if length == 2:
+                    at = np.flatnonzero(two)
+                    held.append((h[at - 1], h[at]))
+                else:
+                    good = two & _passes(pair, shared.value)
+                    at = np.flatnonzero(three)
+                    at = at[good[at] & good[at - 1]]
+                    held.append((pair[at - 1], pair[at]))
+                if seen >= CHUNK_TOKENS:
                     yield told(held)
-                    held = []
+                    held, seen = [], 0
         if held:
             yield told(held)
 
     return run
 
 
-def _count_named(shared, parts: int):
-    """Counts of the named pairs and triples."""
+COUNTED = "part int, a array<long>, b array<long>, n array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, pairs, triples = shared.value
-        pair_n, triple_n = np.zeros(len(pairs), dtype=np.int64), np.zeros(len(triples), dtype=np.int64)
-        for batch in batches:
-            for piece in slices(batch.column("text")):
-                h, first = tokens(piece)
-                ids = find(h, table)
-                at = find(_pairs(ids, first), pairs)
-                pair_n += np.bincount(at[at >= 0], minlength=len(pairs))
-                before = np.full(len(ids), -1, dtype=np.int64)
-                before[1:] = at[:-1]
-                before[first[:-1]] = -1
-                good = (before >= 0) & (ids >= 0)
-                three = find(before[good] << _BITS | ids[good], triples)
-                triple_n += np.bincount(three[three >= 0], minlength=len(triples))
-        used, more = np.flatnonzero(pair_n), np.flatnonzero(triple_n)
-        yield _packed(
-            np.concatenate([pairs[used], pairs[triples[more] >> _BITS]]),
-            np.concatenate([np.full(len(used), -1, np.int64), triples[more] & ((1 << _BITS) - 1)]),
-            np.concatenate([pair_n[used], triple_n[more]]),
-            parts,
-        )
 
-    return run
+def _merge(length: int, shared=None):
+    """Sum the counts of a part's grams and leave out those below LEAST; a pair's words get their counts if frequent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, n = _keys(table, "a"), _keys(table, "b"), _flat(table, "n")
+        key = joined(a, b, length)
+        order = np.argsort(key)
+        key, a, b, n = key[order], a[order], b[order], n[order]
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = key[1:] != key[:-1]
+        sums = np.add.reduceat(n, np.flatnonzero(fresh)) if len(n) else n
+        key, a, b = key[fresh][sums >= LEAST], a[fresh][sums >= LEAST], b[fresh][sums >= LEAST]
+        columns = {"key": _long(key), "a": _long(a), "b": _long(b), "n": pa.array(sums[sums >= LEAST])}
+        if shared is not None:
+            words, counts = shared.value
+            for name, x in (("na", a), ("nb", b)):
+                at = find(x, words)
+                known = counts[at].astype(np.int64) if len(words) else np.zeros(len(x), dtype=np.int64)
+                columns[name] = pa.array(known, mask=at < 0)
+        return pa.table(columns)
 
+    return run
 
-def _level(context: np.ndarray, n_context: np.ndarray, n: np.ndarray, below: np.ndarray, size: int) -> tuple:
-    """Smoothed chances of a level's explicit followers, log of the rest's weight per context, and kept contexts.
 
-    context: of each follower, below `size`; below: the follower's chance in the suffix."""
-    chance = (n - DISCOUNT) / n_context[context]
-    given = np.bincount(context, weights=chance, minlength=size)
-    had = np.bincount(context, weights=below, minlength=size)
-    rest, rest_below = np.maximum(1 - given, 1e-12), np.maximum(1 - had, 1e-12)
-    gain = np.bincount(context, weights=chance * np.log(chance / below), minlength=size)
-    gain = gain + rest * np.log(rest / rest_below)
-    followers = np.bincount(context, minlength=size)
-    kept = (followers > 0) & (n_context * gain >= (followers + 1) / 2 * np.log(np.maximum(n_context, 2)))
-    return chance, np.log10(rest / rest_below), kept
+def _with_count(pairs: DataFrame, rare: DataFrame, word: str) -> DataFrame:
+    """pairs with the counts of words that aren't frequent, which a join gives."""
+    count = f"n{word}"
+    others = pairs.where(F.col(count).isNull()).drop(count)
+    others = others.join(rare.select(F.col("h").alias(word), F.col("n").alias(count)), word)
+    return pairs.where(F.col(count).isNotNull()).unionByName(others)
+
+
+def _contexts(followers: DataFrame, context: str) -> DataFrame:
+    """Log of the rest's weight per context, and whether its divergence is enough.
+
+    followers: n_context, chance and below (the chance in the suffix) of each follower of a context."""
+    sums = followers.groupBy(context).agg(
+        F.sum("chance").alias("given"), F.sum("below").alias("had"), F.count("*").alias("followers"),
+        F.sum(F.col("chance") * F.log(F.col("chance") / F.col("below"))).alias("gain"),
+        F.first("n_context").alias("n_context"), F.first("suffix").alias("suffix"),
+    )
+    rest, had = (F.greatest(1 - F.col(c), F.lit(1e-12)) for c in ("given", "had"))
+    gain = F.col("gain") + rest * F.log(rest / had)
+    least = (F.col("followers") + 1) / 2 * F.log(F.greatest("n_context", F.lit(2)))
+    return sums.select(
+        context, "suffix", F.log10(rest / had).alias("rest"), (F.col("n_context") * gain >= least).alias("enough")
+    )
 
 
 def train(texts: DataFrame) -> dict:
-    """The tree of the column `text`, and its vocabulary as a table (h, n)."""
+    """The frequent grams of the column `text` with their weights, and as tables the vocabulary (h, n) and the weights
+    of all other grams (key, base, known, gain)."""
+    spark = texts.sparkSession
     vocabulary = stage(
         texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     )
     total, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     often = vocabulary.where(F.col("n") >= WORD_SHARE * total).toArrow()  # at most 1 / WORD_SHARE
+    rare = vocabulary.where(F.col("n") < WORD_SHARE * total)
     h = often.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     table, counts = h[order], often.column("n").to_numpy()[order].astype(np.float64)
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast(table)
-    # keys travel packed by part of their hash; the parts grow with the session's shuffle partitions
-    parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = texts.mapInArrow(_name_frequent(shared, SHARE, parts), PACKED)
-    named = stage(named.groupBy("part").applyInArrow(_merge(0), PACKED))
-    held = named.agg(F.coalesce(F.sum(F.size("pair")), F.lit(0))).first()[0]
-    passes = max(1, math.ceil(held / CANDIDATES))
-    found: list = []
-    for i in range(passes):
-        pair, third, _ = _unpacked(named.where(F.col("part") % passes == i).toArrow())
-        pairs = np.unique(pair)
-        triples = np.sort(np.searchsorted(pairs, pair[third >= 0]) << _BITS | third[third >= 0])
-        sent = context.broadcast((table, pairs, triples))
-        counted = texts.mapInArrow(_count_named(sent, parts), PACKED).groupBy("part")
-        found.append(_unpacked(counted.applyInArrow(_merge(SHARE * total), PACKED).toArrow()))
-    pair, third, n = (np.concatenate([f[j] for f in found]) for j in range(3))
-    n = n.astype(np.float64)
-    root = (counts + 1) / (total + kinds + 1)
-    two = third < 0
-    order = np.argsort(pair[two])
-    pairs, pair_n = pair[two][order], n[two][order]
-    word, follower = pairs >> _BITS, pairs & ((1 << _BITS) - 1)
-    chance, rest, kept = _level(word, np.maximum(counts, 1), pair_n, root[follower], len(table))
-    # triples: the context is a pair, the suffix is its second word
-    known = ~two & (find(pair, pairs) >= 0)
-    ctx, last, tri_n = find(pair[known], pairs), third[known], n[known]
-    suffix = follower[ctx]
-    at = find(suffix << _BITS | last, pairs)
-    below = np.where(at >= 0, chance[at] if len(chance) else 0, 10 ** rest[suffix] * root[last])
-    chance2, rest2, kept2 = _level(ctx, np.maximum(pair_n, 1), tri_n, np.maximum(below, 1e-12), len(pairs))
-    kept[follower[kept2]] = True
-    # a kept pair's suffix counts with its followers, one without any leaves all to the root
-    keys = ctx << _BITS | last
-    order = np.argsort(keys)
+    context = spark.sparkContext
+    words = context.broadcast((table, counts))
+    # grams travel packed by ranges of their hash; the parts grow with the session's shuffle partitions and the texts
+    least = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total / PART_TOKENS, 2)
+    parts = min(16, math.ceil(math.log2(least)))
+
+    pairs = texts.mapInArrow(_count_grams(2, parts), COUNTED).groupBy("part")
+    pairs = stage(pairs.applyInArrow(_merge(2, words), "key long, a long, b long, n long, na long, nb long"))
+    known = context.broadcast(_bit_table(pairs, parts))
+    triples = texts.mapInArrow(_count_grams(3, parts, known), COUNTED).groupBy("part")
+    triples = stage(triples.applyInArrow(_merge(3), "key long, a long, b long, n long"))
+
+    pairs = stage(
+        _with_count(_with_count(pairs, rare, "a"), rare, "b").select(
+            "key", "a", "b", "n", F.col("na").alias("n_context"), F.lit(None).cast("long").alias("suffix"),
+            ((F.col("n") - DISCOUNT) / F.col("na")).alias("chance"),
+            ((F.col("nb") + 1) / F.lit(float(total + kinds + 1))).alias("below"),
+        )
+    )
+    ones = _contexts(pairs, "a")
+    # a triple's context is its first pair, the suffix is that pair's second word
+    before = pairs.select(F.col("key").alias("a"), F.col("n").alias("n_context"), F.col("b").alias("suffix"))
+    last = pairs.select(F.col("key").alias("b"), F.col("chance").alias("below"))
+    triples = stage(
+        triples.join(before, "a").join(last, "b").withColumn("chance", (F.col("n") - DISCOUNT) / F.col("n_context"))
+    )
+    twos = stage(_contexts(triples, "a").where("enough").select(F.col("a").alias("two"), "suffix", "rest"))
+    suffixes = twos.select(F.col("suffix").alias("a")).distinct().withColumn("needed", F.lit(True))
+    ones = ones.join(suffixes, "a", "left").where("enough or needed")
+    ones = stage(ones.select(F.col("a").alias("one"), "rest"))
+
+    follower = F.coalesce(F.log10("chance") - F.log10("below") - F.col("one_rest"), F.lit(0.0))
+    pairs = stage(
+        pairs.join(ones.withColumnRenamed("rest", "one_rest"), pairs["a"] == F.col("one"), "left")
+        .join(twos.select("two", F.col("rest").alias("two_rest")), pairs["key"] == F.col("two"), "left")
+        .select("key", "n", follower.alias("follower"), "two_rest")
+    )
+    triples = stage(
+        triples.join(twos.select("two", F.col("rest").alias("two_rest")), triples["a"] == F.col("two"))
+        .select("key", "n", (F.log10("chance") - F.log10("below") - F.col("two_rest")).alias("follower"))
+    )
+    rest = F.coalesce("rest", F.lit(0.0))
+    tail = vocabulary.join(ones, vocabulary["h"] == ones["one"], "left")
+    frequent = tail.where(F.col("n") >= WORD_SHARE * total).where("one is not null").select("one", "rest").toArrow()
+    none = [F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known")]
+    tail = tail.where(F.col("n") < WORD_SHARE * total).select(
+        F.col("h").alias("key"), F.log10(F.col("n") + 1).alias("base"), F.lit(1).cast("long").alias("known"), rest.alias("gain")
+    )
+    two_rest = F.coalesce("two_rest", F.lit(0.0))
+    tail = tail.union(
+        pairs.where(F.col("n") < SHARE * total).select("key", *none, (F.col("follower") + two_rest).alias("gain")).where("gain <> 0")
+    ).union(triples.where(F.col("n") < SHARE * total).select("key", *none, F.col("follower").alias("gain")))
+    tail = stage(tail)
+
+    def arrays(frame: DataFrame, *columns: str) -> list[np.ndarray]:
+        got = frame.where(F.col("n") >= SHARE * total).select("key", *columns).toArrow()
+        key = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        return [key[order], *[got.column(c).to_numpy().astype(np.float64)[order] for c in columns]]
+
+    pair, pair_gain, rest2 = arrays(pairs, "follower", "two_rest")
+    triple, triple_gain = arrays(triples, "follower")
+    kept, rest1 = np.zeros(len(table), dtype=bool), np.zeros(len(table))
+    at = find(frequent.column("one").to_numpy().astype(np.int64).view(np.uint64), table)
+    kept[at], rest1[at] = True, frequent.column("rest").to_numpy()
     return {
-        "total": total, "kinds": kinds, "vocabulary": vocabulary, "table": table, "counts": counts,
-        "log_root": np.log10(root), "pairs": pairs, "log_pair": np.log10(chance), "rest": np.where(kept, rest, 0.0),
-        "kept": kept, "triples": keys[order], "log_triple": np.log10(chance2[order]), "rest2": rest2, "kept2": kept2,
+        "total": total, "kinds": kinds, "vocabulary": vocabulary, "tail": tail, "filter": _bit_table(tail, parts),
+        "parts": parts, "table": table, "log_root": np.log10((counts + 1) / (total + kinds + 1)), "kept": kept, "rest": rest1,
+        "pairs": pair, "pair_gain": pair_gain, "kept2": ~np.isnan(rest2), "rest2": np.nan_to_num(rest2),
+        "triples": triple, "triple_gain": triple_gain,
     }
 
 
+def _gains(h: np.ndarray, ids: np.ndarray, first: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What the frequent grams add to each token's log10, and the hashes and places of all other pairs and triples."""
+    pair, two, triple, three = grams(h, first)
+    out = np.zeros(len(h))
+    at2 = np.where(two, find(pair, model["pairs"]), -1)
+    at3 = np.where(three, find(triple, model["triples"]), -1)
+    before, context = np.full(len(h), -1, dtype=np.int64), np.full(len(h), -1, dtype=np.int64)
+    before[1:], context[1:] = ids[:-1], at2[:-1]
+    before[~two], context[~three] = -1, -1
+    for at, weights in (
+        (before, model["rest"]), (at2, model["pair_gain"]), (context, model["rest2"]), (at3, model["triple_gain"])
+    ):
+        has = at >= 0
+        out[has] += weights[at[has]]
+    open2, open3 = np.flatnonzero(two & (at2 < 0)), np.flatnonzero(three & (at3 < 0))
+    return out, np.concatenate([pair[open2], triple[open3]]), np.concatenate([open2, open3])
+
+
 def gains(ids: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
-    """log10 of each token's chance in its context over that of the root."""
-    pair_key = _pairs(ids, first)
-    at = find(pair_key, model["pairs"])
-    before = np.full(len(ids), -1, dtype=np.int64)
-    before[1:] = ids[:-1]
-    before[first[:-1]] = -1
-    has = before >= 0
-    kept = np.zeros(len(ids), dtype=bool)
-    kept[has] = model["kept"][before[has]]
-    out = np.zeros(len(ids))
-    rest = kept & (at < 0)
-    out[rest] = model["rest"][before[rest]]
-    exact = kept & (at >= 0)
-    out[exact] = model["log_pair"][at[exact]] - model["log_root"][ids[exact]]
-    # contexts of two words: the pair that ends one before
-    ctx = np.full(len(ids), -1, dtype=np.int64)
-    ctx[1:] = at[:-1]
-    ctx[first[:-1]] = -1
-    use = np.flatnonzero(ctx >= 0)
-    use = use[model["kept2"][ctx[use]]]
-    three = find(np.where(ids[use] >= 0, ctx[use] << _BITS | ids[use], -1), model["triples"])
-    out[use] = np.where(
-        three >= 0,
-        (model["log_triple"][three] - model["log_root"][ids[use]]) if len(model["triples"]) else 0,
-        out[use] + model["rest2"][ctx[use]],
-    )
-    return out
+    """log10 of each token's chance in its context over that of the root, as far as the frequent grams say."""
+    h = np.where(ids >= 0, model["table"][ids], np.uint64(0)) if len(model["table"]) else np.zeros(len(ids), np.uint64)
+    return _gains(h, ids, first, model)[0]
+
+
+SCORED = "part int, key array<long>, at array<long>, line array<long>, n array<long>, known array<long>, base array<double>, gain array<double>"
+SUMMED = "part int, line array<long>, n array<long>, known array<long>, base array<double>, gain array<double>"
+WEIGHTS = "part int, key array<long>, base array<double>, known array<long>, gain array<double>"
 
 
-def _score(shared) -> Callable:
+def _look_up(shared) -> Callable:
+    """What the frequent grams give each line, and for each part the other grams with their lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        unseen = -math.log10(model["total"] + model["kinds"] + 1)
+        sums = ("line", "n", "known", "base", "gain")
+        empty = {c: np.zeros(0, dtype=np.float64 if c in ("base", "gain") else np.int64) for c in sums}
+
+        def told(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            key, at = (np.concatenate([x[j] for x in held]) for j in range(2))
+            lines = {c: np.concatenate([x[2][j] for x in held]) for j, c in enumerate(sums)}
+            if len(key):
+                dealt = _dealt(_parts(key, model["parts"]), {"key": key, "at": at})
+                none = [list_array(_long(x), np.zeros(dealt.num_rows, dtype=np.int64)) for x in empty.values()]
+                yield pa.RecordBatch.from_arrays([*dealt.columns, *none], names=[*dealt.schema.names, *sums])
+            part = int(_parts(mix(lines["line"][:1].astype(np.uint64)), model["parts"])[0])
+            of_lines = [list_array(_long(x), np.array([len(x)])) for x in lines.values()]
+            nothing = list_array(pa.array(np.zeros(0, dtype=np.int64)), np.array([0]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), nothing, nothing, *of_lines], names=["part", "key", "at", *sums]
+            )
+
+        held: list[tuple] = []
+        seen = 0
         for batch in batches:
             for piece in slices(batch.column("text")):
                 h, first = tokens(piece)
                 ids = find(h, model["table"])
-                known = ids >= 0
-                logs = np.zeros(len(ids))
-                logs[known] = model["log_root"][ids[known]]
+                logs = np.full(len(ids), unseen)
+                logs[ids >= 0] = model["log_root"][ids[ids >= 0]]
                 row = np.repeat(np.arange(piece.rows), np.diff(first))
-                rare, rare_row = h[~known], row[~known]
-                order = np.lexsort((rare, rare_row))
-                rare, rare_row = rare[order], rare_row[order]
-                fresh = np.ones(len(rare), dtype=bool)
-                fresh[1:] = (rare[1:] != rare[:-1]) | (rare_row[1:] != rare_row[:-1])
-                times = np.diff(np.append(np.flatnonzero(fresh), len(rare)))
-                size = np.bincount(rare_row[fresh], minlength=piece.rows)
-                rows = batch.slice(piece.start, piece.rows)
+                line = batch.column("line").slice(piece.start, piece.rows).to_numpy(zero_copy_only=False).astype(np.int64)
+                out, key, place = _gains(h, ids, first, model)
+                rare = np.flatnonzero(ids < 0)
+                key, place = np.concatenate([h[rare], key]), np.concatenate([rare, place])
+                good = _passes(key, model["filter"])
                 add = lambda x: np.bincount(row, weights=x, minlength=piece.rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("id"), rows.column("held_out"), pa.array(np.diff(first)),
-                        pa.array(add(known).astype(np.int64)), pa.array(add(logs)), pa.array(add(gains(ids, first, model))),
-                        list_array(pa.array(rare[fresh].view(np.int64)), size),
-                        list_array(pa.array(times.astype(np.int32)), size),
-                    ],
-                    names=["id", "held_out", "n_tokens", "known", "base", "gain", "rare", "times"],
-                )
+                held.append((
+                    key[good], line[row[place[good]]],
+                    (line, np.diff(first).astype(np.int64), add(ids >= 0).astype(np.int64), add(logs), add(out)),
+                ))
+                seen += len(h)
+                if seen >= CHUNK_TOKENS:
+                    yield from told(held)
+                    held, seen = [], 0
+        if held:
+            yield from told(held)
 
     return run
 
 
+def _deal_weights(parts: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "base", "known", "gain")}
+            if batch.num_rows:
+                yield _dealt(_parts(x["key"].view(np.uint64), parts), x)
+
+    return run
+
+
+def _by_line(line: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    line, code = np.unique(line, return_inverse=True)
+    sums = {c: np.bincount(code, weights=x, minlength=len(line)).astype(x.dtype) for c, x in columns.items()}
+    return {"line": line, **sums}
+
+
+def _weigh(parts: int) -> Callable:
+    """Sums by line of the weights of a part's grams."""
+
+    def run(texts: pa.Table, weights: pa.Table) -> pa.Table:
+        key = _keys(weights, "key")
+        order = np.argsort(key)
+        at = find(_keys(texts, "key"), key[order])
+        hit, at = at >= 0, order[at[at >= 0]]
+        found = {c: _flat(weights, c)[at] for c in ("known", "base", "gain")}
+        old = {c: _flat(texts, c) for c in ("n", "known", "base", "gain")}
+        both = {c: np.concatenate([x, found.get(c, np.zeros(len(at), dtype=np.int64))]) for c, x in old.items()}
+        sums = _by_line(np.concatenate([_flat(texts, "line"), _flat(texts, "at")[hit]]), both)
+        return pa.Table.from_batches([_dealt(_parts(mix(sums["line"].astype(np.uint64)), parts), sums)])
+
+    return run
+
+
+def _sum_lines(table: pa.Table) -> pa.Table:
+    return pa.table(_by_line(_flat(table, "line"), {c: _flat(table, c) for c in ("n", "known", "base", "gain")}))
+
+
 def score(docs: DataFrame, out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (log10 under the root alone) and score.
 
@@ -330,30 +456,20 @@ def score(docs: DataFrame, out: Column, id_column: str = "doc_id", text_column:
         F.col(f"`{id_column}`").alias("id"), out.alias("held_out"), F.col(f"`{text_column}`").alias("text")
     )
     model = train(plain.where("not held_out").select("text"))
-    vocabulary, total, kinds = model.pop("vocabulary"), model["total"], model["kinds"]
+    model.pop("vocabulary")
+    tail, total, parts = model.pop("tail"), model["total"], model["parts"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = plain.schema["id"].dataType.simpleString()
-    scored = plain.mapInArrow(
-        _score(shared),
-        f"id {kind}, held_out boolean, n_tokens long, known long, base double, gain double, rare array<long>, times array<int>",
-    )
-    scored = stage(scored.withColumn("line", F.monotonically_increasing_id()))
-    rare = scored.select("line", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
-        "line", F.col("r.rare").alias("h"), F.col("r.times").alias("times")
-    )
-    counted = rare.join(vocabulary, "h", "left")
-    sums = counted.groupBy("line").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + kinds + 1)))).alias("rare_base"),
-    )
-    joined = scored.drop("rare", "times").join(sums, "line", "left")
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return joined.select(
+    rows = stage(plain.withColumn("line", F.monotonically_increasing_id()))
+    looked = rows.select("line", "text").mapInArrow(_look_up(shared), SCORED)
+    weights = tail.mapInArrow(_deal_weights(parts), WEIGHTS)
+    sums = looked.groupBy("part").cogroup(weights.groupBy("part")).applyInArrow(_weigh(parts), SUMMED)
+    sums = sums.groupBy("part").applyInArrow(_sum_lines, "line long, n long, known long, base double, gain double")
+    return rows.select("line", "id", "held_out").join(sums, "line").select(
         F.col("id").alias(id_column),
         "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        F.col("n").alias("n_tokens"),
+        F.col("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("gain")).alias("score"),
+        F.col("base").alias("base_score"),
+        (F.col("base") + F.col("gain")).alias("score"),
     )

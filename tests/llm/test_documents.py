@@ -180,6 +180,55 @@ def test_lm_chances_add_up(spark):
             assert total == pytest.approx(1, abs=1e-9)
 
 
+def lm_scores(texts, train):
+    """score of each text, by the whole tree in dictionaries."""
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in train:
+        one.update(t)
+        two.update(zip(t, t[1:]))
+        three.update(zip(t, t[1:], t[2:]))
+    size = sum(one.values()) + len(one) + 1
+    chances, rest, kept = [], [], []
+    for counts, below, n_of in (
+        (two, lambda g: (one[g[1]] + 1) / size, lambda c: one[c[0]]),
+        (three, lambda g: chances[0][g[1:]], lambda c: two[c]),
+    ):
+        followers = collections.defaultdict(list)
+        for g, n in counts.items():
+            if n >= 2:
+                followers[g[:-1]].append((g, (n - 0.5) / n_of(g[:-1]), below(g)))
+        chances.append({g: p for f in followers.values() for g, p, _ in f})
+        share = {c: (max(1 - sum(p for _, p, _ in f), 1e-12), max(1 - sum(q for *_, q in f), 1e-12)) for c, f in followers.items()}
+        rest.append({c: a / b for c, (a, b) in share.items()})
+        gain = {c: sum(p * math.log(p / q) for _, p, q in f) + share[c][0] * math.log(rest[-1][c]) for c, f in followers.items()}
+        kept.append({c for c, f in followers.items() if n_of(c) * gain[c] >= (len(f) + 1) / 2 * math.log(max(n_of(c), 2))})
+    kept[0] |= {c[1:] for c in kept[1]}
+
+    def chance(t, i, length):
+        if not length:
+            return (one[t[i]] + 1) / size
+        context = tuple(t[i - length : i])
+        if i < length or context not in kept[length - 1]:
+            return chance(t, i, length - 1)
+        given = chances[length - 1].get((*context, t[i]))
+        return given if given is not None else rest[length - 1][context] * chance(t, i, length - 1)
+
+    return {k: sum(math.log10(chance(t, i, 2)) for i in range(len(t))) for k, t in texts.items()}
+
+
+@pytest.mark.parametrize("share", [None, 0.004, 1.0])
+def test_lm_tree_is_whole(spark, docs, monkeypatch, share):
+    """Contexts seen twice count in a corpus of any size: the share of all tokens only says what is broadcast."""
+    if share:
+        monkeypatch.setattr(lm, "SHARE", share)
+        monkeypatch.setattr(lm, "WORD_SHARE", share)
+    texts = {r["doc_id"]: [*spaced(r["text"]), None] for r in docs.collect()}
+    out = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
+    expected = lm_scores(texts, [t for k, t in texts.items() if not out[k]])
+    found = as_dict(QUERIES["op3_lm_score"](spark, FOLDER), "score")
+    assert {k: s for k, (s,) in found.items()} == pytest.approx(expected, rel=1e-9)
+
+
 @pytest.fixture(scope="module")
 def raw():
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as file:
