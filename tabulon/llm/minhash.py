@@ -94,29 +94,38 @@ def _band_hashes(table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch.column("text")):
-            row, value = shingles(Words(part, SPACED))
-            size = np.bincount(row, minlength=part.rows)
-            sums = np.zeros((2, part.rows), dtype=np.uint64)
-            np.add.at(sums[0], row, mix(value))
-            np.add.at(sums[1], row, mix(value ^ _GOLDEN))
-            # sets of fewer than 7 shingles are either equal or less than 0.85 similar
-            wide = size >= 7
-            place = np.cumsum(wide) - 1
-            used = wide[row]
-            bands = _band_hashes(sketches(place[row[used]], value[used], int(wide.sum())))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").slice(part.start, part.rows),
-                    pa.array(size.astype(np.int64)),
-                    pa.array(sums[0].view(np.int64)),
-                    pa.array(sums[1].view(np.int64)),
-                    list_array(pa.array(bands.reshape(-1).view(np.int64)), np.where(wide, BANDS, 0)),
-                ],
-                names=["id", "n", "d1", "d2", "bands"],
-            )
+def least_size(permille: int) -> int:
+    """The least set that a link can join to a larger one, which then has one shingle more: k / (k + 1) is enough.
+
+    Smaller sets are either equal or less similar; at 1000 all are."""
+    return -(-permille // (1000 - permille)) if permille < 1000 else 1 << 62
+
+
+def _sketch_batches(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                row, value = shingles(Words(part, SPACED))
+                size = np.bincount(row, minlength=part.rows)
+                sums = np.zeros((2, part.rows), dtype=np.uint64)
+                np.add.at(sums[0], row, mix(value))
+                np.add.at(sums[1], row, mix(value ^ _GOLDEN))
+                wide = size >= least
+                place = np.cumsum(wide) - 1
+                used = wide[row]
+                bands = _band_hashes(sketches(place[row[used]], value[used], int(wide.sum())))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").slice(part.start, part.rows),
+                        pa.array(size.astype(np.int64)),
+                        pa.array(sums[0].view(np.int64)),
+                        pa.array(sums[1].view(np.int64)),
+                        list_array(pa.array(bands.reshape(-1).view(np.int64)), np.where(wide, BANDS, 0)),
+                    ],
+                    names=["id", "n", "d1", "d2", "bands"],
+                )
+
+    return run
 
 
 def _compare_batches(permille: int):
@@ -204,16 +213,17 @@ def near_duplicates(
     if similarity < 0.8:
         raise ValueError("the bands are laid out for similarities of 0.8 or more")
     permille = round(1000 * similarity)
+    least_n = least_size(permille)
     taken = aliased(docs, {"id": id_column, "text": text_column})
     kind = taken.schema["id"].dataType.simpleString()
     sketched = stage(
-        taken.mapInArrow(_sketch_batches, f"id {kind}, n long, d1 long, d2 long, bands array<long>")
+        taken.mapInArrow(_sketch_batches(least_n), f"id {kind}, n long, d1 long, d2 long, bands array<long>")
     )
     digest = ["n", "d1", "d2"]
     classes = sketched.where("n > 0").groupBy(*digest).agg(F.min("id").alias("node"))
     leaders = (
-        sketched.where("n >= 7")
-        .join(classes.where("n >= 7").withColumnRenamed("node", "id"), ["id", *digest], "left_semi")
+        sketched.where(F.col("n") >= least_n)
+        .join(classes.where(F.col("n") >= least_n).withColumnRenamed("node", "id"), ["id", *digest], "left_semi")
         .dropDuplicates(["id"])
     )
     spread = leaders.select(F.col("id").alias("node"), "n", F.explode("bands").alias("bucket"))

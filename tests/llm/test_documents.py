@@ -79,6 +79,19 @@ def test_near_duplicates(spark):
     assert found == {k: (n, c, c == k) for k, (n, c) in near(texts).items()}
 
 
+@pytest.mark.parametrize("similarity", [0.85, 0.8, 0.9, 1.0])
+def test_near_duplicates_of_short_texts(spark, similarity):
+    """Texts of 3 to 16 words, each with one word added at the front or the end."""
+    r = random.Random(11)
+    texts = {}
+    for i in range(0, 420, 3):
+        w = [f"s{r.randrange(10**6)}" for _ in range(3 + i // 3 % 14)]
+        texts |= {i: " ".join(w), i + 1: " ".join([*w, "tail"]), i + 2: " ".join(["front", *w])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = as_dict(minhash.near_duplicates(df, similarity=similarity), "n_shingles", "component_id")
+    assert found == near(texts, round(1000 * similarity))
+
+
 def test_near_duplicates_edges(odd, nothing):
     rows = [tuple(r) for r in minhash.near_duplicates(odd).collect()]
     assert len(rows) == 13
