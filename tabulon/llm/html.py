@@ -39,6 +39,8 @@ _PART = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object textarea select title head".split())
 UNPARSED = frozenset("script style textarea title noscript iframe".split())
+#: What may stand in a head; the start of anything else ends one that isn't closed.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
     "sub sup time tt u var".split()
@@ -75,7 +77,7 @@ class Page:
         stack: list[tuple[str, int]] = [("root", 0)]  # open elements; inline ones have their block's number
         pieces: list[str] = []
         linked = links = 0
-        skipped = ""
+        skipped: list[str] = []  # an open element whose text isn't read, and those open in it
         at = 0
 
         def flush() -> None:
@@ -114,6 +116,8 @@ class Page:
 
         while True:
             found = _TAG.search(source, at)
+            if set(skipped) == {"head"} and source[at : found.start() if found else len(source)].strip():
+                skipped.clear()  # text ends a head, too
             if found is None:
                 if not skipped:
                     say(source[at:])
@@ -125,15 +129,21 @@ class Page:
                 continue
             name, closing = found[2].lower(), found[1]
             if skipped:
-                if name == skipped and closing:
-                    skipped = ""
-                elif skipped == "head" and name == "body" and not closing:
-                    skipped = ""
+                if set(skipped) == {"head"} and not closing and name not in IN_HEAD:
+                    skipped.clear()  # and the element is read below
+                elif closing:
+                    if name in skipped:
+                        del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
+                        continue
+                    # the end of an element around the skipped ones ends them; the element is closed below
+                    if all(name != opened for opened, _ in stack[1:]):
+                        continue
+                    skipped.clear()
                 else:
-                    if name in UNPARSED and not closing:
+                    if name in UNPARSED:
                         at = self._behind(source, name, at)
-                    continue
-                if name != "body":
+                    elif name not in VOID and not found[3].rstrip().endswith("/"):
+                        skipped.append(name)
                     continue
             if closing:
                 for i in range(len(stack) - 1, 0, -1):
@@ -152,7 +162,7 @@ class Page:
                 continue
             if name in RAW:
                 if not found[3].rstrip().endswith("/"):
-                    skipped = name
+                    skipped.append(name)
                 continue
             if name in INLINE:
                 stack.append((name, stack[-1][1]))

@@ -90,6 +90,25 @@ def test_pages_edges(spark, model):
     assert pages_html.train(df.limit(0))["pair"] == [[1.0, 1.0], [1.0, 1.0]]
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<head><title>T</title><p>One.</p><p>Two.",
+        "<html><head><meta charset=x><style>p {}</style><div><p>One.</p><p>Two.</p></div></html>",
+        "<head><template><p>no</p></template><script>'<p>no'</script><body><p>One.</p><p>Two.",
+        "<head><title>T</title></head><body><p>One.</p><p>Two.</p>",
+        "<body><div><svg><path d='x'></div><p>One.</p><p>Two.</p></body>",
+        "<body><div><select><option>no</div><p>One.</p><section><object><p>no</p></section><p>Two.</p>",
+        "<body><div><template><svg><g></div><p>One.</p><svg><svg></svg><text>no</text></svg><p>Two.</p>",
+        "<head><title>T</title>One.<p>Two.",
+        "<body><div><p>One.</p><template><div><p>no</p></div><br>no</template><svg><p>no</p>no</svg></div><p>Two.</p>",
+        "<body><p>One.</p><svg><g></g><text>no</text></svg><p>Two.</p><template><div><p>no</p></div></template>",
+    ],
+)
+def test_omitted_end_tags_lose_no_text(source):
+    assert [text for _, text, _ in pages_html.Page(source).blocks] == ["One.", "Two."]
+
+
 def test_messages_give_exact_marginals(model):
     """Against the sum over all labellings of a small tree."""
     import itertools
