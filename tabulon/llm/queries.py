@@ -26,6 +26,49 @@ def op1_minhash(spark, folder):
     return near_duplicates(table(spark, folder, "documents"), similarity=0.85)
 
 
+def groups_sql(width: int, percent: int, extra: str = "") -> str:
+    """Links of word shingles and the least doc_id reachable over them."""
+    return f"""
+with recursive words as (
+    select row_number() over () as line, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+    from documents
+),
+sets as (
+    select line, doc_id, case
+        when w is null or len(w) = 0 then []
+        when len(w) < {width} then [hash(w)]
+        else list_distinct(list_transform(range(1, len(w) - {width} + 2), lambda i: hash(list_slice(w, i, i + {width - 1}))))
+    end as s from words
+),
+grams as (select line, len(s) as n, unnest(s) as g from sets),
+links as (
+    select a.line as a, b.line as b
+    from grams a join grams b on a.g = b.g and a.line < b.line
+    group by a.line, b.line, a.n, b.n
+    having 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+),
+ways as (select a as x, b as y from links union all select b, a from links),
+reach(x, y) as (select distinct x, x from ways union select r.x, w.y from reach r join ways w on r.y = w.x),
+groups as (select r.x as line, min(d.doc_id) as low from reach r join sets d on d.line = r.y group by r.x)
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(g.low, s.doc_id) as component_id{extra}
+from sets s left join groups g using (line)
+"""
+
+
+SQL["op1_minhash"] = groups_sql(5, 85, ", s.doc_id = coalesce(g.low, s.doc_id) as kept")
+
+
+@query
+def op11_ngram_join(spark, folder):
+    from tabulon.llm.jaccard import ngram_join
+
+    return ngram_join(table(spark, folder, "documents"), width=3, similarity=0.9)
+
+
+SQL["op11_ngram_join"] = groups_sql(3, 90)
+
+
 @query
 def op2_decontaminate(spark, folder):
     from tabulon.llm.decontaminate import contamination
