@@ -190,3 +190,38 @@ def op3_lm_score(spark, folder):
     from tabulon.llm.text import held_out
 
     return score(table(spark, folder, "documents"), held_out("doc_id", 7, 2))
+
+
+@query
+def op13_hard_negatives(spark, folder):
+    from pyspark.sql import functions as F
+
+    from tabulon.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+SQL["op13_hard_negatives"] = """
+with rows as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as (
+    select a.vec_id as anchor_id, r.vec_id as id, a.label = r.label as same, list_dot_product(a.v, r.v)::bigint as score
+    from rows a join rows r on a.vec_id % 50 = 0 and a.vec_id <> r.vec_id
+),
+positives as (
+    select anchor_id, id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, p.positive_id,
+    (row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.id))::int as rank,
+    s.id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+    and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
+qualify row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.id) <= 3
+"""
