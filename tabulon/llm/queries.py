@@ -225,3 +225,13 @@ from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
     and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score
 qualify row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.id) <= 3
 """
+
+
+@query
+def op12_alignment(spark, folder):
+    import public_tokenizers
+
+    from tabulon.llm.align import aligned_tokens
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return aligned_tokens(table(spark, folder, "documents"), a, b)
