@@ -15,61 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.overlap import digests, grouped, least_size, shingles
+from tabulon.llm.overlap import digests, frequencies, grouped, least_size, shingles
 from tabulon.llm.text import SPACED, Words, aliased, list_array, slices
 from tabulon.plans.stage import stage
 
-SLOTS = 1 << 20
-_PARTS, _TOGETHER = 16, 256
-
-
-def _slot(value: np.ndarray) -> np.ndarray:
-    return (value >> np.uint64(44)).astype(np.int64)
-
-
-def _count_batches(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch.column("text")):
-                counts += np.bincount(_slot(shingles(Words(part, SPACED), width)[1]), minlength=SLOTS)
-        if counts.any():
-            some = TaskContext.get().partitionId() // _TOGETHER
-            packed = [x.tobytes() for x in np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(_PARTS, -1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(_PARTS, dtype=np.int32)), pa.array([some] * _PARTS, pa.int32()), pa.array(packed, pa.binary())],
-                names=["part", "some", "counts"],
-            )
-
-    return run
-
-
-def _add(kind: type, to: type):
-    def run(table: pa.Table) -> pa.Table:
-        sums = np.zeros(SLOTS // _PARTS, dtype=np.int64)
-        for one in table.column("counts"):
-            sums += np.frombuffer(one.as_buffer(), dtype=kind)
-        if to is np.uint8:  # the logarithm
-            sums = np.frexp(sums.astype(np.float64))[1]
-        one = table.slice(0, 1)
-        return pa.table({"part": one["part"], "some": one["some"], "counts": pa.array([sums.astype(to).tobytes()], pa.binary())})
-
-    return run
-
-
-def levels(texts: DataFrame, width: int) -> np.ndarray:
-    """Logarithms of the n-grams' counts by slot, from all texts: SLOTS bytes."""
-    shape = "part int, some int, counts binary"
-    counted = texts.mapInArrow(_count_batches(width), shape).groupBy("part", "some").applyInArrow(_add(np.uint16, np.int64), shape)
-    out = np.zeros((_PARTS, SLOTS // _PARTS), dtype=np.uint8)
-    for row in counted.groupBy("part").applyInArrow(_add(np.int64, np.uint8), shape).toLocalIterator():
-        out[row["part"]] = np.frombuffer(row["counts"], dtype=np.uint8)
-    return out.reshape(-1)
-
 
 def _prefix_batches(width: int, permille: int, level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,11 +61,7 @@ def ngram_join(
         raise ValueError("similarities from 0.5 to 1 make sense here")
     plain = aliased(docs, {"id": id_column, "text": text_column})
     kind = plain.schema["id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(levels(plain.select("text"), width))
-
-    def level(value: np.ndarray) -> np.ndarray:
-        return shared.value[_slot(value)]
-
+    level = frequencies(plain.select("text"), width)
     lined = plain.select(F.monotonically_increasing_id().alias("line"), "id", "text")
     sketched = stage(
         lined.mapInArrow(
@@ -122,8 +70,9 @@ def ngram_join(
     )
 
     def members(leaders: DataFrame) -> DataFrame:
-        return leaders.select("node", "n", F.posexplode("prefix").alias("place", "bucket")).select(
-            "bucket", "node", "n", (F.col("n") - F.col("place")).alias("rest")
+        given = F.size("prefix").cast("long").alias("given")
+        return leaders.select("node", "n", given, F.posexplode("prefix").alias("place", "bucket")).select(
+            "bucket", "node", "n", (F.col("n") - F.col("place")).alias("rest"), "given"
         )
 
     found = grouped(plain, sketched, "prefix", members, width, permille, level)

@@ -7,16 +7,9 @@ empty. Coordinates of two sets agree with a chance of their Jaccard similarity.
 ROWS coordinates of a band agree share a bucket: at a similarity of 0.85 all 36 bands miss with a chance
 of 1e-6, at 0.9 of 1e-10. Pairs are confirmed on the full shingle sets.
 
-Documents of one shingle set are one class from the start. Inside a bucket, not all pairs are formed: every
-member is compared with one member h, the hub (the one that meets most others in the buckets). Let a link need
-|x & y| >= c (|x| + |y|), and m be the size of the smallest member. For x with |x & h| < c (|x| + m), a link
-with any y must use at least ceil(c (|x| + m)) - |x & h| shingles that lie outside h, and by the prefix filter
-it is enough to look at the first |x - h| - that + 1 of them in hash order. So the members meet again only in
-the groups of one shingle outside h, which are the buckets of the next round. The few x that are near enough
-to h to need no such shingle and yet have no link with it can only miss a link with members smaller than h;
-they meet those in a bucket of their own. Members of a bucket of at most FEW are compared with each other at
-once, and that bound doubles every round, while the buckets that are left get fewer and smaller. Buckets inside one component are left. Rounds end when no bucket holds two components: all links between
-members of a bucket are then joined, with no cap on buckets and without forming all pairs of a large one.
+Documents of one shingle set are one class from the start. Members of small buckets are compared pair by pair, those of
+large ones with a hub first, and again only where a link can still be missed (see overlap.py): all links between
+members of a bucket are joined, with no cap on buckets and without forming all pairs of a large one.
 """
 
 from __future__ import annotations
@@ -28,45 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.llm.overlap import digests, frequencies, grouped, least_size, shingles
 from tabulon.llm.text import SPACED, Words, aliased, list_array, mix, slices
 from tabulon.plans.stage import stage
 
 BANDS, ROWS = 36, 7
 COORDINATES = BANDS * ROWS
 WIDTH = 5
-FEW = 16
 _EMPTY = np.uint64((1 << 64) - 1)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every distinct shingle of WIDTH words; shorter sequences are one shingle."""
-    h = words.hashes()
-    pieces, rows = [], []
-    if len(h) >= WIDTH:
-        n = len(h) - WIDTH + 1
-        window = np.zeros(n, dtype=np.uint64)
-        for j in range(WIDTH):
-            window = mix(window * _GOLDEN + h[j : j + n])
-        inside = words.row[:n] == words.row[WIDTH - 1 :]
-        pieces.append(window[inside])
-        rows.append(words.row[:n][inside])
-    for row in np.flatnonzero((words.counts > 0) & (words.counts < WIDTH)):
-        one = np.array([words.counts[row]], dtype=np.uint64)
-        for x in h[words.first[row] : words.first[row + 1]]:
-            one = mix(one * _GOLDEN + x)
-        pieces.append(one)
-        rows.append(np.array([row]))
-    if not pieces:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    value, row = np.concatenate(pieces), np.concatenate(rows)
-    order = np.argsort(value + row.astype(np.uint64) * _GOLDEN)
-    value, row = value[order], row[order]
-    fresh = np.ones(len(value), dtype=bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    return row[fresh], value[fresh]
-
-
 def sketches(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     """(rows, COORDINATES) sketch of each row's set; rows without a shingle stay empty."""
     table = np.full(rows * COORDINATES, _EMPTY, dtype=np.uint64)
@@ -94,111 +59,43 @@ def _band_hashes(table: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_size(permille: int) -> int:
-    """The least set that a link can join to a larger one, which then has one shingle more: k / (k + 1) is enough.
-
-    Smaller sets are either equal or less similar; at 1000 all are."""
-    return -(-permille // (1000 - permille)) if permille < 1000 else 1 << 62
-
-
 def _sketch_batches(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
-                row, value = shingles(Words(part, SPACED))
-                size = np.bincount(row, minlength=part.rows)
-                sums = np.zeros((2, part.rows), dtype=np.uint64)
-                np.add.at(sums[0], row, mix(value))
-                np.add.at(sums[1], row, mix(value ^ _GOLDEN))
-                wide = size >= least
+                row, value = shingles(Words(part, SPACED), WIDTH)
+                n, d1, d2 = digests(row, value, part.rows)
+                wide = n >= least
                 place = np.cumsum(wide) - 1
                 used = wide[row]
                 bands = _band_hashes(sketches(place[row[used]], value[used], int(wide.sum())))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(part.start, part.rows),
-                        pa.array(size.astype(np.int64)),
-                        pa.array(sums[0].view(np.int64)),
-                        pa.array(sums[1].view(np.int64)),
+                        *(batch.column(k).slice(part.start, part.rows) for k in ("line", "id")),
+                        pa.array(n),
+                        pa.array(d1),
+                        pa.array(d2),
                         list_array(pa.array(bands.reshape(-1).view(np.int64)), np.where(wide, BANDS, 0)),
                     ],
-                    names=["id", "n", "d1", "d2", "bands"],
+                    names=["line", "id", "n", "d1", "d2", "bands"],
                 )
 
     return run
 
 
-def _compare_batches(permille: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(column: pa.Array) -> Iterator[np.ndarray]:
-            for part in slices(column):
-                row, value = shingles(Words(part, SPACED))
-                order = np.lexsort((value, row))
-                yield from np.split(value[order], np.cumsum(np.bincount(row, minlength=part.rows))[:-1])
-
-        for batch in batches:
-            hubs, least = batch.column("a").to_pylist(), batch.column("m").to_pylist()
-            linked, near, small, rest = [], [], [], []
-            at_first = {}
-            for i, id_ in enumerate(hubs):
-                at_first.setdefault(id_, i)
-            hub_texts = batch.column("text_a").take(pa.array(list(at_first.values()), pa.int32()))
-            hub_sets = dict(zip(at_first, sets(hub_texts), strict=True))
-            for i, y in enumerate(sets(batch.column("text_b"))):
-                hub = hub_sets[hubs[i]]
-                at = np.minimum(np.searchsorted(hub, y), len(hub) - 1)
-                outside = y[hub[at] != y]
-                both = len(y) - len(outside)
-                linked.append(both * (1000 + permille) >= permille * (len(y) + len(hub)))
-                need = -(-permille * (len(y) + least[i]) // (1000 + permille)) - both
-                near.append(bool(least[i]) and need <= 0 and not linked[-1])
-                small.append(bool(least[i]) and len(y) < len(hub))
-                rest.append(outside[: max(0, len(outside) - max(need, 1) + 1) if least[i] else 0])
-            flat = np.concatenate(rest) if rest else np.zeros(0, dtype=np.uint64)
-            extras = list_array(pa.array(flat.view(np.int64)), np.array([len(x) for x in rest], dtype=np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in ("line", "a", "root_a", "b", "root_b")]
-                + [pa.array(linked, pa.bool_()), pa.array(near, pa.bool_()), pa.array(small, pa.bool_()), extras],
-                names=["line", "a", "root_a", "b", "root_b", "linked", "near", "small", "extras"],
-            )
-
-    return run
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b); root is the least node reachable.
-
-    Alternates the two star operations: every node's larger neighbours are tied to its least neighbour, then
-    its smaller ones. Each step is written out, so a lost executor repeats one step.
-    """
-    pairs = stage(
-        links.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()
-    )
-    before = None
-    while True:
-        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), "m")
-        pairs = stage(small.where("u <> m").select("u", F.col("m").alias("v")).distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+def _groups(lined: DataFrame, similarity: float) -> DataFrame:
+    """line, id, n, component and first of rows (line, id, text)."""
+    if similarity < 0.8:
+        raise ValueError("the bands are laid out for similarities of 0.8 or more")
+    permille = round(1000 * similarity)
+    kind = lined.schema["id"].dataType.simpleString()
+    shape = f"line long, id {kind}, n long, d1 long, d2 long, bands array<long>"
+    sketched = stage(lined.mapInArrow(_sketch_batches(least_size(permille)), shape))
 
+    def members(leaders: DataFrame) -> DataFrame:
+        return leaders.select(F.explode("bands").alias("bucket"), "node", "n", F.col("n").alias("rest"), F.lit(BANDS).cast("long").alias("given"))
 
-def _labelled(nodes: DataFrame, roots: DataFrame | None, column: str = "node") -> DataFrame:
-    if roots is None:
-        return nodes.withColumn("root", F.col(column))
-    named = roots.select(F.col("node").alias(column), F.col("root").alias("__root"))
-    return nodes.join(named, column, "left").withColumn("root", F.coalesce("__root", column)).drop("__root")
+    return grouped(lined.select("id", "text"), sketched, "bands", members, WIDTH, permille, frequencies(lined.select("text"), WIDTH))
 
 
 def near_duplicates(
@@ -207,115 +104,28 @@ def near_duplicates(
     """Per row: id, n_shingles (distinct), component_id (least id reachable over links) and kept.
 
     Words are runs of non-white-space of the text with A-Z lower-cased. Null, empty and blank texts have no
-    shingle and link with nothing. A repeated row links with itself. Ids are compared as numbers and should be
-    unique per text; a null id gives a null component. Other columns are ignored. similarity: 0.8 or more.
+    shingle and link with nothing. Rows come out as they come in, repeated rows and ids too, each by its own text; kept
+    says that the row's id is its group's. A null id takes part, and names a group only where no row of it has
+    another id; such rows are kept. Other columns are ignored. similarity: 0.8 or more.
     """
-    if similarity < 0.8:
-        raise ValueError("the bands are laid out for similarities of 0.8 or more")
-    permille = round(1000 * similarity)
-    least_n = least_size(permille)
-    taken = aliased(docs, {"id": id_column, "text": text_column})
-    kind = taken.schema["id"].dataType.simpleString()
-    sketched = stage(
-        taken.mapInArrow(_sketch_batches(least_n), f"id {kind}, n long, d1 long, d2 long, bands array<long>")
-    )
-    digest = ["n", "d1", "d2"]
-    classes = sketched.where("n > 0").groupBy(*digest).agg(F.min("id").alias("node"))
-    leaders = (
-        sketched.where(F.col("n") >= least_n)
-        .join(classes.where(F.col("n") >= least_n).withColumnRenamed("node", "id"), ["id", *digest], "left_semi")
-        .dropDuplicates(["id"])
-    )
-    spread = leaders.select(F.col("id").alias("node"), "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = stage(spread.join(shared, "bucket"))
-    texts = taken.join(
-        members.select(F.col("node").alias("id")).distinct(), "id", "left_semi"
-    ).dropDuplicates(["id"])
-    texts = stage(texts)
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        schema = (
-            f"line long, a {kind}, root_a {kind}, b {kind}, root_b {kind}, "
-            "linked boolean, near boolean, small boolean, extras array<long>"
-        )
-        return both.mapInArrow(_compare_batches(permille), schema)
-
-    roots, few_now = None, FEW
-    members = members.withColumn("line", F.lit(0).cast("long"))  # the hubs so far
-    while True:
-        labelled = _labelled(members, roots)
-        unsettled = (
-            labelled.groupBy("bucket")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
-            .where("low <> high")
-            .select("bucket", "size")
-        )
-        rows = stage(labelled.join(unsettled, "bucket"))
-        if rows.isEmpty():
-            break
-        few = rows.where(F.col("size") <= few_now).select("bucket", "node", "root", "n")
-        other = few.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-        mutual = (
-            few.join(other, "bucket")
-            .where("a < node and root_a <> root")
-            .where(f"1000 * least(n, n_a) >= {permille} * greatest(n, n_a)")
-            .select(
-                F.lit(0).cast("long").alias("line"), "a", "root_a", F.col("node").alias("b"), F.col("root").alias("root_b"),
-                F.lit(0).cast("long").alias("m"),
-            )
-            .distinct()
-        )
-        many = rows.where(F.col("size") > few_now)
-        met = many.groupBy("line", "node").agg(F.sum("size").alias("met"))
-        hubs = (
-            many.join(met, ["line", "node"])
-            .groupBy("bucket")
-            .agg(F.max(F.struct("met", "n", "node", "root")).alias("hub"))
-            .select("bucket", F.col("hub.node").alias("a"), F.col("hub.root").alias("root_a"))
-        )
-        pairs = many.join(hubs, "bucket").where("node <> a")
-        pairs = pairs.select(
-            "line", "a", "root_a", F.col("node").alias("b"), F.col("root").alias("root_b"), "n"
-        ).distinct()
-        least = pairs.groupBy("line", "a").agg(F.min("n").alias("m"))
-        pairs = pairs.join(least, ["line", "a"]).select("line", "a", "root_a", "b", "root_b", "m")
-        found = stage(compared(pairs.union(mutual)))
-        new = stage(
-            found.where("linked and root_a <> root_b")
-            .select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-            .distinct()
-        )
-        if not new.isEmpty():
-            merged = components(new)
-            if roots is not None:
-                moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
-                old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-                merged = old.union(merged.join(roots, "node", "left_anti"))
-            roots = stage(merged)
-        again = _labelled(
-            found.select(F.xxhash64("line", "a").alias("line"), F.col("b").alias("node"), "near", "small", "extras"), roots
-        )
-        split = again.groupBy("line").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.max("near").alias("any_near")
-        )
-        again = again.join(split.where("low <> high").select("line", "any_near"), "line")
-        meeting = F.when(F.expr("any_near and (near or small)"), F.array_append("extras", F.lit(0).cast("long")))
-        groups = again.select("line", "node", "root", F.explode(F.coalesce(meeting, "extras")).alias("shingle"))
-        groups = groups.withColumn("bucket", F.xxhash64("line", "shingle"))
-        several = groups.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        groups = groups.join(several.where("low <> high").select("bucket"), "bucket", "left_semi")
-        few_now *= 2
-        sizes = leaders.select(F.col("id").alias("node"), "n")
-        members = stage(groups.select("line", "bucket", "node").join(sizes, "node"))
-    named = _labelled(classes, roots)
-    out = sketched.join(named.select(*digest, "root"), digest, "left")
-    component = F.coalesce("root", "id")
-    return out.select(
+    plain = aliased(docs, {"id": id_column, "text": text_column})
+    found = _groups(plain.select(F.monotonically_increasing_id().alias("line"), "id", "text"), similarity)
+    return found.select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        (F.col("id") == component).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+def representatives(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = 0.85
+) -> DataFrame:
+    """The rows of docs that stay, with all columns: one of every group, that with the least id (ids before nulls).
+
+    Of a repeated row one stays. Rows without words are no copies of one another and stay all.
+    """
+    rows = stage(docs.withColumn("__line", F.monotonically_increasing_id()))
+    lined = aliased(rows, {"line": "__line", "id": id_column, "text": text_column})
+    go = stage(_groups(lined, similarity).where("line <> first").select(F.col("line").alias("__line")))
+    return rows.join(go, "__line", "left_anti").select(*docs.columns)

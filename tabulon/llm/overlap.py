@@ -6,14 +6,17 @@ of document by n-gram incidence of the candidates are multiplied block by block
 are marked in a dense array over the block's columns, and every partner's marks are summed.
 
 All pairs are formed only in buckets of at most FEW members, and only if sizes and places leave room for
-a link. A larger bucket picks one member, the hub h, that all others are multiplied with; they form h's line. What
-can be missed is a link of x and y of which one, say x, is not linked with h. If |x & h| < c (|x| + |y|), the
-link needs at least c (|x| + |y|) - |x & h| n-grams outside h, so by the prefix filter x and y meet in one of
-the first |x - h| - that + 1 n-grams of x - h: these are the buckets of the next round. If |x & h| is enough for a small
-y, then |y| < |h|: such x meet the members smaller than h in a bucket of their own. A member carries a
-label, the label of the hub that it was linked with, so members of one label are in one group; a bucket of one label
-is left. Lines lose their hub in every round, so rounds end. A group of near copies of one text takes about one
-product for each member, and its members meet again only where they share what the hub doesn't have.
+a link. A larger bucket picks one member, the hub h, that all others are multiplied with; they form h's line. A member
+x is then known by its difference from h, the d_x n-grams that only one of both has. A link of x and y needs a
+difference of at most k (n_x + n_y), k = (1 - s) / (1 + s), so their differences from h share at least
+(d_x + d_y - k (n_x + n_y)) / 2 n-grams. What can be missed is a link of which one side, say x, isn't linked with h:
+d_x > k (n_x + n_h), and with n_y <= n_h + d_y the number is positive. By the prefix filter the two meet in
+one of the first n-grams of their differences, in an order in which those come first that few members of the line differ
+in: rare ones that h lacks, frequent ones that h has. These are the buckets of the next round, one kind for two
+members without a link to h and one for a member with and one without. A member carries a label, the label of
+the hub that it was linked with, so members of one label are in one group; a bucket of one label is left. A group of near
+copies of one text takes about one product for each member, and its members meet again only where they differ
+alike. From round PATIENT on FEW doubles each round, so rounds end soon even where nothing of that helps.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +34,13 @@ from tabulon.plans.stage import stage
 
 #: Buckets of at most so many members are compared pair by pair, in every round.
 FEW = 32
+PATIENT = 5
 #: Sets with at least this share of all rows are broadcast, at most 1 / COMMON of them.
 COMMON = 1e-4
 DIGEST = ["n", "d1", "d2"]
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+SLOTS = 1 << 20
+_PARTS, _TOGETHER = 16, 256
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,101 +87,164 @@ def least_size(permille: int) -> int:
     return -(-permille // (1000 - permille)) if permille < 1000 else 1 << 62
 
 
-def product(a: pa.ListArray, b: pa.ListArray, mark: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """For each pair of rows: size of a's set, and the n-grams of b (in b's order) that a lacks, with their number.
+def _slot(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(44)).astype(np.int64)
+
+
+def _count_batches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                counts += np.bincount(_slot(shingles(Words(part, SPACED), width)[1]), minlength=SLOTS)
+        if counts.any():
+            some = TaskContext.get().partitionId() // _TOGETHER
+            packed = [x.tobytes() for x in np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(_PARTS, -1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(_PARTS, dtype=np.int32)), pa.array([some] * _PARTS, pa.int32()), pa.array(packed, pa.binary())],
+                names=["part", "some", "counts"],
+            )
+
+    return run
+
+
+def _add(kind: type, to: type):
+    def run(table: pa.Table) -> pa.Table:
+        sums = np.zeros(SLOTS // _PARTS, dtype=np.int64)
+        for one in table.column("counts"):
+            sums += np.frombuffer(one.as_buffer(), dtype=kind)
+        if to is np.uint8:  # the logarithm
+            sums = np.frexp(sums.astype(np.float64))[1]
+        one = table.slice(0, 1)
+        return pa.table({"part": one["part"], "some": one["some"], "counts": pa.array([sums.astype(to).tobytes()], pa.binary())})
+
+    return run
+
+
+def frequencies(texts: DataFrame, width: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives the rough logarithm of n-grams' counts in all texts, from SLOTS hashed slots, SLOTS bytes."""
+    shape = "part int, some int, counts binary"
+    counted = texts.mapInArrow(_count_batches(width), shape).groupBy("part", "some").applyInArrow(_add(np.uint16, np.int64), shape)
+    out = np.zeros((_PARTS, SLOTS // _PARTS), dtype=np.uint8)
+    for row in counted.groupBy("part").applyInArrow(_add(np.int64, np.uint8), shape).toLocalIterator():
+        out[row["part"]] = np.frombuffer(row["counts"], dtype=np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(out.reshape(-1))
+    return lambda value: shared.value[_slot(value)]
+
+
+def product(a: pa.ListArray, b: pa.ListArray, mark: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each pair of rows: both sizes, the n-grams that b has and a lacks, and those that a has and b lacks.
 
     mark names a's row, so rows that follow each other with one mark are laid out once."""
     flat_a, flat_b = (x.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for x in (a, b))
     to_a, to_b = (np.concatenate([[0], np.cumsum(np.diff(x.offsets.to_numpy()))]) for x in (a, b))
     names = mark.to_pylist()
     columns, code = np.unique(flat_b, return_inverse=True)
-    here = np.zeros(len(columns) + 1, dtype=bool)
-    laid, last = np.zeros(0, dtype=np.int64), None
+    in_a, in_b = (np.zeros(len(columns) + 1, dtype=bool) for _ in range(2))  # the last is for n-grams of no b
+    own, laid, last = flat_a[:0], np.zeros(0, dtype=np.int64), None
     for i, name in enumerate(names):
         if last is None or name != names[last]:
-            here[laid] = False
+            in_a[laid] = False
             own = flat_a[to_a[i] : to_a[i + 1]]
-            at = np.searchsorted(columns, own)
-            at[at == len(columns)] = 0
-            laid = at[columns[at] == own] if len(columns) else at[:0]
-            here[laid] = True
+            laid = np.searchsorted(columns, own)
+            laid[laid < len(columns)] = np.where(
+                columns[laid[laid < len(columns)]] == own[laid < len(columns)], laid[laid < len(columns)], len(columns)
+            )
+            in_a[laid] = True
+            in_a[-1] = False
             last = i
         span = slice(to_b[i], to_b[i + 1])
-        yield to_a[i + 1] - to_a[i], len(flat_b[span]), flat_b[span][~here[code[span]]]
-
+        in_b[code[span]] = True
+        yield len(own), to_b[i + 1] - to_b[i], flat_b[span][~in_a[code[span]]], own[~in_b[laid]]
+        in_b[code[span]] = False
+
+
+def _compare_batches(permille: int, level: Callable[[np.ndarray], np.ndarray]):
+    def places(n: int, n_a: int, more: np.ndarray, less: np.ndarray, linked: bool) -> tuple[np.ndarray, int, int]:
+        """The difference in order, and how much of it meets members without a link to a, and with one."""
+        both = np.concatenate([more, less])
+        key = np.concatenate([level(more).astype(np.int64), 256 - level(less).astype(np.int64)])
+        d, close = len(both), 1000 - permille  # close / (1000 + permille) is k
+        both = both[np.lexsort((both, key))]
+        far = ((1000 + permille) * d - close * (n - n_a)) // (2 * (1000 + permille)) + 1
+        first = min(d, max(0, d - far + 1))
+        if linked:
+            return both[:first], first, 0
+        some = -(-((1000 + permille) * d - close * (n + n_a) + 2 * permille) // (2 * (1000 + permille)))
+        second = min(d, d - max(1, some) + 1)
+        return both[: max(first, second)], first, second
 
-def _compare_batches(permille: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = {name: batch.column(name) for name in ("line", "a", "label_a", "b", "label_b", "hub")}
             hub = x["hub"].to_pylist()
-            linked, near, small, rest, sizes = [], [], [], [], []
-            for i, (n_a, n, outside) in enumerate(product(batch.column("grams_a"), batch.column("grams_b"), x["a"])):
-                both = n - len(outside)
-                linked.append(both * (1000 + permille) >= permille * (n + n_a))
-                least = -(-permille * n // 1000)  # of a partner
-                need = -(-permille * (n + least) // (1000 + permille)) - both
-                near.append(hub[i] and need <= 0 and not linked[-1])
-                small.append(hub[i] and n < n_a)
-                rest.append(outside[: max(0, len(outside) - max(need, 1) + 1) if hub[i] else 0])
-                sizes.append(n)
+            linked, firsts, seconds, apart, rest, sizes = [], [], [], [], [], []
+            for i, (n_a, n, more, less) in enumerate(product(batch.column("grams_a"), batch.column("grams_b"), x["a"])):
+                linked.append((n - len(more)) * (1000 + permille) >= permille * (n + n_a))
+                out, first, second = places(n, n_a, more, less, linked[-1]) if hub[i] else (more[:0], 0, 0)
+                firsts.append(first), seconds.append(second), rest.append(out)
+                sizes.append(n), apart.append(len(more) + len(less))
             flat = np.concatenate(rest) if rest else np.zeros(0, dtype=np.uint64)
             extras = list_array(pa.array(flat.view(np.int64)), np.array([len(r) for r in rest], dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
                 [x[k] for k in ("line", "a", "label_a", "b", "label_b")]
-                + [pa.array(v, pa.bool_()) for v in (linked, near, small)]
-                + [pa.array(sizes, pa.int64()), extras],
-                names=["line", "a", "label_a", "b", "label_b", "linked", "near", "small", "n", "extras"],
+                + [pa.array(linked, pa.bool_())]
+                + [pa.array(v, pa.int64()) for v in (sizes, apart, firsts, seconds)]
+                + [extras],
+                names=["line", "a", "label_a", "b", "label_b", "linked", "n", "apart", "first", "second", "extras"],
             )
 
     return run
 
 
 COMPARED = (
-    "line long, a long, label_a long, b long, label_b long, linked boolean, near boolean, small boolean, n long, "
+    "line long, a long, label_a long, b long, label_b long, linked boolean, n long, apart long, first long, second long, "
     "extras array<long>"
 )
 
 
-def links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], permille: int) -> DataFrame:
+def links(
+    members: DataFrame, sets: Callable[[DataFrame], DataFrame], permille: int, level: Callable[[np.ndarray], np.ndarray]
+) -> DataFrame:
     """(a, b) of nodes, enough of them to join all nodes that links join.
 
     members: bucket, node, n, and rest, which bounds the overlap of two members from the bucket on (n where nothing is
-    known; else the n-grams of the set from the bucket's one on, which must be the first that both have). sets:
-    from a frame with the column node to (node, grams).
+    known; else the n-grams of the set from the bucket's one on, which must be the first that both have), given, the
+    number of a node's buckets. sets: from a frame with the column node to (node, grams). level: rough logarithms of the n-grams' frequencies.
     """
+    zero = F.lit(0).cast("long")
     members = members.select(
-        "bucket", "node", "n", "rest", F.lit(0).cast("long").alias("line"), F.col("node").alias("label"), F.lit(True).alias("live")
-    )
-    rows, found_all = None, None
+        "bucket", "node", "n", "rest", "given", zero.alias("base"), zero.alias("line"), F.col("node").alias("label"),
+        F.lit(None).cast("int").alias("side"),
+    )
+    rows, found_all, few_now, rounds = None, None, FEW, 0
     while True:
         kept = (
             members.groupBy("bucket")
-            .agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("live").alias("any"))
-            .where("low <> high and any")
+            .agg(
+                F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
+                F.min("side").alias("without"), F.max("side").alias("with"),
+            )
+            .where("low <> high and (without is null or without <> with)")
             .select("bucket", "size")
-        )
+        )
         held = stage(members.join(kept, "bucket"))
-        few, many = held.where(F.col("size") <= FEW), held.where(F.col("size") > FEW)
-        other = few.select(
-            "bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a")
-        )
+        few, many = held.where(F.col("size") <= few_now), held.where(F.col("size") > few_now)
+        other = few.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "rest", "base", "side")])
         mutual = (
             few.join(other, "bucket")
-            .where("a < node and label_a <> label")
+            .where("node_a < node and label_a <> label and (side is null or side <> side_a)")
             .where(f"1000 * least(n, n_a) >= {permille} * greatest(n, n_a)")
-            .where(f"{1000 + permille} * least(rest, rest_a) >= {permille} * (n + n_a)")
-            .groupBy("a", F.col("node").alias("b"))
+            .where(f"{1000 + permille} * (base + base_a + 2 * least(rest, rest_a)) >= {2 * permille} * (n + n_a)")
+            .groupBy(F.col("node_a").alias("a"), F.col("node").alias("b"))
             .agg(F.min("label_a").alias("label_a"), F.min("label").alias("label_b"))
-            .select(F.lit(0).cast("long").alias("line"), "a", "label_a", "b", "label_b", F.lit(False).alias("hub"))
-        )
-        met = many.groupBy("line", "node").agg(F.count("*").alias("met"))
-        hubs = (
-            many.join(met, ["line", "node"])
-            .groupBy("bucket")
-            .agg(F.max(F.struct("met", (-F.col("n")).alias("less"), (-F.col("node")).alias("first"), "label")).alias("h"))
-            .select("bucket", (-F.col("h.first")).alias("a"), F.col("h.label").alias("label_a"))
+            .select(zero.alias("line"), "a", "label_a", "b", "label_b", F.lit(False).alias("hub"))
         )
+        met = held.groupBy("line", "node").agg(F.count("*").alias("met"))
+        alone = (F.col("met") - F.col("given")).alias("alone")  # a hub should have little that nobody shares
+        best = F.struct("side", alone, "met", (-F.col("n")).alias("less"), (-F.col("node")).alias("first"), "label")
+        hubs = many.join(met, ["line", "node"]).groupBy("bucket").agg(F.max(best).alias("h"))
+        hubs = hubs.select("bucket", (-F.col("h.first")).alias("a"), F.col("h.label").alias("label_a"))
         spokes = (
             many.join(hubs, "bucket")
             .where("node <> a")
@@ -189,22 +259,28 @@ def links(members: DataFrame, sets: Callable[[DataFrame], DataFrame], permille:
             nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
             rows = stage(sets(stage(nodes.distinct())))
         a, b = (rows.select(F.col("node").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "ab")
-        found = stage(pairs.join(b, "b").join(a, "a").mapInArrow(_compare_batches(permille), COMPARED))
+        found = stage(pairs.join(b, "b").join(a, "a").mapInArrow(_compare_batches(permille, level), COMPARED))
         new = found.where("linked").select("a", "b")
         found_all = new if found_all is None else found_all.union(new)
         again = found.where("line <> 0").select(
-            "line", F.col("b").alias("node"), "n", F.expr("if(linked, label_a, label_b)").alias("label"), "near", "small", "extras"
-        )
-        common = ["line", "node", "n", "label"]
-        outside = again.select(*common, F.posexplode("extras").alias("place", "gram")).select(
-            *common, F.xxhash64("line", "gram").alias("bucket"), (F.col("n") - F.col("place")).alias("rest"), F.lit(True).alias("live")
+            "line", F.col("b").alias("node"), "n", F.expr("if(linked, label_a, label_b)").alias("label"),
+            (F.col("n") - F.col("apart")).alias("base"), "linked", "apart", "first", "second",
+            F.posexplode("extras").alias("place", "gram"),
+        ).withColumn("rest", F.col("apart") - F.col("place")).withColumn(
+            "given", F.expr("if(linked, first, first + second)")
+        )
+        columns = ["node", "n", "rest", "given", "base", "line", "label"]
+        without = again.where("place < first and not linked").select(
+            F.xxhash64("line", "gram").alias("bucket"), *columns, F.lit(None).cast("int").alias("side")
         )
-        meeting = again.where("near or small").select(
-            *common, F.xxhash64("line").alias("bucket"), F.col("n").alias("rest"), F.col("near").alias("live")
+        mixed = again.where("place < if(linked, first, second)").select(
+            F.xxhash64("line", "gram", F.lit(1)).alias("bucket"), *columns, F.col("linked").cast("int").alias("side")
         )
-        members = stage(outside.unionByName(meeting))
+        members = stage(without.unionByName(mixed))
         if members.isEmpty():
             break
+        rounds += 1
+        few_now = few_now if rounds < PATIENT else 2 * few_now
     if found_all is None:
         return held.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     return found_all.distinct()
@@ -239,14 +315,12 @@ def components(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _gram_batches(width: int, level: Callable[[np.ndarray], np.ndarray] | None):
+def _gram_batches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
                 row, value = shingles(Words(part, SPACED), width)
                 n, d1, d2 = digests(row, value, part.rows)
-                if level is not None:
-                    value = value[np.lexsort((value, level(value), row))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(n), pa.array(d1), pa.array(d2), list_array(pa.array(value.view(np.int64)), n)],
                     names=[*DIGEST, "grams"],
@@ -257,13 +331,13 @@ def _gram_batches(width: int, level: Callable[[np.ndarray], np.ndarray] | None):
 
 def grouped(
     docs: DataFrame, sketched: DataFrame, column: str, members: Callable[[DataFrame], DataFrame], width: int, permille: int,
-    level: Callable[[np.ndarray], np.ndarray] | None = None,
+    level: Callable[[np.ndarray], np.ndarray],
 ) -> DataFrame:
     """sketched's line, id and n with `component`, the least id of the row's group, and `first`, the group's first line.
 
     docs: id, text. sketched: a written table with line (a number for each row), id, n, d1, d2 and `column`, from which
-    members makes the buckets: it takes (node, n, `column`) of one row for each set and gives (bucket, node, n, rest).
-    The sets are read again from the texts, in the order of level and hash.
+    members makes the buckets: it takes (node, n, `column`) of one row for each set and gives (bucket, node, n, rest, given).
+    The sets are read again from the texts.
     """
     classes = stage(
         sketched.where("n > 0").groupBy(*DIGEST).agg(
@@ -277,10 +351,10 @@ def grouped(
         asked = stage(classes.join(nodes, "node").select(*DIGEST, "node", "least"))
         ids = stage(asked.select("least").distinct())
         texts = docs.join(ids, docs["id"].eqNullSafe(ids["least"]), "left_semi").select("text")
-        grams = texts.mapInArrow(_gram_batches(width, level), "n long, d1 long, d2 long, grams array<long>")
+        grams = texts.mapInArrow(_gram_batches(width), "n long, d1 long, d2 long, grams array<long>")
         return grams.join(asked.drop("least"), DIGEST).groupBy("node").agg(F.first("grams").alias("grams"))
 
-    roots = stage(components(links(members(leaders), sets, permille)))
+    roots = stage(components(links(members(leaders), sets, permille, level)))
     linked = classes.join(roots, "node").select("node", "root", F.struct(F.col("least").isNull().alias("none"), "least", "node").alias("one"))
     whole = linked.groupBy("root").agg(F.min("one").alias("one"))
     named = linked.join(whole.select("root", F.col("one").alias("to")), "root").select(
