@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.overlap import digests, frequencies, grouped, least_size, shingles
+from tabulon.llm.overlap import digests, frequencies, grouped, least_size, parities, shingles
 from tabulon.llm.text import SPACED, Words, aliased, list_array, slices
 from tabulon.plans.stage import stage
 
@@ -36,10 +36,10 @@ def _prefix_batches(width: int, permille: int, level):
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(k).slice(part.start, part.rows) for k in ("line", "id")),
-                        pa.array(n), pa.array(d1), pa.array(d2),
+                        pa.array(n), pa.array(d1), pa.array(d2), parities(row, value, part.rows),
                         list_array(pa.array(value[place < length[row]].view(np.int64)), length),
                     ],
-                    names=["line", "id", "n", "d1", "d2", "prefix"],
+                    names=["line", "id", "n", "d1", "d2", "parity", "prefix"],
                 )
 
     return run
@@ -65,7 +65,7 @@ def ngram_join(
     lined = plain.select(F.monotonically_increasing_id().alias("line"), "id", "text")
     sketched = stage(
         lined.mapInArrow(
-            _prefix_batches(width, permille, level), f"line long, id {kind}, n long, d1 long, d2 long, prefix array<long>"
+            _prefix_batches(width, permille, level), f"line long, id {kind}, n long, d1 long, d2 long, parity array<long>, prefix array<long>"
         )
     )
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.overlap import digests, frequencies, grouped, least_size, shingles
+from tabulon.llm.overlap import digests, frequencies, grouped, least_size, parities, shingles
 from tabulon.llm.text import SPACED, Words, aliased, list_array, mix, slices
 from tabulon.plans.stage import stage
 
@@ -75,9 +75,10 @@ def _sketch_batches(least: int):
                         pa.array(n),
                         pa.array(d1),
                         pa.array(d2),
+                        parities(row, value, part.rows),
                         list_array(pa.array(bands.reshape(-1).view(np.int64)), np.where(wide, BANDS, 0)),
                     ],
-                    names=["line", "id", "n", "d1", "d2", "bands"],
+                    names=["line", "id", "n", "d1", "d2", "parity", "bands"],
                 )
 
     return run
@@ -89,7 +90,7 @@ def _groups(lined: DataFrame, similarity: float) -> DataFrame:
         raise ValueError("the bands are laid out for similarities of 0.8 or more")
     permille = round(1000 * similarity)
     kind = lined.schema["id"].dataType.simpleString()
-    shape = f"line long, id {kind}, n long, d1 long, d2 long, bands array<long>"
+    shape = f"line long, id {kind}, n long, d1 long, d2 long, parity array<long>, bands array<long>"
     sketched = stage(lined.mapInArrow(_sketch_batches(least_size(permille)), shape))
 
     def members(leaders: DataFrame) -> DataFrame:

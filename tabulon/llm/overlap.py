@@ -6,7 +6,7 @@ of document by n-gram incidence of the candidates are multiplied block by block
 are marked in a dense array over the block's columns, and every partner's marks are summed.
 
 All pairs are formed only in buckets of at most FEW members, and only if sizes and places leave room for
-a link. A larger bucket picks one member, the hub h, that all others are multiplied with; they form h's line. A member
+a link, by parities of BITS bits too. A larger bucket picks one member, the hub h, that all others are multiplied with; they form h's line. A member
 x is then known by its difference from h, the d_x n-grams that only one of both has. A link of x and y needs a
 difference of at most k (n_x + n_y), k = (1 - s) / (1 + s), so their differences from h share at least
 (d_x + d_y - k (n_x + n_y)) / 2 n-grams. What can be missed is a link of which one side, say x, isn't linked with h:
@@ -35,6 +35,7 @@ from tabulon.plans.stage import stage
 #: Buckets of at most so many members are compared pair by pair, in every round.
 FEW = 32
 PATIENT = 5
+BITS = 1024
 #: Sets with at least this share of all rows are broadcast, at most 1 / COMMON of them.
 COMMON = 1e-4
 DIGEST = ["n", "d1", "d2"]
@@ -80,6 +81,15 @@ def digests(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray,
     return size.astype(np.int64), sums[0].view(np.int64), sums[1].view(np.int64)
 
 
+def parities(row: np.ndarray, value: np.ndarray, rows: int) -> pa.ListArray:
+    """BITS bits for each set, each the parity of the n-grams that fall on it.
+
+    Bits that differ between two sets are at most as many as the n-grams that only one of them has."""
+    bit = (mix(value + _GOLDEN) >> np.uint64(64 - 10)).astype(np.int64)
+    odd = (np.bincount(row * BITS + bit, minlength=rows * BITS) & 1).astype(np.uint8)
+    return list_array(pa.array(np.packbits(odd).view(np.int64)), np.full(rows, BITS // 64))
+
+
 def least_size(permille: int) -> int:
     """The least set that a link can join to a larger one, which then has one shingle more: k / (k + 1) is enough.
 
@@ -204,19 +214,22 @@ COMPARED = (
 
 
 def links(
-    members: DataFrame, sets: Callable[[DataFrame], DataFrame], permille: int, level: Callable[[np.ndarray], np.ndarray]
-) -> DataFrame:
+    members: DataFrame, bits: DataFrame, sets: Callable[[DataFrame], DataFrame], permille: int,
+    level: Callable[[np.ndarray], np.ndarray],
+) -> DataFrame:
     """(a, b) of nodes, enough of them to join all nodes that links join.
 
     members: bucket, node, n, and rest, which bounds the overlap of two members from the bucket on (n where nothing is
     known; else the n-grams of the set from the bucket's one on, which must be the first that both have), given, the
-    number of a node's buckets. sets: from a frame with the column node to (node, grams). level: rough logarithms of the n-grams' frequencies.
+    number of a node's buckets. bits: node, parity (see parities), which leaves out pairs that surely differ too much,
+    except with a hub. sets: from a frame with the column node to (node, grams). level: rough logarithms of the n-grams' frequencies.
     """
     zero = F.lit(0).cast("long")
     members = members.select(
         "bucket", "node", "n", "rest", "given", zero.alias("base"), zero.alias("line"), F.col("node").alias("label"),
         F.lit(None).cast("int").alias("side"),
     )
+    differ = "aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
     rows, found_all, few_now, rounds = None, None, FEW, 0
     while True:
         kept = (
@@ -237,8 +250,12 @@ def links(
             .where(f"1000 * least(n, n_a) >= {permille} * greatest(n, n_a)")
             .where(f"{1000 + permille} * (base + base_a + 2 * least(rest, rest_a)) >= {2 * permille} * (n + n_a)")
             .groupBy(F.col("node_a").alias("a"), F.col("node").alias("b"))
-            .agg(F.min("label_a").alias("label_a"), F.min("label").alias("label_b"))
-            .select(zero.alias("line"), "a", "label_a", "b", "label_b", F.lit(False).alias("hub"))
+            .agg(F.min("label_a").alias("label_a"), F.min("label").alias("label_b"), F.min(F.col("n") + F.col("n_a")).alias("sizes"))
+        )
+        for side in "ab":
+            mutual = mutual.join(bits.select(F.col("node").alias(side), F.col("parity").alias(f"parity_{side}")), side)
+        mutual = mutual.where(f"{1000 + permille} * {differ} <= {1000 - permille} * sizes").select(
+            zero.alias("line"), "a", "label_a", "b", "label_b", F.lit(False).alias("hub")
         )
         met = held.groupBy("line", "node").agg(F.count("*").alias("met"))
         alone = (F.col("met") - F.col("given")).alias("alone")  # a hub should have little that nobody shares
@@ -335,7 +352,7 @@ def grouped(
 ) -> DataFrame:
     """sketched's line, id and n with `component`, the least id of the row's group, and `first`, the group's first line.
 
-    docs: id, text. sketched: a written table with line (a number for each row), id, n, d1, d2 and `column`, from which
+    docs: id, text. sketched: a written table with line (a number for each row), id, n, d1, d2, parity and `column`, from which
     members makes the buckets: it takes (node, n, `column`) of one row for each set and gives (bucket, node, n, rest, given).
     The sets are read again from the texts.
     """
@@ -352,9 +369,10 @@ def grouped(
         ids = stage(asked.select("least").distinct())
         texts = docs.join(ids, docs["id"].eqNullSafe(ids["least"]), "left_semi").select("text")
         grams = texts.mapInArrow(_gram_batches(width), "n long, d1 long, d2 long, grams array<long>")
-        return grams.join(asked.drop("least"), DIGEST).groupBy("node").agg(F.first("grams").alias("grams"))
+        return grams.groupBy(*DIGEST).agg(F.first("grams").alias("grams")).join(asked.drop("least"), DIGEST).select("node", "grams")
 
-    roots = stage(components(links(members(leaders), sets, permille, level)))
+    bits = sketched.select(F.col("line").alias("node"), "parity")
+    roots = stage(components(links(members(leaders), bits, sets, permille, level)))
     linked = classes.join(roots, "node").select("node", "root", F.struct(F.col("least").isNull().alias("none"), "least", "node").alias("one"))
     whole = linked.groupBy("root").agg(F.min("one").alias("one"))
     named = linked.join(whole.select("root", F.col("one").alias("to")), "root").select(
