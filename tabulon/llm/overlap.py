@@ -13,7 +13,11 @@ difference of at most k (n_x + n_y), k = (1 - s) / (1 + s), so their differences
 d_x > k (n_x + n_h), and with n_y <= n_h + d_y the number is positive. By the prefix filter the two meet in
 one of the first n-grams of their differences, in an order in which those come first that few members of the line differ
 in: rare ones that h lacks, frequent ones that h has. These are the buckets of the next round, one kind for two
-members without a link to h and one for a member with and one without. A member carries a label, the label of
+members without a link to h and one for a member with and one without. Where a difference is large, the n-grams outside h
+are fewer and the plain prefix filter says more: a member with d_x > far n_x (see `classes_of`) has an overlap with h
+that no link is content with, so it meets its partners, which are as far from h, in one of the first n-grams
+outside h. Members between the two bounds take part in both. Large buckets are cut by size first, each member in two
+neighbouring classes, so sizes in a line differ by less than 1 / s^2, which the bounds need. A member carries a label, the label of
 the hub that it was linked with, so members of one label are in one group; a bucket of one label is left. A group of near
 copies of one text takes about one product for each member, and its members meet again only where they differ
 alike. From round PATIENT on FEW doubles each round, so rounds end soon even where nothing of that helps.
@@ -21,6 +25,7 @@ alike. From round PATIENT on FEW doubles each round, so rounds end soon even whe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -169,6 +174,15 @@ def product(a: pa.ListArray, b: pa.ListArray, mark: pa.Array) -> Iterator[tuple[
         in_b[code[span]] = False
 
 
+def classes_of(permille: int) -> tuple[float, float]:
+    """far and near: differences, as shares of a member's size, from which the n-grams outside the hub are enough,
+    and up to which the difference is looked at. If x isn't near, a partner of x is far."""
+    s = permille / 1000
+    k = (1 - s) / (1 + s)
+    far = max(4 * k, 1 + 1 / s**2 - 2 * s)
+    return far, k * (1 + 1 / s) + far / s
+
+
 def _compare_batches(permille: int, level: Callable[[np.ndarray], np.ndarray]):
     def places(n: int, n_a: int, more: np.ndarray, less: np.ndarray, linked: bool) -> tuple[np.ndarray, int, int]:
         """The difference in order, and how much of it meets members without a link to a, and with one."""
@@ -184,24 +198,36 @@ def _compare_batches(permille: int, level: Callable[[np.ndarray], np.ndarray]):
         second = min(d, d - max(1, some) + 1)
         return both[: max(first, second)], first, second
 
+    def prefix(n: int, more: np.ndarray) -> np.ndarray:
+        """The first n-grams outside a hub, by which a far member meets its partners."""
+        need = -(-permille * (n + -(-permille * n // 1000)) // (1000 + permille)) - (n - len(more))
+        return more[np.lexsort((more, level(more)))][: max(0, len(more) - max(need, 1) + 1)]
+
+    def lists(columns: list[np.ndarray], none: np.ndarray) -> pa.ListArray:
+        flat = np.concatenate([none, *columns])
+        return list_array(pa.array(flat.view(np.int64)), np.array([len(r) for r in columns], dtype=np.int64))
+
+    far, near = classes_of(permille)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = {name: batch.column(name) for name in ("line", "a", "label_a", "b", "label_b", "hub")}
-            hub = x["hub"].to_pylist()
-            linked, firsts, seconds, apart, rest, sizes = [], [], [], [], [], []
+            hub, none = x["hub"].to_pylist(), np.zeros(0, dtype=np.uint64)
+            linked, firsts, seconds, apart, rest, outside, sizes = [], [], [], [], [], [], []
             for i, (n_a, n, more, less) in enumerate(product(batch.column("grams_a"), batch.column("grams_b"), x["a"])):
                 linked.append((n - len(more)) * (1000 + permille) >= permille * (n + n_a))
-                out, first, second = places(n, n_a, more, less, linked[-1]) if hub[i] else (more[:0], 0, 0)
+                d = len(more) + len(less)
+                is_near = hub[i] and d <= near * n + 1
+                out, first, second = places(n, n_a, more, less, linked[-1]) if is_near else (none, 0, 0)
+                outside.append(prefix(n, more) if hub[i] and d > far * n and not linked[-1] else none)
                 firsts.append(first), seconds.append(second), rest.append(out)
-                sizes.append(n), apart.append(len(more) + len(less))
-            flat = np.concatenate(rest) if rest else np.zeros(0, dtype=np.uint64)
-            extras = list_array(pa.array(flat.view(np.int64)), np.array([len(r) for r in rest], dtype=np.int64))
+                sizes.append(n), apart.append(d)
             yield pa.RecordBatch.from_arrays(
                 [x[k] for k in ("line", "a", "label_a", "b", "label_b")]
                 + [pa.array(linked, pa.bool_())]
                 + [pa.array(v, pa.int64()) for v in (sizes, apart, firsts, seconds)]
-                + [extras],
-                names=["line", "a", "label_a", "b", "label_b", "linked", "n", "apart", "first", "second", "extras"],
+                + [lists(rest, none), lists(outside, none)],
+                names=["line", "a", "label_a", "b", "label_b", "linked", "n", "apart", "first", "second", "extras", "outside"],
             )
 
     return run
@@ -209,7 +235,7 @@ def _compare_batches(permille: int, level: Callable[[np.ndarray], np.ndarray]):
 
 COMPARED = (
     "line long, a long, label_a long, b long, label_b long, linked boolean, n long, apart long, first long, second long, "
-    "extras array<long>"
+    "extras array<long>, outside array<long>"
 )
 
 
@@ -230,6 +256,14 @@ def links(
         F.lit(None).cast("int").alias("side"),
     )
     differ = "aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+    # large buckets are cut by size
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    met = stage(members.join(sizes, "bucket"))
+    size_class = F.floor(F.log("n") / math.log(1000 / permille)) if permille < 1000 else F.col("n")
+    parts = F.when(F.col("size") <= FEW, F.array("bucket")).otherwise(
+        F.array(F.xxhash64("bucket", size_class), F.xxhash64("bucket", size_class + 1))
+    )
+    members = met.withColumn("bucket", F.explode(parts)).drop("size")
     rows, found_all, few_now, rounds = None, None, FEW, 0
     while True:
         kept = (
@@ -280,20 +314,28 @@ def links(
         new = found.where("linked").select("a", "b")
         found_all = new if found_all is None else found_all.union(new)
         again = found.where("line <> 0").select(
-            "line", F.col("b").alias("node"), "n", F.expr("if(linked, label_a, label_b)").alias("label"),
-            (F.col("n") - F.col("apart")).alias("base"), "linked", "apart", "first", "second",
-            F.posexplode("extras").alias("place", "gram"),
-        ).withColumn("rest", F.col("apart") - F.col("place")).withColumn(
-            "given", F.expr("if(linked, first, first + second)")
+            "line", F.col("b").alias("node"), "n", F.expr("if(linked, label_a, label_b)").alias("label"), "apart", "linked",
+            "first", "second", F.expr("if(linked, first, first + second) + size(outside)").alias("given"), "extras", "outside",
         )
-        columns = ["node", "n", "rest", "given", "base", "line", "label"]
-        without = again.where("place < first and not linked").select(
-            F.xxhash64("line", "gram").alias("bucket"), *columns, F.lit(None).cast("int").alias("side")
+        columns, none = ["node", "n", "rest", "given", "base", "line", "label"], F.lit(None).cast("int").alias("side")
+        differences = (
+            again.select("*", F.posexplode("extras").alias("place", "gram"))
+            .withColumn("rest", F.col("apart") - F.col("place"))
+            .withColumn("base", F.col("n") - F.col("apart"))
         )
-        mixed = again.where("place < if(linked, first, second)").select(
+        without = differences.where("place < first and not linked").select(
+            F.xxhash64("line", "gram").alias("bucket"), *columns, none
+        )
+        mixed = differences.where("place < if(linked, first, second)").select(
             F.xxhash64("line", "gram", F.lit(1)).alias("bucket"), *columns, F.col("linked").cast("int").alias("side")
         )
-        members = stage(without.unionByName(mixed))
+        apart = (
+            again.select("*", F.posexplode("outside").alias("place", "gram"))
+            .withColumn("rest", F.col("n") - F.col("place"))
+            .withColumn("base", zero)
+            .select(F.xxhash64("line", "gram", F.lit(2)).alias("bucket"), *columns, none)
+        )
+        members = stage(without.unionByName(mixed).unionByName(apart))
         if members.isEmpty():
             break
         rounds += 1
