@@ -110,10 +110,15 @@ def _(t):
     return cohort.average_retention(order_cells(t))
 
 
-@query("cohort_matrix", COHORT + """SELECT * FROM (
-  PIVOT (SELECT cohort, 'p' || cohort_index AS i, retention FROM cells) ON i USING coalesce(max(retention), 0) GROUP BY cohort)""")
-def _(t):
-    return cohort.pivot_cells(order_cells(t), "retention")
+@query("cohort_matrix", COHORT + """, grid AS (
+  SELECT * FROM (SELECT DISTINCT cohort FROM cells) CROSS JOIN (SELECT DISTINCT cohort_index FROM cells))
+SELECT cohort, cohort_index, coalesce(max(retention), 0) AS retention FROM grid LEFT JOIN cells USING (cohort, cohort_index)
+GROUP BY 1, 2""")
+def _(t):
+    wide = cohort.pivot_cells(order_cells(t), "retention")
+    columns = [c for c in wide.columns if c != "cohort"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(int(c[1:])).alias("i"), F.col(c).alias("v")) for c in columns])).alias("cell")
+    return wide.select("cohort", pairs).select("cohort", F.col("cell.i").alias("cohort_index"), F.col("cell.v").alias("retention"))
 
 
 @query("cohort_weekly", """

@@ -239,6 +239,29 @@ def _(t):
     return cluster.cluster_quality(found.assign(rows), 2)
 
 
+def _steps_sql(steps: int) -> str:
+    """Lloyd's iteration from three given centres, step by step."""
+    parts = ["p AS (SELECT row_number() OVER () AS line, l_quantity::DOUBLE AS x, l_extendedprice / 1000 AS y FROM lineitem)",
+             "c0(id, x, y) AS (VALUES (0, 5.0, 10.0), (1, 25.0, 40.0), (2, 45.0, 70.0))"]
+    for i in range(steps + 1):
+        parts.append(f"""a{i} AS (SELECT p.*, c.id, (p.x - c.x) ** 2 + (p.y - c.y) ** 2 AS d FROM p CROSS JOIN c{i} c
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY d, c.id) = 1)""")
+        parts.append(f"c{i + 1} AS (SELECT id, avg(x) AS x, avg(y) AS y FROM a{i} GROUP BY id)")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT id AS cluster_id, count(*) AS size, round(avg(x), 4) AS mean_x, round(avg(y), 4) AS mean_y, round(sum(d), 2) AS cost
+FROM a{steps} GROUP BY id"""
+
+
+@query("kmeans_given_centres", _steps_sql(4))
+def _(t):
+    rows = t.lineitem.select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    found = cluster.kmeans_from(rows, [[5, 10], [25, 40], [45, 70]], ["x", "y"], steps=4).assign(rows)
+    return found.groupBy("cluster_id").agg(
+        F.count("*").alias("size"), F.round(F.avg("x"), 4).alias("mean_x"), F.round(F.avg("y"), 4).alias("mean_y"),
+        F.round(F.sum("_d2"), 2).alias("cost"),
+    )
+
+
 # Quality of a given grouping is exact: part types stand in for clusters.
 @query("grouping_quality", """
 WITH p AS (SELECT p_type AS g, p_size / 10.0 AS a, p_retailprice / 100.0 AS b FROM part),

@@ -5,15 +5,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.errors import InsufficientDataError
 from tabulon.functions.stats import round4
 from tabulon.operators.clean import impute
+from tabulon.operators.lloyd import MOST_STEPS, lloyd, seed_sample, seeds, silhouettes
 from tabulon.operators.models import Preparation, prepare, unscaled
 from tabulon.plans.longform import numeric_columns, ref
 from tabulon.plans.spread import spread
@@ -28,38 +28,39 @@ class Clusters:
     cost: float
     preparation: Preparation
     centers: list[list[float]]
-    model: object
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Rows with cluster_id, the features as `_scaled` and the squared distance to the centre."""
-        scaled = F.array(*self.preparation.scaled())
-        ready = df.withColumn("features", self.preparation.vector()).withColumn("_scaled", scaled)
-        out = self.model.transform(ready).withColumn("cluster_id", F.col("prediction"))
-        centre = F.element_at(F.array(*[F.array(*[F.lit(v) for v in c]) for c in self.centers]), F.col("cluster_id") + 1)
-        d2 = F.aggregate(F.zip_with("_scaled", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        return out.withColumn("_d2", d2).drop("features", "prediction")
+        """Rows with cluster_id (the nearest centre, the first of equals), the features as `_scaled` and the squared
+        distance to the centre."""
 
+        def to(centre: list[float], i: int):
+            square = [(F.col("_scaled")[j] - v) * (F.col("_scaled")[j] - v) for j, v in enumerate(centre)]
+            return F.struct(sum(square, F.lit(0.0)).alias("d2"), F.lit(i).alias("id"))
 
-def _vectors(df: DataFrame, features: list[str], scale: bool = True):
+        found = [to(c, i) for i, c in enumerate(self.centers)]
+        nearest = F.least(*found) if len(found) > 1 else found[0]
+        out = df.withColumn("_scaled", F.array(*self.preparation.scaled())).withColumn("_nearest", nearest)
+        return out.withColumn("cluster_id", F.col("_nearest.id")).withColumn("_d2", F.col("_nearest.d2")).drop("_nearest")
+
+
+def _points(df: DataFrame, features: list[str], scale: bool = True):
     prep = prepare(df, features) if scale else unscaled(features)
     inputs = spread(df.select(*[ref(c) for c in features]))
-    return prep, inputs.select(prep.vector().alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    columns = [x.cast("double").alias(f"f{i}") for i, x in enumerate(prep.scaled())]
+    return prep, inputs.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _best(vectors: DataFrame, k: int, restarts: int, seed: int):
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, maxIter=100, tol=1e-4).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def _best(points: DataFrame, ks: list[int], restarts: int, seed: int) -> list[tuple[np.ndarray, float]]:
+    """Centres and cost of the cheapest start for each k; all starts of all k run together."""
+    sample = seed_sample(points)
+    lanes = [(k, i) for k in ks for i in range(restarts)]
+    found = lloyd(points, [seeds(sample, k, seed + i) for k, i in lanes])
+    return [min((f for f, (k, _) in zip(found, lanes) if k == wanted), key=lambda f: f[1]) for wanted in ks]
 
 
-def _wrap(model, prep: Preparation) -> Clusters:
-    return Clusters(
-        len(model.clusterCenters()), float(model.summary.trainingCost), prep,
-        [[float(v) for v in c] for c in model.clusterCenters()], model,
-    )
+def _wrap(found: tuple[np.ndarray, float], prep: Preparation) -> Clusters:
+    centers, cost = found
+    return Clusters(len(centers), cost, prep, centers.tolist())
 
 
 def kmeans(
@@ -68,40 +69,44 @@ def kmeans(
     """Best of several starts on standardised features, where missing cells take the median; without `scale`
     on the columns as they are, which must be complete."""
     features = list(features or numeric_columns(df))
-    prep, vectors = _vectors(df, features, scale)
+    prep, points = _points(df, features, scale)
     try:
-        n = vectors.count()
+        n = points.count()
         if n < k:
             raise InsufficientDataError("rows for clustering", k, n)
-        return _wrap(_best(vectors, k, restarts, seed), prep)
+        return _wrap(_best(points, [k], restarts, seed)[0], prep)
+    finally:
+        points.unpersist()
+
+
+def kmeans_from(df: DataFrame, centers: list[list[float]], features=None, steps: int = MOST_STEPS) -> Clusters:
+    """Lloyd's iteration from given centres on the columns as they are, which must be complete."""
+    features = list(features or numeric_columns(df))
+    prep, points = _points(df, features, scale=False)
+    try:
+        return _wrap(lloyd(points, [np.array(centers, dtype=np.float64)], steps, 0.0)[0], prep)
     finally:
-        vectors.unpersist()
+        points.unpersist()
 
 
 def choose_k(df: DataFrame, features=None, max_k: int = 6, restarts: int = RESTARTS, seed: int = 42):
     """(clusters of the best k, [(k, silhouette)]). The silhouette uses squared Euclidean distance."""
     features = list(features or numeric_columns(df))
-    prep, vectors = _vectors(df, features)
-    judge = ClusteringEvaluator(predictionCol="prediction", featuresCol="features")
+    prep, points = _points(df, features)
     try:
-        n = vectors.count()
+        n = points.count()
         if n < 3:
             raise InsufficientDataError("rows for clustering", 3, n)
-        best, scores = None, []
-        for k in range(2, min(max_k, n - 1) + 1):
-            model = _best(vectors, k, restarts, seed)
-            assigned = model.transform(vectors)
-            if len([s for s in model.summary.clusterSizes if s]) < 2:
-                continue
-            score = float(judge.evaluate(assigned))
-            scores.append((k, score))
-            if best is None or score > best[0]:
-                best = (score, model)
-        if best is None:
+        ks = list(range(2, min(max_k, n - 1) + 1))
+        found = _best(points, ks, restarts, seed)
+        judged = zip(ks, found, silhouettes(points, [c for c, _ in found]))
+        scores = [(k, f, score) for k, f, score in judged if score is not None]
+        if not scores:
             raise InsufficientDataError("distinct rows for clustering", 2, 1)
-        return _wrap(best[1], prep), scores
+        best = max(scores, key=lambda s: s[2])
+        return _wrap(best[1], prep), [(k, score) for k, _, score in scores]
     finally:
-        vectors.unpersist()
+        points.unpersist()
 
 
 def silhouette_table(df: DataFrame, features=None, max_k: int = 6, restarts: int = RESTARTS) -> DataFrame:
