@@ -39,10 +39,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of every group of near copies the document with the least id; documents without words stay."""
-    found = minhash.near_duplicates(docs, similarity=0.85)
-    kept = found.where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Operator 1: of every group of near copies one row, that with the least id; one of a repeated row; documents without
+    words stay."""
+    return minhash.representatives(docs.select(*COLUMNS), similarity=0.85)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
