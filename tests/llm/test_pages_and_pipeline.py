@@ -155,6 +155,16 @@ def test_pipeline(spark, docs):
     assert corpus_pipeline.run(spark, FOLDER).count() == sizes[-1]
 
 
+def test_near_duplicate_stage_keeps_null_ids_and_one_of_repeated_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a + " tail"), (None, b), (None, c), (None, c), (7, c + " tail"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    want = [(1, a), (7, c + " tail"), (8, None), (9, ""), (None, b)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_stages_on_odd_and_empty_tables(spark, odd, nothing):
     for _, function in corpus_pipeline.STAGES:
         assert function(spark, odd, FOLDER).count() <= 13
