@@ -36,7 +36,7 @@ from tabulon.plans.stage import stage
 #: Bytes of a range; texts of up to LONG_BYTES are one range.
 RANGE_BYTES, LONG_BYTES = 1 << 14, 1 << 16
 FAN = 16
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 TOGETHER = 1 << 20
 SHARE = 1e-6
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -138,6 +138,12 @@ class _Sides:
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if raw else p.replace(_SPACE, " ").encode() for p, raw in pieces]
         self.width = len(pieces)
+        self.length_a, self.length_b = (np.array([len(x) for x in of]) for of in (self.bytes_a, self.bytes_b))
+        shown = [str(i) for i in range(max(len(names), len(pieces)))]
+        self.digit_count = np.array([len(x) for x in shown])
+        self.digits = np.zeros((len(shown), len(shown[-1]) + 1), dtype=np.uint8)
+        for i, x in enumerate(shown):
+            self.digits[i, : len(x)] = list(x.encode())
         self.seen: dict[str, tuple] = {}
 
     def tokens(self, parts: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int], bool]]:
@@ -155,12 +161,60 @@ class _Sides:
         if len(self.seen) + len(new) > REMEMBERED:
             self.seen.clear()
             new = list(parts)
-        for part, (a, ends_a, b, ends_b, whole) in zip(new, self.tokens(new), strict=True):
-            if whole:  # a part begins and ends at ends of both sides
-                f = of_tokens(a, ends_a, b, ends_b, self.width, first=True)
-                self.seen[part] = (f.closed, f.links, f.n_a, f.n_b, True)
-            else:  # the offsets mean nothing
-                self.seen[part] = ("", b"", 0, 0, False)
+        for start in range(0, len(new), 20_000):
+            some = new[start : start + 20_000]
+            a = [x.ids for x in self.a.encode_batch_fast([f" {p}" for p in some], add_special_tokens=False)]
+            b = self.b.encode(some, num_threads=1)
+            if not self._aligned(some, a, b):
+                for part, one, two in zip(some, a, b, strict=True):
+                    if not self._aligned([part], [one], [two]):  # the offsets mean nothing
+                        self.seen[part] = ("", b"", 0, 0, False)
+
+    def _aligned(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> bool:
+        """Align parts that follow each other, all at once; False if a side's bytes aren't theirs.
+
+        Both sides end at each part's end, so groups never cross parts."""
+        raw = [b" " + p.encode() for p in parts]
+        at = np.cumsum([len(r) for r in raw])
+        ends, ids, counts = [], [], []
+        for side, of, length in ((a, self.bytes_a, self.length_a), (b, self.bytes_b, self.length_b)):
+            flat = list(chain.from_iterable(side))
+            if b"".join([of[t] for t in flat]) != b"".join(raw):
+                return False
+            ids.append(np.array(flat, dtype=np.int64))
+            ends.append(np.cumsum(length[ids[-1]]))
+            counts.append(np.array([len(x) for x in side]))
+            last = np.cumsum(counts[-1]) - 1
+            if (counts[-1] == 0).any() or (ends[-1][last] != at).any():
+                return False
+        there = np.searchsorted(ends[1], ends[0])
+        last_a = np.flatnonzero(ends[1][there] == ends[0])  # the tokens that end a group
+        last_b = there[last_a]
+        links = (ids[0][last_a] * self.width + ids[1][last_b]).tobytes()
+        to = np.searchsorted(ends[0][last_a], at, side="right")  # groups up to each part's end
+        text, stop = self._text(ids, (last_a, last_b), to)
+        begin, group = 0, 0
+        for part, n_a, n_b, g, e in zip(parts, counts[0].tolist(), counts[1].tolist(), to.tolist(), stop.tolist(), strict=True):
+            self.seen[part] = (text[begin : e - 1], links[8 * group : 8 * g], n_a, n_b, True)
+            begin, group = e, g
+        return True
+
+    def _text(self, ids: list[np.ndarray], last: tuple[np.ndarray, np.ndarray], to: np.ndarray) -> tuple[str, np.ndarray]:
+        """The groups' text, each closed by ;, and where it ends behind the first `to` groups."""
+        n = [len(x) for x in ids]
+        group = [np.searchsorted(l, np.arange(k)) for l, k in zip(last, n, strict=True)]
+        first_b = np.concatenate([[0], last[1][:-1] + 1])  # B tokens before each group
+        place = [np.arange(n[0]) + first_b[group[0]], np.arange(n[1]) + last[0][group[1]] + 1]
+        token, closing = np.empty(sum(n), dtype=np.int64), np.full(sum(n), ord(","), dtype=np.uint8)
+        for side, mark in ((0, "|"), (1, ";")):
+            token[place[side]] = ids[side]
+            closing[place[side][last[side]]] = ord(mark)
+        digits = self.digits[token]
+        length = self.digit_count[token]
+        digits[np.arange(len(token)), length] = closing
+        text = digits[np.arange(digits.shape[1]) <= length[:, None]].tobytes().decode()
+        ends = np.cumsum(length + 1)
+        return text, ends[place[1][last[1][to - 1]]]
 
 
 def _byte_letters() -> dict[int, str]:
