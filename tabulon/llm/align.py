@@ -7,8 +7,9 @@ open suffix and the second's open prefix close one group. The composition is ass
 is cut into ranges of RANGE_BYTES that any tasks work on, and its fragments are composed FAN at a time, round by round, until
 one is left. A range sees the tokens that end in it; what it tokenizes for them reaches to the next safe cuts.
 
-A single space between two characters that aren't white space is a safe cut: no pre-token of side A and no piece of
-side B spans it (`check_pieces`), so the parts between are tokenized alike in a text and alone. Equal parts are
+Before a single space or line feed between two characters that aren't white space is a safe cut: no pre-token of side A
+and no piece of side B spans it (`check_pieces`), so the parts between, with what they begin with, are tokenized alike in
+space + text and alone. Equal parts are
 tokenized once in a task, as far as REMEMBERED parts go, and the fragment of a part serves all its occurrences.
 
 Links (a group's last tokens) are written per text as numbers, counted by pair over the corpus and weighed with those
@@ -36,10 +37,11 @@ from tabulon.plans.stage import stage
 #: Bytes of a range; texts of up to LONG_BYTES are one range.
 RANGE_BYTES, LONG_BYTES = 1 << 14, 1 << 16
 FAN = 16
+RANGES_A_TASK = 256
 REMEMBERED = 300_000
 TOGETHER = 1 << 20
 SHARE = 1e-6
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _SPACE = "▁"
 
 _sides: dict[tuple, _Sides] = {}
@@ -146,13 +148,16 @@ class _Sides:
             self.digits[i, : len(x)] = list(x.encode())
         self.seen: dict[str, tuple] = {}
 
+    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both sides. Side B adds a space, which takes the place of a part's own, or is left out again."""
+        a = [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        b = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
+        return a, [ids if p[0] == " " else ids[1:] for p, ids in zip(parts, b, strict=True)]
+
     def tokens(self, parts: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int], bool]]:
-        side_a = self.a.encode_batch_fast([f" {p}" for p in parts], add_special_tokens=False)
-        side_b = self.b.encode(parts, num_threads=1)
-        for part, one, b in zip(parts, side_a, side_b, strict=True):
-            a, text = one.ids, b" " + part.encode()
+        for part, a, b in zip(parts, *self.encode(parts), strict=True):
             raw_a, raw_b = ([of[t] for t in ids] for of, ids in ((self.bytes_a, a), (self.bytes_b, b)))
-            whole = b"".join(raw_a) == text == b"".join(raw_b)
+            whole = b"".join(raw_a) == part.encode() == b"".join(raw_b)
             yield a, list(accumulate(map(len, raw_a))), b, list(accumulate(map(len, raw_b))), whole
 
     def learn(self, parts: set[str]) -> None:
@@ -163,8 +168,7 @@ class _Sides:
             new = list(parts)
         for start in range(0, len(new), 20_000):
             some = new[start : start + 20_000]
-            a = [x.ids for x in self.a.encode_batch_fast([f" {p}" for p in some], add_special_tokens=False)]
-            b = self.b.encode(some, num_threads=1)
+            a, b = self.encode(some)
             if not self._aligned(some, a, b):
                 for part, one, two in zip(some, a, b, strict=True):
                     if not self._aligned([part], [one], [two]):  # the offsets mean nothing
@@ -174,7 +178,7 @@ class _Sides:
         """Align parts that follow each other, all at once; False if a side's bytes aren't theirs.
 
         Both sides end at each part's end, so groups never cross parts."""
-        raw = [b" " + p.encode() for p in parts]
+        raw = [p.encode() for p in parts]
         at = np.cumsum([len(r) for r in raw])
         ends, ids, counts = [], [], []
         for side, of, length in ((a, self.bytes_a, self.length_a), (b, self.bytes_b, self.length_b)):
@@ -225,9 +229,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 def check_pieces(pieces: list[str]) -> None:
-    """Raise if a piece spans a space after another character, so that a space would be no safe cut."""
-    if any(_SPACE in p.lstrip(_SPACE) for p in pieces):
-        raise ValueError("a piece of the second vocabulary spans a space")
+    """Raise if a piece spans a space after another character, or has a line feed, so that there would be no safe cut."""
+    if any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in pieces):
+        raise ValueError("a piece of the second vocabulary spans a space or a line feed")
 
 
 def _sides_of(shared) -> _Sides:
@@ -239,7 +243,7 @@ def _sides_of(shared) -> _Sides:
 
 def _whole_texts(texts: list[str], sides: _Sides) -> Iterator[Fragment]:
     """Fragments of texts, each composed of the closed fragments of its parts."""
-    parts = [_CUT.split(text) if text else [] for text in texts]
+    parts = [_CUT.split(" " + text) if text else [] for text in texts]
     sides.learn(set(chain.from_iterable(parts)))
     for own in parts:
         found = [sides.seen[p] for p in own]
@@ -314,14 +318,14 @@ def _align_short(shared, keep_groups: bool, kind: type):
 
 
 def ranges(text: str, size: int) -> Iterator[tuple[int, str, int, int]]:
-    """(number, window, from, to) of ranges of about `size` bytes of space + text: the window is the text between the safe
-    cuts around the range, which is (from, to] of the window's bytes with the space before it.
+    """(number, window, from, to) of ranges of about `size` bytes of space + text: the window is what lies between the safe
+    cuts around the range, which is (from, to] of the window's bytes.
 
     A range within one unbroken run joins the range before it, so no run is tokenized more than twice as often as
     it is long in ranges."""
-    cuts = [0, *(m.start() + 1 for m in _CUT.finditer(text))]  # where parts begin
-    raw = [len(text[i:j].encode()) for i, j in zip(cuts, [c - 1 for c in cuts[1:]] + [len(text)], strict=True)]
-    begin = np.concatenate([[0], np.cumsum(np.array(raw) + 1)])  # of space + part, in space + text
+    text = " " + text
+    cuts = [0, *(m.start() for m in _CUT.finditer(text))]  # where parts begin
+    begin = np.concatenate([[0], np.cumsum([len(text[i:j].encode()) for i, j in zip(cuts, [*cuts[1:], len(text)], strict=True)])])
     total, start, number = int(begin[-1]), 0, 0
     while start < total:
         stop = min(start + size, total)
@@ -329,7 +333,7 @@ def ranges(text: str, size: int) -> Iterator[tuple[int, str, int, int]]:
         j = int(np.searchsorted(begin, stop, side="left"))
         if j < len(begin) and begin[j] - stop > size:  # deep in a run
             stop = int(begin[j])
-        here, there = cuts[i], (cuts[j] - 1 if j < len(cuts) else len(text))
+        here, there = cuts[i], (cuts[j] if j < len(cuts) else len(text))
         yield number, text[here:there], start - int(begin[i]), stop - int(begin[i])
         start, number = stop, number + 1
 
@@ -480,11 +484,12 @@ def aligned_tokens(
     short = stage(lined.where(~is_long).mapInArrow(_align_short(shared, keep_groups, kind), f"id {id_kind}, {done_shape}"))
     texts = stage(lined.where(is_long).select((-1 - F.col("line")).alias("line"), "id", "text"))  # no line of a short text
     cut = stage(texts.select("line", "text").mapInArrow(_cut_batches(range_bytes), CUT))
-    most = cut.agg(F.max("ranges")).first()[0] or 0
-    fragments = stage(cut.repartition("line", "seq").mapInArrow(_range_batches(shared), FRAGMENT))
+    most, several = cut.agg(F.coalesce(F.max("ranges"), F.lit(0)), F.count("*")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, several // RANGES_A_TASK)
+    fragments = stage(cut.repartition(tasks, "line", "seq").mapInArrow(_range_batches(shared), FRAGMENT))
     while most > 1:
-        several = fragments.groupBy("line", F.floor(F.col("seq") / FAN).alias("several"))
-        fragments = stage(several.applyInArrow(_compose_group(width), FRAGMENT))
+        together = fragments.groupBy("line", F.floor(F.col("seq") / FAN).alias("several"))
+        fragments = stage(together.applyInArrow(_compose_group(width), FRAGMENT))
         most = -(-most // FAN)
     long = fragments.mapInArrow(_finish(width, keep_groups, kind), done_shape).join(texts.select("line", "id"), "line")
     done = short.unionByName(stage(long))
