@@ -175,3 +175,30 @@ def test_check_clustering(spark):
         quality.check_clustering(df.filter("a < 29"))
     with pytest.raises(errors.InsufficientFeaturesError):
         quality.check_clustering(df.select("a"))
+
+
+def test_lloyd_lanes_equal_plain_loops(spark):
+    """All starts together give what each gives alone in numpy, an empty centre stays, silhouettes equal all pairs."""
+    from tabulon.operators import lloyd
+
+    r = np.random.default_rng(4)
+    rows = np.concatenate([r.normal(c, 1, (40, 2)) for c in ((0, 0), (6, 1), (2, 7))]).round(3)
+    points = spark.createDataFrame(rows.tolist(), "f0 double, f1 double").repartition(3)
+    starts = [rows[[0, 50]], rows[[3, 4, 90]], np.array([[0.0, 0.0], [900.0, 900.0]])]
+    for start, (centers, cost) in zip(starts, lloyd.lloyd(points, starts, 7, 0.0), strict=True):
+        want = start.copy()
+        for _ in range(7):
+            label = ((rows[:, None] - want) ** 2).sum(axis=2).argmin(axis=1)
+            want = np.array([rows[label == i].mean(axis=0) if (label == i).any() else c for i, c in enumerate(want)])
+        assert np.allclose(centers, want)
+        assert cost == pytest.approx(((rows[:, None] - want) ** 2).sum(axis=2).min(axis=1).sum())
+    lanes = [rows[[0, 50, 100]], starts[2]]
+    d2 = ((rows[:, None] - rows) ** 2).sum(axis=2)
+    label = ((rows[:, None] - lanes[0]) ** 2).sum(axis=2).argmin(axis=1)
+    scores = []
+    for i in range(len(rows)):
+        own = d2[i, label == label[i]].sum() / max((label == label[i]).sum() - 1, 1)
+        other = min(d2[i, label == c].mean() for c in set(label.tolist()) - {label[i]})
+        scores.append((other - own) / max(own, other))
+    found = lloyd.silhouettes(points, lanes)
+    assert found[0] == pytest.approx(np.mean(scores)) and found[1] is None
