@@ -8,7 +8,8 @@ on labelled pages: a logistic regression for the nodes, co-occurrence of labels
 Labelled pages come from the given pages: what an article element holds is content and what navigation,
 adverts, footers and the like hold isn't. The same blocks, laid out anew in layouts without such elements
 (plain divisions with and without speaking class names, side columns, notices, forms, reader comments), are
-labelled by construction.
+labelled by construction. Where the given pages have no such elements, blocks that several pages share and
+blocks of links are no content, and long blocks of one page only are.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,11 @@ from tabulon.llm.text import aliased
 
 #: Pages that the labelled training pages are made from, the first by a hash of their id.
 SAMPLE = 1000
+#: Words from which a block that only one page has is taken for content, where nothing else tells.
+LONG = 8
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
-)
+_NAME_ENDS = re.compile(r"[\s/>]")
+_TURNS = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 
@@ -68,6 +71,61 @@ GROUPS = {
 N_FEATURES = 1 + len(TAGS) + len(GROUPS) + 10
 
 
+class Tags:
+    """The tags of a page in order, each step in time linear in what it passes.
+
+    A tag whose end isn't found is text. What was found missing once is remembered, so that no part of a broken page
+    is read again for each of its tags: the last ">", where the next name ends and the next quote stands, and the
+    quotes from which no end is reached.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.lost: set[int] = set()  # opening quotes behind which no tag ends
+        self.name_end = self.turn = -1
+
+    def _end(self, at: int) -> int:
+        """Place of the ">" that ends a tag whose name ends at a place, -1 without one."""
+        if self.turn < at:
+            found = _TURNS.search(self.source, at)
+            self.turn = found.start() if found else len(self.source)
+        turn, passed = self.turn, []
+        while turn <= self.last and self.source[turn] != ">":
+            if turn in self.lost:
+                break
+            passed.append(turn)
+            closed = self.source.find(self.source[turn], turn + 1)
+            found = _TURNS.search(self.source, closed + 1) if closed >= 0 else None
+            turn = found.start() if found else len(self.source)
+        else:
+            if turn <= self.last:
+                return turn
+        self.lost.update(passed)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Start and end of the next tag or comment, its name (empty for comments), whether it closes, its attributes."""
+        source = self.source
+        start = source.find("<", at)
+        while start >= 0:
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return start, (end + 3 if end >= 0 else len(source)), "", False, ""
+            if start < self.last:
+                if source[start + 1] in "!?":
+                    return start, source.find(">", start) + 1, "", False, ""
+                closing = source[start + 1] == "/"
+                first = start + 1 + closing
+                if source[first].isascii() and source[first].isalpha():
+                    if self.name_end < first:
+                        self.name_end = _NAME_ENDS.search(source, first).start()  # at most the last ">"
+                    end = self._end(self.name_end)
+                    if end >= 0:
+                        return start, end + 1, source[first : self.name_end].lower(), closing, source[self.name_end : end]
+            start = source.find("<", start + 1)
+        return None
+
+
 class Page:
     """Block elements in page order (parents first) and the text blocks with their element."""
 
@@ -77,7 +135,10 @@ class Page:
         stack: list[tuple[str, int]] = [("root", 0)]  # open elements; inline ones have their block's number
         pieces: list[str] = []
         linked = links = 0
+        places: defaultdict[str, list[int]] = defaultdict(list)  # where the stack has a name
         skipped: list[str] = []  # an open element whose text isn't read, and those open in it
+        inside: Counter[str] = Counter()  # the names of the skipped
+        tags = Tags(source)
         at = 0
 
         def flush() -> None:
@@ -97,6 +158,10 @@ class Page:
                 if links:
                     linked += len(text.split())
 
+        def push(name: str, node: int) -> None:
+            places[name].append(len(stack))
+            stack.append((name, node))
+
         def pop(to: int) -> None:
             nonlocal links
             while len(stack) > to:
@@ -104,52 +169,59 @@ class Page:
                     flush()
                 elif stack[-1][0] == "a":
                     links -= 1
-                stack.pop()
+                places[stack.pop()[0]].pop()
+
+        def last(names: set[str]) -> int:
+            return max((places[x][-1] for x in names if places[x]), default=0)
+
+        def skip(name: str) -> None:
+            skipped.append(name)
+            inside[name] += 1
 
-        def drop(names: set[str], stops: set[str]) -> None:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in names:
-                    pop(i)
-                    return
-                if stack[i][0] in stops or not stops and stack[i][0] not in INLINE:
-                    return
+        def only_head() -> bool:
+            return 0 < len(skipped) == inside["head"]
+
+        def read_on() -> None:
+            skipped.clear()
+            inside.clear()
 
         while True:
-            found = _TAG.search(source, at)
-            if set(skipped) == {"head"} and source[at : found.start() if found else len(source)].strip():
-                skipped.clear()  # text ends a head, too
+            found = tags.next(at)
+            if only_head() and source[at : found[0] if found else len(source)].strip():
+                read_on()  # text ends a head, too
             if found is None:
                 if not skipped:
                     say(source[at:])
                 break
+            start, end, name, closing, attributes = found
             if not skipped:
-                say(source[at : found.start()])
-            at = found.end()
-            if found[2] is None:
+                say(source[at:start])
+            at = end
+            if not name:
                 continue
-            name, closing = found[2].lower(), found[1]
             if skipped:
-                if set(skipped) == {"head"} and not closing and name not in IN_HEAD:
-                    skipped.clear()  # and the element is read below
+                if only_head() and not closing and name not in IN_HEAD:
+                    read_on()  # and the element is read below
                 elif closing:
-                    if name in skipped:
-                        del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
+                    if inside[name]:
+                        gone = ""
+                        while gone != name:
+                            gone = skipped.pop()
+                            inside[gone] -= 1
                         continue
                     # the end of an element around the skipped ones ends them; the element is closed below
-                    if all(name != opened for opened, _ in stack[1:]):
+                    if not places[name]:
                         continue
-                    skipped.clear()
+                    read_on()
                 else:
                     if name in UNPARSED:
                         at = self._behind(source, name, at)
-                    elif name not in VOID and not found[3].rstrip().endswith("/"):
-                        skipped.append(name)
+                    elif name not in VOID and not attributes.rstrip().endswith("/"):
+                        skip(name)
                     continue
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        pop(i)
-                        break
+                if places[name]:
+                    pop(places[name][-1])
                 continue
             if name in VOID:
                 if name in ("br", "hr", "wbr"):
@@ -161,31 +233,34 @@ class Page:
                 at = self._behind(source, name, at)
                 continue
             if name in RAW:
-                if not found[3].rstrip().endswith("/"):
-                    skipped.append(name)
+                if not attributes.rstrip().endswith("/"):
+                    skip(name)
                 continue
             if name in INLINE:
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
                 links += name == "a"
                 continue
             flush()
-            drop({"p"}, set())
+            if places["p"]:  # always the innermost block: the next one closes it
+                pop(places["p"][-1])
             if name in CLOSED_BY:
-                drop(CLOSED_BY[name], HOLDS.get(name, {"table"}))
-            names = {w for g in _NAMES.findall(found[3]) for w in _PART.findall("".join(g).lower())} if found[3] else ()
+                to = last(CLOSED_BY[name])
+                if to > last(HOLDS.get(name, {"table"})):
+                    pop(to)
+            names = {w for g in _NAMES.findall(attributes) for w in _PART.findall("".join(g).lower())} if attributes else ()
             self.tag.append(name)
             self.parent.append(stack[-1][1])
             self.groups.append(frozenset(g for g, words in GROUPS.items() if names and words & names))
-            marked = re.search(r'data-label="([01])"', found[3]) if "data-label" in found[3] else None
+            marked = re.search(r'data-label="([01])"', attributes) if "data-label" in attributes else None
             self.label.append(int(marked[1]) if marked else None)
-            stack.append((name, len(self.tag) - 1))
+            push(name, len(self.tag) - 1)
         pop(1)
         flush()
 
     @staticmethod
     def _behind(source: str, name: str, at: int) -> int:
-        end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, at)
-        return end.end() if end else len(source)
+        found = re.compile(rf"</{name}\b", re.IGNORECASE).search(source, at)
+        return source.find(">", found.end()) + 1 or len(source) if found else len(source)
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
@@ -251,18 +326,35 @@ def labels(page: Page) -> list[int | None]:
             inherited[i] = 1
         else:
             inherited[i] = up
+    return _with_containers(page, inherited)
+
+
+def _with_containers(page: Page, own: list[int | None]) -> list[int | None]:
+    """own, and for elements without a label what most of the labelled words in them are."""
+    n = len(page.tag)
     good, all_ = [0] * n, [0] * n
     for node, text, _ in page.blocks:
         size = text.count(" ") + 1
-        if inherited[node] is not None:
+        if own[node] is not None:
             all_[node] += size
-            good[node] += size * inherited[node]
+            good[node] += size * own[node]
     for i in range(n - 1, 0, -1):
         good[page.parent[i]] += good[i]
         all_[page.parent[i]] += all_[i]
-    return [
-        x if x is not None else (None if not all_[i] else int(2 * good[i] > all_[i])) for i, x in enumerate(inherited)
-    ]
+    return [x if x is not None else (None if not all_[i] else int(2 * good[i] > all_[i])) for i, x in enumerate(own)]
+
+
+def labels_by_text(page: Page, pages_with: Counter) -> list[int | None]:
+    """Labels from what any page has: a block that another page has, too, or that is mostly links, isn't content; one
+    of LONG words or more that no other page has is; an element is what most such words of its own are."""
+    good, bad = [0] * len(page.tag), [0] * len(page.tag)
+    for node, text, linked in page.blocks:
+        size = text.count(" ") + 1
+        if pages_with[text] > 1 or 2 * linked > size:
+            bad[node] += size
+        elif size >= LONG:
+            good[node] += size
+    return _with_containers(page, [int(g > b) if g + b else None for g, b in zip(good, bad)])
 
 
 def marginals(page: Page, model: dict) -> np.ndarray:
@@ -309,9 +401,8 @@ def main_text(source: str, model: dict) -> str:
     return "\n".join(text for node, text, _ in page.blocks if kept[node])
 
 
-def _layouts(page: Page, turn: int) -> Iterator[str]:
+def _layouts(page: Page, known: list[int | None], turn: int) -> Iterator[str]:
     """The page's blocks in other layouts; data-label marks what is content."""
-    known = labels(page)
     e = html.escape
     body = [e(t) for node, t, _ in page.blocks if known[node] == 1]
     other = [e(t) for node, t, _ in page.blocks if known[node] == 0]
@@ -354,12 +445,21 @@ def _layouts(page: Page, turn: int) -> Iterator[str]:
 
 
 def fit(sources: list[str]) -> dict:
-    """Potentials from labelled pages: the given ones and their blocks in other layouts."""
+    """Potentials from labelled pages: the given ones and their blocks in other layouts.
+
+    If their elements and class names don't show both what is content and what isn't, what the pages share does
+    (labels_by_text). Without both, as for a single page of paragraphs, every block is content.
+    """
+    pages = [Page(source) for source in sources]
+    given = [labels(page) for page in pages]
+    if len({x for known in given for x in known} - {None}) < 2:
+        pages_with = Counter(text for page in pages for text in {text for _, text, _ in page.blocks})
+        given = [labels_by_text(page, pages_with) for page in pages]
+    if len({x for known in given for x in known} - {None}) < 2:
+        return {"weights": np.zeros(N_FEATURES), "pair": [[1.0, 1.0], [1.0, 1.0]]}
     rows, marks, weights, pairs = [], [], [], np.ones((2, 2))
-    for turn, source in enumerate(sources):
-        page = Page(source)
-        for one in (page, *map(Page, _layouts(page, turn))):
-            known = labels(one)
+    for turn, (page, of_page) in enumerate(zip(pages, given)):
+        for one, known in ((page, of_page), *((x, labels(x)) for x in map(Page, _layouts(page, of_page, turn)))):
             at = [i for i, x in enumerate(known) if x is not None and i]
             if at:
                 rows.append(one.features()[at])
@@ -368,8 +468,6 @@ def fit(sources: list[str]) -> dict:
             for i in at:
                 if known[one.parent[i]] is not None:
                     pairs[known[one.parent[i]], known[i]] += 1
-    if not rows:
-        return {"weights": np.zeros(N_FEATURES), "pair": [[1.0, 1.0], [1.0, 1.0]]}
     x, y, much = np.concatenate(rows), np.concatenate(marks), np.concatenate(weights)
     w = np.zeros(N_FEATURES)
     for _ in range(12):

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import duckdb
 import pytest
@@ -109,6 +110,48 @@ def test_omitted_end_tags_lose_no_text(source):
     assert [text for _, text, _ in pages_html.Page(source).blocks] == ["One.", "Two."]
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<" + "a" * 1_000_000,
+        '<a b="' * 160_000,
+        '<a b="' * 140_000 + "'>",
+        "<div>" * 90_000 + "</p2>" * 90_000,
+        "<a" * 500_000 + ' ">',
+        "<li><ul>" + "<div>" * 60_000 + "<li></li>" * 60_000,
+        "<svg>" + "<g>" * 120_000 + "</x></g>" * 60_000,
+        "<b>" * 70_000 + "<div></div>" * 70_000,
+        "<script>" + "</script" * 120_000,
+        "<!" * 500_000,
+    ],
+    ids=lambda source: source[:12],
+)
+def test_broken_pages_take_linear_time(source, model):
+    """A megabyte each; the time of a square would be hours."""
+    started = time.process_time()
+    page = pages_html.Page(source)
+    assert time.process_time() - started < 10 and len(page.tag) == len(page.parent)
+
+
+def test_pages_without_speaking_elements():
+    """Menus and feet that pages share, articles of their own, in divisions without names."""
+    def body(i):
+        words = [f"w{i}x{j}" for j in range(60)]
+        return [" ".join(words[j : j + 15]) + "." for j in range(0, 60, 15)]
+
+    def page(i):
+        menu = "".join(f"<div><a href=x>Part {j}</a></div>" for j in range(5))
+        text = "".join(f"<div>{p}</div>" for p in body(i))
+        foot = "<div>All of these pages belong to the same house of many pages and readers.</div>"
+        return f"<body><div>{menu}</div><div>{text}</div><div>{foot}</div></body>"
+
+    found = pages_html.fit([page(i) for i in range(40)])
+    assert pages_html.main_text(page(50), found).startswith("\n".join(body(50)))
+    assert "Part 1" not in pages_html.main_text(page(50), found)
+    alone = pages_html.fit(["<p>One.</p>"])  # nothing to tell content by: all is
+    assert pages_html.main_text("<div><p>One.</p><p>Two.</p></div>", alone) == "One.\nTwo."
+
+
 def test_messages_give_exact_marginals(model):
     """Against the sum over all labellings of a small tree."""
     import itertools
