@@ -193,17 +193,69 @@ def _(t):
     return K.backtest_linear(points(t, "day"))
 
 
-@query("smoothing_forecast")
+def smoothed(source: str, name: str) -> str:
+    """Tables of a query: `name` has, for each series of source(series, x, y), the state behind its last point and the sums of the
+    errors under the parameters of least squared error: a grid, then two finer ones. Seasons of twelve."""
+    state = f"""
+{name}_i AS (SELECT series, avg(y) FILTER (x < 12) AS level, (avg(y) FILTER (x >= 12 AND x < 24) - avg(y) FILTER (x < 12)) / 12 AS trend,
+  list(y ORDER BY x) FILTER (x < 12) AS ys, count(*) AS n FROM {source} GROUP BY 1),
+{name}_0 AS (SELECT series, level, trend, n, list_transform(ys, lambda v: v - level) AS season FROM {name}_i)"""
+    first = "(SELECT unnest([0.05, 0.2, 0.4, 0.6, 0.8, 0.95])::DOUBLE AS v)"
+    for turn, width in ((1, 0), (2, 0.1), (3, 0.025)):
+        if turn == 1:
+            grid = f"SELECT series, a.v AS a, b.v AS b, g.v AS g FROM {name}_0, {first} a, {first} b, {first} g"
+        else:
+            steps = f"(SELECT unnest([{-width}, {-width / 2}, 0, {width / 2}, {width}])::DOUBLE AS v)"
+            near = [f"least(0.999::DOUBLE, greatest(0.001::DOUBLE, c.{x} + {x}.v)) AS {x}" for x in "abg"]
+            grid = f"SELECT DISTINCT c.series, {', '.join(near)} FROM {name}_{turn - 1} c, {steps} a, {steps} b, {steps} g"
+        state += f""",
+{name}_f{turn}(series, a, b, g, n, x, level, trend, season, se, sse) AS (
+  SELECT series, a, b, g, n, 0, level, trend, season, 0::DOUBLE, 0::DOUBLE FROM ({grid}) JOIN {name}_0 USING (series)
+  UNION ALL
+  SELECT series, a, b, g, n, x + 1, now, b * (now - level) + (1 - b) * trend,
+    list_transform(season, lambda v, i: CASE WHEN i = x % 12 + 1 THEN g * (y - now) + (1 - g) * s ELSE v END), se + e, sse + e * e
+  FROM (SELECT *, a * (y - s) + (1 - a) * (level + trend) AS now, y - (level + trend + s) AS e
+    FROM (SELECT f.*, y, season[f.x % 12 + 1] AS s FROM {name}_f{turn} f JOIN {source} p ON p.series = f.series AND p.x = f.x))),
+{name}_{turn} AS (SELECT * FROM {name}_f{turn} WHERE x = n QUALIFY row_number() OVER (PARTITION BY series ORDER BY sse, a, b, g) = 1)"""
+    return state + f",\n{name} AS (SELECT * FROM {name}_3)"
+
+
+RECURSIVE = MONTHLY.replace("WITH", "WITH RECURSIVE", 1) + """,
+whole AS (SELECT series, x, value AS y, n, ts FROM o),
+early AS (SELECT * FROM whole WHERE x < floor(n * 0.8)),
+steps AS (SELECT unnest(range(1, 13))::INTEGER AS step),
+ends AS (SELECT series, max(ts) AS last FROM whole GROUP BY 1),"""
+AHEAD = """
+curves AS (SELECT series, 'exponential_smoothing' AS method, step, level + trend * step + season[(n + step - 1) % 12 + 1] AS y,
+  1.96 * sqrt(sse / n - pow(se / n, 2)) AS half FROM fit, steps)"""
+BACKTESTED = smoothed("early", "trial") + """,
+line AS (SELECT series, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM early GROUP BY 1),
+gaps AS (SELECT w.series, 'linear_trend' AS method, y - a - b * x AS gap FROM whole w JOIN line USING (series) WHERE x >= floor(n * 0.8)
+  UNION ALL SELECT w.series, 'exponential_smoothing', y - level - trend * (w.x - t.n + 1) - season[w.x % 12 + 1] FROM whole w JOIN trial t USING (series) WHERE w.x >= t.n),
+errors AS (SELECT series, method, sqrt(avg(gap * gap)) AS rmse, avg(abs(gap)) AS mae FROM gaps GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY rmse, method) = 1 AS best FROM errors)"""
+DATED = """
+SELECT series, method, step, (last + to_months(step))::DATE AS date, round(y, 4) AS predicted, round(y - half, 4) AS lower, round(y + half, 4) AS upper
+FROM {rows} JOIN ends USING (series)"""
+
+
+@query("smoothing_forecast", RECURSIVE + smoothed("whole", "fit") + "," + AHEAD + DATED.format(rows="curves"))
 def _(t):
     return M.smoothing_forecast(points(t), 12)
 
 
-@query("backtest_methods")
+@query("backtest_methods", RECURSIVE + BACKTESTED + """
+SELECT series, method, round(rmse, 4) AS rmse, round(mae, 4) AS mae, best FROM ranked""")
 def _(t):
     return M.backtest(points(t))
 
 
-@query("best_forecast")
+@query("best_forecast", RECURSIVE + BACKTESTED + "," + smoothed("whole", "fit") + "," + AHEAD + """,
+full_line AS (SELECT series, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n FROM whole GROUP BY 1),
+spread AS (SELECT series, stddev_pop(y - a - b * x) AS s FROM whole JOIN full_line USING (series) GROUP BY 1),
+either AS (SELECT * FROM curves UNION ALL
+  SELECT series, 'linear_trend', step, a + b * (n + step - 1), 1.96 * s FROM full_line JOIN spread USING (series), steps),
+won AS (SELECT either.* FROM either JOIN ranked USING (series, method) WHERE best)""" + DATED.format(rows="won"))
 def _(t):
     return M.best_forecast(points(t), 12)
 

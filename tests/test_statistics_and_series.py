@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.functions import dist
 from tabulon.operators import hypothesis as H
@@ -20,6 +21,13 @@ def test_tails_match_tables():
     assert dist.t_p(0.0, 5) == 1.0 and dist.t_p(math.inf, 5) == 0.0
 
 
+def test_normal_quantile_expression(spark):
+    shares = [1e-300, 1e-40, 1e-12, 1e-5, 0.01, 0.0749, 0.075, 0.2, 0.5, 0.7, 0.925, 0.9251, 0.99, 1 - 1e-12]
+    found = spark.createDataFrame([(p,) for p in shares], "p double").select(dist.normal_quantile_column(F.col("p"))).collect()
+    for p, (z,) in zip(shares, found):
+        assert z == pytest.approx(dist.normal_quantile(p), rel=1e-13, abs=1e-14)
+
+
 def test_shapiro_over_all_rows(spark):
     rng = np.random.default_rng(5)
     for n, ties in ((5, 0), (9, 3), (600, 200), (6000, 2000)):
