@@ -129,7 +129,7 @@ def op8_toxicity(spark, folder):
 
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     out = held_out("doc_id", 5, 0)
-    model = toxicity.train(docs, labels.where(~out))
+    model = toxicity.train(docs.where(~out), labels.where(~out))
     found = toxicity.score(docs, model)
     return found.select("doc_id", out.alias("held_out"), "score", (found["score"] >= 0.5).cast("int").alias("predicted"))
 

@@ -356,6 +356,36 @@ def test_languages(spark, docs, odd, nothing):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.train(nothing)).collect()} == {"und"}
 
 
+def test_toxicity_risk_by_plain_loops():
+    r = random.Random(3)
+    texts = [sorted({r.randrange(6) for _ in range(3)}) for _ in range(40)]
+    positive, drawn = [i % 5 == 0 for i in range(40)], [i % 5 > 0 or i % 2 == 0 for i in range(40)]
+
+    def plain(prior, steps, decay):
+        w, m, v = [0.0] * 6 + [math.log(prior / (1 - prior))], [0.0] * 7, [0.0] * 7
+        for t in range(1, steps + 1):
+            z = [sum(w[x] for x in text) + w[6] for text in texts]
+            p = [1 / (1 + math.exp(-x)) for x in z]
+            cost = [math.log1p(math.exp(x)) for x in z]
+            risk = sum(c for c, d in zip(cost, drawn) if d) / sum(drawn)
+            risk -= prior * sum(c for c, d in zip(cost, positive) if d) / sum(positive)
+            g = [decay * x for x in w[:6]] + [0.0]
+            for i, text in enumerate(texts):
+                slope = (1 if risk >= 0 else -1) * p[i] / sum(drawn) * drawn[i]
+                slope += prior * (-1 if risk >= 0 else p[i]) / sum(positive) * positive[i]
+                for x in [*text, 6]:
+                    g[x] += slope
+            for j in range(7):
+                m[j], v[j] = 0.9 * m[j] + 0.1 * g[j], 0.999 * v[j] + 0.001 * g[j] ** 2
+                w[j] -= 0.1 * (1 - (t - 1) / steps) * (m[j] / (1 - 0.9**t)) / (math.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
+        return w
+
+    rows, at = np.repeat(np.arange(40), [len(x) for x in texts]), np.array([x for text in texts for x in text])
+    for prior in (0.2, 0.6):  # the higher one makes the negative part negative
+        weights, bias = toxicity.fit_risk(rows, at, np.array(positive), np.array(drawn), 6, prior, 50, 1e-3)
+        assert [*weights, bias] == pytest.approx(plain(prior, 50, 1e-3), abs=1e-9)
+
+
 def test_toxicity(spark, odd, nothing):
     r = random.Random(5)
     words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi") for b in ("ra", "sto", "ten", "vul", "zim", "qui")]
@@ -367,7 +397,8 @@ def test_toxicity(spark, odd, nothing):
             text[r.randrange(len(text))] = r.choice(["scumbag", "scumlike", "vileness"])
         rows.append((i, " ".join(text), int(toxic)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.train(df.select("doc_id", "text"), df.where("doc_id % 3 > 0").select("doc_id", "toxic"))
+    learnt = df.where("doc_id % 3 > 0")
+    model = toxicity.train(learnt.select("doc_id", "text"), learnt.where("doc_id % 2 = 0").select("doc_id", "toxic"), prior=0.1)
     found = as_dict(toxicity.score(df.select("doc_id", "text"), model), "score")
     held = [(found[i][0] >= 0.5, bool(t)) for i, _, t in rows if i % 3 == 0]
     assert np.mean([a == b for a, b in held]) > 0.98
