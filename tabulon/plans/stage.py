@@ -2,17 +2,24 @@
 
 The rows go to a parquet table below the checkpoint folder that the session names, so a lost
 executor costs a re-read and not the whole lineage, and later passes read only the columns
-they need.
+they need. The write's shuffle files go as soon as it has ended, and `discard` deletes a table that no frame
+needs any more, so what a chain of stages holds on disk is its live tables.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_roots: dict[str, str] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -28,9 +35,36 @@ def stage_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Executions that end in here remove their shuffle files; the setting is put back."""
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df once and read it back."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that `stage` returned. No frame derived from them may be run after this, unless it was staged itself."""
+    for df in staged:
+        path = _paths.pop(df, None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+            at = jvm.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

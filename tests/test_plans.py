@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from tabulon.plans.quantiles import exact_quantiles, string_at_rank
 from tabulon.plans.quartiles import edge_quartiles, rank_quartiles
 from tabulon.plans.ranks import average_ranks
 from tabulon.plans.slots import edge_counts, joint_counts
+from tabulon.plans.stage import _CLEAN_UP, discard, stage
 
 PROBS = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
 
@@ -92,3 +95,15 @@ def test_edge_counts_on_both_paths(spark):
     assert edge_counts(df, {"x": [2.0, 3.0]}, points=True)["x"] == {0: 1, 1: 2, 4: 2}
     assert edge_counts(df, {"x": [2.0, 3.0]})["x"] == {0: 1, 1: 2, 2: 2}
     assert edge_counts(df, {"k": [2, 2**60]}, points=True)["k"] == {0: 1, 1: 1, 3: 1, 4: 2}
+
+
+def test_stages_can_be_discarded(spark):
+    before = spark.conf.get(_CLEAN_UP, None)
+    first = stage(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    second = stage(first.where("k > 3"))
+    path = first.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert Path(path).exists()
+    discard(first, first, spark.range(1))  # a second time, and a frame that isn't staged
+    assert not Path(path).exists()
+    assert sorted(r["k"] for r in second.collect()) == [4, 5, 6]
+    assert spark.conf.get(_CLEAN_UP, None) == before
