@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +29,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.text import SPACED, Slice, Words, list_array, mix, slices
-from tabulon.plans.stage import stage
+from tabulon.plans.stage import discard, stage
 
 #: Shares of all tokens from which words, and pairs and triples, are broadcast. The scores don't depend on them.
-WORD_SHARE = 1e-6
-SHARE = 2e-6
+WORD_SHARE = 2e-7
+SHARE = 2e-7
 #: Occurrences from which a follower is explicit.
 LEAST = 2
 DISCOUNT = 0.5
 CHUNK_TOKENS = 2_000_000
+#: Lines of a chunk of scored texts, so that a gram names its line in two bytes.
+CHUNK_LINES = 1 << 15
+SCORED_TOKENS = 500_000
 #: Training tokens for each part that grams are dealt to.
 PART_TOKENS = 2_000_000
-FILTER_BITS = 29
+FILTER_BITS = 28
 _END = np.uint64(0x5851F42D4C957F2D)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -265,6 +269,7 @@ def train(texts: DataFrame) -> dict:
     triples = texts.mapInArrow(_count_grams(3, parts, known), COUNTED).groupBy("part")
     triples = stage(triples.applyInArrow(_merge(3), "key long, a long, b long, n long"))
 
+    counted_pairs, counted_triples = pairs, triples
     pairs = stage(
         _with_count(_with_count(pairs, rare, "a"), rare, "b").select(
             "key", "a", "b", "n", F.col("na").alias("n_context"), F.lit(None).cast("long").alias("suffix"),
@@ -272,6 +277,7 @@ def train(texts: DataFrame) -> dict:
             ((F.col("nb") + 1) / F.lit(float(total + kinds + 1))).alias("below"),
         )
     )
+    discard(counted_pairs)
     ones = _contexts(pairs, "a")
     # a triple's context is its first pair, the suffix is that pair's second word
     before = pairs.select(F.col("key").alias("a"), F.col("n").alias("n_context"), F.col("b").alias("suffix"))
@@ -279,12 +285,14 @@ def train(texts: DataFrame) -> dict:
     triples = stage(
         triples.join(before, "a").join(last, "b").withColumn("chance", (F.col("n") - DISCOUNT) / F.col("n_context"))
     )
+    discard(counted_triples)
     twos = stage(_contexts(triples, "a").where("enough").select(F.col("a").alias("two"), "suffix", "rest"))
     suffixes = twos.select(F.col("suffix").alias("a")).distinct().withColumn("needed", F.lit(True))
     ones = ones.join(suffixes, "a", "left").where("enough or needed")
     ones = stage(ones.select(F.col("a").alias("one"), "rest"))
 
     follower = F.coalesce(F.log10("chance") - F.log10("below") - F.col("one_rest"), F.lit(0.0))
+    all_pairs, all_triples = pairs, triples
     pairs = stage(
         pairs.join(ones.withColumnRenamed("rest", "one_rest"), pairs["a"] == F.col("one"), "left")
         .join(twos.select("two", F.col("rest").alias("two_rest")), pairs["key"] == F.col("two"), "left")
@@ -294,6 +302,7 @@ def train(texts: DataFrame) -> dict:
         triples.join(twos.select("two", F.col("rest").alias("two_rest")), triples["a"] == F.col("two"))
         .select("key", "n", (F.log10("chance") - F.log10("below") - F.col("two_rest")).alias("follower"))
     )
+    discard(all_pairs, all_triples)
     rest = F.coalesce("rest", F.lit(0.0))
     tail = vocabulary.join(ones, vocabulary["h"] == ones["one"], "left")
     frequent = tail.where(F.col("n") >= WORD_SHARE * total).where("one is not null").select("one", "rest").toArrow()
@@ -318,6 +327,7 @@ def train(texts: DataFrame) -> dict:
     kept, rest1 = np.zeros(len(table), dtype=bool), np.zeros(len(table))
     at = find(frequent.column("one").to_numpy().astype(np.int64).view(np.uint64), table)
     kept[at], rest1[at] = True, frequent.column("rest").to_numpy()
+    discard(ones, twos, pairs, triples)
     return {
         "total": total, "kinds": kinds, "vocabulary": vocabulary, "tail": tail, "filter": _bit_table(tail, parts),
         "parts": parts, "table": table, "log_root": np.log10((counts + 1) / (total + kinds + 1)), "kept": kept, "rest": rest1,
@@ -350,11 +360,20 @@ def gains(ids: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
     return _gains(h, ids, first, model)[0]
 
 
-SCORED = "part int, key array<long>, at array<long>, line array<long>, n array<long>, known array<long>, base array<double>, gain array<double>"
+SCORED = "part int, key array<long>, at array<short>, first long, line array<long>, n array<long>, known array<long>, base array<double>, gain array<double>"
 SUMMED = "part int, line array<long>, n array<long>, known array<long>, base array<double>, gain array<double>"
 WEIGHTS = "part int, key array<long>, base array<double>, known array<long>, gain array<double>"
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch cut where its lines don't follow each other, and into at most CHUNK_LINES rows."""
+    line = batch.column("line").to_numpy(zero_copy_only=False)
+    cuts = {0, batch.num_rows, *range(0, batch.num_rows, CHUNK_LINES), *(np.flatnonzero(np.diff(line) != 1) + 1).tolist()}
+    cuts = sorted(cuts)
+    for i, j in zip(cuts, cuts[1:]):
+        yield batch.slice(i, j - i)
+
+
 def _look_up(shared) -> Callable:
     """What the frequent grams give each line, and for each part the other grams with their lines."""
 
@@ -366,28 +385,34 @@ def _look_up(shared) -> Callable:
 
         def told(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             key, at = (np.concatenate([x[j] for x in held]) for j in range(2))
+            begin = held[0][2][0][0]
             lines = {c: np.concatenate([x[2][j] for x in held]) for j, c in enumerate(sums)}
             if len(key):
-                dealt = _dealt(_parts(key, model["parts"]), {"key": key, "at": at})
+                dealt = _dealt(_parts(key, model["parts"]), {"key": key, "at": (at - begin).astype(np.int16)})
+                same = pa.array(np.full(dealt.num_rows, begin))
                 none = [list_array(_long(x), np.zeros(dealt.num_rows, dtype=np.int64)) for x in empty.values()]
-                yield pa.RecordBatch.from_arrays([*dealt.columns, *none], names=[*dealt.schema.names, *sums])
+                yield pa.RecordBatch.from_arrays([*dealt.columns, same, *none], names=[*dealt.schema.names, "first", *sums])
             part = int(_parts(mix(lines["line"][:1].astype(np.uint64)), model["parts"])[0])
             of_lines = [list_array(_long(x), np.array([len(x)])) for x in lines.values()]
-            nothing = list_array(pa.array(np.zeros(0, dtype=np.int64)), np.array([0]))
+            nothing = [list_array(pa.array(np.zeros(0, dtype=x)), np.array([0])) for x in (np.int64, np.int16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), nothing, nothing, *of_lines], names=["part", "key", "at", *sums]
+                [pa.array([part], pa.int32()), *nothing, pa.array([begin]), *of_lines],
+                names=["part", "key", "at", "first", *sums],
             )
 
         held: list[tuple] = []
         seen = 0
-        for batch in batches:
+        for batch in chain.from_iterable(map(_runs, batches)):
             for piece in slices(batch.column("text")):
+                line = batch.column("line").slice(piece.start, piece.rows).to_numpy(zero_copy_only=False).astype(np.int64)
+                if held and not 0 <= line[-1] - held[0][2][0][0] < CHUNK_LINES:
+                    yield from told(held)
+                    held, seen = [], 0
                 h, first = tokens(piece)
                 ids = find(h, model["table"])
                 logs = np.full(len(ids), unseen)
                 logs[ids >= 0] = model["log_root"][ids[ids >= 0]]
                 row = np.repeat(np.arange(piece.rows), np.diff(first))
-                line = batch.column("line").slice(piece.start, piece.rows).to_numpy(zero_copy_only=False).astype(np.int64)
                 out, key, place = _gains(h, ids, first, model)
                 rare = np.flatnonzero(ids < 0)
                 key, place = np.concatenate([h[rare], key]), np.concatenate([rare, place])
@@ -398,7 +423,7 @@ def _look_up(shared) -> Callable:
                     (line, np.diff(first).astype(np.int64), add(ids >= 0).astype(np.int64), add(logs), add(out)),
                 ))
                 seen += len(h)
-                if seen >= CHUNK_TOKENS:
+                if seen >= SCORED_TOKENS:
                     yield from told(held)
                     held, seen = [], 0
         if held:
@@ -434,7 +459,9 @@ def _weigh(parts: int) -> Callable:
         found = {c: _flat(weights, c)[at] for c in ("known", "base", "gain")}
         old = {c: _flat(texts, c) for c in ("n", "known", "base", "gain")}
         both = {c: np.concatenate([x, found.get(c, np.zeros(len(at), dtype=np.int64))]) for c, x in old.items()}
-        sums = _by_line(np.concatenate([_flat(texts, "line"), _flat(texts, "at")[hit]]), both)
+        named = texts.column("at").combine_chunks()
+        at_line = np.repeat(texts.column("first").to_numpy(), np.diff(named.offsets.to_numpy())) + _flat(texts, "at")
+        sums = _by_line(np.concatenate([_flat(texts, "line"), at_line[hit]]), both)
         return pa.Table.from_batches([_dealt(_parts(mix(sums["line"].astype(np.uint64)), parts), sums)])
 
     return run
@@ -456,7 +483,7 @@ def score(docs: DataFrame, out: Column, id_column: str = "doc_id", text_column:
         F.col(f"`{id_column}`").alias("id"), out.alias("held_out"), F.col(f"`{text_column}`").alias("text")
     )
     model = train(plain.where("not held_out").select("text"))
-    model.pop("vocabulary")
+    discard(model.pop("vocabulary"))
     tail, total, parts = model.pop("tail"), model["total"], model["parts"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = stage(plain.withColumn("line", F.monotonically_increasing_id()))
