@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,10 +153,28 @@ def _bit_table(keys: DataFrame, parts: int) -> np.ndarray:
         return pa.Table.from_arrays([pa.array(table.column("part").to_numpy()[:1]), packed], names=["part", "bits"])
 
     marked = keys.select("key").mapInArrow(deal, "part int, key array<long>").groupBy("part")
+    marked = stage(marked.applyInArrow(mark, "part int, bits binary"))
     out = np.zeros(1 << (size - 3), dtype=np.uint8)
     width = 1 << (size - 3 - parts)
-    for row in marked.applyInArrow(mark, "part int, bits binary").toLocalIterator():
+    for row in marked.toLocalIterator():
         out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["bits"], dtype=np.uint8)
+    discard(marked)
+    return out
+
+
+def _few_bits(keys: np.ndarray) -> np.ndarray:
+    """A bit table of keys that are in memory, 8 to 16 slots each."""
+    size = max(3, math.ceil(math.log2(8 * max(1, len(keys)))))
+    bits = np.zeros(1 << size, dtype=np.uint8)
+    bits[(keys >> np.uint64(64 - size)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def _find_few(values: np.ndarray, good: np.ndarray, table: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """find() for values of which few are in the table, -1 where not good."""
+    out = np.full(len(values), -1, dtype=np.int64)
+    at = np.flatnonzero(good & _passes(values, bits))
+    out[at] = find(values[at], table)
     return out
 
 
@@ -332,7 +351,7 @@ def train(texts: DataFrame) -> dict:
         "total": total, "kinds": kinds, "vocabulary": vocabulary, "tail": tail, "filter": _bit_table(tail, parts),
         "parts": parts, "table": table, "log_root": np.log10((counts + 1) / (total + kinds + 1)), "kept": kept, "rest": rest1,
         "pairs": pair, "pair_gain": pair_gain, "kept2": ~np.isnan(rest2), "rest2": np.nan_to_num(rest2),
-        "triples": triple, "triple_gain": triple_gain,
+        "triples": triple, "triple_gain": triple_gain, "pair_bits": _few_bits(pair), "triple_bits": _few_bits(triple),
     }
 
 
@@ -340,8 +359,8 @@ def _gains(h: np.ndarray, ids: np.ndarray, first: np.ndarray, model: dict) -> tu
     """What the frequent grams add to each token's log10, and the hashes and places of all other pairs and triples."""
     pair, two, triple, three = grams(h, first)
     out = np.zeros(len(h))
-    at2 = np.where(two, find(pair, model["pairs"]), -1)
-    at3 = np.where(three, find(triple, model["triples"]), -1)
+    at2 = _find_few(pair, two, model["pairs"], model["pair_bits"])
+    at3 = _find_few(triple, three, model["triples"], model["triple_bits"])
     before, context = np.full(len(h), -1, dtype=np.int64), np.full(len(h), -1, dtype=np.int64)
     before[1:], context[1:] = ids[:-1], at2[:-1]
     before[~two], context[~three] = -1, -1
@@ -360,8 +379,10 @@ def gains(ids: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
     return _gains(h, ids, first, model)[0]
 
 
-SCORED = "part int, key array<long>, at array<short>, first long, line array<long>, n array<long>, known array<long>, base array<double>, gain array<double>"
-SUMMED = "part int, line array<long>, n array<long>, known array<long>, base array<double>, gain array<double>"
+SUMS = "part int, line array<long>, n array<long>, known array<long>, base array<double>, gain array<double>"
+OWN = "own array<long>, id array<{0}>, out array<boolean>"
+SCORED = SUMS + ", key array<long>, at array<short>, first long, " + OWN
+SUMMED = SUMS + ", " + OWN
 WEIGHTS = "part int, key array<long>, base array<double>, known array<long>, gain array<double>"
 
 
@@ -374,54 +395,66 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, j - i)
 
 
+def _with_nulls(columns: dict[str, pa.Array], names: list[str], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """The columns in the order of names; those that are missing are null."""
+    rows = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, kinds[c]) for c in names], names=names)
+
+
+def _kinds(id_kind: pa.DataType) -> dict[str, pa.DataType]:
+    """Arrow types of the columns of SCORED."""
+    longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
+    return {
+        "part": pa.int32(), "line": longs, "n": longs, "known": longs, "base": doubles, "gain": doubles, "key": longs,
+        "at": pa.list_(pa.int16()), "first": pa.int64(), "own": longs, "id": pa.list_(id_kind), "out": pa.list_(pa.bool_()),
+    }
+
+
 def _look_up(shared) -> Callable:
-    """What the frequent grams give each line, and for each part the other grams with their lines."""
+    """What the frequent grams give each line, with its id, and for each part the other grams with their lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         unseen = -math.log10(model["total"] + model["kinds"] + 1)
-        sums = ("line", "n", "known", "base", "gain")
-        empty = {c: np.zeros(0, dtype=np.float64 if c in ("base", "gain") else np.int64) for c in sums}
 
         def told(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             key, at = (np.concatenate([x[j] for x in held]) for j in range(2))
-            begin = held[0][2][0][0]
-            lines = {c: np.concatenate([x[2][j] for x in held]) for j, c in enumerate(sums)}
+            line, *lines = (np.concatenate([x[2][j] for x in held]) for j in range(5))
+            ids, out = (pa.concat_arrays([x[j] for x in held]) for j in (3, 4))
+            kinds = _kinds(ids.type)
+            names = list(kinds)
             if len(key):
-                dealt = _dealt(_parts(key, model["parts"]), {"key": key, "at": (at - begin).astype(np.int16)})
-                same = pa.array(np.full(dealt.num_rows, begin))
-                none = [list_array(_long(x), np.zeros(dealt.num_rows, dtype=np.int64)) for x in empty.values()]
-                yield pa.RecordBatch.from_arrays([*dealt.columns, same, *none], names=[*dealt.schema.names, "first", *sums])
-            part = int(_parts(mix(lines["line"][:1].astype(np.uint64)), model["parts"])[0])
-            of_lines = [list_array(_long(x), np.array([len(x)])) for x in lines.values()]
-            nothing = [list_array(pa.array(np.zeros(0, dtype=x)), np.array([0])) for x in (np.int64, np.int16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), *nothing, pa.array([begin]), *of_lines],
-                names=["part", "key", "at", "first", *sums],
-            )
+                dealt = _dealt(_parts(key, model["parts"]), {"key": key, "at": (at - line[0]).astype(np.int16)})
+                columns = dict(zip(dealt.schema.names, dealt.columns, strict=True))
+                yield _with_nulls(columns | {"first": pa.array(np.full(dealt.num_rows, line[0]))}, names, kinds)
+            whole = np.array([len(line)])
+            columns = dict(zip(("line", "n", "known", "base", "gain"), (line, *lines), strict=True))
+            columns = {c: list_array(_long(x), whole) for c, x in columns.items()}
+            columns |= {"own": columns["line"], "id": list_array(ids, whole), "out": list_array(out, whole)}
+            part = _parts(mix(line[:1].astype(np.uint64)), model["parts"])
+            yield _with_nulls(columns | {"part": pa.array(part.astype(np.int32))}, names, kinds)
 
         held: list[tuple] = []
         seen = 0
         for batch in chain.from_iterable(map(_runs, batches)):
             for piece in slices(batch.column("text")):
-                line = batch.column("line").slice(piece.start, piece.rows).to_numpy(zero_copy_only=False).astype(np.int64)
+                line, ids, held_out = (batch.column(c).slice(piece.start, piece.rows) for c in ("line", "id", "held_out"))
+                line = line.to_numpy(zero_copy_only=False).astype(np.int64)
                 if held and not 0 <= line[-1] - held[0][2][0][0] < CHUNK_LINES:
                     yield from told(held)
                     held, seen = [], 0
                 h, first = tokens(piece)
-                ids = find(h, model["table"])
-                logs = np.full(len(ids), unseen)
-                logs[ids >= 0] = model["log_root"][ids[ids >= 0]]
+                words = find(h, model["table"])
+                logs = np.full(len(words), unseen)
+                logs[words >= 0] = model["log_root"][words[words >= 0]]
                 row = np.repeat(np.arange(piece.rows), np.diff(first))
-                out, key, place = _gains(h, ids, first, model)
-                rare = np.flatnonzero(ids < 0)
+                out, key, place = _gains(h, words, first, model)
+                rare = np.flatnonzero(words < 0)
                 key, place = np.concatenate([h[rare], key]), np.concatenate([rare, place])
                 good = _passes(key, model["filter"])
                 add = lambda x: np.bincount(row, weights=x, minlength=piece.rows)
-                held.append((
-                    key[good], line[row[place[good]]],
-                    (line, np.diff(first).astype(np.int64), add(ids >= 0).astype(np.int64), add(logs), add(out)),
-                ))
+                sums = (line, np.diff(first).astype(np.int64), add(words >= 0).astype(np.int64), add(logs), add(out))
+                held.append((key[good], line[row[place[good]]], sums, ids, held_out))
                 seen += len(h)
                 if seen >= SCORED_TOKENS:
                     yield from told(held)
@@ -459,16 +492,34 @@ def _weigh(parts: int) -> Callable:
         found = {c: _flat(weights, c)[at] for c in ("known", "base", "gain")}
         old = {c: _flat(texts, c) for c in ("n", "known", "base", "gain")}
         both = {c: np.concatenate([x, found.get(c, np.zeros(len(at), dtype=np.int64))]) for c, x in old.items()}
-        named = texts.column("at").combine_chunks()
-        at_line = np.repeat(texts.column("first").to_numpy(), np.diff(named.offsets.to_numpy())) + _flat(texts, "at")
+        grams = texts.filter(pc.is_valid(texts.column("first")))
+        size = pc.list_value_length(grams.column("at")).to_numpy()
+        at_line = np.repeat(grams.column("first").to_numpy(), size) + _flat(grams, "at")
         sums = _by_line(np.concatenate([_flat(texts, "line"), at_line[hit]]), both)
-        return pa.Table.from_batches([_dealt(_parts(mix(sums["line"].astype(np.uint64)), parts), sums)])
+        dealt = _dealt(_parts(mix(sums["line"].astype(np.uint64)), parts), sums)
+        kinds = _kinds(texts.schema.field("id").type.value_type)
+        names = [c for c in kinds if c not in ("key", "at", "first")]
+        found = [_with_nulls(dict(zip(dealt.schema.names, dealt.columns, strict=True)), names, kinds)]
+        own = _flat(texts, "own").astype(np.int64)
+        if len(own):
+            part = _parts(mix(own.view(np.uint64)), parts)
+            order = np.argsort(part, kind="stable")
+            part, size = np.unique(part, return_counts=True)
+            columns = {"part": pa.array(part.astype(np.int32)), "own": list_array(pa.array(own[order]), size)}
+            for c in ("id", "out"):
+                columns[c] = list_array(texts.column(c).combine_chunks().flatten().take(pa.array(order)), size)
+            found.append(_with_nulls(columns, names, kinds))
+        return pa.Table.from_batches(found)
 
     return run
 
 
 def _sum_lines(table: pa.Table) -> pa.Table:
-    return pa.table(_by_line(_flat(table, "line"), {c: _flat(table, c) for c in ("n", "known", "base", "gain")}))
+    """The sums of a part's lines, with their ids."""
+    sums = _by_line(_flat(table, "line"), {c: _flat(table, c) for c in ("n", "known", "base", "gain")})
+    at = np.searchsorted(sums.pop("line"), _flat(table, "own"))
+    own = {c: table.column(c).combine_chunks().flatten() for c in ("id", "out")}
+    return pa.table(own | {c: x[at] for c, x in sums.items()})
 
 
 def score(docs: DataFrame, out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -477,6 +528,8 @@ def score(docs: DataFrame, out: Column, id_column: str = "doc_id", text_column:
     Learns from the rows where the condition `out` is false (null counts as false). Words are runs of non-white-space
     of the text with A-Z lower-cased, and an end closes every text, so a null or empty text is one token. Rows are
     scored as they come, repeated ones too; other columns are ignored. Without training rows every token is unseen.
+    Rows are numbered while they are read, so `docs` has to give them in the same order if a task runs again, as
+    files do; write other frames to a table first.
     """
     out = F.coalesce(out, F.lit(False))
     plain = docs.select(
@@ -486,14 +539,15 @@ def score(docs: DataFrame, out: Column, id_column: str = "doc_id", text_column:
     discard(model.pop("vocabulary"))
     tail, total, parts = model.pop("tail"), model["total"], model["parts"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = stage(plain.withColumn("line", F.monotonically_increasing_id()))
-    looked = rows.select("line", "text").mapInArrow(_look_up(shared), SCORED)
+    kind = plain.schema["id"].dataType.simpleString()
+    looked = plain.withColumn("line", F.monotonically_increasing_id()).select("line", "id", "held_out", "text")
+    looked = looked.mapInArrow(_look_up(shared), SCORED.format(kind))
     weights = tail.mapInArrow(_deal_weights(parts), WEIGHTS)
-    sums = looked.groupBy("part").cogroup(weights.groupBy("part")).applyInArrow(_weigh(parts), SUMMED)
-    sums = sums.groupBy("part").applyInArrow(_sum_lines, "line long, n long, known long, base double, gain double")
-    return rows.select("line", "id", "held_out").join(sums, "line").select(
+    sums = looked.groupBy("part").cogroup(weights.groupBy("part")).applyInArrow(_weigh(parts), SUMMED.format(kind))
+    lines = f"id {kind}, out boolean, n long, known long, base double, gain double"
+    return sums.groupBy("part").applyInArrow(_sum_lines, lines).select(
         F.col("id").alias(id_column),
-        "held_out",
+        F.col("out").alias("held_out"),
         F.col("n").alias("n_tokens"),
         F.col("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
