@@ -44,6 +44,9 @@ CHUNK_LINES = 1 << 15
 SCORED_TOKENS = 500_000
 #: Training tokens for each part that grams are dealt to.
 PART_TOKENS = 2_000_000
+#: The same for each part in which texts meet the weights, and for each part in which their lines are summed.
+SCORED_PART_TOKENS = 4_000_000
+LINE_PART_TOKENS = 128_000_000
 FILTER_BITS = 28
 _END = np.uint64(0x5851F42D4C957F2D)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -278,9 +281,11 @@ def train(texts: DataFrame) -> dict:
     table, counts = h[order], often.column("n").to_numpy()[order].astype(np.float64)
     context = spark.sparkContext
     words = context.broadcast((table, counts))
-    # grams travel packed by ranges of their hash; the parts grow with the session's shuffle partitions and the texts
-    least = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total / PART_TOKENS, 2)
-    parts = min(16, math.ceil(math.log2(least)))
+    # grams travel packed by ranges of their hash; the parts grow with the cluster's cores and the texts
+    cores = max(2 * context.defaultParallelism, 2)
+    parts, scored_parts, line_parts = (
+        min(16, math.ceil(math.log2(max(cores, total / of)))) for of in (PART_TOKENS, SCORED_PART_TOKENS, LINE_PART_TOKENS)
+    )
 
     pairs = texts.mapInArrow(_count_grams(2, parts), COUNTED).groupBy("part")
     pairs = stage(pairs.applyInArrow(_merge(2, words), "key long, a long, b long, n long, na long, nb long"))
@@ -289,21 +294,25 @@ def train(texts: DataFrame) -> dict:
     triples = stage(triples.applyInArrow(_merge(3), "key long, a long, b long, n long"))
 
     counted_pairs, counted_triples = pairs, triples
-    pairs = stage(
+    pairs_table = stage(
         _with_count(_with_count(pairs, rare, "a"), rare, "b").select(
-            "key", "a", "b", "n", F.col("na").alias("n_context"), F.lit(None).cast("long").alias("suffix"),
-            ((F.col("n") - DISCOUNT) / F.col("na")).alias("chance"),
-            ((F.col("nb") + 1) / F.lit(float(total + kinds + 1))).alias("below"),
+            "key", "a", "b", "n", F.col("na").alias("n_context"), "nb"
         )
     )
+    # tables hold counts, which are smaller than chances
+    chance = (F.col("n") - DISCOUNT) / F.col("n_context")
+    pairs = pairs_table.select(
+        "key", "a", "b", "n", "n_context", F.lit(None).cast("long").alias("suffix"), chance.alias("chance"),
+        ((F.col("nb") + 1) / F.lit(float(total + kinds + 1))).alias("below"),
+    )
     discard(counted_pairs)
     ones = _contexts(pairs, "a")
     # a triple's context is its first pair, the suffix is that pair's second word
     before = pairs.select(F.col("key").alias("a"), F.col("n").alias("n_context"), F.col("b").alias("suffix"))
-    last = pairs.select(F.col("key").alias("b"), F.col("chance").alias("below"))
-    triples = stage(
-        triples.join(before, "a").join(last, "b").withColumn("chance", (F.col("n") - DISCOUNT) / F.col("n_context"))
-    )
+    last = pairs.select(F.col("key").alias("b"), F.col("n").alias("n_pair"), F.col("n_context").alias("n_word"))
+    triples_table = stage(triples.join(before, "a").join(last, "b").drop("b"))
+    below = (F.col("n_pair") - DISCOUNT) / F.col("n_word")
+    triples = triples_table.select("key", "a", "n", "n_context", "suffix", chance.alias("chance"), below.alias("below"))
     discard(counted_triples)
     twos = stage(_contexts(triples, "a").where("enough").select(F.col("a").alias("two"), "suffix", "rest"))
     suffixes = twos.select(F.col("suffix").alias("a")).distinct().withColumn("needed", F.lit(True))
@@ -311,7 +320,6 @@ def train(texts: DataFrame) -> dict:
     ones = stage(ones.select(F.col("a").alias("one"), "rest"))
 
     follower = F.coalesce(F.log10("chance") - F.log10("below") - F.col("one_rest"), F.lit(0.0))
-    all_pairs, all_triples = pairs, triples
     pairs = stage(
         pairs.join(ones.withColumnRenamed("rest", "one_rest"), pairs["a"] == F.col("one"), "left")
         .join(twos.select("two", F.col("rest").alias("two_rest")), pairs["key"] == F.col("two"), "left")
@@ -321,7 +329,7 @@ def train(texts: DataFrame) -> dict:
         triples.join(twos.select("two", F.col("rest").alias("two_rest")), triples["a"] == F.col("two"))
         .select("key", "n", (F.log10("chance") - F.log10("below") - F.col("two_rest")).alias("follower"))
     )
-    discard(all_pairs, all_triples)
+    discard(pairs_table, triples_table)
     rest = F.coalesce("rest", F.lit(0.0))
     tail = vocabulary.join(ones, vocabulary["h"] == ones["one"], "left")
     frequent = tail.where(F.col("n") >= WORD_SHARE * total).where("one is not null").select("one", "rest").toArrow()
@@ -349,7 +357,7 @@ def train(texts: DataFrame) -> dict:
     discard(ones, twos, pairs, triples)
     return {
         "total": total, "kinds": kinds, "vocabulary": vocabulary, "tail": tail, "filter": _bit_table(tail, parts),
-        "parts": parts, "table": table, "log_root": np.log10((counts + 1) / (total + kinds + 1)), "kept": kept, "rest": rest1,
+        "parts": scored_parts, "line_parts": line_parts, "table": table, "log_root": np.log10((counts + 1) / (total + kinds + 1)), "kept": kept, "rest": rest1,
         "pairs": pair, "pair_gain": pair_gain, "kept2": ~np.isnan(rest2), "rest2": np.nan_to_num(rest2),
         "triples": triple, "triple_gain": triple_gain, "pair_bits": _few_bits(pair), "triple_bits": _few_bits(triple),
     }
@@ -482,7 +490,7 @@ def _by_line(line: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.n
 
 
 def _weigh(parts: int) -> Callable:
-    """Sums by line of the weights of a part's grams."""
+    """Sums by line of the weights of a part's grams, dealt to `parts` parts of the lines."""
 
     def run(texts: pa.Table, weights: pa.Table) -> pa.Table:
         key = _keys(weights, "key")
@@ -543,7 +551,7 @@ def score(docs: DataFrame, out: Column, id_column: str = "doc_id", text_column:
     looked = plain.withColumn("line", F.monotonically_increasing_id()).select("line", "id", "held_out", "text")
     looked = looked.mapInArrow(_look_up(shared), SCORED.format(kind))
     weights = tail.mapInArrow(_deal_weights(parts), WEIGHTS)
-    sums = looked.groupBy("part").cogroup(weights.groupBy("part")).applyInArrow(_weigh(parts), SUMMED.format(kind))
+    sums = looked.groupBy("part").cogroup(weights.groupBy("part")).applyInArrow(_weigh(model["line_parts"]), SUMMED.format(kind))
     lines = f"id {kind}, out boolean, n long, known long, base double, gain double"
     return sums.groupBy("part").applyInArrow(_sum_lines, lines).select(
         F.col("id").alias(id_column),
