@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,6 +26,12 @@ TIME_FORMATS = (
     "MM/dd/yyyy",
 )
 
+#: What each part of a format takes, at least; texts of another shape aren't parsed, as a failed parse raises inside.
+TIME_PARTS = {
+    "yyyy": "[+-]?[0-9]{4,}", "MM": "(0[1-9]|1[0-2])", "dd": "(0[1-9]|[12][0-9]|3[01])", "HH": "([01][0-9]|2[0-3])",
+    "mm": "[0-5][0-9]", "ss": "[0-5][0-9]", "SSSSSS": "[0-9]+", "'T'": "[Tt]", ".": "[.]",
+}
+
 NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -52,9 +59,21 @@ def parse_boolean(c: Column, true=TRUE_WORDS, false=FALSE_WORDS) -> Column:
     return F.when(word.isin(*true), True).when(word.isin(*false), False)
 
 
+def time_shape(form: str) -> str | None:
+    """A pattern that every text of a time format fits; None if the format has parts beyond TIME_PARTS."""
+    parts = [m[0] for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", form)]
+    if any(p not in TIME_PARTS and p not in "-/: " for p in parts):
+        return None
+    return "^" + "".join(TIME_PARTS.get(p, p) for p in parts) + "$"
+
+
 def parse_timestamp(c: Column, formats=TIME_FORMATS) -> Column:
     text = F.trim(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    shapes = [time_shape(form) for form in formats]
+    tried = [F.try_to_timestamp(text, F.lit(form)) for form in formats]
+    found = F.coalesce(*[t if s is None else F.when(text.rlike(s), t) for t, s in zip(tried, shapes)])
+    dated = all(s and re.match("[yMd]+[-/]", form) for form, s in zip(formats, shapes))
+    return F.when(text.rlike("^[+-]?[0-9]+[-/]"), found) if dated else found
 
 
 def contains_any(columns: list[Column], term: str) -> Column:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon import errors
+from tabulon.functions import text as T
 from tabulon.operators import aggregate as A
 from tabulon.operators import clean as C
 from tabulon.operators import cohort, correlation, insights, kpi, outliers, profile, quality, relational, rfm, spec
@@ -227,3 +228,20 @@ def test_profile_of_sales(sales):
     rows = {r["column"]: r for r in profile.profile_columns(sales).collect()}
     assert rows["revenue"]["mean"] == 1733.3333 and rows["revenue"]["subtype"] == "currency"
     assert rows["order_date"]["range_days"] == 59 and rows["customer_id"]["unique_count"] == 2
+
+
+def test_times_are_parsed_by_shape(spark):
+    texts = [
+        "2020-01-05", " 2020-01-05 ", "2020-1-5", "-0005-01-05", "+12345-01-05", "12345-01-05", "2020-02-30", "2020-13-01",
+        "2020-01-05 10:11:12", "2020-01-05 24:00:00", "2020-01-05 10:11:12.5", "2020-01-05 10:11:12.1234567", "2020-01-05t10:11:12",
+        "2020-01-05T10:11:12.25", "2020/01/05", "01/05/2020", "25/12/2020", "2020-01-05\n", "２０２０-01-05", "x", "", None,
+    ]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    plain = F.coalesce(*[F.try_to_timestamp(F.trim("t"), F.lit(f)) for f in T.TIME_FORMATS])
+    assert df.where(~plain.eqNullSafe(T.parse_timestamp(F.col("t")))).collect() == []
+    assert df.where(T.parse_timestamp(F.col("t")).isNotNull()).count() == 10
+    spark.conf.set("spark.sql.legacy.timeParserPolicy", "EXCEPTION")  # a failed parse is told; texts of another shape have none
+    try:
+        assert df.where(F.col("t").isin("2020-1-5", "25/12/2020", "x")).select(T.parse_timestamp(F.col("t"))).distinct().collect() == [(None,)]
+    finally:
+        spark.conf.unset("spark.sql.legacy.timeParserPolicy")
