@@ -245,3 +245,14 @@ def test_times_are_parsed_by_shape(spark):
         assert df.where(F.col("t").isin("2020-1-5", "25/12/2020", "x")).select(T.parse_timestamp(F.col("t"))).distinct().collect() == [(None,)]
     finally:
         spark.conf.unset("spark.sql.legacy.timeParserPolicy")
+
+
+def test_profile_parses_only_texts_with_a_time_shape(spark):
+    df = spark.createDataFrame([("2020-1-5", "25/12/2020", "01/05/2020"), ("7-1-5", None, "12/31/2021")], "a string, b string, c string")
+    spark.conf.set("spark.sql.legacy.timeParserPolicy", "EXCEPTION")
+    try:
+        found = {r["column"]: r for r in profile.profile_columns(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.legacy.timeParserPolicy")
+    assert [found[c]["inferred_type"] for c in "abc"] == ["categorical", "categorical", "temporal"]
+    assert found["c"]["range_days"] == 726
