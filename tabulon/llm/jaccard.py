@@ -75,5 +75,5 @@ def ngram_join(
             "bucket", "node", "n", (F.col("n") - F.col("place")).alias("rest"), "given"
         )
 
-    found = grouped(plain, sketched, "prefix", members, width, permille, level)
+    found = grouped(plain, sketched, "prefix", members, width, permille)
     return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.overlap import digests, frequencies, grouped, least_size, parities, shingles
+from tabulon.llm.overlap import digests, grouped, least_size, parities, shingles
 from tabulon.llm.text import SPACED, Words, aliased, list_array, mix, slices
 from tabulon.plans.stage import stage
 
@@ -96,7 +96,7 @@ def _groups(lined: DataFrame, similarity: float) -> DataFrame:
     def members(leaders: DataFrame) -> DataFrame:
         return leaders.select(F.explode("bands").alias("bucket"), "node", "n", F.col("n").alias("rest"), F.lit(BANDS).cast("long").alias("given"))
 
-    return grouped(lined.select("id", "text"), sketched, "bands", members, WIDTH, permille, frequencies(lined.select("text"), WIDTH))
+    return grouped(lined.select("id", "text"), sketched, "bands", members, WIDTH, permille)
 
 
 def near_duplicates(

@@ -6,21 +6,14 @@ of document by n-gram incidence of the candidates are multiplied block by block
 are marked in a dense array over the block's columns, and every partner's marks are summed.
 
 All pairs are formed only in buckets of at most FEW members, and only if sizes and places leave room for
-a link, by parities of BITS bits too. A larger bucket picks one member, the hub h, that all others are multiplied with; they form h's line. A member
-x is then known by its difference from h, the d_x n-grams that only one of both has. A link of x and y needs a
-difference of at most k (n_x + n_y), k = (1 - s) / (1 + s), so their differences from h share at least
-(d_x + d_y - k (n_x + n_y)) / 2 n-grams. What can be missed is a link of which one side, say x, isn't linked with h:
-d_x > k (n_x + n_h), and with n_y <= n_h + d_y the number is positive. By the prefix filter the two meet in
-one of the first n-grams of their differences, in an order in which those come first that few members of the line differ
-in: rare ones that h lacks, frequent ones that h has. These are the buckets of the next round, one kind for two
-members without a link to h and one for a member with and one without. Where a difference is large, the n-grams outside h
-are fewer and the plain prefix filter says more: a member with d_x > far n_x (see `classes_of`) has an overlap with h
-that no link is content with, so it meets its partners, which are as far from h, in one of the first n-grams
-outside h. Members between the two bounds take part in both. Large buckets are cut by size first, each member in two
-neighbouring classes, so sizes in a line differ by less than 1 / s^2, which the bounds need. A member carries a label, the label of
-the hub that it was linked with, so members of one label are in one group; a bucket of one label is left. A group of near
-copies of one text takes about one product for each member, and its members meet again only where they differ
-alike. From round PATIENT on FEW doubles each round, so rounds end soon even where nothing of that helps.
+a link, by parities of BITS bits too. A larger bucket picks one member, the hub h, that all others are multiplied with; they
+form h's line. What can be missed then is a link of which one side isn't linked with h. A line is cut into blocks
+of at most BLOCK members, and every two blocks of a line are one task's work (`_near`): it holds the parities of their members
+against each other, which say how much two sets differ at least, and so do their differences from h. What is left has
+nearly the similarity asked for. Members near to many others form a group of their own, so every member is multiplied with at
+most a few of those at first, such that have most members near them, and again with four times as many only where
+pairs were left and the links found haven't joined them. Large buckets are cut by size first, each member in two
+neighbouring classes. Nothing is dropped, and a pair that isn't formed is proven to be no link or joined by others.
 """
 
 from __future__ import annotations
@@ -39,7 +32,8 @@ from tabulon.plans.stage import stage
 
 #: Buckets of at most so many members are compared pair by pair, in every round.
 FEW = 32
-PATIENT = 5
+#: Members of a line's block, and how many of those near it a member is multiplied with at first.
+BLOCK, NEAREST = 1024, 4
 BITS = 1024
 #: Sets with at least this share of all rows are broadcast, at most 1 / COMMON of them.
 COMMON = 1e-4
@@ -174,87 +168,79 @@ def product(a: pa.ListArray, b: pa.ListArray, mark: pa.Array) -> Iterator[tuple[
         in_b[code[span]] = False
 
 
-def classes_of(permille: int) -> tuple[float, float]:
-    """far and near: differences, as shares of a member's size, from which the n-grams outside the hub are enough,
-    and up to which the difference is looked at. If x isn't near, a partner of x is far."""
-    s = permille / 1000
-    k = (1 - s) / (1 + s)
-    far = max(4 * k, 1 + 1 / s**2 - 2 * s)
-    return far, k * (1 + 1 / s) + far / s
-
-
-def _compare_batches(permille: int, level: Callable[[np.ndarray], np.ndarray]):
-    def places(n: int, n_a: int, more: np.ndarray, less: np.ndarray, linked: bool) -> tuple[np.ndarray, int, int]:
-        """The difference in order, and how much of it meets members without a link to a, and with one."""
-        both = np.concatenate([more, less])
-        key = np.concatenate([level(more).astype(np.int64), 256 - level(less).astype(np.int64)])
-        d, close = len(both), 1000 - permille  # close / (1000 + permille) is k
-        both = both[np.lexsort((both, key))]
-        far = ((1000 + permille) * d - close * (n - n_a)) // (2 * (1000 + permille)) + 1
-        first = min(d, max(0, d - far + 1))
-        if linked:
-            return both[:first], first, 0
-        some = -(-((1000 + permille) * d - close * (n + n_a) + 2 * permille) // (2 * (1000 + permille)))
-        second = min(d, d - max(1, some) + 1)
-        return both[: max(first, second)], first, second
-
-    def prefix(n: int, more: np.ndarray) -> np.ndarray:
-        """The first n-grams outside a hub, by which a far member meets its partners."""
-        need = -(-permille * (n + -(-permille * n // 1000)) // (1000 + permille)) - (n - len(more))
-        return more[np.lexsort((more, level(more)))][: max(0, len(more) - max(need, 1) + 1)]
-
-    def lists(columns: list[np.ndarray], none: np.ndarray) -> pa.ListArray:
-        flat = np.concatenate([none, *columns])
-        return list_array(pa.array(flat.view(np.int64)), np.array([len(r) for r in columns], dtype=np.int64))
-
-    far, near = classes_of(permille)
-
+def _compare_batches(permille: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = {name: batch.column(name) for name in ("line", "a", "label_a", "b", "label_b", "hub")}
-            hub, none = x["hub"].to_pylist(), np.zeros(0, dtype=np.uint64)
-            linked, firsts, seconds, apart, rest, outside, sizes = [], [], [], [], [], [], []
-            for i, (n_a, n, more, less) in enumerate(product(batch.column("grams_a"), batch.column("grams_b"), x["a"])):
+            linked, sizes, apart = [], [], []
+            for n_a, n, more, less in product(batch.column("grams_a"), batch.column("grams_b"), batch.column("a")):
                 linked.append((n - len(more)) * (1000 + permille) >= permille * (n + n_a))
-                d = len(more) + len(less)
-                is_near = hub[i] and d <= near * n + 1
-                out, first, second = places(n, n_a, more, less, linked[-1]) if is_near else (none, 0, 0)
-                outside.append(prefix(n, more) if hub[i] and d > far * n and not linked[-1] else none)
-                firsts.append(first), seconds.append(second), rest.append(out)
-                sizes.append(n), apart.append(d)
+                sizes.append(n), apart.append(len(more) + len(less))
             yield pa.RecordBatch.from_arrays(
-                [x[k] for k in ("line", "a", "label_a", "b", "label_b")]
-                + [pa.array(linked, pa.bool_())]
-                + [pa.array(v, pa.int64()) for v in (sizes, apart, firsts, seconds)]
-                + [lists(rest, none), lists(outside, none)],
-                names=["line", "a", "label_a", "b", "label_b", "linked", "n", "apart", "first", "second", "extras", "outside"],
+                [batch.column(k) for k in ("line", "a", "b")] + [pa.array(linked, pa.bool_()), *(pa.array(v, pa.int64()) for v in (sizes, apart))],
+                names=["line", "a", "b", "linked", "n", "apart"],
             )
 
     return run
 
 
-COMPARED = (
-    "line long, a long, label_a long, b long, label_b long, linked boolean, n long, apart long, first long, second long, "
-    "extras array<long>, outside array<long>"
-)
+COMPARED = "line long, a long, b long, linked boolean, n long, apart long"
+
+
+def _near(permille: int, most: int):
+    """Pairs of two blocks of a line that may be links, `most` for each member, and how many more there are."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        node, label, n, apart, block = (table[k].to_numpy() for k in ("node", "label", "n", "apart", "block"))
+        linked = table["linked"].to_numpy()
+        parity = table["parity"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        close = 1000 - permille
+        pairs = [np.zeros((2, 0), dtype=np.int64)]
+
+        def hold(xs: np.ndarray, ys: np.ndarray) -> None:
+            for start in range(0, len(xs), 64):
+                x = xs[start : start + 64, None]
+                room = close * (n[x] + n[ys])
+                fits = (label[x] != label[ys]) & ((1000 + permille) * np.abs(apart[x] - apart[ys]) <= room)
+                fits &= 1000 * np.minimum(n[x], n[ys]) >= permille * np.maximum(n[x], n[ys])
+                if i == j:
+                    fits &= linked[ys] | (node[x] < node[ys])
+                at, to = np.nonzero(fits)
+                one, two = xs[start + at], ys[to]
+                differ = np.bitwise_count(parity[one] ^ parity[two]).sum(axis=1, dtype=np.int64)
+                fit = (1000 + permille) * differ <= room[at, to]
+                pairs.append(np.array([one[fit], two[fit]]))
+
+        first, second = (np.flatnonzero(block == k) for k in (i, j))
+        hold(first[~linked[first]], second)
+        if i != j:
+            hold(second[~linked[second]], first[linked[first]])
+        x, y = np.concatenate(pairs, axis=1)
+        degree = np.bincount(np.concatenate([x, y]), minlength=len(node))
+        kept = np.zeros(len(x), dtype=bool)
+        for one, two in ((x, y), (y, x)):  # a side that is in both roles has `most` in each
+            order = np.lexsort((node[two], -degree[two], one))
+            sizes = np.bincount(one, minlength=len(node))
+            rank = np.arange(len(one)) - (np.cumsum(sizes) - sizes)[one[order]]
+            kept[order[rank < most]] = True
+        x, y = node[x[kept]], node[y[kept]]
+        return pa.table({
+            "a": pa.array([*np.minimum(x, y).tolist(), None], pa.int64()), "b": pa.array([*np.maximum(x, y).tolist(), None], pa.int64()),
+            "left": pa.array([0] * len(x) + [int((~kept).sum())], pa.int64()),
+        })
+
+    return run
 
 
-def links(
-    members: DataFrame, bits: DataFrame, sets: Callable[[DataFrame], DataFrame], permille: int,
-    level: Callable[[np.ndarray], np.ndarray],
-) -> DataFrame:
+def links(members: DataFrame, bits: DataFrame, sets: Callable[[DataFrame], DataFrame], permille: int) -> DataFrame:
     """(a, b) of nodes, enough of them to join all nodes that links join.
 
     members: bucket, node, n, and rest, which bounds the overlap of two members from the bucket on (n where nothing is
     known; else the n-grams of the set from the bucket's one on, which must be the first that both have), given, the
     number of a node's buckets. bits: node, parity (see parities), which leaves out pairs that surely differ too much,
-    except with a hub. sets: from a frame with the column node to (node, grams). level: rough logarithms of the n-grams' frequencies.
+    except with a hub. sets: from a frame with the column node to (node, grams).
     """
     zero = F.lit(0).cast("long")
-    members = members.select(
-        "bucket", "node", "n", "rest", "given", zero.alias("base"), zero.alias("line"), F.col("node").alias("label"),
-        F.lit(None).cast("int").alias("side"),
-    )
     differ = "aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
     # large buckets are cut by size
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -264,85 +250,64 @@ def links(
         F.array(F.xxhash64("bucket", size_class), F.xxhash64("bucket", size_class + 1))
     )
     members = met.withColumn("bucket", F.explode(parts)).drop("size")
-    rows, found_all, few_now, rounds = None, None, FEW, 0
-    while True:
-        kept = (
-            members.groupBy("bucket")
-            .agg(
-                F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
-                F.min("side").alias("without"), F.max("side").alias("with"),
-            )
-            .where("low <> high and (without is null or without <> with)")
-            .select("bucket", "size")
-        )
-        held = stage(members.join(kept, "bucket"))
-        few, many = held.where(F.col("size") <= few_now), held.where(F.col("size") > few_now)
-        other = few.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "rest", "base", "side")])
-        mutual = (
-            few.join(other, "bucket")
-            .where("node_a < node and label_a <> label and (side is null or side <> side_a)")
-            .where(f"1000 * least(n, n_a) >= {permille} * greatest(n, n_a)")
-            .where(f"{1000 + permille} * (base + base_a + 2 * least(rest, rest_a)) >= {2 * permille} * (n + n_a)")
-            .groupBy(F.col("node_a").alias("a"), F.col("node").alias("b"))
-            .agg(F.min("label_a").alias("label_a"), F.min("label").alias("label_b"), F.min(F.col("n") + F.col("n_a")).alias("sizes"))
-        )
-        for side in "ab":
-            mutual = mutual.join(bits.select(F.col("node").alias(side), F.col("parity").alias(f"parity_{side}")), side)
-        mutual = mutual.where(f"{1000 + permille} * {differ} <= {1000 - permille} * sizes").select(
-            zero.alias("line"), "a", "label_a", "b", "label_b", F.lit(False).alias("hub")
-        )
-        met = held.groupBy("line", "node").agg(F.count("*").alias("met"))
-        alone = (F.col("met") - F.col("given")).alias("alone")  # a hub should have little that nobody shares
-        best = F.struct("side", alone, "met", (-F.col("n")).alias("less"), (-F.col("node")).alias("first"), "label")
-        hubs = many.join(met, ["line", "node"]).groupBy("bucket").agg(F.max(best).alias("h"))
-        hubs = hubs.select("bucket", (-F.col("h.first")).alias("a"), F.col("h.label").alias("label_a"))
-        spokes = (
-            many.join(hubs, "bucket")
-            .where("node <> a")
-            .groupBy(F.xxhash64("line", "a").alias("line"), "a", F.col("node").alias("b"))
-            .agg(F.min("label_a").alias("label_a"), F.min("label").alias("label_b"))
-            .select("line", "a", "label_a", "b", "label_b", F.lit(True).alias("hub"))
-        )
-        pairs = stage(mutual.union(spokes))
-        if pairs.isEmpty():
-            break
-        if rows is None:  # later rounds have no other nodes
-            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-            rows = stage(sets(stage(nodes.distinct())))
+    kept = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    held = stage(members.join(kept, "bucket"))
+    few, many = held.where(F.col("size") <= FEW), held.where(F.col("size") > FEW)
+    other = few.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "rest")])
+    mutual = (
+        few.join(other, "bucket")
+        .where("node_a < node")
+        .where(f"1000 * least(n, n_a) >= {permille} * greatest(n, n_a)")
+        .where(f"{1000 + permille} * least(rest, rest_a) >= {permille} * (n + n_a)")
+        .groupBy(F.col("node_a").alias("a"), F.col("node").alias("b"))
+        .agg(F.min(F.col("n") + F.col("n_a")).alias("sizes"))
+    )
+    for side in "ab":
+        mutual = mutual.join(bits.select(F.col("node").alias(side), F.col("parity").alias(f"parity_{side}")), side)
+    mutual = mutual.where(f"{1000 + permille} * {differ} <= {1000 - permille} * sizes").select("a", "b")
+    found = held.groupBy("node").agg(F.count("*").alias("met"))
+    alone = (F.col("met") - F.col("given")).alias("alone")  # a hub should have little that nobody shares
+    best = F.struct(alone, "met", (-F.col("n")).alias("less"), (-F.col("node")).alias("first"))
+    hubs = many.join(found, "node").groupBy("bucket").agg(F.max(best).alias("h")).select("bucket", (-F.col("h.first")).alias("a"))
+    spokes = many.join(hubs, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    no_hub = (zero.alias("line"), "a", F.col("a").alias("label_a"), "b", F.col("b").alias("label_b"), F.lit(False).alias("hub"))
+    to_hub = (F.xxhash64("a").alias("line"), *no_hub[1:-1], F.lit(True).alias("hub"))
+    pairs = stage(mutual.select(*no_hub).union(spokes.select(*to_hub)))
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    # what follows has no other nodes
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    rows = stage(sets(stage(nodes.distinct())))
+
+    def compare(pairs: DataFrame) -> DataFrame:
         a, b = (rows.select(F.col("node").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "ab")
-        found = stage(pairs.join(b, "b").join(a, "a").mapInArrow(_compare_batches(permille, level), COMPARED))
-        new = found.where("linked").select("a", "b")
-        found_all = new if found_all is None else found_all.union(new)
-        again = found.where("line <> 0").select(
-            "line", F.col("b").alias("node"), "n", F.expr("if(linked, label_a, label_b)").alias("label"), "apart", "linked",
-            "first", "second", F.expr("if(linked, first, first + second) + size(outside)").alias("given"), "extras", "outside",
-        )
-        columns, none = ["node", "n", "rest", "given", "base", "line", "label"], F.lit(None).cast("int").alias("side")
-        differences = (
-            again.select("*", F.posexplode("extras").alias("place", "gram"))
-            .withColumn("rest", F.col("apart") - F.col("place"))
-            .withColumn("base", F.col("n") - F.col("apart"))
+        return stage(pairs.join(b, "b").join(a, "a").mapInArrow(_compare_batches(permille), COMPARED))
+
+    found = compare(pairs)
+    joined = found.where("linked").select("a", "b")
+    spoke = found.join(pairs.where("hub").select("line", "a", "b"), ["line", "a", "b"], "left_semi")
+    whole = spoke.groupBy("line").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("apart"))
+    whole = whole.where("size > 1 and apart > 0").select("line", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    lines = stage(
+        spoke.join(whole, "line").join(bits, F.col("b") == bits["node"]).select(
+            "line", "node", "n", "apart", "linked", "parity", "blocks", F.expr("if(linked, a, b)").alias("label"),
+            F.expr("cast(pmod(xxhash64(b), blocks) as int)").alias("block"),
         )
-        without = differences.where("place < first and not linked").select(
-            F.xxhash64("line", "gram").alias("bucket"), *columns, none
-        )
-        mixed = differences.where("place < if(linked, first, second)").select(
-            F.xxhash64("line", "gram", F.lit(1)).alias("bucket"), *columns, F.col("linked").cast("int").alias("side")
-        )
-        apart = (
-            again.select("*", F.posexplode("outside").alias("place", "gram"))
-            .withColumn("rest", F.col("n") - F.col("place"))
-            .withColumn("base", zero)
-            .select(F.xxhash64("line", "gram", F.lit(2)).alias("bucket"), *columns, none)
-        )
-        members = stage(without.unionByName(mixed).unionByName(apart))
-        if members.isEmpty():
+    )
+    most = NEAREST
+    while not lines.isEmpty():
+        other = lines.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        tiles = other.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        shown = tiles.select("line", "i", "j", "block", "node", "label", "n", "apart", "linked", "parity")
+        near = stage(shown.groupBy("line", "i", "j").applyInArrow(_near(permille, most), "a long, b long, left long"))
+        pairs = stage(near.where("a is not null").select("a", "b").distinct().select(*no_hub))
+        joined = joined.union(compare(pairs).where("linked").select("a", "b"))
+        if near.where("left > 0").isEmpty():
             break
-        rounds += 1
-        few_now = few_now if rounds < PATIENT else 2 * few_now
-    if found_all is None:
-        return held.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    return found_all.distinct()
+        roots = components(joined)
+        labelled = lines.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        lines, most = stage(labelled), 4 * most
+    return joined.distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -389,9 +354,8 @@ def _gram_batches(width: int):
 
 
 def grouped(
-    docs: DataFrame, sketched: DataFrame, column: str, members: Callable[[DataFrame], DataFrame], width: int, permille: int,
-    level: Callable[[np.ndarray], np.ndarray],
-) -> DataFrame:
+    docs: DataFrame, sketched: DataFrame, column: str, members: Callable[[DataFrame], DataFrame], width: int, permille: int
+) -> DataFrame:
     """sketched's line, id and n with `component`, the least id of the row's group, and `first`, the group's first line.
 
     docs: id, text. sketched: a written table with line (a number for each row), id, n, d1, d2, parity and `column`, from which
@@ -414,7 +378,7 @@ def grouped(
         return grams.groupBy(*DIGEST).agg(F.first("grams").alias("grams")).join(asked.drop("least"), DIGEST).select("node", "grams")
 
     bits = sketched.select(F.col("line").alias("node"), "parity")
-    roots = stage(components(links(members(leaders), bits, sets, permille, level)))
+    roots = stage(components(links(members(leaders), bits, sets, permille)))
     linked = classes.join(roots, "node").select("node", "root", F.struct(F.col("least").isNull().alias("none"), "least", "node").alias("one"))
     whole = linked.groupBy("root").agg(F.min("one").alias("one"))
     named = linked.join(whole.select("root", F.col("one").alias("to")), "root").select(

@@ -267,3 +267,39 @@ def test_products():
     b = pa.array([[3, 7, 1], [5], [5], [4, 9]], pa.list_(pa.int64()))
     got = [(n, m, x.tolist(), y.tolist()) for n, m, x, y in overlap.product(a, b, pa.array([1, 1, 2, 3]))]
     assert got == [(3, 3, [7], [2]), (3, 1, [5], [1, 2, 3]), (0, 1, [5], []), (2, 2, [], [])]
+
+
+def test_rows_of_a_group_without_links_follow_its_size(spark, monkeypatch):
+    """Members of one family that mostly aren't linked with each other make no more rows than their buckets have."""
+    written = []
+    plain = overlap.stage
+
+    def counting(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    r = random.Random(5)
+    core = [f"w{r.randrange(9000)}" for _ in range(200)]
+    texts = []
+    for _ in range(500):
+        w = list(core)
+        for _ in range(r.randrange(4, 14)):
+            w[r.randrange(200)] = f"v{r.randrange(99999)}"
+        texts.append(" ".join(w))
+    monkeypatch.setattr(overlap, "stage", counting)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = minhash.near_duplicates(df, similarity=0.85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == linked(texts, 5, 850)
+    assert max(written) <= 2 * 36 * len(texts)
+
+
+@pytest.mark.parametrize("block, nearest", [(1024, 1), (40, 4)])
+def test_blocks_and_nearest_members(spark, monkeypatch, block, nearest):
+    """Lines of many blocks, and members multiplied with few of those near them at a time, give all links."""
+    for name, value in (("FEW", 3), ("BLOCK", block), ("NEAREST", nearest)):
+        monkeypatch.setattr(overlap, name, value)
+    texts = family(11)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = jaccard.ngram_join(df, width=2, similarity=0.7)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == linked(texts, 2, 700)
