@@ -2,9 +2,10 @@
 
 The n-grams of a document are its rows' columns in one order for all documents: rare ones first, by the
 logarithm of a count over SLOTS hashed slots, then by hash. The order decides only how much work there is. Of a row of
-size n only the first n - ceil(s n) + 1 columns are multiplied at first: two rows that overlap enough share one of them.
-A pair that shares a column is discarded if its sizes differ too much, or if what both rows have from
-that column on is less than the overlap that their sizes ask for. What is left is multiplied whole, block by block, and
+size n only the first n - ceil(s n) + SHARED columns are multiplied at first: two rows that overlap enough share SHARED of them
+(or all that they overlap in, if that is less). A pair that shares fewer is discarded, and so is one whose sizes differ too much;
+a shared column doesn't count if what both rows have from it on, and SHARED - 1 before, is less than the overlap that
+their sizes ask for. What is left is multiplied whole, block by block, and
 columns of many rows are multiplied with one of their rows first (see overlap.py), so frequent n-grams and large groups of
 near copies make no square of pairs.
 """
@@ -22,6 +23,9 @@ from tabulon.llm.overlap import digests, frequencies, grouped, least_size, parit
 from tabulon.llm.text import SPACED, Words, aliased, list_array, slices
 from tabulon.plans.stage import stage
 
+#: Columns that the first ones of two linked rows have in common: one shared rare n-gram is often a chance.
+SHARED = 3
+
 
 def _prefix_batches(width: int, permille: int, level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,7 +35,7 @@ def _prefix_batches(width: int, permille: int, level):
                 row, value = shingles(Words(part, SPACED), width)
                 n, d1, d2 = digests(row, value, part.rows)
                 value = value[np.lexsort((value, level(value), row))]
-                length = np.where(n >= least, n - -(-permille * n // 1000) + 1, 0)
+                length = np.where(n >= least, np.minimum(n, n - -(-permille * n // 1000) + SHARED), 0)
                 place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -72,8 +76,8 @@ def ngram_join(
     def members(leaders: DataFrame) -> DataFrame:
         given = F.size("prefix").cast("long").alias("given")
         return leaders.select("node", "n", given, F.posexplode("prefix").alias("place", "bucket")).select(
-            "bucket", "node", "n", (F.col("n") - F.col("place")).alias("rest"), "given"
+            "bucket", "node", "n", (F.col("n") - F.col("place") + (SHARED - 1)).alias("rest"), "given"
         )
 
-    found = grouped(plain, sketched, "prefix", members, width, permille)
+    found = grouped(plain, sketched, "prefix", members, width, permille, SHARED)
     return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -6,7 +6,7 @@ of document by n-gram incidence of the candidates are multiplied block by block
 are marked in a dense array over the block's columns, and every partner's marks are summed.
 
 All pairs are formed only in buckets of at most FEW members, and only if sizes and places leave room for
-a link, by parities of BITS bits too. A larger bucket picks one member, the hub h, that all others are multiplied with; they
+a link, if the pair meets as often as a link has to, by parities of BITS bits too. A larger bucket picks one member, the hub h, that all others are multiplied with; they
 form h's line. What can be missed then is a link of which one side isn't linked with h. A line is cut into blocks
 of at most BLOCK members, and every two blocks of a line are one task's work (`_near`): it holds the parities of their members
 against each other, which say how much two sets differ at least, and so do their differences from h. What is left has
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.text import SPACED, Words, list_array, mix, slices
-from tabulon.plans.stage import stage
+from tabulon.plans.stage import discard, stage
 
 #: Buckets of at most so many members are compared pair by pair, in every round.
 FEW = 32
@@ -232,12 +232,29 @@ def _near(permille: int, most: int):
     return run
 
 
-def links(members: DataFrame, bits: DataFrame, sets: Callable[[DataFrame], DataFrame], permille: int) -> DataFrame:
+def meetings(few: DataFrame, permille: int, shared: int) -> DataFrame:
+    """(a, b, sizes) of members that meet in small buckets, as often as a link needs if they meet nowhere else."""
+    other = few.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "rest")])
+    met = (
+        few.join(other, "bucket")
+        .where("node_a < node")
+        .where(f"1000 * least(n, n_a) >= {permille} * greatest(n, n_a)")
+        .where(f"{1000 + permille} * least(rest, rest_a) >= {permille} * (n + n_a)")
+        .groupBy(F.col("node_a").alias("a"), F.col("node").alias("b"))
+    )
+    larger = F.max(F.greatest("n", "n_a")).alias("larger")
+    met = met.agg(F.min(F.col("n") + F.col("n_a")).alias("sizes"), larger, F.count("*").alias("times"))
+    return met.where(F.expr(f"times >= least({shared}, ceil({permille} * larger / 1000))")).select("a", "b", "sizes")
+
+
+def links(
+    members: DataFrame, bits: DataFrame, sets: Callable[[DataFrame], DataFrame], permille: int, shared: int = 1
+) -> DataFrame:
     """(a, b) of nodes, enough of them to join all nodes that links join.
 
-    members: bucket, node, n, and rest, which bounds the overlap of two members from the bucket on (n where nothing is
-    known; else the n-grams of the set from the bucket's one on, which must be the first that both have), given, the
-    number of a node's buckets. bits: node, parity (see parities), which leaves out pairs that surely differ too much,
+    members: bucket, node, n, and rest, which bounds the overlap of two members by what they have from the bucket on (n where
+    nothing is known), given, the number of a node's buckets. shared: the buckets that both sides of a link have in common
+    at least, or all n-grams of their overlap if that is less; rest must hold in as many of them. bits: node, parity (see parities), which leaves out pairs that surely differ too much,
     except with a hub. sets: from a frame with the column node to (node, grams).
     """
     zero = F.lit(0).cast("long")
@@ -252,16 +269,9 @@ def links(members: DataFrame, bits: DataFrame, sets: Callable[[DataFrame], DataF
     members = met.withColumn("bucket", F.explode(parts)).drop("size")
     kept = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     held = stage(members.join(kept, "bucket"))
+    discard(met)
     few, many = held.where(F.col("size") <= FEW), held.where(F.col("size") > FEW)
-    other = few.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "rest")])
-    mutual = (
-        few.join(other, "bucket")
-        .where("node_a < node")
-        .where(f"1000 * least(n, n_a) >= {permille} * greatest(n, n_a)")
-        .where(f"{1000 + permille} * least(rest, rest_a) >= {permille} * (n + n_a)")
-        .groupBy(F.col("node_a").alias("a"), F.col("node").alias("b"))
-        .agg(F.min(F.col("n") + F.col("n_a")).alias("sizes"))
-    )
+    mutual = meetings(few, permille, shared)  # a pair that also meets in a larger bucket is settled there
     for side in "ab":
         mutual = mutual.join(bits.select(F.col("node").alias(side), F.col("parity").alias(f"parity_{side}")), side)
     mutual = mutual.where(f"{1000 + permille} * {differ} <= {1000 - permille} * sizes").select("a", "b")
@@ -273,6 +283,7 @@ def links(members: DataFrame, bits: DataFrame, sets: Callable[[DataFrame], DataF
     no_hub = (zero.alias("line"), "a", F.col("a").alias("label_a"), "b", F.col("b").alias("label_b"), F.lit(False).alias("hub"))
     to_hub = (F.xxhash64("a").alias("line"), *no_hub[1:-1], F.lit(True).alias("hub"))
     pairs = stage(mutual.select(*no_hub).union(spokes.select(*to_hub)))
+    discard(held)
     if pairs.isEmpty():
         return pairs.select("a", "b")
     # what follows has no other nodes
@@ -354,12 +365,14 @@ def _gram_batches(width: int):
 
 
 def grouped(
-    docs: DataFrame, sketched: DataFrame, column: str, members: Callable[[DataFrame], DataFrame], width: int, permille: int
-) -> DataFrame:
+    docs: DataFrame, sketched: DataFrame, column: str, members: Callable[[DataFrame], DataFrame], width: int, permille: int,
+    shared: int = 1,
+) -> DataFrame:
     """sketched's line, id and n with `component`, the least id of the row's group, and `first`, the group's first line.
 
     docs: id, text. sketched: a written table with line (a number for each row), id, n, d1, d2, parity and `column`, from which
-    members makes the buckets: it takes (node, n, `column`) of one row for each set and gives (bucket, node, n, rest, given).
+    members makes the buckets: it takes (node, n, `column`) of one row for each set and gives (bucket, node, n, rest, given);
+    shared: see links.
     The sets are read again from the texts.
     """
     classes = stage(
@@ -378,7 +391,7 @@ def grouped(
         return grams.groupBy(*DIGEST).agg(F.first("grams").alias("grams")).join(asked.drop("least"), DIGEST).select("node", "grams")
 
     bits = sketched.select(F.col("line").alias("node"), "parity")
-    roots = stage(components(links(members(leaders), bits, sets, permille)))
+    roots = stage(components(links(members(leaders), bits, sets, permille, shared)))
     linked = classes.join(roots, "node").select("node", "root", F.struct(F.col("least").isNull().alias("none"), "least", "node").alias("one"))
     whole = linked.groupBy("root").agg(F.min("one").alias("one"))
     named = linked.join(whole.select("root", F.col("one").alias("to")), "root").select(

@@ -55,6 +55,37 @@ def linked(texts, width, permille):
     return {i: (len(x), up(i)) for i, x in enumerate(sets)}
 
 
+def test_one_shared_ngram_is_no_candidate(spark):
+    few = spark.createDataFrame(
+        [(7, 1, 100, 100), (7, 2, 100, 100), (8, 1, 100, 99), (8, 3, 100, 99), (9, 1, 100, 98), (9, 3, 100, 98),
+         (5, 4, 2, 2), (5, 5, 2, 2), (6, 4, 2, 2), (6, 5, 2, 2)],
+        "bucket long, node long, n long, rest long",
+    )
+    met = overlap.meetings(few, 900, 2).collect()
+    assert sorted((r["a"], r["b"], r["sizes"]) for r in met) == [(1, 3, 200), (4, 5, 4)]
+    small = overlap.meetings(few, 900, 3).collect()  # sets of two n-grams overlap in two at most
+    assert [(r["a"], r["b"]) for r in small] == [(4, 5)]
+
+
+def test_tables_of_buckets_go(spark, monkeypatch):
+    gone = []
+    monkeypatch.setattr(overlap, "discard", lambda *frames: gone.extend(f.columns for f in frames))
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, words), (2, words + " end"), (3, "other " + words)], "doc_id long, text string")
+    found = jaccard.ngram_join(rows).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 1}
+    assert len(gone) == 2
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.75, 0.9])
+def test_small_sets_share_all_they_overlap_in(spark, similarity):
+    r = random.Random(5)
+    texts = [" ".join(r.choices("abcd", k=r.randrange(1, 14))) for _ in range(250)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.ngram_join(rows, width=1, similarity=similarity).collect()}
+    assert got == linked(texts, 1, round(1000 * similarity))
+
+
 def family(seed):
     """Near copies around cores with edits of growing size, chains, subsets, copies, and passages that many share."""
     r = random.Random(seed)
