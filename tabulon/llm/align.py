@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.text import aliased, list_array
+from tabulon.llm.text import aliased, list_array, release
 from tabulon.plans.stage import stage
 
 #: Bytes of a range; texts of up to LONG_BYTES are one range.
@@ -40,6 +40,8 @@ FAN = 16
 RANGES_A_TASK = 256
 REMEMBERED = 300_000
 TOGETHER = 1 << 20
+#: Links that are counted or weighed at once.
+LINKS = 500_000
 SHARE = 1e-6
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _SPACE = "▁"
@@ -313,6 +315,7 @@ def _align_short(shared, keep_groups: bool, kind: type):
                     yield pa.RecordBatch.from_arrays([id_, *done.columns], names=["id", *done.schema.names])
                     start, held, texts = i + 1, 0, []
         sides.seen.clear()  # workers outlive their task
+        release()
 
     return run
 
@@ -402,13 +405,24 @@ def _finish(width: int, keep_groups: bool, kind: type):
     return run
 
 
+def _few_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with at most LINKS links, or of one row."""
+    for batch in batches:
+        to = batch.column("links").offsets.to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(to, to[start] + LINKS, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told(held: list[np.ndarray]) -> pa.RecordBatch:
         pair, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
     held: list[np.ndarray] = []
-    for batch in batches:
+    for batch in _few_links(batches):
         held.append(batch.column("links").flatten().to_numpy(zero_copy_only=False))
         if sum(map(len, held)) >= 2_000_000:
             yield told(held)
@@ -422,7 +436,7 @@ def _weigh(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts, best = shared.value
-        for batch in batches:
+        for batch in _few_links(batches):
             links = batch.column("links")
             n = np.diff(links.offsets.to_numpy())
             flat = links.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -481,7 +495,7 @@ def aligned_tokens(
     done_shape = DONE.format(link)
 
     is_long = F.coalesce(F.octet_length("text") > long_bytes, F.lit(False))
-    short = stage(lined.where(~is_long).mapInArrow(_align_short(shared, keep_groups, kind), f"id {id_kind}, {done_shape}"))
+    short = stage(lined.where(~is_long).mapInArrow(_align_short(shared, keep_groups, kind), f"id {id_kind}, {done_shape}"), texts=True)
     texts = stage(lined.where(is_long).select((-1 - F.col("line")).alias("line"), "id", "text"))  # no line of a short text
     cut = stage(texts.select("line", "text").mapInArrow(_cut_batches(range_bytes), CUT))
     most, several = cut.agg(F.coalesce(F.max("ranges"), F.lit(0)), F.count("*")).first()
@@ -495,7 +509,7 @@ def aligned_tokens(
     done = short.unionByName(stage(long))
 
     counts = done.select("links").mapInArrow(_count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    counts = stage(counts.withColumn("b", F.col("pair") % width))
+    counts = stage(counts.withColumn("b", F.col("pair") % width), texts=True)
     top = counts.groupBy("b").agg(F.max("n").alias("top"))  # at most a row for each piece
     judged = counts.join(F.broadcast(top), "b").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -506,7 +520,7 @@ def aligned_tokens(
         f"line long, id {id_kind}, n_a long, n_b long, groups string, digest string, n_groups long, n_best long, "
         "count_sum long, rest array<long>"
     )
-    weighed = stage(done.mapInArrow(_weigh(known), shape))
+    weighed = stage(done.mapInArrow(_weigh(known), shape), texts=True)
     rare = weighed.select("line", F.explode("rest").alias("pair")).join(judged.where(F.col("n") < SHARE * total), "pair")
     rare = rare.groupBy("line").agg(F.count_if("best").alias("more_best"), F.sum("n").alias("more"))
     out = weighed.drop("rest").join(rare, "line", "left")

@@ -6,6 +6,7 @@ slice). Words are runs of bytes that a 256-entry table marks, and a word is know
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,6 +119,14 @@ class Words:
         return mix((self._sums[self.ends if ends is None else ends] - self._sums[self.starts]) * inverse[self.starts])
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their task, and stand beside later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def list_array(flat: pa.Array, counts: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])

@@ -11,12 +11,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch where rows are whole texts or lists of their tokens.
+TEXT_ROWS = 1000
 
 _local_roots: dict[str, str] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -36,24 +39,32 @@ def stage_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Executions that end in here remove their shuffle files; the setting is put back."""
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Executions in here have the setting; it is put back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEAN_UP)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_CLEAN_UP, before)
+            spark.conf.set(name, before)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write df once and read it back."""
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Executions in here hand rows to Python in batches of at most TEXT_ROWS, or fewer if the session says so."""
+    rows = int(spark.conf.get(_BATCH_ROWS, "0"))
+    with _set(spark, _BATCH_ROWS, str(min(rows, TEXT_ROWS) if rows > 0 else TEXT_ROWS)):
+        yield
+
+
+def stage(df: DataFrame, texts: bool = False) -> DataFrame:
+    """Write df once and read it back. texts: Python gets rows of long values, so batches are small."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/stage-{uuid.uuid4().hex}"
-    with _shuffles_removed(spark):
+    with _set(spark, _CLEAN_UP, "true"), text_batches(spark) if texts else nullcontext():
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path

@@ -215,6 +215,17 @@ def test_alignment(spark, sides, monkeypatch, share):
         assert {r["doc_id"]: tuple(r)[1:] for r in found.collect()} == want
 
 
+def test_links_are_counted_and_weighed_in_small_runs(monkeypatch):
+    monkeypatch.setattr(align, "LINKS", 4)
+    lists = [[1, 2], [], [3, 3, 1], [1] * 9, [2], [3]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32()))], names=["links"])
+    cut = list(align._few_links([batch, batch.slice(2, 3)]))
+    assert [b.num_rows for b in cut] == [2, 1, 1, 2, 1, 1, 1]
+    assert [x for b in cut for x in b.column("links").to_pylist()] == lists + lists[2:5]
+    found = pa.Table.from_batches(align._count_pairs([batch, batch.slice(2, 3)])).to_pydict()
+    assert dict(zip(found["pair"], found["n"], strict=True)) == {1: 21, 2: 3, 3: 5}
+
+
 def test_fragments_compose_in_any_order(sides):
     r = random.Random(5)
     text = "unbelievable tokenization, of café-words 漢字 and 12345 " * 6

@@ -2,9 +2,11 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tabulon.plans import stage as stage_plan
 from tabulon.plans.quantiles import exact_quantiles, string_at_rank
 from tabulon.plans.quartiles import edge_quartiles, rank_quartiles
 from tabulon.plans.ranks import average_ranks
@@ -107,3 +109,17 @@ def test_stages_can_be_discarded(spark):
     assert not Path(path).exists()
     assert sorted(r["k"] for r in second.collect()) == [4, 5, 6]
     assert spark.conf.get(_CLEAN_UP, None) == before
+
+
+def test_staged_texts_come_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(stage_plan, "TEXT_ROWS", 7)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    found = stage_plan.stage(spark.range(0, 100, 1, 1).mapInArrow(sizes, "n long"), texts=True).collect()
+    assert sum(r["n"] for r in found) == 100 and max(r["n"] for r in found) == 7
+    assert spark.conf.get(name) == before
