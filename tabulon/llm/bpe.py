@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from tabulon.llm.text import aliased
+from tabulon.llm.text import aliased, release
 
 #: Entries that a task's memory of pieces and of pairs of tokens may hold; it starts anew beyond.
 REMEMBERED = 200_000
@@ -258,6 +258,7 @@ def _encode(shared, pattern: str, keep_ids: bool):
             yield from _encoded(batches, shared.value, pattern, keep_ids)
         finally:
             _loaded.clear()  # workers outlive their task: what it remembered would stand beside later stages
+            release()
 
     return run
 

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tabulon.llm.text import LETTERS, Slice, Words, aliased, slices
+from tabulon.llm.text import LETTERS, Slice, Words, aliased, release, slices
+from tabulon.plans.stage import text_batches
 
 BUCKETS = 1 << 15
 ROUNDS = 5
@@ -69,6 +70,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(held) > 64:
                 yield from told()
     yield from told()
+    release()
 
 
 def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> dict:
@@ -77,7 +79,8 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang")
     The table has one column per language, so it is bounded by the number of languages."""
     rows = aliased(docs, {"text": text_column, "lang": lang_column}).where("lang is not null")
     counts = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()
+    with text_batches(docs.sparkSession):
+        found = counts.toPandas()
     langs = sorted(found["lang"].unique())
     table = np.full((BUCKETS, len(langs)), 0.5)
     table[found["bucket"], found["lang"].map({k: i for i, k in enumerate(langs)})] += found["n"]
@@ -163,6 +166,7 @@ def predict(docs: DataFrame, model: dict, text_column: str = "text") -> DataFram
                     [*rows.columns, pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(sets, pa.list_(pa.string()))],
                     names=[*rows.schema.names, "lang_pred", "score", "lang_set"],
                 )
+        release()
 
     added = StructType.fromDDL("lang_pred string, score double, lang_set array<string>")
     docs = docs.drop(*added.names)
