@@ -20,6 +20,8 @@ from tabulon.llm.text import LETTERS, Slice, Words, aliased, release, slices
 from tabulon.plans.stage import text_batches
 
 BUCKETS = 1 << 15
+#: Bytes of texts that are looked at together: arrays of their bytes, trigrams and words are most of a worker's memory.
+TOGETHER = 1 << 18
 ROUNDS = 5
 UNDETERMINED = "und"
 
@@ -52,7 +54,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for piece in slices(batch.column("text")):
+        for piece in slices(batch.column("text"), TOGETHER):
             words = Words(piece, LETTERS)
             if not len(words.starts):
                 continue
@@ -159,7 +161,7 @@ def predict(docs: DataFrame, model: dict, text_column: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch.column(text_column)):
+            for piece in slices(batch.column(text_column), TOGETHER):
                 pred, score, sets = infer(piece, shared.value)
                 rows = batch.slice(piece.start, piece.rows)
                 yield pa.RecordBatch.from_arrays(

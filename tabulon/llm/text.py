@@ -39,10 +39,11 @@ _powers: dict[str, np.ndarray] = {}
 def _power(kind: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+        keep = n <= 4 * SLICE_BYTES  # the tables of one huge text aren't kept
+        steps = np.full(1 << max(16, (n - 1).bit_length()) if keep else n, base, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if n <= 4 * SLICE_BYTES:  # the tables of one huge text aren't kept
+        if keep:
             _powers[kind] = have
     return have[:n]
 
