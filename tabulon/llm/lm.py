@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.text import SPACED, Slice, Words, list_array, mix, slices
+from tabulon.llm.text import SPACED, Slice, Words, list_array, mix, release, slices
 from tabulon.plans.stage import discard, stage
 
 #: Shares of all tokens from which words, and pairs and triples, are broadcast. The scores don't depend on them.
@@ -42,10 +42,13 @@ CHUNK_TOKENS = 2_000_000
 #: Lines of a chunk of scored texts, so that a gram names its line in two bytes.
 CHUNK_LINES = 1 << 15
 SCORED_TOKENS = 500_000
+#: Bytes of texts whose grams are made together, and keys that are looked up together.
+TOGETHER = 1 << 19
+KEYS_TOGETHER = 1 << 18
 #: Training tokens for each part that grams are dealt to.
 PART_TOKENS = 2_000_000
 #: The same for each part in which texts meet the weights, and for each part in which their lines are summed.
-SCORED_PART_TOKENS = 4_000_000
+SCORED_PART_TOKENS = 2_000_000
 LINE_PART_TOKENS = 128_000_000
 FILTER_BITS = 28
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -88,6 +91,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = []
     if held:
         yield told(held)
+    release()
 
 
 def joined(a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -113,7 +117,10 @@ def _long(x: np.ndarray) -> pa.Array:
 
 def _dealt(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One row for each part, with lists of what it has of the columns: few rows, long lists."""
-    order = np.argsort(part, kind="stable")
+    if (part[1:] >= part[:-1]).all():  # sorted keys come as they are, without copies
+        order = slice(None)
+    else:
+        order = np.argsort(part, kind="stable")
     names, size = np.unique(part, return_counts=True)
     lists = [list_array(_long(x[order]), size) for x in columns.values()]
     return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *lists], names=["part", *columns])
@@ -187,13 +194,16 @@ def _count_grams(length: int, parts: int, shared=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             a, b = (np.concatenate([x[j] for x in held]) for j in range(2))
+            held.clear()
             key, at, n = np.unique(joined(a, b, length), return_index=True, return_counts=True)
-            return _dealt(_parts(key, parts), {"a": a[at], "b": b[at], "n": n.astype(np.int64)})
+            a, b = a[at], b[at]
+            del at
+            return _dealt(_parts(key, parts), {"a": a, "b": b, "n": n.astype(np.int64)})
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         seen = 0
         for batch in batches:
-            for piece in slices(batch.column("text")):
+            for piece in slices(batch.column("text"), TOGETHER):
                 h, first = tokens(piece)
                 pair, two, _, three = grams(h, first)
                 seen += len(h)
@@ -210,6 +220,7 @@ def _count_grams(length: int, parts: int, shared=None):
                     held, seen = [], 0
         if held:
             yield told(held)
+        release()
 
     return run
 
@@ -236,6 +247,7 @@ def _merge(length: int, shared=None):
                 at = find(x, words)
                 known = counts[at].astype(np.int64) if len(words) else np.zeros(len(x), dtype=np.int64)
                 columns[name] = pa.array(known, mask=at < 0)
+        release()
         return pa.table(columns)
 
     return run
@@ -292,6 +304,8 @@ def train(texts: DataFrame) -> dict:
     known = context.broadcast(_bit_table(pairs, parts))
     triples = texts.mapInArrow(_count_grams(3, parts, known), COUNTED).groupBy("part")
     triples = stage(triples.applyInArrow(_merge(3), "key long, a long, b long, n long"))
+    for used in (words, known):
+        used.unpersist()
 
     counted_pairs, counted_triples = pairs, triples
     pairs_table = stage(
@@ -445,7 +459,7 @@ def _look_up(shared) -> Callable:
         held: list[tuple] = []
         seen = 0
         for batch in chain.from_iterable(map(_runs, batches)):
-            for piece in slices(batch.column("text")):
+            for piece in slices(batch.column("text"), TOGETHER):
                 line, ids, held_out = (batch.column(c).slice(piece.start, piece.rows) for c in ("line", "id", "held_out"))
                 line = line.to_numpy(zero_copy_only=False).astype(np.int64)
                 if held and not 0 <= line[-1] - held[0][2][0][0] < CHUNK_LINES:
@@ -469,6 +483,7 @@ def _look_up(shared) -> Callable:
                     held, seen = [], 0
         if held:
             yield from told(held)
+        release()
 
     return run
 
@@ -489,21 +504,37 @@ def _by_line(line: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.n
     return {"line": line, **sums}
 
 
+def _found(lists: pa.ChunkedArray, table: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys of all lists, one after the other, that a sorted table has, and their rows there before it was sorted."""
+    hits, rows, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for chunk in lists.chunks:
+        keys = chunk.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+        for i in range(0, len(keys), KEYS_TOGETHER):
+            at = find(keys[i : i + KEYS_TOGETHER], table)
+            hit = np.flatnonzero(at >= 0)
+            hits.append(hit + (seen + i))
+            rows.append(order[at[hit]])
+        seen += len(keys)
+    return np.concatenate(hits), np.concatenate(rows)
+
+
 def _weigh(parts: int) -> Callable:
     """Sums by line of the weights of a part's grams, dealt to `parts` parts of the lines."""
 
     def run(texts: pa.Table, weights: pa.Table) -> pa.Table:
         key = _keys(weights, "key")
         order = np.argsort(key)
-        at = find(_keys(texts, "key"), key[order])
-        hit, at = at >= 0, order[at[at >= 0]]
+        key = key[order]
+        hit, at = _found(texts.column("key"), key, order)
+        del key, order
         found = {c: _flat(weights, c)[at] for c in ("known", "base", "gain")}
         old = {c: _flat(texts, c) for c in ("n", "known", "base", "gain")}
         both = {c: np.concatenate([x, found.get(c, np.zeros(len(at), dtype=np.int64))]) for c, x in old.items()}
         grams = texts.filter(pc.is_valid(texts.column("first")))
-        size = pc.list_value_length(grams.column("at")).to_numpy()
-        at_line = np.repeat(grams.column("first").to_numpy(), size) + _flat(grams, "at")
-        sums = _by_line(np.concatenate([_flat(texts, "line"), at_line[hit]]), both)
+        ends = np.cumsum(pc.list_value_length(grams.column("at")).to_numpy())
+        at_line = grams.column("first").to_numpy()[np.searchsorted(ends, hit, side="right")] + _flat(grams, "at")[hit]
+        sums = _by_line(np.concatenate([_flat(texts, "line"), at_line]), both)
+        del both, old, at_line, hit, at
         dealt = _dealt(_parts(mix(sums["line"].astype(np.uint64)), parts), sums)
         kinds = _kinds(texts.schema.field("id").type.value_type)
         names = [c for c in kinds if c not in ("key", "at", "first")]
@@ -517,6 +548,7 @@ def _weigh(parts: int) -> Callable:
             for c in ("id", "out"):
                 columns[c] = list_array(texts.column(c).combine_chunks().flatten().take(pa.array(order)), size)
             found.append(_with_nulls(columns, names, kinds))
+        release()
         return pa.Table.from_batches(found)
 
     return run
