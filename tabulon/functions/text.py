@@ -72,8 +72,8 @@ def parse_timestamp(c: Column, formats=TIME_FORMATS) -> Column:
     shapes = [time_shape(form) for form in formats]
     tried = [F.try_to_timestamp(text, F.lit(form)) for form in formats]
     found = F.coalesce(*[t if s is None else F.when(text.rlike(s), t) for t, s in zip(tried, shapes)])
-    dated = all(s and re.match("[yMd]+[-/]", form) for form, s in zip(formats, shapes))
-    return F.when(text.rlike("^[+-]?[0-9]+[-/]"), found) if dated else found
+    dated = all(s and re.match("[yMd]+[-/][yMd]", form) for form, s in zip(formats, shapes))
+    return F.when(text.rlike("^[+-]?[0-9]+[-/][+-]?[0-9]"), found) if dated else found
 
 
 def contains_any(columns: list[Column], term: str) -> Column:

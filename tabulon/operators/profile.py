@@ -19,6 +19,8 @@ from tabulon.operators.aggregate import (
 )
 from tabulon.operators.rfm import whole_days
 from tabulon.plans.longform import numeric_columns, per_column, ref, text_columns, time_columns
+from tabulon.plans.spread import spread
+from tabulon.plans.stage import discard, stage
 
 # Words in column names that decide a type or subtype.
 DATE_WORDS = ("date", "time", "timestamp", "month", "year", "quarter", "week", "day")
@@ -55,34 +57,56 @@ class Shares:
         return any(w in self.name.lower() for w in words)
 
 
-def _shares(df: DataFrame) -> list[Shares]:
-    """All shares of all columns in one scan."""
+def _cells(df: DataFrame) -> DataFrame:
+    """Each cell next to what it reads as, parsed once, under names by position: c the cell, n its number and t its
+    time. Number columns have no n, columns that aren't text no t."""
+    numbers, texts = set(numeric_columns(df)), set(text_columns(df))
+    out = []
+    for i, name in enumerate(df.columns):
+        out.append(ref(name).alias(f"c{i}"))
+        if name not in numbers:
+            out.append(T.parse_number(ref(name).cast("string")).alias(f"n{i}"))
+        if name in texts:
+            out.append(T.parse_timestamp(ref(name)).alias(f"t{i}"))
+    return df.select(*out)
+
+
+def _staged_cells(df: DataFrame) -> DataFrame:
+    """The cells as a table, made by all cores even if the input is one file; what parquet may not hold is text."""
+    plain = {*numeric_columns(df), *time_columns(df), *text_columns(df)}
+    other = [f"c{i}" for i, name in enumerate(df.columns) if name not in plain]
+    cells = _cells(spread(df))
+    return stage(cells.withColumns({c: F.col(c).cast("string") for c in other}) if other else cells)
+
+
+def _shares(df: DataFrame, cells: DataFrame) -> list[Shares]:
+    """All shares of all columns in one scan of the table's cells."""
     numbers, times, texts = set(numeric_columns(df)), set(time_columns(df)), set(text_columns(df))
-    cells = []
-    for i, f in enumerate(df.schema):
-        c = ref(f.name)
+    out = []
+    for i, name in enumerate(df.columns):
+        c = F.col(f"c{i}")
         text = F.trim(c.cast("string"))
-        value = c.cast("double") if f.name in numbers else T.parse_number(text)
-        cells.append(
+        value = c.cast("double") if name in numbers else F.col(f"n{i}")
+        out.append(
             F.struct(
                 F.count(F.lit(1)).alias("rows"),
                 F.count(c).alias("filled"),
                 F.count_if(F.lower(text).isin(*T.TRUE_SHORT, *T.FALSE_SHORT)).alias("words"),
                 F.count(value).alias("numbers"),
                 F.count_if(F.abs(value - F.rint(value)) <= 1e-8).alias("whole"),
-                F.count(T.parse_timestamp(text) if f.name in texts else c if f.name in times else F.lit(None)).alias("times"),
+                F.count(F.col(f"t{i}") if name in texts else c if name in times else F.lit(None)).alias("times"),
                 F.avg(F.length(text)).alias("length"),
             ).alias(f"c{i}")
         )
-    row = df.agg(*cells).first()
-    out = []
+    row = cells.agg(*out).first()
+    shares = []
     for i, f in enumerate(df.schema):
         kind = (
             "number" if f.name in numbers else "time" if f.name in times
             else "flag" if isinstance(f.dataType, BooleanType) else "text"
         )
-        out.append(Shares(f.name, kind, *row[i]))
-    return out
+        shares.append(Shares(f.name, kind, *row[i]))
+    return shares
 
 
 def _number_subtype(s: Shares) -> str:
@@ -128,37 +152,39 @@ def profiler_rule(s: Shares) -> tuple[str, str]:
 RULES = {"upload": upload_rule, "profiler": profiler_rule}
 
 
-def _decide(df: DataFrame, rules: str):
-    shares = _shares(df)
+def _decide(df: DataFrame, cells: DataFrame, rules: str):
+    shares = _shares(df, cells)
     return shares, {s.name: RULES[rules](s) for s in shares}
 
 
 def infer_types(df: DataFrame, rules: str = "upload") -> DataFrame:
     """(column, inferred_type, subtype) under a rule set."""
-    shares, kinds = _decide(df, rules)
+    shares, kinds = _decide(df, _cells(df), rules)
     rows = [(s.name, *kinds[s.name]) for s in shares]
     return df.sparkSession.createDataFrame(rows, "column string, inferred_type string, subtype string")
 
 
-def _typed(df: DataFrame, kinds) -> DataFrame:
+def _typed(df: DataFrame, cells: DataFrame, kinds) -> DataFrame:
     texts, numbers = set(text_columns(df)), set(numeric_columns(df))
     out = []
-    for c in df.columns:
+    for i, c in enumerate(df.columns):
         kind = kinds[c][0]
         if kind == "numerical" and c not in numbers:
-            out.append(T.parse_number(ref(c).cast("string")).alias(c))
+            cell = F.col(f"n{i}")
         elif kind == "temporal" and c in texts:
-            out.append(T.parse_timestamp(ref(c)).alias(c))
+            cell = F.col(f"t{i}")
         elif kind in ("categorical", "geolocation", "boolean"):
-            out.append(ref(c).cast("string").alias(c))
+            cell = F.col(f"c{i}").cast("string")
         else:
-            out.append(ref(c))
-    return df.select(*out)
+            cell = F.col(f"c{i}")
+        out.append(cell.alias(c))
+    return cells.select(*out)
 
 
 def typed(df: DataFrame, rules: str = "upload") -> DataFrame:
     """The table with its columns cast to their inferred types."""
-    return _typed(df, _decide(df, rules)[1])
+    cells = _cells(df)
+    return _typed(df, cells, _decide(df, cells, rules)[1])
 
 
 NUMBER_STATS = (
@@ -188,9 +214,14 @@ def _times(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def profile_columns(df: DataFrame, rules: str = "upload") -> DataFrame:
-    """Type, missing share, distinct count, cardinality and the statistics of the type, per column."""
-    shares, kinds = _decide(df, rules)
-    frame = _typed(df, kinds)
+    """Type, missing share, distinct count, cardinality and the statistics of the type, per column.
+
+    Every pass reads a staged table of parsed cells, which goes once the few result rows are there.
+    """
+    cells = _staged_cells(df)
+    shares, kinds = _decide(df, cells, rules)
+    frame = _typed(df, cells, kinds)
+    raw = cells.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
 
     def of(*names):
         return [c for c in df.columns if kinds[c][0] in names]
@@ -204,7 +235,7 @@ def profile_columns(df: DataFrame, rules: str = "upload") -> DataFrame:
         "position int, column string, inferred_type string, subtype string, total_count long, null_count long, "
         "missing_pct double",
     )
-    out = base.join(F.broadcast(distinct_counts(df, df.columns).withColumnRenamed("distinct", "unique_count")), "column", "left")
+    out = base.join(F.broadcast(distinct_counts(raw, df.columns).withColumnRenamed("distinct", "unique_count")), "column", "left")
     label = cardinality_label if rules == "upload" else cardinality_ratio_label
     out = out.withColumn("cardinality", label(F.col("unique_count"), F.col("total_count")))
     parts = [
@@ -219,4 +250,6 @@ def profile_columns(df: DataFrame, rules: str = "upload") -> DataFrame:
         else:
             for name, kind in (p.split() for p in schema.split(", ")):
                 out = out.withColumn(name, F.lit(None).cast(kind))
-    return out
+    found = stage(out.coalesce(1))
+    discard(cells)
+    return found

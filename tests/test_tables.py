@@ -256,3 +256,30 @@ def test_profile_parses_only_texts_with_a_time_shape(spark):
         spark.conf.unset("spark.sql.legacy.timeParserPolicy")
     assert [found[c]["inferred_type"] for c in "abc"] == ["categorical", "categorical", "temporal"]
     assert found["c"]["range_days"] == 726
+
+
+def test_profile_reads_its_table_once(spark, tmp_path):
+    path = str(tmp_path / "sales")
+    spark.createDataFrame([(i, f"{i}.25", f"2024-01-{i % 28 + 1:02d}") for i in range(60)], "id int, price string, day string").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    out = profile.profile_columns(df)
+    cells = profile._staged_cells(df)
+    assert len(cells.inputFiles()) >= spark.sparkContext.defaultParallelism  # one file keeps no core idle
+    assert not set(out.inputFiles()) & set(df.inputFiles())
+    for f in tmp_path.glob("sales/part-*"):
+        f.unlink()
+    found = {r["column"]: r for r in out.collect()}
+    assert (found["price"]["median"], found["day"]["range_days"], found["id"]["unique_count"]) == (29.75, 27, 60)
+
+
+def test_profile_discards_its_cells(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(profile, "_staged_cells", lambda df, make=profile._staged_cells: made.append(make(df)) or made[0])
+    kept = ("+12345-01-05", "-0005-01-05", None)
+    df = spark.createDataFrame([(x, None, [1], True) for x in kept], "day string, empty string, list array<int>, flag boolean")
+    df = df.withColumn("void", F.lit(None)).withColumn("span", F.expr("make_interval(1, 2)"))
+    found = {r["column"]: r for r in profile.profile_columns(df).selectExpr("*", "year(first_time) AS first", "year(last_time) AS last").drop("first_time", "last_time").collect()}
+    assert (found["day"]["first"], found["day"]["last"]) == (-5, 12345)
+    assert [found[c]["inferred_type"] for c in ("empty", "list", "flag", "void", "span")] == ["categorical", "categorical", "boolean", "categorical", "categorical"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        made[0].count()
