@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -45,11 +46,16 @@ SCORED_TOKENS = 500_000
 #: Bytes of texts whose grams are made together, and keys that are looked up together.
 TOGETHER = 1 << 19
 KEYS_TOGETHER = 1 << 18
+#: Values that share their leading bits from which a table is searched without an index.
+CROWDED = 64
 #: Training tokens for each part that grams are dealt to.
 PART_TOKENS = 2_000_000
 #: The same for each part in which texts meet the weights, and for each part in which their lines are summed.
 SCORED_PART_TOKENS = 2_000_000
 LINE_PART_TOKENS = 128_000_000
+#: Training tokens for each round in which texts are scored, and the most rounds: a round's shuffles go before the next.
+ROUND_TOKENS = 256_000_000
+ROUNDS = 4
 FILTER_BITS = 28
 _END = np.uint64(0x5851F42D4C957F2D)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -67,8 +73,45 @@ def tokens(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def find(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Places of the values in a sorted table, -1 where missing."""
+class Places:
+    """A sorted table of hashes with an index by their leading bits, so that a value is compared with few of them."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.low, self.shift, self.first, self.most = table, np.uint64(0), np.uint64(0), None, 0
+        if len(table):
+            self.low = table[0]
+            span = int(table[-1]) - int(table[0])
+            self.shift = np.uint64(max(0, span.bit_length() - len(table).bit_length()))
+            size = np.bincount(((table - self.low) >> self.shift).astype(np.int64))
+            self.most = int(size.max())
+            self.first = np.zeros(len(size) + 1, dtype=np.int32 if len(table) < 1 << 31 else np.int64)
+            np.cumsum(size, out=self.first[1:])
+
+    def __len__(self) -> int:
+        return len(self.table)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        if self.most > CROWDED or not len(self):
+            return _searched(values, self.table)
+        out = np.full(len(values), -1, dtype=np.int64)
+        for i in range(0, len(values), KEYS_TOGETHER):
+            v = values[i : i + KEYS_TOGETHER]
+            slot = (v - self.low) >> self.shift
+            live = np.flatnonzero(slot < np.uint64(len(self.first) - 1))
+            slot = slot[live].astype(np.int64)
+            v, at, end = v[live], self.first[slot], self.first[slot + 1]
+            more = at < end
+            while more.any():
+                live, v, at, end = live[more], v[more], at[more], end[more]
+                there = self.table[at]
+                same = there == v
+                out[i + live[same]] = at[same]
+                at = at + 1
+                more = (there < v) & (at < end)
+        return out
+
+
+def _searched(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.full(len(values), -1, dtype=np.int64)
     at = np.searchsorted(table, values)
@@ -76,22 +119,89 @@ def find(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def told(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        h, code = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        n = np.bincount(code, weights=np.concatenate([x for _, x in held])).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+def find(values: np.ndarray, table: np.ndarray | Places) -> np.ndarray:
+    """Places of the values in a sorted table, -1 where missing."""
+    if not isinstance(table, Places):
+        if 4 * len(values) < len(table):
+            return _searched(values, table)
+        table = Places(table)
+    return table.find(values)
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """argsort of hashes: their leading bits are sorted with their places in the bits below, which is several times faster."""
+    bits = np.uint64(len(key).bit_length())
+    if not len(key):
+        return np.zeros(0, dtype=np.int64)
+    key = key.view(np.uint64)
+    low = key.min()
+    spare = 64 - int(key.max() - low).bit_length()
+    places = (np.uint64(1) << bits) - np.uint64(1)
+    lead = lambda x: ((x - low) << np.uint64(min(spare, 63))) & ~places
+    packed = lead(key) | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    packed &= places
+    order = packed.view(np.int64)
+    ordered = key[order]
+    wrong = np.flatnonzero(ordered[1:] < ordered[:-1])
+    if len(wrong) > CROWDED:
+        return np.argsort(key)
+    for i in wrong.tolist():  # these differ in the last bits only
+        equal = lead(ordered[i : i + 1])[0]
+        start, stop = i, i + 1
+        while start and lead(ordered[start - 1 : start])[0] == equal:
+            start -= 1
+        while stop < len(key) and lead(ordered[stop : stop + 1])[0] == equal:
+            stop += 1
+        order[start:stop] = order[start:stop][np.argsort(key[order[start:stop]])]
+    return order
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    fresh = np.ones(len(ordered), dtype=bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _added(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, starts) if len(x) else x
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys in order, their sums, and a place of each among the given ones."""
+    order = _order(key)
+    key = key[order]
+    at = _starts(key)
+    return key[at], _added(n[order], at), order[at]
+
+
+def _count_words(parts: int) -> Callable:
+    """Counts of the words by chunks of the texts."""
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        for piece in slices(batch.column("text")):
-            held.append(np.unique(tokens(piece)[0], return_counts=True))
-            if sum(len(x) for x, _ in held) >= 1_000_000:
-                yield told(held)
-                held = []
-    if held:
-        yield told(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            h, n, _ = _summed(*(np.concatenate([x[j] for x in held]) for j in range(2)))
+            return _packed(_parts(h, parts), {"h": h, "n": n})
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for piece in slices(batch.column("text")):
+                held.append(np.unique(tokens(piece)[0], return_counts=True))
+                if sum(len(x) for x, _ in held) >= CHUNK_TOKENS:
+                    yield told(held)
+                    held = []
+        if held:
+            yield told(held)
+        release()
+
+    return run
+
+
+def _sum_words(table: pa.Table) -> pa.Table:
+    h, n, _ = _summed(_bytes(table, "h"), _bytes(table, "n", np.int64))
     release()
+    return pa.table({"h": _long(h), "n": pa.array(n)})
 
 
 def joined(a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -126,16 +236,50 @@ def _dealt(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *lists], names=["part", *columns])
 
 
+def _packed(part: np.ndarray | int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each part, or for the one named, with the bytes of what it has of the columns (of 8 bytes a value)."""
+    order = slice(None)
+    if isinstance(part, int):
+        names = np.array([part])
+        ends = np.array([0, len(next(iter(columns.values())))])
+    else:
+        if not (part[1:] >= part[:-1]).all():
+            order = np.argsort(part, kind="stable")
+        names, size = np.unique(part, return_counts=True)
+        ends = np.append(0, np.cumsum(size))
+    ends = pa.py_buffer((8 * ends).astype(np.int32))
+    data = [pa.py_buffer(np.ascontiguousarray(x[order])) for x in columns.values()]
+    blobs = [pa.Array.from_buffers(pa.binary(), len(names), [None, ends, x]) for x in data]
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *blobs], names=["part", *columns])
+
+
+def _bytes(table: pa.Table | pa.RecordBatch, name: str, kind: type = np.uint64) -> np.ndarray:
+    """The values of a column of _packed, all rows one after the other."""
+    column = table.column(name)
+    pieces = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        chunk = chunk.drop_null().cast(pa.large_binary())
+        if len(chunk):
+            _, ends, data = chunk.buffers()
+            ends = np.frombuffer(ends, dtype=np.int64)
+            first, last = ends[chunk.offset], ends[chunk.offset + len(chunk)]
+            if last > first:
+                pieces.append(np.frombuffer(data, dtype=np.uint8)[first:last].view(kind))
+    return np.concatenate(pieces) if pieces else np.zeros(0, dtype=kind)
+
+
 def _parts(key: np.ndarray, bits: int) -> np.ndarray:
     return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _flat(table: pa.Table, name: str) -> np.ndarray:
+    if pa.types.is_binary(table.schema.field(name).type) or pa.types.is_large_binary(table.schema.field(name).type):
+        return _bytes(table, name, np.float64 if name in ("base", "gain") else np.int64)
     return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
 def _keys(table: pa.Table, name: str) -> np.ndarray:
-    return _flat(table, name).astype(np.int64).view(np.uint64)
+    return _flat(table, name).astype(np.int64, copy=False).view(np.uint64)
 
 
 def _passes(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -146,28 +290,26 @@ def _passes(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _bit_table(keys: DataFrame, parts: int) -> np.ndarray:
-    """Bits of the column `key`, 16 slots a key up to the bound."""
-    size = min(FILTER_BITS, max(parts + 3, math.ceil(math.log2(16 * max(1, keys.count())))))
+    """Bits of the keys, 16 slots a key up to the bound. keys: rows of _packed, dealt by the ranges of `key`."""
+    n = (keys.agg(F.sum(F.octet_length("key"))).first()[0] or 0) // 8
+    size = min(FILTER_BITS, max(parts + 3, math.ceil(math.log2(16 * max(1, n)))))
     size = max(size, parts + 3)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield _dealt(_parts(key, parts), {"key": key})
-
-    def mark(table: pa.Table) -> pa.Table:
-        here = (_keys(table, "key") >> np.uint64(64 - size)).astype(np.int64) & ((1 << (size - parts)) - 1)
-        bits = np.zeros(1 << (size - parts), dtype=np.uint8)
-        bits[here] = 1
-        packed = pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())
-        return pa.Table.from_arrays([pa.array(table.column("part").to_numpy()[:1]), packed], names=["part", "bits"])
-
-    marked = keys.select("key").mapInArrow(deal, "part int, key array<long>").groupBy("part")
-    marked = stage(marked.applyInArrow(mark, "part int, bits binary"))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                here = (_bytes(row, "key") >> np.uint64(64 - size)).astype(np.int64) & ((1 << (size - parts)) - 1)
+                bits = np.zeros(1 << (size - parts), dtype=np.uint8)
+                bits[here] = 1
+                packed = pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([row.column("part"), packed], names=["part", "bits"])
+
+    marked = stage(keys.select("part", "key").mapInArrow(mark, "part int, bits binary"))
     out = np.zeros(1 << (size - 3), dtype=np.uint8)
     width = 1 << (size - 3 - parts)
     for row in marked.toLocalIterator():
-        out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["bits"], dtype=np.uint8)
+        out[row["part"] * width : (row["part"] + 1) * width] |= np.frombuffer(row["bits"], dtype=np.uint8)
     discard(marked)
     return out
 
@@ -180,7 +322,7 @@ def _few_bits(keys: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _find_few(values: np.ndarray, good: np.ndarray, table: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def _find_few(values: np.ndarray, good: np.ndarray, table: np.ndarray | Places, bits: np.ndarray) -> np.ndarray:
     """find() for values of which few are in the table, -1 where not good."""
     out = np.full(len(values), -1, dtype=np.int64)
     at = np.flatnonzero(good & _passes(values, bits))
@@ -195,10 +337,13 @@ def _count_grams(length: int, parts: int, shared=None):
         def told(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             a, b = (np.concatenate([x[j] for x in held]) for j in range(2))
             held.clear()
-            key, at, n = np.unique(joined(a, b, length), return_index=True, return_counts=True)
-            a, b = a[at], b[at]
-            del at
-            return _dealt(_parts(key, parts), {"a": a, "b": b, "n": n.astype(np.int64)})
+            key = joined(a, b, length)
+            order = _order(key)
+            key = key[order]
+            first = _starts(key)
+            n = np.diff(np.append(first, len(key)))
+            key, order = key[first], order[first]
+            return _packed(_parts(key, parts), {"a": a[order], "b": b[order], "n": n})
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         seen = 0
@@ -225,153 +370,330 @@ def _count_grams(length: int, parts: int, shared=None):
     return run
 
 
-COUNTED = "part int, a array<long>, b array<long>, n array<long>"
+COUNTED = "part int, a binary, b binary, n binary"
+PAIRS = "part int, key binary, a binary, b binary, n binary, na binary, nb binary"
+
 
+def _merge(length: int, parts: int, shared=None):
+    """Sum the counts of a part's grams and leave out those below LEAST.
 
-def _merge(length: int, shared=None):
-    """Sum the counts of a part's grams and leave out those below LEAST; a pair's words get their counts if frequent."""
+    Pairs stay where they are, in the order of their keys, and their words get their counts if frequent, else -1.
+    Triples are dealt by their second pair."""
+    held: list[Places] = []
 
     def run(table: pa.Table) -> pa.Table:
-        a, b, n = _keys(table, "a"), _keys(table, "b"), _flat(table, "n")
-        key = joined(a, b, length)
-        order = np.argsort(key)
-        key, a, b, n = key[order], a[order], b[order], n[order]
-        fresh = np.ones(len(key), dtype=bool)
-        fresh[1:] = key[1:] != key[:-1]
-        sums = np.add.reduceat(n, np.flatnonzero(fresh)) if len(n) else n
-        key, a, b = key[fresh][sums >= LEAST], a[fresh][sums >= LEAST], b[fresh][sums >= LEAST]
-        columns = {"key": _long(key), "a": _long(a), "b": _long(b), "n": pa.array(sums[sums >= LEAST])}
+        a, b = _bytes(table, "a"), _bytes(table, "b")
+        key, sums, at = _summed(joined(a, b, length), _bytes(table, "n", np.int64))
+        enough = sums >= LEAST
+        at = at[enough]
+        columns = {"key": key[enough], "a": a[at], "b": b[at], "n": sums[enough]}
         if shared is not None:
             words, counts = shared.value
-            for name, x in (("na", a), ("nb", b)):
-                at = find(x, words)
-                known = counts[at].astype(np.int64) if len(words) else np.zeros(len(x), dtype=np.int64)
-                columns[name] = pa.array(known, mask=at < 0)
+            if not held:
+                held.append(Places(words))
+            for name in "ab":
+                at = find(columns[name], held[0])
+                known = np.append(counts, -1).astype(np.int64)[at]  # the last one where missing
+                columns[f"n{name}"] = known
+            out = _packed(table.column("part")[0].as_py(), columns)
+        else:
+            del columns["key"]
+            out = _packed(_parts(columns["b"], parts), columns)
         release()
-        return pa.table(columns)
+        return pa.Table.from_batches([out])
 
     return run
 
 
-def _with_count(pairs: DataFrame, rare: DataFrame, word: str) -> DataFrame:
-    """pairs with the counts of words that aren't frequent, which a join gives."""
-    count = f"n{word}"
-    others = pairs.where(F.col(count).isNull()).drop(count)
-    others = others.join(rare.select(F.col("h").alias(word), F.col("n").alias(count)), word)
-    return pairs.where(F.col(count).isNotNull()).unionByName(others)
+def _unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each part's pairs that have no count yet."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            h = np.unique(np.concatenate([_bytes(row, c)[_bytes(row, f"n{c}", np.int64) < 0] for c in "ab"]))
+            part = np.full(len(h), row.column("part")[0].as_py(), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), _long(h)], names=["part", "h"])
+
+
+def _fill(pairs: pa.Table, told: pa.Table) -> pa.Table:
+    """A part's pairs with the counts of all their words."""
+    h, n = (told.column(c).to_numpy() for c in ("h", "n"))
+    order = _order(h)
+    words, n = h.view(np.uint64)[order], n[order]
+    columns = {c: _bytes(pairs, c) for c in ("key", "a", "b")} | {c: _bytes(pairs, c, np.int64) for c in ("n", "na", "nb")}
+    for name in "ab":
+        open_ = np.flatnonzero(columns[f"n{name}"] < 0)
+        columns[f"n{name}"] = columns[f"n{name}"].copy()
+        columns[f"n{name}"][open_] = n[find(columns[name][open_], words)]
+    out = _packed(pairs.column("part")[0].as_py(), columns)
+    release()
+    return pa.Table.from_batches([out])
+
+
+def _sums_of(context: np.ndarray, chance: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each run of equal contexts: its place, the sums of chance, of below and of the gain, and its length."""
+    at = _starts(context)
+    gain = chance * np.log(chance / below)
+    return at, _added(chance, at), _added(below, at), _added(gain, at), np.diff(np.append(at, len(context)))
+
+
+SUMS_OF_ONES = "a long, given double, had double, gain double, followers long, n_context long"
+
+
+def _word_contexts(size: float) -> Callable:
+    """Of the pairs at hand, sums by their first word; size: the root's denominator."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = _bytes(batch, "a")
+            order = _order(a)
+            a, (n, na, nb) = a[order], (_bytes(batch, c, np.int64)[order] for c in ("n", "na", "nb"))
+            at, *sums = _sums_of(a, (n - DISCOUNT) / na, (nb + 1) / size)
+            columns = [_long(a[at]), *map(pa.array, sums), pa.array(na[at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "given", "had", "gain", "followers", "n_context"])
 
+    return run
 
-def _contexts(followers: DataFrame, context: str) -> DataFrame:
-    """Log of the rest's weight per context, and whether its divergence is enough.
 
-    followers: n_context, chance and below (the chance in the suffix) of each follower of a context."""
-    sums = followers.groupBy(context).agg(
-        F.sum("chance").alias("given"), F.sum("below").alias("had"), F.count("*").alias("followers"),
-        F.sum(F.col("chance") * F.log(F.col("chance") / F.col("below"))).alias("gain"),
-        F.first("n_context").alias("n_context"), F.first("suffix").alias("suffix"),
-    )
+def _enough_words(sums: DataFrame) -> DataFrame:
+    """Of each word: log of the rest's weight, and whether its divergence is enough."""
+    sums = sums.groupBy("a").agg(
+        *[F.sum(c).alias(c) for c in ("given", "had", "gain", "followers")], F.first("n_context").alias("n_context")
+    )
     rest, had = (F.greatest(1 - F.col(c), F.lit(1e-12)) for c in ("given", "had"))
     gain = F.col("gain") + rest * F.log(rest / had)
     least = (F.col("followers") + 1) / 2 * F.log(F.greatest("n_context", F.lit(2)))
-    return sums.select(
-        context, "suffix", F.log10(rest / had).alias("rest"), (F.col("n_context") * gain >= least).alias("enough")
-    )
+    return sums.select("a", F.log10(rest / had).alias("rest"), (F.col("n_context") * gain >= least).alias("enough"))
+
+
+def _second_pairs(parts: int) -> Callable:
+    """A part's triples with the counts of their second pairs, dealt by their first pairs."""
+
+    def run(triples: pa.Table, pairs: pa.Table) -> pa.Table:
+        a, b, n = _bytes(triples, "a"), _bytes(triples, "b"), _bytes(triples, "n", np.int64)
+        n_pair = _bytes(pairs, "n", np.int64)[find(b, _bytes(pairs, "key"))] if len(b) else n
+        out = _packed(_parts(a, parts), {"key": joined(a, b, 3), "a": a, "n": n, "n_pair": n_pair})
+        release()
+        return pa.Table.from_batches([out])
+
+    return run
+
+
+PAIR_CONTEXTS = "part int, two binary, two_rest binary, suffix binary, key binary, n binary, gain binary"
+
+
+def _pair_contexts(triples: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Of a part's pairs, those that are kept as contexts, with the rest's weight and their suffixes, and what each
+    triple in them gains."""
+    a = _bytes(triples, "a")
+    order = _order(a)
+    a, key = a[order], _bytes(triples, "key")[order]
+    n, n_pair = (_bytes(triples, c, np.int64)[order] for c in ("n", "n_pair"))
+    two = _bytes(pairs, "key")
+    if len(a):
+        place = find(a, two)
+        n_context, n_word = (_bytes(pairs, c, np.int64)[place] for c in ("n", "nb"))
+    else:
+        place = n_context = n_word = n
+    chance, below = (n - DISCOUNT) / n_context, (n_pair - DISCOUNT) / n_word
+    at, given, had, gain, followers = _sums_of(a, chance, below)
+    rest, had = np.maximum(1 - given, 1e-12), np.maximum(1 - had, 1e-12)
+    least = (followers + 1) / 2 * np.log(np.maximum(n_context[at], 2))
+    enough = n_context[at] * (gain + rest * np.log(rest / had)) >= least
+    rests = np.log10(rest / had)
+    kept, each = place[at][enough], np.repeat(enough, followers)
+    gains = (np.log10(chance) - np.log10(below) - np.repeat(rests, followers))[each]
+    part = triples.column("part")[0].as_py() if triples.num_rows else pairs.column("part")[0].as_py()
+    columns = {"two": two[kept], "two_rest": rests[enough], "suffix": np.unique(_bytes(pairs, "b")[kept])}
+    columns = [_packed(part, {c: x}) for c, x in (columns | {"key": key[each], "n": n[each], "gain": gains}).items()]
+    release()
+    arrays = [columns[0].column("part"), *(x.column(1) for x in columns)]
+    return pa.Table.from_arrays(arrays, names=["part", *(x.schema.names[1] for x in columns)])
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([_long(np.unique(_bytes(batch, "suffix")))], names=["a"])
+
+
+#: Words are of kind 1, pairs of 2, triples of 3, and 0 is all of a part together. Parts of frequent grams are below 0.
+TAIL = "part int, kind int, key binary, base binary, known binary, gain binary, rest binary"
+TAIL_KINDS = pa.schema([(x.split()[0], {"int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in TAIL.split(", ")])
+
+
+def _tail_rows(kind: int, part: np.ndarray | int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    rows = _packed(part, columns)
+    have = dict(zip(rows.schema.names, rows.columns, strict=True)) | {"kind": pa.array(np.full(rows.num_rows, kind, np.int32))}
+    arrays = [have[c.name] if c.name in have else pa.nulls(rows.num_rows, c.type) for c in TAIL_KINDS]
+    return pa.RecordBatch.from_arrays(arrays, schema=TAIL_KINDS)
+
+
+def _pair_weights(shared, parts: int, total: int, size: float) -> Callable:
+    """TAIL of a part's pairs: of the frequent ones what a follower and what a context gains, of the others the sum."""
+    held: list[Places] = []
+
+    def run(table: pa.Table) -> pa.Table:
+        words, kept, rests = shared.value
+        if not held:
+            held.append(Places(words))
+        key, a = _bytes(table, "key"), _bytes(table, "a")
+        n, na, nb = (_bytes(table, c, np.int64) for c in ("n", "na", "nb"))
+        rare = table.select(["h", "rest"]).filter(pc.is_valid(table.column("h")))
+        h = rare.column("h").to_numpy().astype(np.int64).view(np.uint64)
+        order = _order(h)
+        rest_of = np.append(rare.column("rest").to_numpy()[order], np.nan)[find(a, h[order])]
+        at = find(a, held[0])
+        often = np.flatnonzero(at >= 0)
+        rest_of[often] = np.where(kept[at[often]], rests[at[often]], np.nan)
+        follower = np.log10((n - DISCOUNT) / na) - np.log10((nb + 1) / size) - rest_of
+        follower[np.isnan(follower)] = 0.0
+        two = _bytes(table, "two")
+        order = _order(two)
+        rest = np.append(_bytes(table, "two_rest", np.float64)[order], np.nan)[find(key, two[order])]
+        gain = follower + np.where(np.isnan(rest), 0.0, rest)
+        part, often = _parts(key, parts), n >= SHARE * total
+        some = ~often & (gain != 0)
+        out = [
+            _tail_rows(2, -1 - part[often], {"key": key[often], "gain": follower[often], "rest": rest[often]}),
+            _tail_rows(2, part[some], {"key": key[some], "gain": gain[some]}),
+        ]
+        release()
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _triple_weights(parts: int, total: int) -> Callable:
+    """TAIL of the triples in contexts that are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n, gain = _bytes(batch, "key"), _bytes(batch, "n", np.int64), _bytes(batch, "gain", np.float64)
+            part, often = _parts(key, parts), n >= SHARE * total
+            yield _tail_rows(3, -1 - part[often], {"key": key[often], "gain": gain[often]})
+            yield _tail_rows(3, part[~often], {"key": key[~often], "gain": gain[~often]})
+
+    return run
+
+
+def _word_weights(parts: int) -> Callable:
+    """TAIL of words (h, n, rest) that aren't frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            h, n, rest = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("h", "n", "rest"))
+            key = h.view(np.uint64)
+            return _tail_rows(1, _parts(key, parts), {"key": key, "base": np.log10(n + 1), "gain": rest})
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= KEYS_TOGETHER:
+                yield told(held)
+                held = []
+        if held:
+            yield told(held)
+
+    return run
+
+
+def _tail_part(table: pa.Table) -> pa.Table:
+    """The weights of a part's words, pairs and triples in one row; frequent grams as they come."""
+    part = table.column("part")[0].as_py()
+    if part < 0:
+        return table
+    of_words = pc.equal(table.column("kind"), 1)
+    words, others = table.filter(of_words), table.filter(pc.invert(of_words))
+    both = lambda c, kind: np.concatenate([_bytes(words, c, kind), _bytes(others, c, kind)])
+    key, gain = both("key", np.uint64), both("gain", np.float64)
+    base, known = np.zeros(len(key)), np.zeros(len(key), dtype=np.int64)
+    base_of = _bytes(words, "base", np.float64)
+    base[: len(base_of)], known[: len(base_of)] = base_of, 1
+    out = _tail_rows(0, part, {"key": key, "base": base, "known": known, "gain": gain})
+    release()
+    return pa.Table.from_batches([out])
 
 
 def train(texts: DataFrame) -> dict:
     """The frequent grams of the column `text` with their weights, and as tables the vocabulary (h, n) and the weights
-    of all other grams (key, base, known, gain)."""
+    of all other grams (key, base, known, gain; see TAIL).
+
+    Pairs and triples stay packed by ranges of hashes from their count to their weight: pairs by their own, triples
+    by that of the pair that the step at hand looks up in the pairs of the same range."""
     spark = texts.sparkSession
-    vocabulary = stage(
-        texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    )
+    context = spark.sparkContext
+    cores = max(2 * context.defaultParallelism, 2)
+    word_parts = min(16, math.ceil(math.log2(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    words = texts.mapInArrow(_count_words(word_parts), "part int, h binary, n binary").groupBy("part")
+    vocabulary = stage(words.applyInArrow(_sum_words, "h long, n long"))
     total, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    size = float(total + kinds + 1)
     often = vocabulary.where(F.col("n") >= WORD_SHARE * total).toArrow()  # at most 1 / WORD_SHARE
     rare = vocabulary.where(F.col("n") < WORD_SHARE * total)
     h = often.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     table, counts = h[order], often.column("n").to_numpy()[order].astype(np.float64)
-    context = spark.sparkContext
     words = context.broadcast((table, counts))
     # grams travel packed by ranges of their hash; the parts grow with the cluster's cores and the texts
-    cores = max(2 * context.defaultParallelism, 2)
     parts, scored_parts, line_parts = (
         min(16, math.ceil(math.log2(max(cores, total / of)))) for of in (PART_TOKENS, SCORED_PART_TOKENS, LINE_PART_TOKENS)
     )
 
-    pairs = texts.mapInArrow(_count_grams(2, parts), COUNTED).groupBy("part")
-    pairs = stage(pairs.applyInArrow(_merge(2, words), "key long, a long, b long, n long, na long, nb long"))
+    def by_part(frame: DataFrame, *columns: str):
+        return (frame.select("part", *columns) if columns else frame).groupBy("part")
+
+    counted = by_part(texts.mapInArrow(_count_grams(2, parts), COUNTED))
+    counted = stage(counted.applyInArrow(_merge(2, parts, words), PAIRS))
+    asked = counted.select("part", "a", "b", "na", "nb").mapInArrow(_unknown, "part int, h long")
+    told = stage(asked.join(rare, "h").select("part", "h", "n"))
+    pairs = stage(by_part(counted).cogroup(by_part(told)).applyInArrow(_fill, PAIRS))
+    discard(counted)
     known = context.broadcast(_bit_table(pairs, parts))
-    triples = texts.mapInArrow(_count_grams(3, parts, known), COUNTED).groupBy("part")
-    triples = stage(triples.applyInArrow(_merge(3), "key long, a long, b long, n long"))
+    triples = by_part(texts.mapInArrow(_count_grams(3, parts, known), COUNTED))
+    triples = stage(triples.applyInArrow(_merge(3, parts), COUNTED))
     for used in (words, known):
         used.unpersist()
 
-    counted_pairs, counted_triples = pairs, triples
-    pairs_table = stage(
-        _with_count(_with_count(pairs, rare, "a"), rare, "b").select(
-            "key", "a", "b", "n", F.col("na").alias("n_context"), "nb"
-        )
-    )
-    # tables hold counts, which are smaller than chances
-    chance = (F.col("n") - DISCOUNT) / F.col("n_context")
-    pairs = pairs_table.select(
-        "key", "a", "b", "n", "n_context", F.lit(None).cast("long").alias("suffix"), chance.alias("chance"),
-        ((F.col("nb") + 1) / F.lit(float(total + kinds + 1))).alias("below"),
-    )
-    discard(counted_pairs)
-    ones = _contexts(pairs, "a")
-    # a triple's context is its first pair, the suffix is that pair's second word
-    before = pairs.select(F.col("key").alias("a"), F.col("n").alias("n_context"), F.col("b").alias("suffix"))
-    last = pairs.select(F.col("key").alias("b"), F.col("n").alias("n_pair"), F.col("n_context").alias("n_word"))
-    triples_table = stage(triples.join(before, "a").join(last, "b").drop("b"))
-    below = (F.col("n_pair") - DISCOUNT) / F.col("n_word")
-    triples = triples_table.select("key", "a", "n", "n_context", "suffix", chance.alias("chance"), below.alias("below"))
-    discard(counted_triples)
-    twos = stage(_contexts(triples, "a").where("enough").select(F.col("a").alias("two"), "suffix", "rest"))
-    suffixes = twos.select(F.col("suffix").alias("a")).distinct().withColumn("needed", F.lit(True))
-    ones = ones.join(suffixes, "a", "left").where("enough or needed")
+    sums = pairs.select("a", "n", "na", "nb").mapInArrow(_word_contexts(size), SUMS_OF_ONES)
+    seconds = by_part(triples).cogroup(by_part(pairs, "key", "n"))
+    seconds = seconds.applyInArrow(_second_pairs(parts), "part int, key binary, a binary, n binary, n_pair binary")
+    twos = by_part(seconds).cogroup(by_part(pairs, "key", "b", "n", "nb"))
+    twos = stage(twos.applyInArrow(_pair_contexts, PAIR_CONTEXTS))
+    discard(triples)
+    suffixes = twos.select("suffix").mapInArrow(_suffixes, "a long").distinct().withColumn("needed", F.lit(True))
+    ones = _enough_words(sums).join(suffixes, "a", "left").where("enough or needed")
     ones = stage(ones.select(F.col("a").alias("one"), "rest"))
 
-    follower = F.coalesce(F.log10("chance") - F.log10("below") - F.col("one_rest"), F.lit(0.0))
-    pairs = stage(
-        pairs.join(ones.withColumnRenamed("rest", "one_rest"), pairs["a"] == F.col("one"), "left")
-        .join(twos.select("two", F.col("rest").alias("two_rest")), pairs["key"] == F.col("two"), "left")
-        .select("key", "n", follower.alias("follower"), "two_rest")
-    )
-    triples = stage(
-        triples.join(twos.select("two", F.col("rest").alias("two_rest")), triples["a"] == F.col("two"))
-        .select("key", "n", (F.log10("chance") - F.log10("below") - F.col("two_rest")).alias("follower"))
-    )
-    discard(pairs_table, triples_table)
-    rest = F.coalesce("rest", F.lit(0.0))
     tail = vocabulary.join(ones, vocabulary["h"] == ones["one"], "left")
     frequent = tail.where(F.col("n") >= WORD_SHARE * total).where("one is not null").select("one", "rest").toArrow()
-    none = [F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known")]
-    tail = tail.where(F.col("n") < WORD_SHARE * total).select(
-        F.col("h").alias("key"), F.log10(F.col("n") + 1).alias("base"), F.lit(1).cast("long").alias("known"), rest.alias("gain")
-    )
-    two_rest = F.coalesce("two_rest", F.lit(0.0))
-    tail = tail.union(
-        pairs.where(F.col("n") < SHARE * total).select("key", *none, (F.col("follower") + two_rest).alias("gain")).where("gain <> 0")
-    ).union(triples.where(F.col("n") < SHARE * total).select("key", *none, F.col("follower").alias("gain")))
-    tail = stage(tail)
-
-    def arrays(frame: DataFrame, *columns: str) -> list[np.ndarray]:
-        got = frame.where(F.col("n") >= SHARE * total).select("key", *columns).toArrow()
-        key = got.column("key").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        return [key[order], *[got.column(c).to_numpy().astype(np.float64)[order] for c in columns]]
-
-    pair, pair_gain, rest2 = arrays(pairs, "follower", "two_rest")
-    triple, triple_gain = arrays(triples, "follower")
     kept, rest1 = np.zeros(len(table), dtype=bool), np.zeros(len(table))
     at = find(frequent.column("one").to_numpy().astype(np.int64).view(np.uint64), table)
     kept[at], rest1[at] = True, frequent.column("rest").to_numpy()
-    discard(ones, twos, pairs, triples)
+    left = context.broadcast((table, kept, rest1))
+    rests = told.join(ones, told["h"] == ones["one"]).select("part", "h", "rest")
+    weighed = pairs.select("part", "key", "a", "n", "na", "nb")
+    for more in (twos.select("part", "two", "two_rest"), rests):
+        weighed = weighed.unionByName(more, allowMissingColumns=True)
+    weighed = by_part(weighed).applyInArrow(_pair_weights(left, scored_parts, total, size), TAIL)
+    tail = tail.where(F.col("n") < WORD_SHARE * total).select("h", "n", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+    tail = tail.mapInArrow(_word_weights(scored_parts), TAIL).union(weighed)
+    tail = tail.union(twos.select("key", "n", "gain").mapInArrow(_triple_weights(scored_parts, total), TAIL))
+    tail = stage(by_part(tail).applyInArrow(_tail_part, TAIL))
+    left.unpersist()
+    found = tail.where("part < 0").select("kind", "key", "gain", "rest").toArrow()
+
+    def arrays(kind: int, *columns: str) -> list[np.ndarray]:
+        got = found.filter(pc.equal(found.column("kind"), kind))
+        key = _bytes(got, "key")
+        order = np.argsort(key)
+        return [key[order], *[_bytes(got, c, np.float64)[order] for c in columns]]
+
+    pair, pair_gain, rest2 = arrays(2, "gain", "rest")
+    triple, triple_gain = arrays(3, "gain")
+    discard(ones, twos, pairs, told)
     return {
-        "total": total, "kinds": kinds, "vocabulary": vocabulary, "tail": tail, "filter": _bit_table(tail, parts),
-        "parts": scored_parts, "line_parts": line_parts, "table": table, "log_root": np.log10((counts + 1) / (total + kinds + 1)), "kept": kept, "rest": rest1,
+        "total": total, "kinds": kinds, "vocabulary": vocabulary, "tail": tail, "filter": _bit_table(tail.where("part >= 0"), scored_parts),
+        "parts": scored_parts, "line_parts": line_parts, "table": table, "log_root": np.log10((counts + 1) / size), "kept": kept, "rest": rest1,
         "pairs": pair, "pair_gain": pair_gain, "kept2": ~np.isnan(rest2), "rest2": np.nan_to_num(rest2),
         "triples": triple, "triple_gain": triple_gain, "pair_bits": _few_bits(pair), "triple_bits": _few_bits(triple),
     }
@@ -405,7 +727,6 @@ SUMS = "part int, line array<long>, n array<long>, known array<long>, base array
 OWN = "own array<long>, id array<{0}>, out array<boolean>"
 SCORED = SUMS + ", key array<long>, at array<short>, first long, " + OWN
 SUMMED = SUMS + ", " + OWN
-WEIGHTS = "part int, key array<long>, base array<double>, known array<long>, gain array<double>"
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -436,7 +757,9 @@ def _look_up(shared) -> Callable:
     """What the frequent grams give each line, with its id, and for each part the other grams with their lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = dict(shared.value)
+        for name in ("table", "pairs", "triples"):
+            model[name] = Places(model[name])
         unseen = -math.log10(model["total"] + model["kinds"] + 1)
 
         def told(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -474,8 +797,8 @@ def _look_up(shared) -> Callable:
                 rare = np.flatnonzero(words < 0)
                 key, place = np.concatenate([h[rare], key]), np.concatenate([rare, place])
                 good = _passes(key, model["filter"])
-                add = lambda x: np.bincount(row, weights=x, minlength=piece.rows)
-                sums = (line, np.diff(first).astype(np.int64), add(words >= 0).astype(np.int64), add(logs), add(out))
+                known, base, gain = (np.add.reduceat(x, first[:-1]) for x in ((words >= 0).astype(np.int64), logs, out))  # each row has its end
+                sums = (line, np.diff(first).astype(np.int64), known, base, gain)
                 held.append((key[good], line[row[place[good]]], sums, ids, held_out))
                 seen += len(h)
                 if seen >= SCORED_TOKENS:
@@ -488,25 +811,17 @@ def _look_up(shared) -> Callable:
     return run
 
 
-def _deal_weights(parts: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "base", "known", "gain")}
-            if batch.num_rows:
-                yield _dealt(_parts(x["key"].view(np.uint64), parts), x)
-
-    return run
-
-
 def _by_line(line: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    line, code = np.unique(line, return_inverse=True)
-    sums = {c: np.bincount(code, weights=x, minlength=len(line)).astype(x.dtype) for c, x in columns.items()}
-    return {"line": line, **sums}
+    order = _order(line)
+    line = line[order]
+    first = _starts(line)
+    return {"line": line[first], **{c: _added(x[order], first) for c, x in columns.items()}}
 
 
 def _found(lists: pa.ChunkedArray, table: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the keys of all lists, one after the other, that a sorted table has, and their rows there before it was sorted."""
     hits, rows, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    table = Places(table)
     for chunk in lists.chunks:
         keys = chunk.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
         for i in range(0, len(keys), KEYS_TOGETHER):
@@ -523,7 +838,7 @@ def _weigh(parts: int) -> Callable:
 
     def run(texts: pa.Table, weights: pa.Table) -> pa.Table:
         key = _keys(weights, "key")
-        order = np.argsort(key)
+        order = _order(key)
         key = key[order]
         hit, at = _found(texts.column("key"), key, order)
         del key, order
@@ -577,15 +892,26 @@ def score(docs: DataFrame, out: Column, id_column: str = "doc_id", text_column:
     )
     model = train(plain.where("not held_out").select("text"))
     discard(model.pop("vocabulary"))
-    tail, total, parts = model.pop("tail"), model["total"], model["parts"]
+    tail, total = model.pop("tail"), model["total"]
+    weights = tail.where("part >= 0").select("part", "key", "base", "known", "gain")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = plain.schema["id"].dataType.simpleString()
-    looked = plain.withColumn("line", F.monotonically_increasing_id()).select("line", "id", "held_out", "text")
-    looked = looked.mapInArrow(_look_up(shared), SCORED.format(kind))
-    weights = tail.mapInArrow(_deal_weights(parts), WEIGHTS)
-    sums = looked.groupBy("part").cogroup(weights.groupBy("part")).applyInArrow(_weigh(model["line_parts"]), SUMMED.format(kind))
-    lines = f"id {kind}, out boolean, n long, known long, base double, gain double"
-    return sums.groupBy("part").applyInArrow(_sum_lines, lines).select(
+    rounds = min(ROUNDS, max(1, round(total / ROUND_TOKENS)))
+
+    def scored(texts: DataFrame) -> DataFrame:
+        numbered = texts.withColumn("line", F.monotonically_increasing_id()).select("line", "id", "held_out", "text")
+        looked = numbered.mapInArrow(_look_up(shared), SCORED.format(kind))
+        sums = looked.groupBy("part").cogroup(weights.groupBy("part")).applyInArrow(_weigh(model["line_parts"]), SUMMED.format(kind))
+        return sums.groupBy("part").applyInArrow(_sum_lines, f"id {kind}, out boolean, n long, known long, base double, gain double")
+
+    if rounds == 1:
+        lines = scored(plain)
+    else:  # a row's round follows from what is in it, so that each row is in one, however the rows come
+        turn = F.pmod(F.xxhash64("id", "text"), F.lit(rounds))
+        done = [stage(scored(plain.where(turn == i))) for i in range(rounds)]
+        discard(tail)
+        lines = reduce(DataFrame.unionAll, done)
+    return lines.select(
         F.col("id").alias(id_column),
         F.col("out").alias("held_out"),
         F.col("n").alias("n_tokens"),

@@ -242,6 +242,56 @@ def test_lm_tree_is_whole(spark, docs, monkeypatch, share):
     assert {k: s for k, (s,) in found.items()} == pytest.approx(expected, rel=1e-9)
 
 
+def test_lm_tables_are_packed(spark, docs, monkeypatch):
+    """What is left of the grams comes as one row for each part, not as one for each gram."""
+    monkeypatch.setattr(lm, "SHARE", 1.0)
+    monkeypatch.setattr(lm, "WORD_SHARE", 1.0)
+    model = lm.train(docs.select("text"))
+    tail = model["tail"].where("part >= 0")
+    rows = tail.selectExpr("part", "octet_length(key) as key", "octet_length(base) as base", "octet_length(gain) as gain").collect()
+    assert len({r["part"] for r in rows}) == len(rows) <= 1 << model["parts"]
+    assert sum(r["key"] for r in rows) // 8 > 100 * len(rows) > 0
+    assert all(r["key"] == r["base"] == r["gain"] for r in rows)
+
+
+@pytest.mark.parametrize("low, high", [(0, 1 << 64), (1 << 62, (1 << 62) + 5000), ((1 << 64) - 9, 1 << 64), (0, 1)])
+@pytest.mark.parametrize("size", [0, 1, 3000])
+def test_lm_places(low, high, size):
+    """Any table of hashes, also one whose values share their leading bits."""
+    rng = np.random.default_rng(size)
+    table = np.unique(rng.integers(low, high, size, dtype=np.uint64))
+    ends = np.array([0, 1 << 62, (1 << 64) - 1], dtype=np.uint64)
+    values = np.concatenate([rng.integers(0, 1 << 64, 500, dtype=np.uint64), rng.integers(low, high, 5000, dtype=np.uint64), table, ends])
+    known = {v: i for i, v in enumerate(table.tolist())}
+    expected = [known.get(v, -1) for v in values.tolist()]
+    assert lm.Places(table).find(values).tolist() == lm.find(values, table).tolist() == expected
+    crowd = np.append(np.arange(size, dtype=np.uint64), np.uint64((1 << 64) - 1))
+    assert lm.find(crowd, crowd).tolist() == list(range(size + 1))
+
+
+@pytest.mark.parametrize("spread", [1, 64, 1 << 40])
+def test_lm_order(spread):
+    """Hashes that differ in their last bits only are in order too."""
+    rng = np.random.default_rng(spread)
+    base = rng.integers(0, (1 << 64) - (1 << 41), 2000, dtype=np.uint64)
+    for values in (base[:0], base[:1], np.concatenate([base, base[:50] + np.uint64(spread), base[:9], base[:50] + np.uint64(spread // 2)])):
+        order = lm._order(values)
+        assert np.array_equal(np.sort(order), np.arange(len(values)))
+        assert np.array_equal(values[order], np.sort(values))
+
+
+def test_lm_rounds(spark, odd, monkeypatch):
+    """Texts scored in several rounds get the same rows, repeated and null ones too."""
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rows = lambda: sorted(map(tuple, lm.score(odd, held_out("doc_id", 7, 2)).select(*columns).collect()), key=str)
+    whole = rows()
+    monkeypatch.setattr(lm, "ROUND_TOKENS", 100)
+    parted = rows()
+    assert len(parted) == len(whole) == 13
+    for a, b in zip(parted, whole, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
 @pytest.fixture(scope="module")
 def raw():
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as file:
