@@ -625,7 +625,7 @@ def train(texts: DataFrame) -> dict:
     cores = max(2 * context.defaultParallelism, 2)
     word_parts = min(16, math.ceil(math.log2(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     words = texts.mapInArrow(_count_words(word_parts), "part int, h binary, n binary").groupBy("part")
-    vocabulary = stage(words.applyInArrow(_sum_words, "h long, n long"))
+    vocabulary = stage(words.applyInArrow(_sum_words, "h long, n long"), texts=True)
     total, kinds = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     size = float(total + kinds + 1)
     often = vocabulary.where(F.col("n") >= WORD_SHARE * total).toArrow()  # at most 1 / WORD_SHARE
@@ -643,14 +643,14 @@ def train(texts: DataFrame) -> dict:
         return (frame.select("part", *columns) if columns else frame).groupBy("part")
 
     counted = by_part(texts.mapInArrow(_count_grams(2, parts), COUNTED))
-    counted = stage(counted.applyInArrow(_merge(2, parts, words), PAIRS))
+    counted = stage(counted.applyInArrow(_merge(2, parts, words), PAIRS), texts=True)
     asked = counted.select("part", "a", "b", "na", "nb").mapInArrow(_unknown, "part int, h long")
     told = stage(asked.join(rare, "h").select("part", "h", "n"))
     pairs = stage(by_part(counted).cogroup(by_part(told)).applyInArrow(_fill, PAIRS))
     discard(counted)
     known = context.broadcast(_bit_table(pairs, parts))
     triples = by_part(texts.mapInArrow(_count_grams(3, parts, known), COUNTED))
-    triples = stage(triples.applyInArrow(_merge(3, parts), COUNTED))
+    triples = stage(triples.applyInArrow(_merge(3, parts), COUNTED), texts=True)
     for used in (words, known):
         used.unpersist()
 
@@ -904,13 +904,12 @@ def score(docs: DataFrame, out: Column, id_column: str = "doc_id", text_column:
         sums = looked.groupBy("part").cogroup(weights.groupBy("part")).applyInArrow(_weigh(model["line_parts"]), SUMMED.format(kind))
         return sums.groupBy("part").applyInArrow(_sum_lines, f"id {kind}, out boolean, n long, known long, base double, gain double")
 
-    if rounds == 1:
-        lines = scored(plain)
-    else:  # a row's round follows from what is in it, so that each row is in one, however the rows come
-        turn = F.pmod(F.xxhash64("id", "text"), F.lit(rounds))
-        done = [stage(scored(plain.where(turn == i))) for i in range(rounds)]
-        discard(tail)
-        lines = reduce(DataFrame.unionAll, done)
+    # a row's round follows from what is in it, so that each row is in one, however the rows come
+    turn = F.pmod(F.xxhash64("id", "text"), F.lit(rounds))
+    texts = [plain.where(turn == i) if rounds > 1 else plain for i in range(rounds)]
+    lines = reduce(DataFrame.unionAll, [stage(scored(x), texts=True) for x in texts])
+    discard(tail)
+    shared.unpersist()
     return lines.select(
         F.col("id").alias(id_column),
         F.col("out").alias("held_out"),
